@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The studied workload has no streams, watermarks, windows over event time or
+stateful operators (every input is a finished table).  Nothing is built here;
+the package exists so the layout stays uniform.  A micro-batch user can call
+any operator from ``foreachBatch`` since every operator is a pure
+DataFrame -> DataFrame function.
+"""
