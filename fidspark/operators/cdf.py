@@ -172,7 +172,7 @@ def quantiles(
 def ks_statistic(pre: Prefix) -> DataFrame:
     """(feature, ks_statistic, n_r, n_s): max |F_r - F_s| over distinct values (A5)."""
     t = pre.table
-    d = F.abs(t.cum_n_r / t.tot_n_r - t.cum_n_s / t.tot_n_s)
+    d = F.abs(F.try_divide(t.cum_n_r, t.tot_n_r) - F.try_divide(t.cum_n_s, t.tot_n_s))
     return t.groupBy("feature").agg(
         F.max(d).alias("ks_statistic"),
         F.first("tot_n_r").alias("n_r"),
@@ -198,7 +198,7 @@ def wasserstein(pre: Prefix, scale: DataFrame | None = None) -> DataFrame:
     if scale is not None:
         t = t.join(F.broadcast(scale), "feature")
         gap = gap / F.col("width")
-    d = F.abs(F.col("cum_n_r") / F.col("tot_n_r") - F.col("cum_n_s") / F.col("tot_n_s"))
+    d = F.abs(F.try_divide(F.col("cum_n_r"), F.col("tot_n_r")) - F.try_divide(F.col("cum_n_s"), F.col("tot_n_s")))
     return t.groupBy("feature").agg(F.coalesce(F.sum(d * gap), F.lit(0.0)).alias("wd"))
 
 

@@ -138,8 +138,8 @@ class NumericComparison:
         c = self.counts.join(F.broadcast(fences), "feature", "left")  # fences: one row per feature
         inside = F.coalesce(F.col("value").between(F.col("lo"), F.col("hi")), F.lit(False))
         out = c.groupBy("feature").agg(
-            (F.sum(F.when(~inside, F.col("n_r")).otherwise(0)) / F.sum("n_r")).alias("real_outlier_rate"),
-            (F.sum(F.when(~inside, F.col("n_s")).otherwise(0)) / F.sum("n_s")).alias("synthetic_outlier_rate"),
+            F.try_divide(F.sum(F.when(~inside, F.col("n_r")).otherwise(0)), F.sum("n_r")).alias("real_outlier_rate"),
+            F.try_divide(F.sum(F.when(~inside, F.col("n_s")).otherwise(0)), F.sum("n_s")).alias("synthetic_outlier_rate"),
         )
         return out.withColumn("abs_rate_diff", F.abs(F.col("real_outlier_rate") - F.col("synthetic_outlier_rate")))
 
@@ -172,8 +172,8 @@ class NumericComparison:
         below = F.coalesce(F.col("value") < F.col("mn"), F.lit(False))
         above = F.coalesce(F.col("value") > F.col("mx"), F.lit(False))
         return c.groupBy("feature").agg(
-            (F.sum(F.when(below, F.col("n_s")).otherwise(0)) / F.sum("n_s")).alias("below_min_rate"),
-            (F.sum(F.when(above, F.col("n_s")).otherwise(0)) / F.sum("n_s")).alias("above_max_rate"),
+            F.try_divide(F.sum(F.when(below, F.col("n_s")).otherwise(0)), F.sum("n_s")).alias("below_min_rate"),
+            F.try_divide(F.sum(F.when(above, F.col("n_s")).otherwise(0)), F.sum("n_s")).alias("above_max_rate"),
         )
 
     # A10
@@ -187,7 +187,7 @@ class NumericComparison:
         c = self.counts.join(F.broadcast(bins), "feature")
         ok = F.coalesce(F.col("value").isin(0.0, 1.0), F.lit(False))
         return c.groupBy("feature").agg(
-            (F.sum(F.when(~ok, F.col("n_s")).otherwise(0)) / F.sum("n_s")).alias("invalid_rate")
+            F.try_divide(F.sum(F.when(~ok, F.col("n_s")).otherwise(0)), F.sum("n_s")).alias("invalid_rate")
         )
 
 
@@ -228,7 +228,7 @@ def validity_summary(r: DataFrame, s: DataFrame, cols: Sequence[str]) -> DataFra
         F.avg("above_max_rate").alias("range_violation_rate_above_max"),
     )
     bv = nc.binary_violations().agg(F.coalesce(F.avg("invalid_rate"), F.lit(0.0)).alias("binary_constraint_violation_rate"))
-    return rv.join(bv, how="inner")  # both sides are one-row aggregates
+    return rv.withColumn("_k", F.lit(1)).join(bv.withColumn("_k", F.lit(1)), "_k").drop("_k")  # one row each
 
 
 # --------------------------------------------------------------------------- imputation
