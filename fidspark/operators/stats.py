@@ -100,8 +100,15 @@ class NumericComparison:
         self.pre = cdf.prefix_sums(self.counts, ["feature"], "value", ["n_r", "n_s"], buckets)
 
     def persist(self) -> "NumericComparison":
-        self.counts = self.counts.persist()
-        self.pre = cdf.prefix_sums(self.counts, ["feature"], "value", ["n_r", "n_s"])
+        """Materialise the distinct-value table and its CDF once for several consumers.
+
+        MEMORY_AND_DISK blocks are recomputed from lineage if an executor is lost."""
+        from pyspark import StorageLevel
+
+        self.counts = self.counts.persist(StorageLevel.MEMORY_AND_DISK)
+        pre = cdf.prefix_sums(self.counts, ["feature"], "value", ["n_r", "n_s"])
+        self.pre = cdf.Prefix(pre.table.persist(StorageLevel.MEMORY_AND_DISK),
+                              pre.totals.persist(StorageLevel.MEMORY_AND_DISK))
         return self
 
     # A3

@@ -31,7 +31,7 @@ def compare_summary(
     feats = list(num) if num is not None else [c for c in r.columns if c != lab]
     rx, sx = prep.to_numeric(r.select(feats)), prep.to_numeric(s.select(feats))
     rx, sx = stats.impute_median(rx, sx, feats)
-    nc = stats.NumericComparison(rx, sx, feats)
+    nc = stats.NumericComparison(rx, sx, feats).persist()
 
     cls = stats.class_distribution(r, s, lab, expected).agg(
         F.avg("abs_prop_diff").alias("class_abs_prop_diff_mean"), F.max("abs_prop_diff").alias("class_abs_prop_diff_max"))
