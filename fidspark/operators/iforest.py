@@ -170,7 +170,9 @@ def score_samples(forest: Forest, df: DataFrame, keep: Sequence[str] = ()) -> Da
             out["decision"] = s - (off if off is not None else 0.0)
             yield out
 
-    x = df.select(*keep, *[F.col(c).cast("double").alias(c) for c in cols if c not in keep])
+    from fidspark.session import ensure_parallel
+
+    x = ensure_parallel(df.select(*keep, *[F.col(c).cast("double").alias(c) for c in cols if c not in keep]))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields]
                        + ["score double", "decision double"])
     return x.mapInPandas(run, schema)

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fidspark.functions import clean_label, portable_hash
+from fidspark.session import ensure_parallel
 from fidspark.operators import scores
 
 
@@ -64,7 +65,7 @@ def propensity(r: DataFrame, s: DataFrame, cols: Sequence[str], folds: int = 5,
     k = F.xxhash64(*cols, "y") if key is None else F.col(key)
     st = st.withColumn("_key", k).withColumn(
         "fold", (portable_hash(F.abs(F.col("_key") % 1000000007), seed) % folds).cast("int"))
-    st = st.persist(StorageLevel.MEMORY_AND_DISK)
+    st = ensure_parallel(st).persist(StorageLevel.MEMORY_AND_DISK)
     n = st.count()
     counts = {row["y"]: row["n"] for row in st.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_splits = int(min(folds, min(counts.values()))) if len(counts) == 2 else 0
@@ -118,7 +119,8 @@ def tstr(r: DataFrame, s: DataFrame, cols: Sequence[str], label: str) -> DataFra
     """M3: train on synthetic (balanced weights), test on real: accuracy, F1 macro/weighted,
     AUROC (binary on class 1; one-vs-rest macro otherwise), AUROC coverage."""
     re, se, dic = encode_labels(r, s, label)
-    tr = _balanced_weights(se.where("y IS NOT NULL").select(*cols, "y"))
+    tr = ensure_parallel(_balanced_weights(se.where("y IS NOT NULL").select(*cols, "y"))).persist(
+        StorageLevel.MEMORY_AND_DISK)
     te = re.where("y IS NOT NULL").select(*cols, "y").withColumn("_rid", F.monotonically_increasing_id())
     classes = sorted(row[0] for row in tr.select("y").distinct().collect())  # one row per class
     if len(classes) < 2:
@@ -170,7 +172,7 @@ def utility_gap(r: DataFrame, runs: Sequence[DataFrame], cols: Sequence[str], la
     re, _, dic = encode_labels(r, runs[0], label)
     k = "_key"
     re = re.withColumn(k, F.xxhash64(*r.columns) if key is None else F.col(key))
-    sp = stratified_split(re.where("y IS NOT NULL"), "y", test_share, k, seed).persist()
+    sp = ensure_parallel(stratified_split(re.where("y IS NOT NULL"), "y", test_share, k, seed)).persist()
     train_r, test = sp.where("split = 'train'"), sp.where("split = 'test'")
     n_classes = dic.count()
     spark = r.sparkSession

@@ -161,7 +161,9 @@ def knn(
     """
     spark = query.sparkSession
     codes = codes if codes is not None else _codes(base, query, space, None)
-    qp = _project(query, q_key, space, q_stats, codes)
+    from fidspark.session import ensure_parallel
+
+    qp = ensure_parallel(_project(query, q_key, space, q_stats, codes))
     bp = _project(base, b_key, space, b_stats, codes)
     if radius is not None:
         bp = bp.join(radius.select(F.col(radius.columns[0]).cast("long").alias("_key"),

@@ -53,3 +53,17 @@ def default_buckets(spark: SparkSession) -> int:
         return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     except Exception:  # pragma: no cover
         return 200
+
+
+def ensure_parallel(df):
+    """Spread a frame over the cluster before Python-heavy or iterative work.
+
+    A small file can scan as a single partition, which would serialise an
+    Arrow kernel or every optimizer pass.  Only when the frame has fewer
+    partitions than the default parallelism is it round-robin repartitioned;
+    large scans already have enough partitions and pass through untouched.
+    """
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df
