@@ -17,8 +17,19 @@ from pyspark.sql import functions as F
 from fidspark.operators import assoc, prep, stats
 
 
-def _one(df: DataFrame) -> DataFrame:
-    return df.withColumn("_k", F.lit(1))
+def combine_rows(parts: Sequence[DataFrame]) -> DataFrame:
+    """Put several one-row aggregates side by side without a join.
+
+    Each row is unpivoted to (metric, value); the union (a few rows) is pivoted
+    back by one global aggregate, so the plan has no cartesian product.
+    """
+    names = [c for p in parts for c in p.columns]
+    longs = [p.select(*[F.col(c).cast("double").alias(c) for c in p.columns]).unpivot([], p.columns, "metric", "value")
+             for p in parts]
+    u = longs[0]
+    for x in longs[1:]:
+        u = u.unionByName(x)
+    return u.groupBy().agg(*[F.max(F.when(F.col("metric") == c, F.col("value"))).alias(c) for c in names])
 
 
 def compare_summary(
@@ -49,7 +60,4 @@ def compare_summary(
     parts = [cls, tail, iqr, ks, rng, binv]
     if spearman:
         parts.insert(3, assoc.spearman_diff(rx, sx, feats))
-    out = _one(parts[0])
-    for p in parts[1:]:
-        out = out.join(_one(p), "_k")  # one-row aggregates joined on a constant key
-    return out.drop("_k")
+    return combine_rows(parts)
