@@ -145,7 +145,7 @@ def draws(df: DataFrame, text: str = "text", weights: Sequence[float] = WEIGHTS,
     along = Window.partitionBy("source", "_block").orderBy("_h").rowsBetween(Window.unboundedPreceding, 0)
     edge = (keys.withColumn("e", F.sum("w").over(along)).filter("e > _left and e - w <= _left")
             .select("source", "_block", F.col("_h").alias("_edge"), F.floor((F.col("_left") - F.col("e") + F.col("w")) / F.col("m")).alias("_part")))
-    quota = _meet(quota, edge, "left")
+    quota = stage(_meet(quota, edge, "left"), "edges")
 
     last = F.when(F.col("_cut").isNull() | (F.col("_h") < F.col("_edge")), F.col("size")).when(
         F.col("_h") == F.col("_edge"), F.col("_part")).otherwise(0).cast("long")

@@ -23,6 +23,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
@@ -147,15 +148,14 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, ro
                              .select("page_id").collect()), np.int64)
     bounds = np.unique(sample[[len(sample) * k // shards for k in range(1, shards)]]) if len(sample) else sample
 
-    same = heads.filter(F.col("bytes") >= least_bytes).groupBy("key").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1")
+    # staged, so that the join below can split a payload that very many pages share
+    same = stage(heads.filter(F.col("bytes") >= least_bytes).groupBy("key").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1"), "warc-same")
     again = (heads.join(same, "key").filter("refers_to is not null and not page_id <=> refers_to")
              .select("page_id", "key", "refers_to").distinct())
 
     @F.pandas_udf("int")
     def shard_of(page_id):
-        v = page_id.fillna(np.iinfo(np.int64).min).astype("int64").to_numpy() if page_id.isna().any() else page_id.to_numpy()
-        import pandas as pd
-        return pd.Series(np.searchsorted(bounds, v, side="right").astype(np.int32))
+        return pd.Series(np.searchsorted(bounds, page_id.to_numpy(), side="right").astype(np.int32))
 
     both = (rows.withColumn("key", F.sha2("payload", 256)).withColumn("refers_to", F.lit(None).cast("long"))
             .unionByName(again.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "key", "refers_to")))
