@@ -13,6 +13,7 @@ the last sequences of a group stay partly empty.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,33 +26,72 @@ from pyspark.sql import functions as F
 from fidspark.llm.common import stage, text_of
 
 CAPACITY, END_ID = 2048, 0
-GROUP_PIECES, CACHE_WORDS, BATCH = 1 << 16, 400_000, 256
-_LOADED: dict[str, tuple] = {}
+GROUP_PIECES, CACHE_WORDS, BATCH = 1 << 16, 500_000, 256
+_LOADED: dict[str, _Words] = {}
 
 
-def _tokenizer(path: str) -> tuple:
-    if path not in _LOADED:
+# A word of plain letters between plain punctuation (no apostrophe): the tokenizer cuts it into these three, so its model
+# can be asked for each of them without the rest of its chain.
+_PLAIN = re.compile(r"([!-&(-/:-@\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+#: The printable stand-ins of bytes in byte-level vocabularies: themselves, or the next free code point above 255.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_STAND_INS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
+
+
+class _Words:
+    """Ids of words by a tokenizer, with caches that keep what the last CACHE_WORDS to 2 * CACHE_WORDS new words needed."""
+
+    def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        _LOADED[path] = (Tokenizer.from_file(path), {})
-    return _LOADED[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.now: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+
+    def _core(self, text: str) -> bytes:
+        ids = self.cores.get(text)
+        if ids is None:
+            if len(self.cores) >= CACHE_WORDS:
+                self.cores.clear()
+            tokens = self.tokenizer.model.tokenize("".join(map(_STAND_INS.__getitem__, text.encode())))
+            ids = self.cores[text] = np.array([t.id for t in tokens], "<u4").tobytes()
+        return ids
+
+    def learn(self, words: set[bytes]) -> None:
+        """Fill the cache for ``words``."""
+        if len(self.now) + len(words) > CACHE_WORDS:
+            self.before, self.now = self.now, {}
+        odd = []
+        for w in words:
+            if (ids := self.before.get(w)) is None:
+                text = w.decode("utf-8", "surrogatepass")
+                m = None if "<|" in text else _PLAIN(text)
+                if m is None:
+                    odd.append(w)
+                    continue
+                ids = b"".join(self._core(x) for x in (m[1], m[2].lower(), m[3]) if x)
+            self.now[w] = ids
+        for lo in range(0, len(odd), 4096):
+            some = odd[lo:lo + 4096]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in some], add_special_tokens=False)):
+                self.now[w] = np.array(e.ids, "<u4").tobytes()
 
 
 def encode(texts: list[str], path: str) -> Iterator[bytes]:
     """Token ids of each text as little-endian unsigned 32-bit integers, without special tokens."""
-    tokenizer, cache = _tokenizer(path)
+    if path not in _LOADED:
+        _LOADED[path] = _Words(path)
+    known = _LOADED[path]
     for text in texts:
         words = text.encode("utf-8", "surrogatepass").split()
-        new = list({w for w in words if w not in cache})
+        new = set(words).difference(known.now)
         if new:
-            if len(cache) + len(new) > CACHE_WORDS:
-                cache.clear()
-                new = list(set(words))
-            for lo in range(0, len(new), 4096):
-                some = new[lo:lo + 4096]
-                for w, e in zip(some, tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in some], add_special_tokens=False)):
-                    cache[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-        yield b"".join(map(cache.__getitem__, words))
+            before = known.now
+            known.learn(new)
+            if known.now is not before:  # a new generation: the text's other words, too
+                known.learn(set(words).difference(known.now))
+        yield b"".join(map(known.now.__getitem__, words))
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
