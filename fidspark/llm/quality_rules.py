@@ -134,32 +134,45 @@ def fit_votes(patterns: Sequence[tuple[Sequence[int], int]]) -> dict:
     return {"bad": bad, "sensitivity": sens, "specificity": spec, "odds": [{v: odds(j, v) for v in (-1, 1)} for j in range(rules)]}
 
 
+def _fit(voted: DataFrame) -> dict:
+    counts = voted.groupBy("votes").count().collect()
+    return fit_votes([(tuple(r["votes"]), r["count"]) for r in sorted(counts, key=lambda r: tuple(r["votes"]))])
+
+
+def _with_votes(df: DataFrame, text: str) -> DataFrame:
+    return with_stats(df, text).withColumn("votes", F.array(*votes().values()))
+
+
+def _verdicts(voted: DataFrame, model: dict) -> DataFrame:
+    logit = F.lit(math.log(model["bad"] / (1 - model["bad"])))
+    for j, odds in enumerate(model["odds"]):
+        v = F.col("votes")[j]
+        logit = logit + F.when(v < 0, odds[-1]).when(v > 0, odds[1]).otherwise(0.0)
+    words, repeat = F.col("stats.n_words"), F.col("stats.n_repeat_words")
+    failed = (words < 10) | (100 * repeat > 20 * words)
+    return (voted.withColumn("base_failed", failed).withColumn("posterior", 1 / (1 + F.exp(logit)))
+            .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5)))
+
+
 def judge(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` plus stats, votes, base_failed, posterior (probability of good) and kept.
+    """``df``, its text replaced by stats, votes, base_failed, posterior (probability of good) and kept.
 
     base_failed: fewer than 10 words, or over 20 % of the words in repeated
     five-word windows; such a document is not kept whatever the votes say.
     Empty and null texts fail the base test. Repeated rows get equal verdicts.
     An empty table stays empty. Other columns pass through; the added names
-    replace equal ones. The statistics are staged with the rows, so each text
-    is read once.
+    replace equal ones. Texts are read once: what they give is staged.
     """
-    names = list(votes())
-    staged = stage(with_stats(df, text).withColumn("votes", F.array(*votes().values())), "votes")
-    counts = staged.groupBy("votes").count().collect()
-    model = fit_votes([(tuple(r["votes"]), r["count"]) for r in sorted(counts, key=lambda r: tuple(r["votes"]))])
-    logit = F.lit(math.log(model["bad"] / (1 - model["bad"])))
-    for j in range(len(names) if counts else 0):
-        v = F.col("votes")[j]
-        logit = logit + F.when(v < 0, model["odds"][j][-1]).when(v > 0, model["odds"][j][1]).otherwise(0.0)
-    words, repeat = F.col("stats.n_words"), F.col("stats.n_repeat_words")
-    failed = (words < 10) | (100 * repeat > 20 * words)
-    return (staged.withColumn("base_failed", failed)
-            .withColumn("posterior", 1 / (1 + F.exp(logit)))
-            .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5)))
+    voted = stage(_with_votes(df, text).drop(text), "votes")
+    return _verdicts(voted, _fit(voted))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rejected rows; same columns."""
+    """``docs`` without the rejected rows; same columns.
+
+    The texts are read twice, to fit the rules and to apply them, so that they
+    are neither shuffled nor staged.
+    """
     packed = docs.select(F.struct("*").alias("_row"), text_of().alias("_text"))
-    return judge(packed, "_text").filter("kept").select("_row.*")
+    model = _fit(_with_votes(packed.select("_text"), "_text"))
+    return _verdicts(_with_votes(packed, "_text"), model).filter("kept").select("_row.*")

@@ -49,8 +49,8 @@ WITH p AS (
   SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages
 )
 SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes,
-       array_to_string(list_transform(range(0, 8), i -> list_transform([CAST('0x' || substr(hex, CAST(5 * i + 1 AS INT), 5) AS BIGINT)],
-         v -> {" || ".join(_B32.format(d=32**k) for k in (3, 2, 1, 0))})[1]), '') AS payload_digest,
+       array_to_string(list_transform(range(0, 8), lambda i: list_transform([CAST('0x' || substr(hex, CAST(5 * i + 1 AS INT), 5) AS BIGINT)],
+         lambda v: {" || ".join(_B32.format(d=32**k) for k in (3, 2, 1, 0))})[1]), '') AS payload_digest,
        CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
 FROM p
@@ -71,8 +71,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    judged = quality_rules.judge(docs.select("doc_id", F.col("text").alias("_text")), "_text").drop("_text")
+    judged = quality_rules.judge(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return judged.select("doc_id", *(f"stats.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
                          "base_failed", "kept", "posterior")
 
