@@ -1,8 +1,8 @@
 """Scalar column expressions shared by the operators.
 
-Draws and splits use a *portable* integer hash instead of ``rand()``: the same
-arithmetic runs in Spark and in any SQL engine, does not depend on how the
-data is partitioned, and is stable when a lost task is recomputed.
+Draws and splits use a *portable* keyed hash (md5 of key and seed) instead of
+``rand()``: it gives the same in Spark and in any SQL engine, does not depend on
+how the data is partitioned, and is stable when a lost task is recomputed.
 """
 
 from __future__ import annotations
@@ -10,24 +10,32 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values of the portable hash (a multiplicative hash modulo a prime).
-HASH_PRIME = 1000003
-HASH_MULT = 2654435761
+#: Digits of the digest that a draw uses, and the number of values they have.
+HASH_DIGITS = 10
+HASH_RANGE = 16**HASH_DIGITS
 
 
 def portable_hash_sql(key: str, seed: int = 0) -> str:
-    """SQL text of the hash; reducing the key first keeps the product in int64."""
-    return f"((({key}) % {HASH_PRIME}) * {HASH_MULT} + {int(seed)}) % {HASH_PRIME}"
+    """SQL text of the hash: leading hex digits of md5(key:seed), read in a way that any engine can."""
+    digest = f"md5(concat({key}, ':{int(seed)}'))"
+    return "(" + " + ".join(f"CAST(instr('123456789abcdef', substr({digest}, {i + 1}, 1)) AS BIGINT) * {16 ** (HASH_DIGITS - 1 - i)}"
+                            for i in range(HASH_DIGITS)) + ")"
+
+
+def hash_uniform_sql(key: str, seed: int = 0) -> str:
+    return f"({portable_hash_sql(key, seed)} / {HASH_RANGE}e0)"
 
 
 def portable_hash(key: Column | str, seed: int = 0) -> Column:
+    """A whole number below HASH_RANGE; different seeds give independent draws."""
     k = F.col(key) if isinstance(key, str) else key
-    return ((k.cast("long") % HASH_PRIME) * F.lit(HASH_MULT) + F.lit(int(seed))) % HASH_PRIME
+    digest = F.md5(F.concat(k.cast("long").cast("string"), F.lit(f":{int(seed)}")))
+    return F.conv(F.substring(digest, 1, HASH_DIGITS), 16, 10).cast("long")
 
 
 def hash_uniform(key: Column | str, seed: int = 0) -> Column:
     """Deterministic value in [0, 1) from a row key and a seed."""
-    return portable_hash(key, seed) / F.lit(float(HASH_PRIME))
+    return portable_hash(key, seed) / F.lit(float(HASH_RANGE))
 
 
 def safe_div(num: Column, den: Column) -> Column:

@@ -1,59 +1,68 @@
 """Correlations and associations.
 
-Pairwise Pearson sums use one aggregate for all pairs while the pair count is
-modest; wider tables go through ``pyspark.ml.stat.Correlation`` on a vector
-column (a d x d Gram matrix, tree-aggregated) instead of thousands of SQL
-expressions.  Spearman ranks are exact averaged ranks from the CDF core, so a
+Pairwise Pearson sums are matrix products over Arrow batches (n, x, y, xx, yy, xy
+of all pairs, each over its complete rows), one path for every width.  Spearman ranks are exact averaged ranks from the CDF core, so a
 hot value never lands in one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from typing import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fidspark.operators import cdf
 
-WIDE_PAIRS = 1200  # above this many pairs use the ML Gram-matrix path
-
-
 def _pairs(cols: Sequence[str]) -> list[tuple[str, str]]:
     return list(combinations(list(cols), 2))
 
 
 def pairwise_corr(df: DataFrame, cols: Sequence[str], group: str | None = None) -> DataFrame:
-    """Long (group?, feature_a, feature_b, corr) over the upper triangle (Pearson)."""
-    pairs = _pairs(cols)
-    if len(pairs) <= WIDE_PAIRS:
-        g = [group] if group else []
-        agg = df.groupBy(*g).agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"_c{i}")
-                                   for i, (a, b) in enumerate(pairs)])
-        stack = F.explode(F.array(*[
-            F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"_c{i}").alias("corr"))
-            for i, (a, b) in enumerate(pairs)]))
-        return agg.select(*g, stack.alias("_p")).select(*g, "_p.*")
-    return _ml_corr(df, cols, group)
-
-
-def _ml_corr(df: DataFrame, cols: Sequence[str], group: str | None) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-
-    spark = df.sparkSession
-    groups = [None] if group is None else [r[0] for r in df.select(group).distinct().collect()]  # few groups
-    rows = []
-    for gv in groups:
-        part = df if gv is None else df.where(F.col(group) == gv)
-        vec = VectorAssembler(inputCols=list(cols), outputCol="_v", handleInvalid="skip").transform(part)
-        m = Correlation.corr(vec, "_v", "pearson").head()[0].toArray()  # d x d, small
-        for i, j in combinations(range(len(cols)), 2):
-            v = float(m[i, j])
-            rows.append(((gv,) if group else ()) + (cols[i], cols[j], None if v != v else v))
-    schema = (f"{group} string, " if group else "") + "feature_a string, feature_b string, corr double"
-    return spark.createDataFrame(rows, schema)
+    """Long (group?, feature_a, feature_b, corr) over the upper triangle (Pearson).
+
+    Each pair uses the rows where both values are present, at any width: a task
+    sums n, x, y, xx, yy and xy of all pairs as matrix products over its Arrow
+    batches and returns one row per pair, which a group-by adds up. Values are
+    centred on the column means first, for accuracy. Null without two
+    different values on both sides.
+    """
+    d, g = len(cols), [group] if group else []
+    pairs = np.triu_indices(d, 1)
+    base = df.select(*(F.col(c).cast("string").alias("g") for c in g), *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)))
+    means = base.agg(*(F.avg(f"x{i}") for i in range(d))).first()
+    centre = np.array([m if m is not None and np.isfinite(m) else 0.0 for m in means])
+    names = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+
+    def sums(x: np.ndarray, there: np.ndarray) -> np.ndarray:
+        sx, sq = x.T @ there, (x * x).T @ there
+        return np.stack([(there.T @ there)[pairs], sx[pairs], sx.T[pairs], sq[pairs], sq.T[pairs], (x.T @ x)[pairs]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+        for batch in batches:
+            columns = [batch.column(f"x{i}") for i in range(d)]
+            there = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in columns]).astype(float)
+            x = np.where(there > 0, np.column_stack([c.to_numpy(zero_copy_only=False) for c in columns]) - centre, 0.0)
+            keys = np.array(batch.column("g").to_pylist(), dtype=object) if group else np.full(batch.num_rows, None)
+            for k in set(keys):
+                own = keys == k
+                total[k] = total.get(k, 0) + sums(x[own], there[own])
+        for k, t in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(pairs[0]), pa.string()), pa.array(pairs[0].astype(np.int32)), pa.array(pairs[1].astype(np.int32)),
+                                              *(pa.array(v) for v in t)], names=["g", "i", "j", *names])
+
+    parts = base.mapInArrow(run, "g string, i int, j int, " + ", ".join(f"{c} double" for c in names))
+    s = parts.groupBy("g", "i", "j").agg(*(F.sum(c).alias(c) for c in names))
+    vx, vy = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n"), F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
+    spread = (vx > 1e-13 * F.col("sxx")) & (vy > 1e-13 * F.col("syy"))
+    corr = F.when((F.col("n") > 1) & spread, (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / F.sqrt(vx * vy))
+    name = F.array(*(F.lit(c) for c in cols))
+    return s.select(*(F.col("g").alias(c) for c in g), F.get(name, F.col("i")).alias("feature_a"), F.get(name, F.col("j")).alias("feature_b"), corr.alias("corr"))
 
 
 def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
@@ -121,16 +130,16 @@ def associations(df: DataFrame, num: Sequence[str], cat: Sequence[str]) -> DataF
 def _correlation_ratio(df: DataFrame, num: Sequence[str], cat: Sequence[str]) -> DataFrame:
     d = df.select(*[F.col(c).cast("double").alias(c) for c in num], *[F.col(c).cast("string").alias(c) for c in cat])
     tot = d.agg(*[F.avg(c).alias(f"m_{c}") for c in num], *[F.var_pop(c).alias(f"v_{c}") for c in num],
-                F.count(F.lit(1)).alias("_n"))
+                *[F.count(c).alias(f"n_{c}") for c in num])
     long = d.unpivot(list(num), list(cat), "cat_feature", "cat_value")
     grp = long.groupBy("cat_feature", "cat_value").agg(
-        F.count(F.lit(1)).alias("n_g"), *[F.avg(c).alias(f"g_{c}") for c in num])
+        *[F.count(c).alias(f"k_{c}") for c in num], *[F.avg(c).alias(f"g_{c}") for c in num])
     # tot is one row: attach it through a constant equi-join key
     g = grp.withColumn("_k", F.lit(1)).join(F.broadcast(tot.withColumn("_k", F.lit(1))), "_k")
     rows = []
     for c in num:
-        between = F.sum(F.col("n_g") * F.pow(F.col(f"g_{c}") - F.col(f"m_{c}"), 2))
-        total = F.first(F.col(f"v_{c}")) * F.first(F.col("_n"))
+        between = F.sum(F.col(f"k_{c}") * F.pow(F.col(f"g_{c}") - F.col(f"m_{c}"), 2))
+        total = F.first(F.col(f"v_{c}")) * F.first(F.col(f"n_{c}"))
         eta = F.when(between == 0, F.lit(0.0)).otherwise(F.sqrt(F.try_divide(between, total)))
         rows.append(g.groupBy("cat_feature").agg(eta.alias("assoc")).select(
             F.col("cat_feature").alias("feature_a"), F.lit(c).alias("feature_b"), "assoc"))

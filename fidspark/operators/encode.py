@@ -210,15 +210,17 @@ def categorical_nulls(df: DataFrame, cols: Sequence[str], train: DataFrame | Non
 def leave_one_out(df: DataFrame, col: str, y: str, sigma: float = 0.0, key: str | None = None,
                   seed: int = 0) -> DataFrame:
     """(sum(y) - y) / (n - 1) per category (global mean when n == 1), times (1 + N(0, sigma)) noise."""
-    w = Window.partitionBy(col)  # one partition per category; categories are bounded by cardinality
-    s, n = F.sum(y).over(w), F.count(F.lit(1)).over(w)
-    mean = F.avg(y).over(Window.partitionBy())
-    loo = F.when(n > 1, (s - F.col(y)) / (n - 1)).otherwise(mean)
+    # sums per category and overall are aggregates that join back, so no category's rows meet in one task
+    groups = df.groupBy(F.col(col).alias("_c")).agg(F.sum(y).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    overall = df.agg(F.avg(y).alias("_m")).withColumn("_k", F.lit(1))
+    groups = groups.withColumn("_k", F.lit(1)).join(overall, "_k").drop("_k")
+    df = df.join(groups, F.col(col).eqNullSafe(F.col("_c")))
+    loo = F.when(F.col("_n") > 1, (F.col("_s") - F.col(y)) / (F.col("_n") - 1)).otherwise(F.col("_m"))
     if sigma and key:
         u1, u2 = hash_uniform(key, seed), hash_uniform(key, seed + 1)
         z = F.sqrt(-2 * F.log(F.greatest(u1, F.lit(1e-12)))) * F.cos(2 * np.pi * u2)
         loo = loo * (1 + sigma * z)
-    return df.withColumn(f"{col}_loo", loo)
+    return df.withColumn(f"{col}_loo", loo).drop("_c", "_s", "_n", "_m")
 
 
 def ordinal_ratio(df: DataFrame, cols: Sequence[str], dictionary: DataFrame, inverse: bool = False) -> DataFrame:

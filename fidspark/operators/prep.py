@@ -28,7 +28,7 @@ def label_last(df: DataFrame, label: str) -> DataFrame:
 def align(r: DataFrame, s: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Synthetic takes the real names by position; error on arity mismatch."""
     if len(r.columns) != len(s.columns):
-        raise ValueError(f"Column mismatch: real has {len(r.columns)} columns, synthetic has {len(s.columns)} columns.")
+        raise ValueError(f"cannot align {len(s.columns)} columns with {len(r.columns)}")
     return r, s.toDF(*r.columns)
 
 
@@ -39,11 +39,11 @@ def resolve_label(df: DataFrame, label: str | int | None = None) -> str:
         return cols[-1]
     if isinstance(label, int):
         return cols[label]
-    want = label.strip().casefold()
-    for c in cols:
-        if c.strip().casefold() == want:
-            return c
-    raise ValueError(f"Class column '{label}' was not found. Available columns: {cols}")
+    by_name = {c.strip().casefold(): c for c in reversed(cols)}
+    found = by_name.get(label.strip().casefold())
+    if found is None:
+        raise ValueError(f"no label column {label!r}")
+    return found
 
 
 def split_label(df: DataFrame, label: str | int | None = None) -> tuple[DataFrame, DataFrame]:

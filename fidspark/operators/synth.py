@@ -28,7 +28,9 @@ def condition_probabilities(df: DataFrame, cats: Sequence[str], log: bool = True
     w = Window.partitionBy("feature")  # one partition per column over its categories
     t = cnt.select(cidx.alias("column_idx"), "feature", "value", (wgt / F.sum(wgt).over(w)).alias("prob"))
     wc = Window.partitionBy("feature").orderBy(F.col("value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    return t.select("*", (F.sum("prob").over(wc) - F.col("prob")).alias("cum_lo"), F.sum("prob").over(wc).alias("cum_hi"))
+    return t.select("*", (F.sum("prob").over(wc) - F.col("prob")).alias("cum_lo"), F.when(
+        F.lead("prob").over(Window.partitionBy("feature").orderBy(F.col("value").asc_nulls_first())).isNull(), F.lit(1.0)).otherwise(
+        F.sum("prob").over(wc)).alias("cum_hi"))  # the last bound is 1, not a sum of rounded shares
 
 
 def sample_conditions(draws: DataFrame, key: str, probs: DataFrame, n_cols: int, seed: int = 0) -> DataFrame:

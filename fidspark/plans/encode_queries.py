@@ -61,7 +61,7 @@ def q_log_encode(spark, d):
     return enc.withColumn("l_discount_back", F.exp(F.col("l_discount")) - shift)
 
 
-TRAIN_PART = f"({H('p_partkey', 3)} / 1000003.0 < 0.05)"
+TRAIN_PART = f"({H('p_partkey', 3)} / 1099511627776e0 < 0.05)"
 
 
 @register("ordinal_encode", f"""WITH tr AS (SELECT * FROM part WHERE {TRAIN_PART}),
@@ -143,7 +143,7 @@ def q_round(spark, d):
 
 
 @register("dequantize_roundtrip", f"""SELECT l_orderkey, l_linenumber,
-  CAST(floor(CAST(l_linenumber AS DOUBLE) + {H('l_orderkey', 0)} / 1000003.0 * 1.0) AS BIGINT) AS l_linenumber_back
+  CAST(floor(CAST(l_linenumber AS DOUBLE) + {H('l_orderkey', 0)} / 1099511627776e0 * 1.0) AS BIGINT) AS l_linenumber_back
   FROM lineitem""", ops=("E13",))
 def q_dequant(spark, d):
     li = fx.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_linenumber").alias("x"))

@@ -81,7 +81,7 @@ def q_cap_rows(spark, d):
     return prep.cap_rows(fx.table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), 1000, "o_orderkey", 42)
 
 
-@register("sample_pct", f"SELECT o_orderkey, o_totalprice FROM orders WHERE {H('o_orderkey', 7)} / 1000003.0 < 0.15",
+@register("sample_pct", f"SELECT o_orderkey, o_totalprice FROM orders WHERE {H('o_orderkey', 7)} / 1099511627776e0 < 0.15",
           ["o_totalprice"], ops=("P11",))
 def q_sample_pct(spark, d):
     return prep.sample_pct(fx.table(spark, d, "orders").select("o_orderkey", "o_totalprice"), 15, "o_orderkey", 7)
@@ -241,8 +241,8 @@ def q_stack(spark, d):
 
 # ----------------------------------------------------------------- splits
 
-@register("random_split", f"""SELECT o_orderkey, CASE WHEN {H('o_orderkey', 1234)} / 1000003.0 < 0.6 THEN 'train'
-  WHEN {H('o_orderkey', 1234)} / 1000003.0 < 0.8 THEN 'test' ELSE 'val' END AS split FROM orders""", ops=("X1", "X4"))
+@register("random_split", f"""SELECT o_orderkey, CASE WHEN {H('o_orderkey', 1234)} / 1099511627776e0 < 0.6 THEN 'train'
+  WHEN {H('o_orderkey', 1234)} / 1099511627776e0 < 0.8 THEN 'test' ELSE 'val' END AS split FROM orders""", ops=("X1", "X4"))
 def q_random_split(spark, d):
     return prep.random_split(fx.table(spark, d, "orders").select("o_orderkey"), [0.6, 0.2, 0.2], "o_orderkey", 1234)
 
@@ -262,7 +262,7 @@ def q_strat_fold(spark, d):
     return prep.stratified_fold(o, "o_orderstatus", 5, "o_orderkey", 42)
 
 
-@register("covering_split_check", f"""WITH s AS (SELECT p_brand, p_type, CASE WHEN {H('p_partkey', 1234)} / 1000003.0 < 0.01
+@register("covering_split_check", f"""WITH s AS (SELECT p_brand, p_type, CASE WHEN {H('p_partkey', 1234)} / 1099511627776e0 < 0.01
   THEN 'train' ELSE 'test' END AS split FROM part),
   l AS (SELECT split, 'p_brand' AS feature, CAST(p_brand AS VARCHAR) AS value FROM s UNION ALL
         SELECT split, 'p_type', CAST(p_type AS VARCHAR) FROM s)

@@ -12,9 +12,9 @@ from fidspark.plans.catalog import register
 from fidspark.plans.sqltext import long_sql
 from fidspark.plans.stats_queries import FEAT, NUM, imputed_sql, ks_sql, wd_sql
 
-A_NUM = ["l_quantity", "l_extendedprice", "l_discount"]
+A_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 A_CAT = ["l_returnflag", "l_linestatus"]
-T_NUM = ["l_quantity", "l_discount"]
+T_NUM = ["l_quantity", "l_discount", "l_tax"]
 T_CAT = ["l_returnflag"]
 
 
@@ -68,8 +68,8 @@ def assoc_side_sql(view: str) -> str:
         for x in A_NUM:
             parts.append(f"""SELECT g.side, '{c}' AS feature_a, '{x}' AS feature_b,
   CASE WHEN sum(n_g * pow(g_x - m_x, 2)) = 0 THEN 0.0 ELSE sqrt(sum(n_g * pow(g_x - m_x, 2)) / any_value(v_x * n)) END AS assoc
-FROM (SELECT side, CAST({c} AS VARCHAR) AS cv, count(*) AS n_g, avg({x}) AS g_x FROM {view} GROUP BY side, cv) g
-JOIN (SELECT side, avg({x}) AS m_x, var_pop({x}) AS v_x, count(*) AS n FROM {view} GROUP BY side) t ON g.side = t.side
+FROM (SELECT side, CAST({c} AS VARCHAR) AS cv, count({x}) AS n_g, avg({x}) AS g_x FROM {view} GROUP BY side, cv) g
+JOIN (SELECT side, avg({x}) AS m_x, var_pop({x}) AS v_x, count({x}) AS n FROM {view} GROUP BY side) t ON g.side = t.side
 GROUP BY g.side""")
     for a, b in combinations(A_CAT, 2):
         parts.append(f"""SELECT side, '{a}' AS feature_a, '{b}' AS feature_b,

@@ -31,8 +31,8 @@ def q_cond_probs(spark, d):
 
 
 COND_SQL = f"""WITH p AS ({prob_sql()}),
-d AS (SELECT p_partkey, CAST(floor({H('p_partkey', 0)} / 1000003.0 * 2) AS INTEGER) AS column_idx,
-             {H('p_partkey', 1)} / 1000003.0 AS u FROM part),
+d AS (SELECT p_partkey, CAST(floor({H('p_partkey', 0)} / 1099511627776e0 * 2) AS INTEGER) AS column_idx,
+             {H('p_partkey', 1)} / 1099511627776e0 AS u FROM part),
 c AS (SELECT d.p_partkey, p.column_idx, p.feature, p.value FROM d JOIN p ON d.column_idx = p.column_idx
       AND d.u >= p.cum_lo AND d.u < p.cum_hi)
 """
@@ -56,7 +56,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY feature, value ORDER BY rk) AS
 SELECT c.p_partkey, c.feature, c.value, rk.rk AS real_key FROM c JOIN (SELECT DISTINCT feature, value, n_cv FROM rk) s
   ON c.feature = s.feature AND c.value = s.value
   JOIN rk ON rk.feature = c.feature AND rk.value = c.value
-  AND rk.rn = CAST(floor({H('c.p_partkey', 2)} / 1000003.0 * s.n_cv) + 1 AS INTEGER)""", ops=("X6",))
+  AND rk.rn = CAST(floor({H('c.p_partkey', 2)} / 1099511627776e0 * s.n_cv) + 1 AS INTEGER)""", ops=("X6",))
 def q_sample_matching(spark, d):
     cond = _conditions(spark, d).select("p_partkey", "feature", "value")
     real = fx.table(spark, d, "part").select(F.col("p_partkey").alias("real_key"), *PCATS)
@@ -79,7 +79,7 @@ def q_smote(spark, d):
     return synth.smote(p, "p_partkey", "p_type", ["p_size", "p_retailprice"], k=5, seed=0)
 
 
-TRAIN_EV = f"{H('event_id', 5)} / 1000003.0 < 0.8"
+TRAIN_EV = f"{H('event_id', 5)} / 1099511627776e0 < 0.8"
 
 
 @register("impute_baseline_num", f"""SELECT event_id, 0 AS trial, (SELECT avg(value) FROM events WHERE {TRAIN_EV}) AS value
@@ -96,7 +96,7 @@ def q_impute_num(spark, d):
     WINDOW w AS (ORDER BY value NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 t AS (SELECT event_id, unnest(range(0, 3)) AS trial FROM events WHERE NOT ({TRAIN_EV}))
 SELECT event_id, CAST(trial AS INTEGER) AS trial, p.value AS event_type FROM t JOIN p
-  ON {H('event_id * 3 + trial', 0)} / 1000003.0 >= cum_lo AND {H('event_id * 3 + trial', 0)} / 1000003.0 < cum_hi""",
+  ON {H('event_id * 3 + trial', 0)} / 1099511627776e0 >= cum_lo AND {H('event_id * 3 + trial', 0)} / 1099511627776e0 < cum_hi""",
           ops=("I1", "X7"))
 def q_impute_cat(spark, d):
     ev = fx.table(spark, d, "events")

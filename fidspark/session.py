@@ -1,15 +1,11 @@
 """Session helpers.
 
 The library never creates a cluster session on its own; ``get_spark`` is for
-tests, the bench and the smoke entry point.  ``checkpoint_dir`` honours the
-cluster's ``spark.checkpoint.dir`` and only sets one when it is missing.
+tests, the bench and the smoke entry point.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -32,21 +28,9 @@ def get_spark(cpus: str | int = "*", app: str = "fidspark") -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder; set a scratch one only if none is configured."""
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="fidspark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
 def default_buckets(spark: SparkSession) -> int:
     """Number of value buckets for prefix sums: one per shuffle partition."""
     try:

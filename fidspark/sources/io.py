@@ -87,11 +87,11 @@ def read_table(spark: SparkSession, path: str, header: bool | None = None, names
         parts = F.split(val, pattern)
         width = len(fields)
         hdr = [f.strip() for f in fields]
-        cols = [F.when(F.trim(parts[i]) == null_value, None).otherwise(F.trim(parts[i])).alias(
+        cols = [F.when(F.trim(F.get(parts, F.lit(i))) == null_value, None).otherwise(F.trim(F.get(parts, F.lit(i)))).alias(
             hdr[i] if header else f"_c{i}") for i in range(width)]
         df = txt.select(*cols)
         if header:
-            df = df.where(F.trim(F.col(f"`{hdr[0]}`")) != hdr[0])
+            df = df.where(~F.trim(F.col(f"`{hdr[0]}`")).eqNullSafe(F.lit(hdr[0])))
     if names:
         cols = list(names) if len(names) == len(df.columns) else [f"feature_{i}" for i in range(len(df.columns))]
         df = df.toDF(*cols)
