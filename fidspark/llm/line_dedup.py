@@ -14,23 +14,31 @@ leaves that recur, after equal ones have fallen together.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fidspark.llm.common import stage, text_of, words_of
+from fidspark.llm.common import let, stage, text_of, words_of
 
 DEPTH, LEAST_DOCS, LEAST_WORDS, FIXED = 3, 3, 5, 0.6
 FIELD = "<*>"
 _MASK = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
-def _parsed(docs: DataFrame, depth: int, least_words: int) -> DataFrame:
-    """(_rid, n, doc_key, leaf, line_key, words) of each line with enough words."""
+def _parsed(docs: DataFrame, depth: int, least_words: int, with_words: bool = False) -> DataFrame:
+    """(_rid, n, doc_key, leaf, line_key[, words]) of each line with enough words.
+
+    A line's words are taken apart once, within the array of lines: as columns
+    the filter on their number would do it a second time.
+    """
+    def parse(line: Column, n: Column) -> Column:
+        masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, _MASK, FIELD)).otherwise(line)
+        return let(words_of(masked), lambda w: F.when(F.size(w) >= least_words, F.struct(
+            n.alias("n"), F.xxhash64(F.size(w), F.slice(w, 1, depth)).alias("leaf"), F.xxhash64(w).alias("line_key"), *([w.alias("words")] * with_words))))
+
     # numbered before the lines are taken apart: a generator in the same select would come first
     rows = docs.select(F.monotonically_increasing_id().alias("_rid"), text_of().alias("_t")).withColumn("doc_key", F.xxhash64("_t"))
-    lines = rows.select("_rid", "doc_key", F.posexplode(F.split("_t", "\n")).alias("n", "line"))
-    masked = lines.withColumn("words", words_of(F.regexp_replace("line", _MASK, FIELD))).filter(F.size("words") >= least_words)
-    return masked.select("_rid", "n", "doc_key", F.xxhash64(F.size("words"), F.slice("words", 1, depth)).alias("leaf"), F.xxhash64("words").alias("line_key"), "words")
+    lines = rows.select("_rid", "doc_key", F.explode(F.transform(F.split("_t", "\n"), parse)).alias("line"))
+    return lines.filter("line is not null").select("_rid", "doc_key", "line.*")
 
 
 def _recurring(df: DataFrame, key: str, least_docs: int) -> DataFrame:
@@ -40,11 +48,11 @@ def _recurring(df: DataFrame, key: str, least_docs: int) -> DataFrame:
 
 def line_templates(docs: DataFrame, depth: int = DEPTH, least_docs: int = LEAST_DOCS, least_words: int = LEAST_WORDS, fixed: float = FIXED) -> DataFrame:
     """(_rid, n, template, n_docs): the lines to drop, with their recurring template."""
-    heads = stage(_parsed(docs, depth, least_words).drop("words"), "lines")
+    heads = stage(_parsed(docs, depth, least_words), "lines")
     leaves = stage(_recurring(heads, "leaf", least_docs).select("leaf"), "leaves")
     there = stage(heads.join(leaves, "leaf", "left_semi"), "candidates")
     weights = there.select("leaf", "line_key", "doc_key").distinct().groupBy("leaf", "line_key").agg(F.count("*").alias("weight"))
-    texts = (_parsed(docs, depth, least_words).join(leaves, "leaf", "left_semi").groupBy("leaf", "line_key").agg(F.min("words").alias("words"))
+    texts = (_parsed(docs, depth, least_words, with_words=True).select("leaf", "line_key", "words").join(leaves, "leaf", "left_semi").groupBy("leaf", "line_key").agg(F.min("words").alias("words"))
              .join(weights, ["leaf", "line_key"]))
     tokens = stage(texts.select("leaf", "line_key", "weight", F.posexplode("words").alias("i", "word")), "tokens")
     shared = tokens.groupBy("leaf", "i", "word").agg(F.sum("weight").alias("w")).filter(F.col("w") >= least_docs).select("leaf", "i", "word", F.lit(True).alias("kept"))
@@ -56,6 +64,7 @@ def line_templates(docs: DataFrame, depth: int = DEPTH, least_docs: int = LEAST_
     general = stage(general, "templates")
     lines = there.join(general.select("leaf", "line_key", "key"), ["leaf", "line_key"])
     often = _recurring(lines, "key", least_docs)
+    often = stage(often, "recurring")
     named = often.join(general.groupBy("key").agg(F.min("template").alias("template")), "key")
     return lines.select("_rid", "n", "key").join(named, "key").select("_rid", "n", "template", "n_docs")
 
