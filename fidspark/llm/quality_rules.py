@@ -73,7 +73,9 @@ def with_stats(df: DataFrame, text: str = "text") -> DataFrame:
         chars(r"!+").alias("n_bangs"),
         F.size(F.filter("_l", lambda x: x.rlike(r"[.!?:;)\"'…»”][\x20\x09-\x0D]*$"))).cast("long").alias("n_closed_lines"),
     )
-    return d.withColumn("stats", stats).drop("_t", "_w", "_l")
+    # a generator, so that no later filter or column draws these expressions in again, once for each use
+    kept = [c for c in d.columns if c not in ("_t", "_w", "_l", "stats")]
+    return d.select(*kept, F.explode(F.array(stats)).alias("stats"))
 
 
 def votes(stats: str = "stats") -> dict[str, Column]:
