@@ -1,33 +1,36 @@
 """Nearest-neighbour core (J3, J5, T3, F2) and the privacy metrics built on it.
 
-Exact k-NN without a cross join and without materialising pairs:
+Exact k-NN as a block join; no row passes through the driver:
 
-* the *base* side is shipped to executors as numpy arrays, but only after
-  its size (rows x bytes per row) is checked against ``max_base_bytes``;
-* the *query* side streams through ``mapInPandas`` (Arrow batches); each task
-  computes distances block by block with memory bounded by ``block_cells``
-  and emits only its top-k per query row;
-* a base larger than the bound is split by key hash into chunks that each
-  fit; every chunk runs the same kernel and ``groupBy(query)`` merges the
-  per-chunk top-k lists (k x chunks rows per query, bounded).
+* both sides are dealt to blocks of at most ``block_bytes`` by a hash of
+  their keys, each query row goes to every base block and each base row to
+  every query block, and ``cogroup`` brings each pair of blocks into one task;
+* a task sees two blocks of bounded size, computes distances in slices of at
+  most ``SLICE_CELLS`` and emits only its top-k per query row;
+* a window over k x (base blocks) rows per query row merges the lists.
 
 Work is O(|query| x |base|) as exact nearest neighbours require; memory is
 bounded everywhere.  Ball counts for precision/recall (A31) use the same
-kernel with a per-base-row radius.
+kernel with a per-base-row radius.  Keys must be distinct within a side.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from typing import Iterator, Sequence
+from typing import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_BASE_BYTES = 256 << 20
-BLOCK_CELLS = 4_000_000  # query rows x base rows x dims per numpy block
+from fidspark.operators import cdf
+from fidspark.session import default_buckets
+
+BLOCK_BYTES = 32 << 20
+MIN_QUERY_ROWS = 256  # query rows of a block, at least, where blocks are cut finer to use all cores
+SLICE_CELLS = 1_000_000  # query rows x base rows of one numpy slice
+NO_VALUE = np.finfo(np.float64).max  # distance of a pair with a null coordinate: after all others
 
 
 @dataclass
@@ -51,7 +54,7 @@ def zscore_stats(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, f
     return {c: (row[f"m_{c}"] or 0.0, (row[f"s_{c}"] or 0.0) or 1.0) for c in cols}
 
 
-def _project(df: DataFrame, key: str, space: Space, zs: dict | None, cat_codes: dict | None) -> DataFrame:
+def _project(df: DataFrame, key: str, space: Space, zs: dict | None) -> DataFrame:
     cols = [F.col(key).cast("long").alias("_key")]
     for c in space.num:
         x = F.col(c).cast("double")
@@ -66,129 +69,119 @@ def _project(df: DataFrame, key: str, space: Space, zs: dict | None, cat_codes:
     return df.select(*cols)
 
 
-def _to_arrays(pdf: pd.DataFrame, space: Space, codes: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    keys = pdf["_key"].to_numpy(dtype=np.int64)
-    xn = pdf[[f"_n_{c}" for c in space.num]].to_numpy(dtype=np.float64) if space.num else np.zeros((len(pdf), 0))
-    if space.cat:
-        xc = np.stack([pdf[f"_c_{c}"].map(codes[c]).fillna(-1).to_numpy(dtype=np.int64) for c in space.cat], axis=1)
-    else:
-        xc = np.zeros((len(pdf), 0), dtype=np.int64)
-    return keys, xn, xc
+def _mask_unknown(rows: DataFrame, space: Space, known: DataFrame) -> DataFrame:
+    """Categories that ``known`` does not hold become null; the planner chooses how to join the distinct values."""
+    for c in space.cat:
+        values = known.select(F.col(c).cast("string").alias("_v")).where("_v IS NOT NULL").distinct()
+        rows = rows.join(values, F.col(f"_c_{c}") == F.col("_v"), "left").withColumn(f"_c_{c}", F.col("_v")).drop("_v")
+    return rows
 
 
-def _distances(qn, qc, bn, bc, metric: str) -> np.ndarray:
-    if metric == "euclidean":
-        diff = qn[:, None, :] - bn[None, :, :]
-        d = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff)) if qn.shape[1] else np.zeros((len(qn), len(bn)))
-    else:
-        d = np.abs(qn[:, None, :] - bn[None, :, :]).sum(axis=2) if qn.shape[1] else np.zeros((len(qn), len(bn)))
-    if qc.shape[1]:
-        a, b = qc[:, None, :], bc[None, :, :]
-        differ = a != b
-        unknown = (a < 0) | (b < 0)
-        d = d + np.where(differ, np.where(unknown, 1.0, 2.0), 0.0).sum(axis=2)
-    return d
-
-
-def _knn_kernel(base_bc, space: Space, k: int, exclude_self: bool, mode: str, codes: dict):
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bkeys, bn, bc, brad = base_bc.value
-        nb = len(bkeys)
-        dims = max(1, bn.shape[1] + bc.shape[1])
-        for pdf in it:
-            if pdf.empty:
-                continue
-            qkeys, qn, qc = _to_arrays(pdf, space, codes)
-            step = max(1, BLOCK_CELLS // max(1, nb * dims))
-            outs = []
-            for s in range(0, len(qkeys), step):
-                e = min(len(qkeys), s + step)
-                d = _distances(qn[s:e], qc[s:e], bn, bc, space.metric)
-                if exclude_self:
-                    d = np.where(qkeys[s:e, None] == bkeys[None, :], np.inf, d)
-                if mode == "ball":
-                    inside = d < brad[None, :]
-                    outs.append(pd.DataFrame({"q_key": qkeys[s:e], "rank": np.zeros(e - s, dtype=np.int32),
-                                              "dist": inside.sum(axis=1).astype(np.float64),
-                                              "b_key": np.full(e - s, -1, dtype=np.int64)}))
-                    continue
-                kk = min(k, nb)
-                if kk == 0:
-                    continue
-                idx = np.argpartition(d, kk - 1, axis=1)[:, :kk] if kk < nb else np.tile(np.arange(nb), (e - s, 1))
-                dd = np.take_along_axis(d, idx, axis=1)
-                order = np.lexsort((bkeys[idx], dd), axis=1)
-                idx = np.take_along_axis(idx, order, axis=1)
-                dd = np.take_along_axis(dd, order, axis=1)
-                outs.append(pd.DataFrame({
-                    "q_key": np.repeat(qkeys[s:e], kk),
-                    "rank": np.tile(np.arange(1, kk + 1, dtype=np.int32), e - s),
-                    "dist": dd.ravel(),
-                    "b_key": bkeys[idx].ravel(),
-                }))
-            if outs:
-                yield pd.concat(outs, ignore_index=True)
+def _numbers(pdf: pd.DataFrame, space: Space) -> np.ndarray:
+    return np.stack([pdf[f"_n_{c}"].to_numpy(dtype=np.float64) for c in space.num], axis=1) if space.num else np.zeros((len(pdf), 0))
 
-    return run
+
+def _categories(q: pd.DataFrame, b: pd.DataFrame, space: Space) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per category column the codes of both blocks (null: -1), numbered over the two blocks."""
+    out = []
+    for c in space.cat:
+        codes, _ = pd.factorize(pd.concat([q[f"_c_{c}"], b[f"_c_{c}"]], ignore_index=True))
+        out.append((codes[:len(q)], codes[len(q):]))
+    return out
+
+
+def _distances(qn: np.ndarray, bn: np.ndarray, cats: list, metric: str) -> np.ndarray:
+    d = np.zeros((len(qn), len(bn)))
+    for j in range(qn.shape[1]):
+        diff = qn[:, j, None] - bn[None, :, j]
+        d += diff * diff if metric == "euclidean" else np.abs(diff)
+    if metric == "euclidean":
+        np.sqrt(d, out=d)
+    for qc, bc in cats:
+        a, b = qc[:, None], bc[None, :]
+        d += np.where(a != b, np.where((a < 0) | (b < 0), 1.0, 2.0), 0.0)
+    return np.where(np.isnan(d), NO_VALUE, d)
 
 
 KNN_SCHEMA = "q_key long, rank int, dist double, b_key long"
 
 
-def _codes(base: DataFrame, query: DataFrame, space: Space, extra: DataFrame | None) -> dict:
-    """Category dictionaries (sorted) from the base side (plus ``extra``); small per column."""
-    out = {}
-    for c in space.cat:
-        src = base.select(F.col(c).cast("string").alias("v"))
-        if extra is not None:
-            src = src.unionByName(extra.select(F.col(c).cast("string").alias("v")))
-        vals = sorted(r[0] for r in src.where("v IS NOT NULL").distinct().collect())  # category list
-        out[c] = {v: i for i, v in enumerate(vals)}
-    return out
+def _block_kernel(space: Space, k: int, exclude_self: bool, mode: str):
+    """One pair of blocks: the k nearest base rows per query row, ties by key, or the number of balls it lies in."""
+    def run(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        parts = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0)], [np.zeros(0, np.int64)]
+        if len(q) and (len(b) or mode == "ball"):
+            b = b.sort_values("_key", kind="stable")  # the first of equal distances has the smallest key
+            qk, bk = q["_key"].to_numpy(dtype=np.int64), b["_key"].to_numpy(dtype=np.int64)
+            qn, bn, cats = _numbers(q, space), _numbers(b, space), _categories(q, b, space)
+            step = max(1, SLICE_CELLS // max(1, len(bk)))
+            for s in range(0, len(qk), step):
+                keys = qk[s:s + step]
+                d = _distances(qn[s:s + step], bn, [(x[s:s + step], y) for x, y in cats], space.metric)
+                if exclude_self:
+                    d[keys[:, None] == bk[None, :]] = np.inf
+                if mode == "ball":
+                    inside = (d < b["_rad"].to_numpy(dtype=np.float64)[None, :]).sum(axis=1).astype(np.float64)
+                    found = [(keys, 0, inside, np.full(len(keys), -1))]
+                else:
+                    found, row = [], np.arange(len(keys))
+                    for rank in range(1, min(k, len(bk)) + 1):
+                        at = d.argmin(axis=1)
+                        dist = d[row, at]
+                        d[row, at] = np.inf
+                        real = dist < np.inf
+                        found.append((keys[real], rank, dist[real], bk[at[real]]))
+                for key, rank, dist, other in found:
+                    for part, values in zip(parts, (key, np.full(len(key), rank, np.int32), dist, other)):
+                        part.append(values)
+        return pd.DataFrame(dict(zip(("q_key", "rank", "dist", "b_key"), map(np.concatenate, parts))))
+
+    return run
 
 
 def knn(
     query: DataFrame, q_key: str, base: DataFrame, b_key: str, space: Space, k: int = 1,
     exclude_self: bool = False, q_stats: dict | None = None, b_stats: dict | None = None,
-    codes: dict | None = None, max_base_bytes: int = MAX_BASE_BYTES, mode: str = "knn",
+    known: DataFrame | None = None, block_bytes: int = BLOCK_BYTES, mode: str = "knn",
     radius: DataFrame | None = None,
 ) -> DataFrame:
-    """Exact k nearest base rows per query row: (q_key, rank, dist, b_key).
+    """Exact k nearest base rows per query row: (q_key, rank, dist, b_key); ties go to the smaller key.
 
     ``q_stats`` / ``b_stats``: z-score parameters for each side (euclidean).
+    ``known``: rows whose categories count as known (default: ``base``).
     ``mode='ball'``: instead of neighbours, count base rows with dist < their
     radius (``radius``: (b_key, radius)); returned in ``dist`` with rank 0.
+    A pair with a null coordinate comes after all others, with a null
+    distance. An empty base gives no rows.
     """
     spark = query.sparkSession
-    codes = codes if codes is not None else _codes(base, query, space, None)
-    from fidspark.session import ensure_parallel
-
-    qp = ensure_parallel(_project(query, q_key, space, q_stats, codes))
-    bp = _project(base, b_key, space, b_stats, codes)
+    qp, bp = _project(query, q_key, space, q_stats), _project(base, b_key, space, b_stats)
+    if space.cat:
+        qp = _mask_unknown(qp, space, base if known is None else known)
+    n_query, n_base = query.count(), base.count()
+    row_bytes = 8 * (2 + len(space.num)) + 32 * len(space.cat)
+    per_block = max(1, block_bytes // row_bytes)
+    b_blocks = max(1, -(-n_base // per_block))
+    fine = min(-(-2 * default_buckets(spark) // b_blocks), -(-n_query // MIN_QUERY_ROWS))
+    q_blocks = max(1, -(-n_query // per_block), fine)
     if radius is not None:
         bp = bp.join(radius.select(F.col(radius.columns[0]).cast("long").alias("_key"),
                                    F.col(radius.columns[1]).alias("_rad")), "_key", "left")
-    n_base = bp.count()
-    row_bytes = 8 * (2 + len(space.num) + len(space.cat))
-    n_chunks = max(1, int(np.ceil(n_base * row_bytes / max_base_bytes)))
-    results = []
-    for ch in range(n_chunks):
-        part = bp if n_chunks == 1 else bp.where(F.pmod(F.xxhash64("_key"), F.lit(n_chunks)) == ch)
-        pdf = part.toPandas()  # bounded by max_base_bytes (checked above)
-        bkeys, bn, bc = _to_arrays(pdf, space, codes)
-        brad = pdf["_rad"].to_numpy(dtype=np.float64) if "_rad" in pdf else np.zeros(len(pdf))
-        bc_ = spark.sparkContext.broadcast((bkeys, bn, bc, brad))
-        results.append(qp.mapInPandas(_knn_kernel(bc_, space, k, exclude_self, mode, codes), KNN_SCHEMA))
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    if n_chunks == 1:
-        return out
+
+    def dealt(df: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
+        return df.withColumn(own, F.pmod(F.xxhash64("_key"), F.lit(blocks)).cast("int")).withColumn(
+            other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    pair = ["_qb", "_bb"]
+    out = (dealt(qp, "_qb", q_blocks, "_bb", b_blocks).groupBy(*pair)
+           .cogroup(dealt(bp, "_bb", b_blocks, "_qb", q_blocks).groupBy(*pair))
+           .applyInPandas(_block_kernel(space, k, exclude_self, mode), KNN_SCHEMA))
     if mode == "ball":
         return out.groupBy("q_key").agg(F.lit(0).alias("rank"), F.sum("dist").alias("dist"), F.lit(-1).cast("long").alias("b_key"))
-    # merge per-chunk top-k lists: k x n_chunks rows per query
-    w = Window.partitionBy("q_key").orderBy("dist", "b_key")
-    return out.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
+    if b_blocks > 1:  # k x b_blocks rows per query row
+        w = Window.partitionBy("q_key").orderBy("dist", "b_key")
+        out = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out.withColumn("dist", F.when(F.col("dist") < float(NO_VALUE), F.col("dist")))
 
 
 def nearest(query: DataFrame, q_key: str, base: DataFrame, b_key: str, space: Space, k: int = 2,
@@ -212,13 +205,26 @@ def nn_distance(r: DataFrame, s: DataFrame, cols: Sequence[str], r_key: str, s_k
     sp = Space(num=cols, metric="euclidean")
     d = knn(s, s_key, r, r_key, sp, k=1, q_stats=zs, b_stats=zs).select(
         F.col("q_key").alias(s_key), F.col("dist").alias("nn_distance"))
-    summ = d.agg(
-        F.avg("nn_distance").alias("nn_distance_mean"),
-        F.percentile("nn_distance", 0.5).alias("nn_distance_median"),
-        F.percentile("nn_distance", 0.95).alias("nn_distance_p95"),
-        F.avg((F.col("nn_distance") < eps).cast("double")).alias("nn_near_duplicate_rate"),
-    )
-    return d, summ
+    counts = d.groupBy("nn_distance").agg(F.count("*").alias("n")).where("nn_distance IS NOT NULL").persist()
+    n, near = F.sum("n"), F.sum(F.when(F.col("nn_distance") < eps, F.col("n")).otherwise(0))
+    means = counts.agg(F.try_divide(F.sum(F.col("nn_distance") * F.col("n")), n).alias("nn_distance_mean"),
+                       F.try_divide(near, n).alias("nn_near_duplicate_rate"))
+    return d, _one_row(_quantiles(counts, "nn_distance", {"nn_distance_median": 0.5, "nn_distance_p95": 0.95}), means)
+
+
+def _quantiles(counts: DataFrame, value: str, names: dict[str, float]) -> DataFrame:
+    """One row of exact quantiles of ``value``, occurring ``n`` times each, by prefix sums over its buckets."""
+    found = cdf.quantiles(cdf.prefix_sums(counts.withColumn("_one", F.lit(1)), ["_one"], value, ["n"]), list(names.values()),
+                          sides=("n",), keys=("_one",), order=value)
+    return found.agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(name) for name, p in names.items()])
+
+
+def _one_row(*parts: DataFrame) -> DataFrame:
+    """The columns of frames of one row each, side by side."""
+    out = parts[0].withColumn("_k", F.lit(1))
+    for part in parts[1:]:
+        out = out.join(part.withColumn("_k", F.lit(1)), "_k")
+    return out.drop("_k")
 
 
 def dcr(s: DataFrame, s_key: str, r: DataFrame, r_key: str, h: DataFrame, h_key: str,
@@ -229,9 +235,9 @@ def dcr(s: DataFrame, s_key: str, r: DataFrame, r_key: str, h: DataFrame, h_key:
     row = r.agg(*[(F.max(c) - F.min(c)).alias(c) for c in num]).first()
     rng = {c: (row[c] or 1.0) for c in num}
     sp = Space(num=num, cat=cat, metric="l1", scale=rng)
-    codes = _codes(r, s, sp, h)
-    dr = knn(s, s_key, r, r_key, sp, 1, codes=codes).select(F.col("q_key").alias(s_key), F.col("dist").alias("dcr_real"))
-    dh = knn(s, s_key, h, h_key, sp, 1, codes=codes).select(F.col("q_key").alias(s_key), F.col("dist").alias("dcr_test"))
+    known = r.select(*cat).unionByName(h.select(*cat))
+    dr = knn(s, s_key, r, r_key, sp, 1, known=known).select(F.col("q_key").alias(s_key), F.col("dist").alias("dcr_real"))
+    dh = knn(s, s_key, h, h_key, sp, 1, known=known).select(F.col("q_key").alias(s_key), F.col("dist").alias("dcr_test"))
     rows = dr.join(dh, s_key)
     score = rows.agg(F.avg((F.col("dcr_real") < F.col("dcr_test")).cast("double")).alias("dcr_score"))
     return rows, score
@@ -246,10 +252,10 @@ def dcr_percentiles(r: DataFrame, s: DataFrame, cols: Sequence[str], r_key: str,
     (``pct`` < 100, hash of the key) and z-scored with its own statistics.
     0/0 ratios are null and skipped (the reference yields NaN).
     """
-    from fidspark.operators.prep import drop_all_duplicates, sample_pct
+    from fidspark.operators.prep import sample_pct
 
     def prep(df, key):
-        d = drop_all_duplicates(df.select(*cols)).join(df.select(key, *cols), list(cols))
+        d = df.groupBy(*cols).agg(F.count("*").alias("_n"), F.min(key).alias(key)).where("_n = 1").drop("_n")
         return sample_pct(d, pct, key, seed) if pct < 100 else d
 
     rr_, ss_ = prep(r, r_key), prep(s, s_key)
@@ -259,14 +265,14 @@ def dcr_percentiles(r: DataFrame, s: DataFrame, cols: Sequence[str], r_key: str,
     def summarise(long: DataFrame, tag: str) -> DataFrame:
         w = long.groupBy("q_key").agg(F.max(F.when(F.col("rank") == 1, F.col("dist"))).alias("d1"),
                                       F.max(F.when(F.col("rank") == 2, F.col("dist"))).alias("d2"))
-        return w.agg(F.percentile("d1", q).alias(f"dcr_{tag}"),
-                     F.percentile(F.try_divide(F.col("d1"), F.col("d2")), q).alias(f"nndr_{tag}")
-                     ).withColumn("_k", F.lit(1))
+        w = w.select("d1", F.try_divide("d1", "d2").alias("ratio")).persist()
+        return _one_row(*(_quantiles(w.groupBy(c).agg(F.count("*").alias("n")), c, {f"{name}_{tag}": q})
+                          for c, name in (("d1", "dcr"), ("ratio", "nndr"))))
 
     rf = summarise(knn(rr_, r_key, ss_, s_key, sp, 2, q_stats=zr, b_stats=zf), "real_fake")
     rr = summarise(knn(rr_, r_key, rr_, r_key, sp, 2, exclude_self=True, q_stats=zr, b_stats=zr), "real_real")
     ff = summarise(knn(ss_, s_key, ss_, s_key, sp, 2, exclude_self=True, q_stats=zf, b_stats=zf), "fake_fake")
-    return rf.join(rr, "_k").join(ff, "_k").select(
+    return _one_row(rf, rr, ff).select(
         "dcr_real_fake", "dcr_real_real", "dcr_fake_fake", "nndr_real_fake", "nndr_real_real", "nndr_fake_fake")
 
 

@@ -14,15 +14,15 @@ def _brute(q, b, k, exclude_self=False):
     return np.sort(d, axis=1)[:, :k]
 
 
-@pytest.mark.parametrize("max_bytes", [nn.MAX_BASE_BYTES, 2000])
-def test_knn_matches_brute_force(spark, max_bytes):
+@pytest.mark.parametrize("block_bytes", [nn.BLOCK_BYTES, 2000])
+def test_knn_matches_brute_force(spark, block_bytes):
     rng = np.random.default_rng(0)
     q, b = rng.normal(size=(120, 3)), rng.normal(size=(150, 3))
     qd = spark.createDataFrame(pd.DataFrame(q, columns=["a", "b", "c"]).assign(k=np.arange(120)))
     bd = spark.createDataFrame(pd.DataFrame(b, columns=["a", "b", "c"]).assign(k=np.arange(150)))
     one = {c: (0.0, 1.0) for c in "abc"}
     got = nn.nearest(qd, "k", bd, "k", nn.Space(num=list("abc")), k=2, q_stats=one, b_stats=one,
-                     max_base_bytes=max_bytes).toPandas().sort_values("q_key")
+                     block_bytes=block_bytes).toPandas().sort_values("q_key")
     exp = _brute(q, b, 2)
     assert np.allclose(got[["d1", "d2"]].to_numpy(), exp)
 
@@ -43,3 +43,28 @@ def test_nn_distance_zero_for_copies(spark):
     s = summ.first()
     assert s["nn_distance_mean"] == pytest.approx(0.0)
     assert s["nn_near_duplicate_rate"] == pytest.approx(1.0)
+
+
+def test_ties_go_to_the_smaller_key_and_nulls_come_last(spark):
+    base = spark.createDataFrame([(9, 1.0), (3, 1.0), (5, 1.0), (1, None), (7, 4.0)], "k long, a double")
+    query = spark.createDataFrame([(100, 1.0), (101, None)], "k long, a double")
+    for size in (nn.BLOCK_BYTES, 30):
+        got = nn.knn(query, "k", base, "k", nn.Space(num=["a"]), k=5, block_bytes=size).orderBy("q_key", "rank").collect()
+        assert [(r["b_key"], r["dist"]) for r in got[:5]] == [(3, 0.0), (5, 0.0), (9, 0.0), (7, 3.0), (1, None)]
+        assert [(r["b_key"], r["dist"]) for r in got[5:]] == [(k, None) for k in (1, 3, 5, 7, 9)]
+
+
+def test_unknown_categories_cost_one(spark):
+    base = spark.createDataFrame([(1, "x"), (2, "y")], "k long, c string")
+    query = spark.createDataFrame([(10, "x"), (11, "z"), (12, "w"), (13, None)], "k long, c string")
+    held = spark.createDataFrame([(20, "w")], "k long, c string")
+    space = nn.Space(num=[], cat=["c"], metric="l1")
+    known = base.unionByName(held).select("c")
+    got = {r["q_key"]: r["dist"] for r in nn.knn(query, "k", base, "k", space, known=known).collect()}
+    assert got == {10: 0.0, 11: 1.0, 12: 2.0, 13: 1.0}
+
+
+def test_empty_sides(spark):
+    some = spark.createDataFrame([(1, 1.0)], "k long, a double")
+    assert nn.knn(some.limit(0), "k", some, "k", nn.Space(num=["a"])).count() == 0
+    assert nn.knn(some, "k", some.limit(0), "k", nn.Space(num=["a"])).count() == 0
