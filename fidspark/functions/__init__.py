@@ -1,6 +1,7 @@
 """Column-expression helpers (all JVM-side, no Python UDFs)."""
 
 from fidspark.functions.exprs import (
+    HASH_RANGE,
     clean_label,
     hash_uniform,
     kolmogorov_sf,
@@ -11,6 +12,7 @@ from fidspark.functions.exprs import (
 )
 
 __all__ = [
+    "HASH_RANGE",
     "clean_label",
     "hash_uniform",
     "kolmogorov_sf",

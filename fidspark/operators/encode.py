@@ -128,30 +128,24 @@ def fit_dictionary(df: DataFrame, cols: Sequence[str], order: str = "alpha") ->
 
 
 def ordinal(df: DataFrame, cols: Sequence[str], dictionary: DataFrame, unknown: str = "max+1") -> DataFrame:
-    """Category -> index from the train dictionary; unknown -> K (max + 1) or null."""
+    """Category -> index from the train dictionary; unknown -> K (max + 1; 0 for an empty dictionary) or null."""
     out = df
-    sizes = dictionary.groupBy("feature").agg(F.count(F.lit(1)).alias("k"))
     for c in cols:
-        dc = F.broadcast(dictionary.where(F.col("feature") == c).select(F.col("value").alias(f"_v_{c}"),
-                                                                         F.col("idx").alias(f"_i_{c}")))
-        out = out.join(dc, out[c].cast("string") == F.col(f"_v_{c}"), "left")
-        if unknown == "max+1":
-            k = sizes.where(F.col("feature") == c).select(F.col("k").alias(f"_k_{c}"))
-            out = out.withColumn("_kk", F.lit(1)).join(F.broadcast(k.withColumn("_kk", F.lit(1))), "_kk").drop("_kk")
-            out = out.withColumn(c, F.coalesce(F.col(f"_i_{c}"), F.col(f"_k_{c}").cast("int"))).drop(f"_k_{c}")
-        else:
-            out = out.withColumn(c, F.col(f"_i_{c}"))
-        out = out.drop(f"_v_{c}", f"_i_{c}")
+        known = dictionary.where(F.col("feature") == c)
+        out = out.join(known.select(F.col("value").alias("_v"), F.col("idx").alias("_i")), out[c].cast("string") == F.col("_v"), "left")
+        if unknown == "max+1":  # one row, also of an empty dictionary
+            out = out.withColumn("_k", F.lit(1)).join(known.agg(F.count("*").cast("int").alias("_n")).withColumn("_k", F.lit(1)), "_k")
+            out = out.withColumn("_i", F.coalesce("_i", "_n")).drop("_k", "_n")
+        out = out.withColumn(c, F.col("_i")).drop("_v", "_i")
     return out
 
 
 def ordinal_inverse(df: DataFrame, cols: Sequence[str], dictionary: DataFrame) -> DataFrame:
-    """E14 inverse: index -> category via the dictionary (broadcast, #categories rows)."""
+    """E14 inverse: index -> category via the dictionary; the planner broadcasts it where it is small."""
     out = df
     for c in cols:
-        dc = F.broadcast(dictionary.where(F.col("feature") == c).select(F.col("value").alias(f"_v_{c}"),
-                                                                         F.col("idx").alias(f"_i_{c}")))
-        out = out.join(dc, out[c] == F.col(f"_i_{c}"), "left").withColumn(c, F.col(f"_v_{c}")).drop(f"_v_{c}", f"_i_{c}")
+        known = dictionary.where(F.col("feature") == c).select(F.col("value").alias("_v"), F.col("idx").alias("_i"))
+        out = out.join(known, out[c] == F.col("_i"), "left").withColumn(c, F.col("_v")).drop("_v", "_i")
     return out
 
 
@@ -183,7 +177,7 @@ def collapse_rare(df: DataFrame, cols: Sequence[str], min_frequency: float, trai
     keep = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= thr)
     out = df
     for c in cols:
-        kc = F.broadcast(keep.where(F.col("feature") == c).select(F.col("value").alias(f"_v_{c}")))
+        kc = keep.where(F.col("feature") == c).select(F.col("value").alias(f"_v_{c}"))
         out = out.join(kc, out[c].cast("string") == F.col(f"_v_{c}"), "left").withColumn(
             c, F.when(F.col(f"_v_{c}").isNotNull(), F.col(c).cast("string")).otherwise(F.lit(rare))).drop(f"_v_{c}")
     return out

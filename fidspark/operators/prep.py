@@ -13,7 +13,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fidspark.functions import hash_uniform, null_markers, portable_hash
+from fidspark.functions import HASH_RANGE, hash_uniform, null_markers, portable_hash
+from fidspark.session import default_buckets
 
 
 # --------------------------------------------------------------------------- columns
@@ -153,7 +154,7 @@ def snap_to_reference(s: DataFrame, r: DataFrame, col: str, key: str) -> DataFra
     """Replace each synthetic value by the nearest distinct real value (ties -> the lower).
 
     Exact as-of matching both ways without a cross join: union the distinct
-    real values with the synthetic rows, then ``last``/``first(ignorenulls)``
+    values of both sides (a hot value is one row; a null stays null), then ``last``/``first(ignorenulls)``
     windows ordered by value give the real neighbour below and above.  The
     windows are partitioned by a value range (``repartitionByRange`` semantics
     through bucket ids from the CDF core) with carried boundary values, so
@@ -162,9 +163,9 @@ def snap_to_reference(s: DataFrame, r: DataFrame, col: str, key: str) -> DataFra
     from fidspark.operators import cdf
 
     reals = r.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull()).distinct()
-    u = (reals.select(F.lit(None).cast(s.schema[key].dataType).alias(key), "v", F.col("v").alias("rv"))
-         .unionByName(s.select(key, F.col(col).cast("double").alias("v"), F.lit(None).cast("double").alias("rv"))))
-    u = u.where(F.col("v").isNotNull())
+    rows = s.select(key, F.col(col).cast("double").alias("value"))
+    wanted = rows.select(F.col("value").alias("v")).where("v IS NOT NULL").distinct()
+    u = reals.select("v", F.col("v").alias("rv")).unionByName(wanted.select("v", F.lit(None).cast("double").alias("rv")))
     # bucket by value range; carry the last real value of earlier buckets and first of later ones
     nb = cdf.default_buckets(s.sparkSession)
     fr = [i / nb for i in range(1, nb)]
@@ -174,7 +175,7 @@ def snap_to_reference(s: DataFrame, r: DataFrame, col: str, key: str) -> DataFra
             "_bucket", F.size(F.filter("_b", lambda b: b < F.col("v")))).drop("_b", "_k")
     else:
         u = u.withColumn("_bucket", F.lit(0))
-    edge = u.where(F.col("rv").isNotNull()).groupBy("_bucket").agg(F.min("rv").alias("bmin"), F.max("rv").alias("bmax"))
+    edge = u.groupBy("_bucket").agg(F.min("rv").alias("bmin"), F.max("rv").alias("bmax"))
     wb = Window.orderBy("_bucket")  # one row per bucket: tiny
     edge = edge.select("_bucket",
                        F.max("bmax").over(wb.rowsBetween(Window.unboundedPreceding, -1)).alias("prev_max"),
@@ -189,7 +190,7 @@ def snap_to_reference(s: DataFrame, r: DataFrame, col: str, key: str) -> DataFra
     hi = F.coalesce("hi", "next_min")
     snapped = F.when(hi.isNull(), lo).when(lo.isNull(), hi).when(
         F.col("v") - lo <= hi - F.col("v"), lo).otherwise(hi)
-    return t.select(key, F.col("v").alias("value"), snapped.alias("snapped"))
+    return rows.join(t.select("v", snapped.alias("snapped")), rows["value"] == F.col("v"), "left").drop("v")
 
 
 def complete_target_only(s: DataFrame, r: DataFrame, target: str, key: str) -> DataFrame:
@@ -295,27 +296,33 @@ def random_split(df: DataFrame, shares: Sequence[float], key: str, seed: int = 4
     return df.withColumn("split", e)
 
 
-def stratified_fold(df: DataFrame, label: str, k: int, key: str, seed: int = 42) -> DataFrame:
-    """fold = (row_number within label ordered by hash) % k -> balanced per class.
+def _rank_in_class(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
+    """``df`` plus _rank (from 1, by hash within the label) and _size (rows of the label).
 
-    The window is per class; for a class holding a third of the data use
-    :func:`stratified_fold_scalable` (hash fold, no ordering).
+    Hashes are uniform, so equal ranges of them cut a class into parts of like
+    size. Rows are numbered within a part, and the counts of the parts before
+    it (labels x parts rows) are added, so no task sees a whole class.
     """
-    w = Window.partitionBy(label).orderBy(portable_hash(key, seed), F.col(key))
-    return df.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
+    parts = 4 * default_buckets(df.sparkSession)
+    rows = df.withColumn("_h", portable_hash(key, seed)).withColumn("_part", F.floor(F.col("_h") * parts / F.lit(float(HASH_RANGE))))
+    counts = rows.groupBy(F.col(label).alias("_label"), F.col("_part").alias("_of")).agg(F.count("*").alias("_n"))
+    one = Window.partitionBy("_label")
+    counts = counts.select("_label", "_of", F.sum("_n").over(one).alias("_size"), F.coalesce(F.sum("_n").over(
+        one.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy(label, "_part").orderBy("_h", F.col(key))))
+    return (rows.join(counts, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_part") == F.col("_of")))
+            .withColumn("_rank", F.col("_at") + F.col("_before")).drop("_h", "_part", "_label", "_of", "_before", "_at"))
 
 
-def stratified_fold_scalable(df: DataFrame, label: str, k: int, key: str, seed: int = 42) -> DataFrame:
-    """Hash fold; class shares per fold agree in expectation (no per-class window)."""
-    return df.withColumn("fold", (portable_hash(key, seed) % k).cast("int"))
+def stratified_fold(df: DataFrame, label: str, k: int, key: str, seed: int = 42) -> DataFrame:
+    """fold = (rank within the label by hash, from 0) % k, so each class is spread evenly. A null label is a class."""
+    return _rank_in_class(df, label, key, seed).withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank", "_size")
 
 
 def stratified_split(df: DataFrame, label: str, test_share: float, key: str, seed: int = 42) -> DataFrame:
-    """Per class, the first round(n_c * share) rows by hash go to test."""
-    w = Window.partitionBy(label).orderBy(portable_hash(key, seed), F.col(key))
-    n = F.count(F.lit(1)).over(Window.partitionBy(label))
-    rn = F.row_number().over(w)
-    return df.withColumn("split", F.when(rn <= F.round(n * test_share), F.lit("test")).otherwise(F.lit("train")))
+    """Per class, the first round(n_c * share) rows by hash go to test. A null label is a class."""
+    test = F.col("_rank") <= F.round(F.col("_size") * test_share)
+    return _rank_in_class(df, label, key, seed).withColumn("split", F.when(test, F.lit("test")).otherwise(F.lit("train"))).drop("_rank", "_size")
 
 
 def covering_split_check(df: DataFrame, cats: Sequence[str], split_col: str = "split") -> DataFrame:
@@ -336,7 +343,7 @@ def covering_split(df: DataFrame, cats: Sequence[str], shares: Sequence[float],
     fixes = []
     for c in cats:
         m = miss.where(F.col("feature") == c).select(F.col("value").alias("_v"))
-        pick = cand.join(F.broadcast(m), cand[c].cast("string") == F.col("_v")).groupBy("_v").agg(
+        pick = cand.join(m, cand[c].cast("string") == F.col("_v")).groupBy("_v").agg(
             F.min(key).alias("_key"))
         fixes.append(pick.select("_key"))
     move = reduce(lambda a, b: a.unionByName(b), fixes).distinct()

@@ -51,7 +51,7 @@ def sample_matching(conditions: DataFrame, key: str, real: DataFrame, real_key:
     ranked = long.select("*", F.row_number().over(w).alias("rn"), F.count(F.lit(1)).over(
         Window.partitionBy("feature", "value")).alias("n_cv"))
     sizes = ranked.select("feature", "value", "n_cv").distinct()
-    c = conditions.join(F.broadcast(sizes), ["feature", "value"]).withColumn(
+    c = conditions.join(sizes, ["feature", "value"]).withColumn(
         "rn", (F.floor(hash_uniform(key, seed + 2) * F.col("n_cv")) + 1).cast("int"))
     return c.join(ranked.select("feature", "value", "rn", real_key), ["feature", "value", "rn"]).select(
         key, "feature", "value", real_key)

@@ -37,17 +37,9 @@ class TableSpec:
 
     def resolve_label(self, df: DataFrame, label: str | int | None = None) -> str:
         """Label column by case/space-insensitive name or by index; default last."""
-        label = self.target if label is None else label
-        cols = df.columns
-        if label is None:
-            return cols[-1]
-        if isinstance(label, int):
-            return cols[label]
-        want = str(label).strip().casefold()
-        for c in cols:
-            if c.strip().casefold() == want:
-                return c
-        raise ValueError(f"label column {label!r} not found in {cols}")
+        from fidspark.operators import prep
+
+        return prep.resolve_label(df, self.target if label is None else label)
 
     def metadata(self) -> dict[str, dict]:
         """Per-column role metadata (P32), usable as StructField metadata."""
