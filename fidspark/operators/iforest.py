@@ -86,9 +86,9 @@ def _grow(cols: Sequence[str], psi: int, seed: int):
 def fit(df: DataFrame, cols: Sequence[str], n_trees: int = 300, max_samples: int = 256, seed: int = 42,
         key: str | None = None, contamination: float | None = 0.05) -> Forest:
     cols = list(cols)
-    x = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    kcol = F.xxhash64(*cols) if key is None else F.col(key)
-    x = x.withColumn("_key", kcol) if key is None else df.select(key, *[F.col(c).cast("double").alias(c) for c in cols]).withColumnRenamed(key, "_key")
+    # without a key, rows draw by their position: equal rows must not all draw the same trees
+    own = F.monotonically_increasing_id() if key is None else F.col(key)
+    x = df.select(own.alias("_key"), *[F.col(c).cast("double").alias(c) for c in cols])
     n = x.count()
     psi = int(min(max_samples, n))
     p = min(1.0, 1.25 * psi / max(n, 1))
@@ -180,27 +180,41 @@ def score_samples(forest: Forest, df: DataFrame, keep: Sequence[str] = ()) -> Da
 
 def offset(forest: Forest, df: DataFrame, contamination: float) -> float:
     """Exact ``contamination`` percentile (linear) of the training scores."""
+    scored = score_samples(Forest(forest.cols, forest.psi, forest.trees, None), df)
+    return score_offset(scored.groupBy("score").agg(F.count("*").alias("n")), contamination)
+
+
+def score_offset(counts: DataFrame, contamination: float) -> float:
+    """Exact ``contamination`` percentile (linear) of scores that occur ``n`` times each."""
     from fidspark.operators import cdf
 
-    s = score_samples(Forest(forest.cols, forest.psi, forest.trees, None), df).select("score")
-    counts = s.groupBy(F.col("score").alias("value")).agg(F.count(F.lit(1)).alias("n_r")).withColumn("feature", F.lit("s"))
-    pre = cdf.prefix_sums(counts, ["feature"], "value", ["n_r"])
+    values = counts.select(F.lit("s").alias("feature"), F.col("score").alias("value"), F.col("n").alias("n_r"))
+    pre = cdf.prefix_sums(values, ["feature"], "value", ["n_r"])
     return cdf.quantiles(pre, [contamination], sides=["n_r"]).first()["q"]
 
 
-def outlier_gap(r: DataFrame, s: DataFrame, cols: Sequence[str], n_trees: int = 300, seed: int = 42) -> DataFrame:
-    """Forest fitted on real; outlier rates, mean decision per side and the rate gap."""
-    forest = fit(r, cols, n_trees, seed=seed)
-    sr = score_samples(forest, r).withColumn("side", F.lit("real"))
-    ss = score_samples(forest, s).withColumn("side", F.lit("synthetic"))
-    st = sr.unionByName(ss).groupBy().agg(
-        F.avg(F.when(F.col("side") == "real", (F.col("decision") < 0).cast("double"))).alias("real_iforest_outlier_rate"),
-        F.avg(F.when(F.col("side") == "synthetic", (F.col("decision") < 0).cast("double"))).alias("synthetic_iforest_outlier_rate"),
-        F.avg(F.when(F.col("side") == "real", F.col("decision"))).alias("real_iforest_score_mean"),
-        F.avg(F.when(F.col("side") == "synthetic", F.col("decision"))).alias("synthetic_iforest_score_mean"),
-    )
-    return st.withColumn("iforest_outlier_rate_gap",
-                         F.abs(F.col("real_iforest_outlier_rate") - F.col("synthetic_iforest_outlier_rate")))
+def outlier_gap(r: DataFrame, s: DataFrame, cols: Sequence[str], n_trees: int = 300, seed: int = 42,
+                contamination: float = 0.05, key: str | None = None) -> DataFrame:
+    """Forest fitted on real; outlier rates, mean decision per side and the rate gap.
+
+    Both sides are scored once and counted by score, which holds all that the offset and the rates need.
+    """
+    forest = fit(r, cols, n_trees, seed=seed, key=key, contamination=None)
+    sides = r.select(*cols, F.lit("real").alias("side")).unionByName(s.select(*cols, F.lit("synthetic").alias("side")))
+    counts = score_samples(forest, sides, keep=["side"]).groupBy("side", "score").agg(F.count("*").alias("n")).persist()
+    cut = score_offset(counts.where("side = 'real'"), contamination)
+    decision = F.col("score") - F.lit(cut)
+
+    def side(name: str, value):
+        own = F.col("side") == name
+        return F.try_divide(F.sum(F.when(own, value * F.col("n"))), F.sum(F.when(own, F.col("n"))))
+
+    st = counts.agg(*[side(x, (decision < 0).cast("double")).alias(f"{x}_iforest_outlier_rate") for x in ("real", "synthetic")],
+                    *[side(x, decision).alias(f"{x}_iforest_score_mean") for x in ("real", "synthetic")]).first()
+    counts.unpersist()
+    out = r.sparkSession.createDataFrame([tuple(st)], ", ".join(f"{c} double" for c in st.asDict()))
+    return out.withColumn("iforest_outlier_rate_gap",
+                          F.abs(F.col("real_iforest_outlier_rate") - F.col("synthetic_iforest_outlier_rate")))
 
 
 def outlier_utility(r: DataFrame, s: DataFrame, cols: Sequence[str], key: str, n_trees: int = 300,
@@ -209,11 +223,11 @@ def outlier_utility(r: DataFrame, s: DataFrame, cols: Sequence[str], key: str, n
     (k = round(rate * n)); recall, precision, F1, AUPRC and its improvement over the real forest."""
     from fidspark.operators import scores
 
-    ref = fit(r, cols, n_trees, seed=seed)
+    ref = fit(r, cols, n_trees, seed=seed, key=key)
     ref_s = score_samples(ref, r, keep=[key]).select(key, (F.col("decision") < 0).cast("int").alias("y_true"),
                                                       (-F.col("decision")).alias("ref_score"))
     rate = ref_s.agg(F.avg("y_true")).first()[0] or 0.0
-    syn = fit(s, cols, n_trees, seed=seed, contamination=max(rate, 1e-3))
+    syn = fit(s, cols, n_trees, seed=seed, contamination=None, key=key if key in s.columns else None)
     syn_s = score_samples(syn, r, keep=[key]).select(key, (-F.col("decision")).alias("syn_score"))
     j = ref_s.join(syn_s, key).persist()
     n = j.count()

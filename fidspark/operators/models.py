@@ -1,20 +1,24 @@
 """Model-based comparison on Spark ML (M1-M8).
 
-Folds are hash folds of a row key (stable on recompute); the assembled
-feature vectors are persisted once per call (recomputable from the scan if an
-executor is lost).  Logistic regression uses the sklearn-equivalent L2
-strength (``regParam = 1 / n_train`` for C = 1).  Metrics on the scored rows
-reuse the exact SQL metrics from :mod:`fidspark.operators.scores`.
+Rows without a key are folded by counting equal rows and dealing the copies
+out per class (:func:`fidspark.operators.prep.fold_copies`), so learners see
+distinct rows with weights. Training frames are persisted during a call and
+released at its end.  Logistic regression uses the L2 strength
+``regParam = 1 / n_train`` (C = 1).  Metrics on the scored rows reuse the
+exact SQL metrics from :mod:`fidspark.operators.scores`.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 from typing import Sequence
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
+    GBTClassifier,
     LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassifier,
@@ -22,12 +26,13 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fidspark.functions import clean_label, portable_hash
+from fidspark.functions import clean_label
+from fidspark.operators import encode, prep, scores
 from fidspark.session import ensure_parallel
-from fidspark.operators import scores
 
 
 def encode_labels(r: DataFrame, s: DataFrame, label: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -35,8 +40,6 @@ def encode_labels(r: DataFrame, s: DataFrame, label: str) -> tuple[DataFrame, Da
     both = r.select(clean_label(label).alias("v")).unionByName(s.select(clean_label(label).alias("v")))
     dic = both.where("v IS NOT NULL").distinct().withColumn(
         "y", (F.dense_rank().over(Window.orderBy("v")) - 1).cast("double"))  # one row per class
-    dic = F.broadcast(dic)
-
     def apply(df):
         return df.withColumn("_v", clean_label(label)).join(dic, F.col("_v") == F.col("v"), "left").drop("_v", "v")
 
@@ -58,53 +61,57 @@ def _lr(n_train: int, weight: str | None = None, max_iter: int = 100) -> Logisti
     return lr
 
 
-def propensity(r: DataFrame, s: DataFrame, cols: Sequence[str], folds: int = 5, seed: int = 42,
-               key: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """M1: out-of-fold propensity of 'real' -> (scored rows, one-row pMSE / AUROC / log-loss)."""
+def propensity(r: DataFrame, s: DataFrame, cols: Sequence[str], folds: int = 5, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """M1: out-of-fold propensity of 'real' -> (scored rows, one-row pMSE / AUROC / log-loss).
+
+    Stratified folds, as many as the smaller side has rows but at most
+    ``folds``; below two, one model scores the rows it was fitted on. Scored
+    rows are (y, fold, p, w), ``w`` being the number of equal rows. An empty
+    side gives null metrics.
+    """
     st = r.select(*cols, F.lit(1.0).alias("y")).unionByName(s.select(*cols, F.lit(0.0).alias("y")))
-    k = F.xxhash64(*cols, "y") if key is None else F.col(key)
-    st = st.withColumn("_key", k).withColumn(
-        "fold", (portable_hash(F.abs(F.col("_key") % 1000000007), seed) % folds).cast("int"))
-    st = ensure_parallel(st).persist(StorageLevel.MEMORY_AND_DISK)
-    n = st.count()
     counts = {row["y"]: row["n"] for row in st.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_splits = int(min(folds, min(counts.values()))) if len(counts) == 2 else 0
+    if len(counts) < 2:
+        scored = r.sparkSession.createDataFrame([], "y double, fold int, p double, w double")
+        return scored, propensity_metrics(scored)
+    k = min(folds, *counts.values())
+    dealt = ensure_parallel(prep.fold_copies(st, cols, "y", max(1, k), seed)).persist(StorageLevel.MEMORY_AND_DISK)
+    sizes = {row["fold"]: row["n"] for row in dealt.groupBy("fold").agg(F.sum("w").alias("n")).collect()}
     parts = []
-    if n_splits >= 2:
-        for f in range(folds):
-            tr, te = st.where(F.col("fold") != f), st.where(F.col("fold") == f)
-            model = Pipeline(stages=[_assembler(cols), _lr(n)]).fit(tr)
-            parts.append(model.transform(te).select("y", "fold", vector_to_array("prob")[1].alias("p")))
-    else:
-        model = Pipeline(stages=[_assembler(cols), _lr(n)]).fit(st)
-        parts.append(model.transform(st).select("y", "fold", vector_to_array("prob")[1].alias("p")))
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
-    return scored, propensity_metrics(scored)
-
-
-def propensity_metrics(scored: DataFrame, eps: float = 1e-12) -> DataFrame:
-    """pMSE = mean (p - c)^2 with c the real share; AUROC; log-loss (eps 1e-12)."""
-    c = scored.agg(F.avg("y").alias("c")).withColumn("_k", F.lit(1))
-    j = scored.withColumn("_k", F.lit(1)).join(F.broadcast(c), "_k")
-    m = j.agg(F.avg(F.pow(F.col("p") - F.col("c"), 2)).alias("pmse"),
-              (-F.avg(F.col("y") * F.log(F.col("p") + eps) + (1 - F.col("y")) * F.log(1 - F.col("p") + eps)))
-              .alias("domain_classifier_logloss")).withColumn("_k", F.lit(1))
-    auc = scores.auroc(scored.withColumn("yl", F.col("y").cast("int")), "yl", "p").withColumnRenamed(
+    for f in range(max(1, k)):
+        tr, te, n = (dealt.where(F.col("fold") != f), dealt.where(F.col("fold") == f), sum(counts.values()) - sizes[f])
+        if k < 2:
+            tr, te, n = dealt, dealt, sizes[0]
+        # the learner scales features itself, by weighted deviations
+        model = Pipeline(stages=[VectorAssembler(inputCols=list(cols), outputCol="features", handleInvalid="keep"),
+                                 _lr(n, weight="w")]).fit(tr)
+        parts.append(model.transform(te).select("y", "fold", vector_to_array("prob")[1].alias("p"), "w"))
+    scored = reduce(DataFrame.unionByName, parts).persist(StorageLevel.MEMORY_AND_DISK)
+    scored.count()  # fill before the training rows are released
+    dealt.unpersist()
+    return scored, propensity_metrics(scored, "w")
+
+
+def propensity_metrics(scored: DataFrame, copies: str | None = None, eps: float = 1e-12) -> DataFrame:
+    """pMSE = mean (p - c)^2 with c the real share; AUROC; log-loss (eps 1e-12). ``copies``: rows one row stands for."""
+    w, y, p = F.lit(1.0) if copies is None else F.col(copies), F.col("y"), F.col("p")
+    sums = scored.agg(F.sum(w).alias("n"), F.sum(w * y).alias("ny"), F.sum(w * p).alias("np"), F.sum(w * p * p).alias("npp"),
+                      F.sum(w * (y * F.log(p + eps) + (1 - y) * F.log(1 - p + eps))).alias("ll"))
+    c, n = F.try_divide("ny", "n"), F.col("n")
+    m = sums.select(F.try_divide(F.col("npp") - 2 * c * F.col("np") + c * c * n, n).alias("pmse"),
+                    F.try_divide(-F.col("ll"), n).alias("domain_classifier_logloss")).withColumn("_k", F.lit(1))
+    auc = scores.auroc(scored.withColumn("yl", F.col("y").cast("int")), "yl", "p", copies=copies).withColumnRenamed(
         "auroc", "domain_classifier_auroc").withColumn("_k", F.lit(1))
     return m.join(auc, "_k").select("pmse", "domain_classifier_auroc", "domain_classifier_logloss")
 
 
 def detection_score(r: DataFrame, s: DataFrame, cols: Sequence[str], folds: int = 3, seed: int = 42) -> DataFrame:
-    """M2: C2ST score = mean over folds of 1 - (2 max(0.5, AUROC_fold) - 1)."""
+    """M2: C2ST score = mean over folds of 1 - (2 max(0.5, AUROC_fold) - 1); a fold of one class has none and is skipped."""
     scored, _ = propensity(r, s, cols, folds, seed)
-    per = [scores.auroc(scored.where(F.col("fold") == f).withColumn("yl", F.col("y").cast("int")), "yl", "p")
+    per = [scores.auroc(scored.where(F.col("fold") == f).withColumn("yl", F.col("y").cast("int")), "yl", "p", copies="w")
            for f in range(folds)]
-    u = per[0]
-    for p in per[1:]:
-        u = u.unionByName(p)
-    return u.agg(F.avg(1.0 - (2.0 * F.greatest(F.col("auroc"), F.lit(0.5)) - 1.0)).alias("detection_score"))
+    best = F.when(F.col("auroc").isNotNull(), F.greatest(F.col("auroc"), F.lit(0.5)))
+    return reduce(DataFrame.unionByName, per).agg(F.avg(1.0 - (2.0 * best - 1.0)).alias("detection_score"))
 
 
 def _balanced_weights(df: DataFrame) -> DataFrame:
@@ -112,7 +119,7 @@ def _balanced_weights(df: DataFrame) -> DataFrame:
     cnt = df.groupBy("y").agg(F.count(F.lit(1)).alias("_nc"))
     tot = cnt.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_kc")).withColumn("_k", F.lit(1))
     w = cnt.withColumn("_k", F.lit(1)).join(tot, "_k").select("y", (F.col("_n") / (F.col("_kc") * F.col("_nc"))).alias("w"))
-    return df.join(F.broadcast(w), "y")
+    return df.join(w, "y")
 
 
 def tstr(r: DataFrame, s: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
@@ -121,7 +128,7 @@ def tstr(r: DataFrame, s: DataFrame, cols: Sequence[str], label: str) -> DataFra
     re, se, dic = encode_labels(r, s, label)
     tr = ensure_parallel(_balanced_weights(se.where("y IS NOT NULL").select(*cols, "y"))).persist(
         StorageLevel.MEMORY_AND_DISK)
-    te = re.where("y IS NOT NULL").select(*cols, "y").withColumn("_rid", F.monotonically_increasing_id())
+    te = re.where("y IS NOT NULL").select(*cols, "y")
     classes = sorted(row[0] for row in tr.select("y").distinct().collect())  # one row per class
     if len(classes) < 2:
         spark = r.sparkSession
@@ -129,7 +136,8 @@ def tstr(r: DataFrame, s: DataFrame, cols: Sequence[str], label: str) -> DataFra
                                      "tstr_f1_weighted double, tstr_auroc double, tstr_auroc_eval_coverage double")
     n = tr.count()
     model = Pipeline(stages=[_assembler(cols), _lr(n, weight="w")]).fit(tr)
-    pred = model.transform(te).select("_rid", "y", "prediction", vector_to_array("prob").alias("pr")).persist()
+    tr.unpersist()
+    pred = model.transform(te).select("y", "prediction", vector_to_array("prob").alias("pr")).persist()
     rep = scores.classification_report(pred, "y", "prediction").select(
         F.col("accuracy").alias("tstr_accuracy"), F.col("f1_macro").alias("tstr_f1_macro"),
         F.col("f1_weighted").alias("tstr_f1_weighted")).withColumn("_k", F.lit(1))
@@ -156,56 +164,91 @@ def _classifier(name: str, n: int, n_features: int, n_classes: int, seed: int):
         return RandomForestClassifier(featuresCol="features", labelCol="y", probabilityCol="prob", seed=seed)
     if name == "mlp":
         return MultilayerPerceptronClassifier(featuresCol="features", labelCol="y", probabilityCol="prob",
-                                              layers=[n_features, 100, n_classes], seed=seed, maxIter=200)
+                                              layers=[n_features, 100, n_classes], seed=seed, maxIter=50)
     if name == "svm":
         return LinearSVC(featuresCol="features", labelCol="y", regParam=1.0 / max(1, n))
     raise ValueError(name)
 
 
+def _regressor(name: str, n: int):
+    """Linear, ridge (alpha 1 on summed squares) and lasso (alpha 1 on mean squares) on features scaled before."""
+    reg, mix = {"linear": (0.0, 0.0), "ridge": (1.0 / max(1, n), 0.0), "lasso": (1.0, 1.0)}[name]
+    return LinearRegression(featuresCol="features", labelCol="y", regParam=reg, elasticNetParam=mix, standardization=False)
+
+
+CLASSIFIERS = ("lr", "dt", "rf", "mlp", "svm")
+REGRESSORS = ("linear", "ridge", "lasso")
+
+
 def utility_gap(r: DataFrame, runs: Sequence[DataFrame], cols: Sequence[str], label: str,
-                models: Sequence[str] = ("lr", "dt", "rf"), test_share: float = 0.2, seed: int = 42,
-                key: str | None = None) -> DataFrame:
-    """M5: (model, accuracy_gap (points), auc_gap, f1_gap) = real - mean over synthetic runs,
-    each trained on its table and tested on the same 20 % stratified real test split."""
-    from fidspark.operators.prep import stratified_split
-
-    re, _, dic = encode_labels(r, runs[0], label)
-    k = "_key"
-    re = re.withColumn(k, F.xxhash64(*r.columns) if key is None else F.col(key))
-    sp = ensure_parallel(stratified_split(re.where("y IS NOT NULL"), "y", test_share, k, seed)).persist()
-    train_r, test = sp.where("split = 'train'"), sp.where("split = 'test'")
-    n_classes = dic.count()
+                models: Sequence[str] | None = None, test_share: float = 0.2, seed: int = 42,
+                key: str | None = None, task: str = "classification") -> DataFrame:
+    """M5/M6: real minus the mean over synthetic runs, each model trained on its table and tested on the same real 20 %.
+
+    Classification: (model, accuracy_gap in points, auc_gap, f1_gap), the
+    split stratified, the AUC (two classes) from probabilities or, for the
+    support vector machine, raw scores; its kernel is linear and it is left
+    out beyond two classes. Regression: (model, mape_gap, explained_variance_gap, r2_gap).
+    ``key`` (default: a hash of the row) decides who is tested. Rows without a label are left out.
+    """
+    regression = task == "regression"
+    models = models or (REGRESSORS if regression else CLASSIFIERS)
     spark = r.sparkSession
+    if regression:
+        tables = [d.withColumn("y", F.col(label).cast("double")) for d in (r, *runs)]
+        n_classes = 0
+    else:
+        union = reduce(DataFrame.unionByName, [s.select(label) for s in runs])
+        _, _, dic = encode_labels(r.select(label), union, label)
+        tables = [d.withColumn("_v", clean_label(label)).join(dic, F.col("_v") == F.col("v"), "left").drop("_v", "v")
+                  for d in (r, *runs)]
+        n_classes = dic.count()
+        if n_classes > 2:
+            models = [m for m in models if m != "svm"]
+    own = F.xxhash64(*r.columns) if key is None else F.col(key)
+    real = tables[0].where("y IS NOT NULL").select(*cols, "y", own.alias("_key"))
+    held = (prep.random_split(real, [1 - test_share, test_share], "_key", seed) if regression
+            else prep.stratified_split(real, "y", test_share, "_key", seed))
+    held = ensure_parallel(held).persist(StorageLevel.MEMORY_AND_DISK)
+    test = held.where("split = 'test'")
+    train = [held.where("split = 'train'")] + [
+        ensure_parallel(d.where("y IS NOT NULL").select(*cols, "y")).persist(StorageLevel.MEMORY_AND_DISK) for d in tables[1:]]
+    sizes = [d.count() for d in train]
+
+    def measured(m: str, tr: DataFrame, n: int) -> tuple:
+        learner = _regressor(m, n) if regression else _classifier(m, n, len(cols), n_classes, seed)
+        out = Pipeline(stages=[_assembler(cols), learner]).fit(tr).transform(test)
+        if regression:
+            rep = scores.regression_report(out, "y", "prediction").first()
+            return rep["mape"], rep["explained_variance"], rep["r2"]
+        score = vector_to_array("prob" if "prob" in out.columns else "rawPrediction")[1] if n_classes == 2 else F.lit(0.0)
+        out = out.select("y", "prediction", score.alias("s"), F.col("y").cast("int").alias("yl")).persist()
+        rep = scores.classification_report(out, "y", "prediction", positive="1.0").first()
+        auc = scores.auroc(out, "yl", "s").first()[0] if n_classes == 2 else None
+        out.unpersist()
+        return rep["accuracy"] * 100.0, auc, rep["f1_macro"] if n_classes > 2 else rep["f1_pos"]
+
     rows = []
     for m in models:
-        res = []
-        for tr in [train_r] + [encode_labels(r, s, label)[1].where("y IS NOT NULL") for s in runs]:
-            n = tr.count()
-            model = Pipeline(stages=[_assembler(cols), _classifier(m, n, len(cols), n_classes, seed)]).fit(tr)
-            out = model.transform(test)
-            rep = scores.classification_report(out, "y", "prediction").first()
-            if "prob" in out.columns and n_classes == 2:
-                auc = scores.auroc(out.select(F.col("y").cast("int").alias("yl"),
-                                              vector_to_array("prob")[1].alias("s")), "yl", "s").first()[0]
-            else:
-                auc = None
-            f1 = rep["f1_macro"] if n_classes > 2 else scores.classification_report(
-                out, "y", "prediction", positive="1.0").first()["f1_pos"]
-            res.append((rep["accuracy"] * 100.0, auc, f1))
-        real, syn = res[0], res[1:]
-
-        def mean(i):
-            vals = [x[i] for x in syn if x[i] is not None]
-            return sum(vals) / len(vals) if vals else None
-
-        rows.append((m, *[(real[i] - mean(i)) if real[i] is not None and mean(i) is not None else None
-                          for i in range(3)]))
-    return spark.createDataFrame(rows, "model string, accuracy_gap double, auc_gap double, f1_gap double")
-
-
-def ml_features(df: DataFrame, train: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """M8: per column, log(max(x, 0.01)) if train min >= 0 and max >= 1000, else (x - min)/(max - min) * 5."""
+        real_side, *syn = [measured(m, tr, n) for tr, n in zip(train, sizes)]
+        gaps = []
+        for i, x in enumerate(real_side):
+            ys = [y[i] for y in syn if y[i] is not None]
+            gaps.append(x - sum(ys) / len(ys) if ys and x is not None else None)
+        rows.append((m, *gaps))
+    for d in (held, *train[1:]):
+        d.unpersist()
+    names = ("mape_gap", "explained_variance_gap", "r2_gap") if regression else ("accuracy_gap", "auc_gap", "f1_gap")
+    return spark.createDataFrame(rows, "model string, " + ", ".join(f"{c} double" for c in names))
+
+
+def ml_features(df: DataFrame, train: DataFrame, cols: Sequence[str], cats: Sequence[str] = ()) -> DataFrame:
+    """M8: per number, log(max(x, 0.01)) if train min >= 0 and max >= 1000, else (x - min)/(max - min) * 5;
+    per category, an array of 0/1 over the train categories (``<column>_oh``, unknown: all 0) in its place."""
     row = train.agg(*[F.min(c).alias(f"mn_{c}") for c in cols], *[F.max(c).alias(f"mx_{c}") for c in cols]).first()
+    dictionary = encode.fit_dictionary(train, cats) if cats else None
+    for c in cats:
+        df = encode.one_hot(df, c, encode.categories_of(dictionary, c)).drop(c)
     out = []
     for c in df.columns:
         if c not in cols:
@@ -213,9 +256,91 @@ def ml_features(df: DataFrame, train: DataFrame, cols: Sequence[str]) -> DataFra
             continue
         mn, mx = row[f"mn_{c}"], row[f"mx_{c}"]
         x = F.col(c).cast("double")
-        if mn >= 0 and mx >= 1000:
+        if mn is None:  # no value in train
+            out.append(x.alias(c))
+        elif mn >= 0 and mx >= 1000:
             out.append(F.log(F.greatest(x, F.lit(0.01))).alias(c))
         else:
             w = (mx - mn) if mx != mn else 1.0
             out.append(((x - mn) / w * 5.0).alias(c))
     return df.select(*out)
+
+
+# The grid of M7 (36 points) and the criteria its best points are chosen by.
+EFFICIENCY_GRID = {"maxIter": (10, 50, 100), "minInstancesPerNode": (1, 10), "maxDepth": (5, 10, 20), "minInfoGain": (0.0, 1.0)}
+CRITERIA = {"classification": ("f1", "inverse_weighted_f1", "auroc", "accuracy", "average"), "regression": ("r2", "rmse")}
+
+
+def ml_efficiency(s: DataFrame, test: DataFrame, cols: Sequence[str], label: str, cats: Sequence[str] = (),
+                  task: str = "classification", grid: dict | None = None, seed: int = 42, parallel: int = 2) -> DataFrame:
+    """M7: machine-learning efficiency -> one row per criterion: (criterion, params, validation metric, test metrics).
+
+    A ninth of the training table ``s`` is validation; each point of the grid
+    is fitted on the rest, the best point per criterion is fitted again and
+    reported on ``test``. Gradient-boosted trees, or forests beyond two
+    classes. ``average`` is the mean of the other criteria. Features are
+    :func:`ml_features` of ``s``; rows without a label are left out.
+    """
+    from itertools import product
+
+    regression = task == "regression"
+    grid = grid or EFFICIENCY_GRID
+    points = [dict(zip(grid, values)) for values in product(*grid.values())]
+    if regression:
+        tr, te, n_classes = s.withColumn("y", F.col(label).cast("double")), test.withColumn("y", F.col(label).cast("double")), 0
+    else:
+        tr, te, dic = encode_labels(s, test, label)
+        n_classes = dic.count()
+    feats = [F.array(F.coalesce(F.col(c).cast("double"), F.lit(0.0))) for c in cols] + [F.col(f"{c}_oh") for c in cats]
+
+    def featured(d: DataFrame) -> DataFrame:
+        from pyspark.ml.functions import array_to_vector
+
+        own = F.xxhash64(*cols, *cats, "y").alias("_key")
+        x = ml_features(d.where("y IS NOT NULL").select(*cols, *cats, "y", own), s, cols, cats)
+        return ensure_parallel(x.select("y", "_key", array_to_vector(F.concat(*feats)).alias("features")))
+
+    whole = prep.random_split(featured(tr), [8 / 9, 1 / 9], "_key", seed, ("train", "val")).persist(StorageLevel.MEMORY_AND_DISK)
+    te = featured(te).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def learner(point: dict):
+        own = dict(point, seed=seed, featuresCol="features", labelCol="y")
+        if regression:
+            return GBTRegressor(**own)
+        if n_classes == 2:
+            return GBTClassifier(**own)
+        own["numTrees"] = own.pop("maxIter")
+        return RandomForestClassifier(**own)
+
+    def measured(point: dict, fitted: DataFrame, on: DataFrame) -> dict:
+        out = learner(point).fit(fitted).transform(on)
+        if regression:
+            return scores.regression_report(out, "y", "prediction").select("r2", "rmse").first().asDict()
+        out = out.select("y", "prediction", F.col("y").cast("int").alias("yl"), vector_to_array("probability").alias("pr")).persist()
+        rep = scores.classification_report(out, "y", "prediction", positive="1.0").first()
+        if n_classes == 2:
+            auc = scores.auroc(out.withColumn("s", F.col("pr")[1]), "yl", "s")
+        else:
+            probs = out.select("yl", *[F.col("pr")[c].alias(f"p{c}") for c in range(n_classes)])
+            auc = scores.auroc_ovr(probs, "yl", {str(c): f"p{c}" for c in range(n_classes)})
+        found = {"f1": rep["f1_macro"] if n_classes > 2 else rep["f1_pos"], "accuracy": rep["accuracy"], "auroc": auc.first()[0],
+                 "inverse_weighted_f1": scores.inverse_weighted_f1(out, "y", "prediction").first()[0]}
+        out.unpersist()
+        values = [v for v in found.values() if v is not None]
+        return found | {"average": sum(values) / len(values) if values else None}
+
+    names = CRITERIA["regression" if regression else "classification"]
+    with ThreadPool(parallel) as pool:  # fits of a grid run side by side on the cached rows
+        val = pool.map(lambda point: measured(point, whole.where("split = 'train'"), whole.where("split = 'val'")), points)
+
+        def best(name: str) -> int:
+            sign = -1.0 if name == "rmse" else 1.0
+            return max(range(len(points)), key=lambda i: float("-inf") if val[i][name] is None else sign * val[i][name])
+
+        chosen = {name: best(name) for name in names}
+        needed = sorted(set(chosen.values()))
+        tested = dict(zip(needed, pool.map(lambda i: measured(points[i], whole, te), needed)))
+    whole.unpersist(), te.unpersist()
+    rows = [(name, str(points[i]), val[i][name], *[tested[i][c] for c in names]) for name, i in chosen.items()]
+    return s.sparkSession.createDataFrame(rows, "criterion string, params string, validation double, "
+                                          + ", ".join(f"test_{c} double" for c in names))

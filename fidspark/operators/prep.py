@@ -296,24 +296,65 @@ def random_split(df: DataFrame, shares: Sequence[float], key: str, seed: int = 4
     return df.withColumn("split", e)
 
 
-def _rank_in_class(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
+def _rank_in_class(df: DataFrame, label: str, key: str, seed: int, copies: str | None = None) -> DataFrame:
     """``df`` plus _rank (from 1, by hash within the label) and _size (rows of the label).
 
     Hashes are uniform, so equal ranges of them cut a class into parts of like
     size. Rows are numbered within a part, and the counts of the parts before
     it (labels x parts rows) are added, so no task sees a whole class.
+    ``copies``: a column that says how many equal rows one row stands for;
+    _rank is then the rank of its last copy.
     """
     parts = 4 * default_buckets(df.sparkSession)
+    n = F.lit(1).cast("long") if copies is None else F.col(copies)
     rows = df.withColumn("_h", portable_hash(key, seed)).withColumn("_part", F.floor(F.col("_h") * parts / F.lit(float(HASH_RANGE))))
-    counts = rows.groupBy(F.col(label).alias("_label"), F.col("_part").alias("_of")).agg(F.count("*").alias("_n"))
+    counts = rows.groupBy(F.col(label).alias("_label"), F.col("_part").alias("_of")).agg(F.sum(n).alias("_n"))
     one = Window.partitionBy("_label")
     counts = counts.select("_label", "_of", F.sum("_n").over(one).alias("_size"), F.coalesce(F.sum("_n").over(
         one.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy(label, "_part").orderBy("_h", F.col(key))))
+    here = Window.partitionBy(label, "_part").orderBy("_h", F.col(key)).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_at", F.sum(n).over(here))
     return (rows.join(counts, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_part") == F.col("_of")))
             .withColumn("_rank", F.col("_at") + F.col("_before")).drop("_h", "_part", "_label", "_of", "_before", "_at"))
 
 
+def number_rows(df: DataFrame, group: Sequence[str], order: str) -> DataFrame:
+    """``df`` plus rn (from 1, by the numeric column ``order`` within ``group``) and n_group (rows of the group).
+
+    Rows are numbered within ranges of ``order``, and the counts of the ranges
+    before are added, so a group that holds most rows is no single task.
+    """
+    ranges = 4 * default_buckets(df.sparkSession)
+    edges = df.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10000)).first()[0] or []
+    edges = F.array(*[F.lit(e) for e in sorted(set(edges))]) if edges else F.array().cast("array<long>")
+    rows = df.withColumn("_range", F.size(F.filter(edges, lambda e: e < F.col(order))))
+    held = rows.groupBy(*[F.col(c).alias(f"_g_{c}") for c in group], F.col("_range").alias("_of")).agg(F.count("*").alias("_n"))
+    one = Window.partitionBy(*[f"_g_{c}" for c in group])
+    held = held.withColumn("n_group", F.sum("_n").over(one)).withColumn("_before", F.coalesce(F.sum("_n").over(
+        one.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy(*group, "_range").orderBy(order)))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group])
+    return rows.join(held, same & (F.col("_range") == F.col("_of"))).select(
+        *df.columns, (F.col("_at") + F.col("_before")).alias("rn"), "n_group")
+
+
+def fold_copies(df: DataFrame, cols: Sequence[str], label: str, k: int, seed: int = 42) -> DataFrame:
+    """W4 for rows without a key: (cols, label, fold, w), ``w`` equal rows being in that fold.
+
+    Equal rows are counted first and their copies dealt round robin, so every
+    fold holds its share of each class and a value held by most rows is one row.
+    """
+    rows = df.groupBy(*cols, label).agg(F.count("*").alias("_copies")).withColumn("_key", F.xxhash64(*cols, label))
+    ranked = _rank_in_class(rows, label, "_key", seed, "_copies").withColumn("_first", F.col("_rank") - F.col("_copies"))
+    dealt = ranked.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+
+    def below(n):  # copies of the class with a rank below n that are in the fold
+        return F.floor((n - 1 - F.col("fold")) / k)
+
+    return dealt.withColumn("w", (below(F.col("_rank")) - below(F.col("_first"))).cast("double")).where("w > 0").select(
+        *cols, label, "fold", "w")
+
+
 def stratified_fold(df: DataFrame, label: str, k: int, key: str, seed: int = 42) -> DataFrame:
     """fold = (rank within the label by hash, from 0) % k, so each class is spread evenly. A null label is a class."""
     return _rank_in_class(df, label, key, seed).withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank", "_size")

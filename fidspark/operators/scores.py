@@ -35,20 +35,13 @@ def per_class(df: DataFrame, label: str, pred: str) -> DataFrame:
 
 def classification_report(df: DataFrame, label: str, pred: str, positive: str | None = None) -> DataFrame:
     """One row: accuracy, macro/weighted/micro F1, (binary precision/recall/F1 for ``positive``)."""
-    pc = per_class(df, label, pred).where(F.col("support") > 0)
-    # sklearn macro averages over the union of labels and predictions
-    allc = per_class(df, label, pred)
-    tot = pc.agg(F.sum("support").alias("n"), F.sum("tp").alias("tp"),
-                 F.sum(F.col("f1") * F.col("support")).alias("wf1"))
-    macro = allc.agg(F.avg("f1").alias("f1_macro"))
-    out = tot.withColumn("_k", F.lit(1)).join(macro.withColumn("_k", F.lit(1)), "_k").select(
-        (F.col("tp") / F.col("n")).alias("accuracy"), "f1_macro",
-        (F.col("wf1") / F.col("n")).alias("f1_weighted"), (F.col("tp") / F.col("n")).alias("f1_micro"))
+    # macro averages run over the union of labels and predictions; a class without support weighs 0 elsewhere
+    share = F.sum("tp") / F.sum("support")
+    out = [share.alias("accuracy"), F.avg("f1").alias("f1_macro"),
+           (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("f1_weighted"), share.alias("f1_micro")]
     if positive is not None:
-        b = allc.where(F.col("cls") == str(positive)).select(
-            F.col("precision").alias("precision_pos"), F.col("recall").alias("recall_pos"), F.col("f1").alias("f1_pos"))
-        out = out.withColumn("_k", F.lit(1)).join(b.withColumn("_k", F.lit(1)), "_k", "left").drop("_k")
-    return out
+        out += [F.max(F.when(F.col("cls") == str(positive), F.col(c))).alias(f"{c}_pos") for c in ("precision", "recall", "f1")]
+    return per_class(df, label, pred).agg(*out)
 
 
 def inverse_weighted_f1(df: DataFrame, label: str, pred: str) -> DataFrame:
@@ -59,11 +52,12 @@ def inverse_weighted_f1(df: DataFrame, label: str, pred: str) -> DataFrame:
     return t.agg(F.try_divide(F.sum(F.col("f1") * (1 - F.col("share"))), F.first("k") - 1).alias("inverse_weighted_f1"))
 
 
-def auroc(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:
-    """Exact AUROC with ties averaged (rank-sum over distinct scores)."""
+def auroc(df: DataFrame, label: str, score: str, positive=1, copies: str | None = None) -> DataFrame:
+    """Exact AUROC with ties averaged (rank-sum over distinct scores); ``copies``: rows one row stands for."""
     y = (F.col(label).cast("string") == str(positive))
+    n = F.lit(1).cast("long") if copies is None else F.col(copies).cast("long")
     counts = df.groupBy(F.col(score).cast("double").alias("s")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(y).alias("npos"))
+        F.sum(n).alias("n"), F.sum(F.when(y, n).otherwise(0)).alias("npos"))
     ranks = cdf.average_ranks(counts.withColumnRenamed("n", "n_all"), [], "s", "n_all")
     j = ranks.join(counts.select("s", "npos"), "s")
     t = j.agg(F.sum(F.col("avg_rank") * F.col("npos")).alias("rs"), F.sum("npos").alias("p"),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fidspark.operators import iforest, models, stats
+from fidspark.operators import iforest, models, prep, stats
 from fidspark.plans import fixtures as fx
 from fidspark.plans.catalog import register
 from fidspark.plans.sqltext import clean_label_sql
@@ -68,7 +68,58 @@ def q_tstr(spark, d):
 @register("utility_gap", ops=("M5", "X3"))
 def q_utility(spark, d):
     r, s = _imputed_pair(spark, d)
-    return models.utility_gap(r, [s], MCOLS, fx.FEAT_LABEL, models=("lr", "dt"))
+    return models.utility_gap(r, [s], MCOLS, fx.FEAT_LABEL)
+
+
+@register("regression_utility", ops=("M6",))
+def q_regression_utility(spark, d):
+    r, s = _imputed_pair(spark, d)
+    return models.utility_gap(r, [s], ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", task="regression")
+
+
+# A part of the 36-point default grid, to bound the time of this query; the rows are all used.
+GRID = {"maxIter": (10, 50), "minInstancesPerNode": (1, 10), "maxDepth": (5,), "minInfoGain": (0.0,)}
+
+
+@register("ml_efficiency", ops=("M7", "M8", "M9"))
+def q_ml_efficiency(spark, d):
+    v = fx.view(spark, d, "near").select("p_partkey", "side", "p_size", "p_retailprice", "p_type", "p_brand")
+    v = v.withColumn("label", (F.col("p_size") > 25).cast("int"))
+    r, s = v.where("side = 'real'"), v.where("side = 'synthetic'")
+    return models.ml_efficiency(s, r, ["p_size", "p_retailprice"], "label", ["p_type"], grid=GRID)
+
+
+@register("propensity_metrics", fx.cte("scored") + """, c AS (SELECT avg(label) AS c FROM scored),
+m AS (SELECT avg((score - c) ** 2) AS pmse,
+  -avg(label * ln(score + 1e-12) + (1 - label) * ln(1 - score + 1e-12)) AS domain_classifier_logloss FROM scored, c),
+a AS (SELECT (sum(r) FILTER (WHERE label = 1) - p * (p + 1) / 2.0) / (p * (n - p)) AS domain_classifier_auroc FROM (
+  SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r,
+    CAST(count(*) FILTER (WHERE label = 1) OVER () AS DOUBLE) AS p, CAST(count(*) OVER () AS DOUBLE) AS n FROM scored) GROUP BY p, n)
+SELECT pmse, domain_classifier_auroc, domain_classifier_logloss FROM m, a""",
+          ["pmse", "domain_classifier_auroc", "domain_classifier_logloss"], ops=("M1",))
+def q_propensity_metrics(spark, d):
+    v = fx.view(spark, d, "scored").select(F.col("label").cast("double").alias("y"), F.col("score").alias("p"))
+    return models.propensity_metrics(v)
+
+
+@register("fold_copies", """WITH t AS (SELECT CAST(l_returnflag AS VARCHAR) AS l_returnflag,
+  CASE WHEN l_orderkey % 2 = 0 THEN 1.0 ELSE 0.0 END AS y FROM lineitem),
+g AS (SELECT y, count(*) AS n FROM t GROUP BY y)
+SELECT y, f AS fold, CAST((n + 4 - f) // 5 AS DOUBLE) AS w FROM g, range(0, 5) r(f)""", ["y", "w"], ops=("W4", "M1"))
+def q_fold_copies(spark, d):
+    v = fx.table(spark, d, "lineitem").select("l_returnflag", F.when(F.col("l_orderkey") % 2 == 0, 1.0).otherwise(0.0).alias("y"))
+    return prep.fold_copies(v, ["l_returnflag"], "y", 5).groupBy("y", F.col("fold").cast("long").alias("fold")).agg(F.sum("w").alias("w"))
+
+
+@register("ml_features_one_hot", """WITH c AS (SELECT list(v ORDER BY v) AS cats FROM (SELECT DISTINCT CAST(p_type AS VARCHAR) AS v
+  FROM part WHERE p_partkey % 2 = 1))
+SELECT p_partkey, CAST(coalesce(list_position(cats, CAST(p_type AS VARCHAR)), 0) AS INTEGER) AS position, len(cats) AS width FROM part, c""",
+          ops=("M8",))
+def q_ml_one_hot(spark, d):
+    p = fx.table(spark, d, "part").select("p_partkey", "p_type", F.col("p_size").cast("double").alias("p_size"))
+    x = models.ml_features(p, p.where("p_partkey % 2 = 1"), ["p_size"], ["p_type"])
+    return x.select("p_partkey", F.array_position("p_type_oh", 1.0).cast("int").alias("position"),
+                    F.size("p_type_oh").cast("long").alias("width"))
 
 
 @register("iforest_outlier_gap", ops=("M15", "F3"))

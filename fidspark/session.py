@@ -40,14 +40,15 @@ def default_buckets(spark: SparkSession) -> int:
 
 
 def ensure_parallel(df):
-    """Spread a frame over the cluster before Python-heavy or iterative work.
+    """Spread a small frame over the cores before Python-heavy or iterative work.
 
     A small file can scan as a single partition, which would serialise an
-    Arrow kernel or every optimizer pass.  Only when the frame has fewer
-    partitions than the default parallelism is it round-robin repartitioned;
-    large scans already have enough partitions and pass through untouched.
+    Arrow kernel or every optimizer pass. The planner's size estimate decides,
+    so no job runs here; results do not depend on it. Frames larger than one
+    scan split per core pass through: their scans already have enough splits.
     """
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        return df.repartition(par)
-    return df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = 128 << 20  # default size of a scan split
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if estimate < cores * split else df
