@@ -21,7 +21,7 @@ from typing import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fidspark.operators import cdf
@@ -54,8 +54,8 @@ def zscore_stats(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, f
     return {c: (row[f"m_{c}"] or 0.0, (row[f"s_{c}"] or 0.0) or 1.0) for c in cols}
 
 
-def _project(df: DataFrame, key: str, space: Space, zs: dict | None) -> DataFrame:
-    cols = [F.col(key).cast("long").alias("_key")]
+def _project(df: DataFrame, key: str, space: Space, zs: dict | None, keep: Sequence[str] = ()) -> DataFrame:
+    cols = [F.col(key).cast("long").alias("_key"), *keep]
     for c in space.num:
         x = F.col(c).cast("double")
         if zs is not None:
@@ -184,6 +184,28 @@ def knn(
     return out.withColumn("dist", F.when(F.col("dist") < float(NO_VALUE), F.col("dist")))
 
 
+def knn_within(df: DataFrame, key: str, group: str, space: Space, k: int = 1, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Exact k nearest other rows of the same group: (q_key, rank, dist, b_key); one join for all groups.
+
+    A group is dealt to as many blocks as its size asks for, so a group that
+    holds most rows is many tasks. Null is a group. Coordinates are taken as they are.
+    """
+    row_bytes = 8 * (2 + len(space.num)) + 32 * len(space.cat)
+    per_block = max(1, block_bytes // row_bytes)
+    sizes = df.groupBy(F.col(group).alias("_of")).agg(F.ceil(F.count("*") / per_block).cast("int").alias("_blocks"))
+    rows = _project(df.select("*", F.col(group).alias("_group")), key, space, None, ["_group"])
+    rows = rows.join(sizes, F.col("_group").eqNullSafe(F.col("_of"))).drop("_of")
+    own = F.pmod(F.xxhash64("_key"), F.col("_blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    query = rows.withColumn("_qb", own).withColumn("_bb", other).drop("_blocks")
+    base = rows.select(*[F.col(c).alias(c) for c in rows.columns]).withColumn("_bb", own).withColumn("_qb", other).drop("_blocks")
+    pair = ["_group", "_qb", "_bb"]
+    out = query.groupBy(*pair).cogroup(base.groupBy(*pair)).applyInPandas(_block_kernel(space, k, True, "knn"), KNN_SCHEMA)
+    w = Window.partitionBy("q_key").orderBy("dist", "b_key")  # k x blocks rows per query row
+    out = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out.withColumn("dist", F.when(F.col("dist") < float(NO_VALUE), F.col("dist")))
+
+
 def nearest(query: DataFrame, q_key: str, base: DataFrame, b_key: str, space: Space, k: int = 2,
             **kw) -> DataFrame:
     """Wide form: (q_key, d1, d2.., nn1, nn2..)."""
@@ -296,3 +318,43 @@ def prdc(r: DataFrame, s: DataFrame, cols: Sequence[str], r_key: str, s_key: str
     cov = nn_rs.join(rad_r, "key").agg(
         F.avg((F.col("dist") < F.col("radius")).cast("double")).alias("coverage")).withColumn("_k", F.lit(1))
     return prec.join(rec, "_k").join(cov, "_k").select("precision", "recall", "density", "coverage")
+
+
+def alpha_beta(r: DataFrame, s: DataFrame, cols: Sequence[str], r_key: str, s_key: str, levels: int = 30) -> DataFrame:
+    """One row (delta_precision_alpha, delta_coverage_beta), 1 being best.
+
+    Level a's ball around the real mean holds a share a of the real rows;
+    alpha-precision is the share of synthetic rows in it. Beta-coverage is the
+    share of real rows that have a synthetic row at most as far as the nearest
+    other real row, that synthetic row lying in the level's ball around the
+    synthetic mean (by quantiles over those nearest rows). The deltas are 1
+    minus the sum of distances to the diagonal over the sum of the levels.
+    """
+    alphas = [i / (levels - 1) for i in range(levels)]
+    means = [df.agg(*[F.avg(c).alias(c) for c in cols]).first() for df in (r, s)]
+
+    def off(row) -> Column:  # distance to a mean
+        return F.sqrt(sum((F.pow(F.col(c).cast("double") - F.lit(row[c]), 2) for c in cols), F.lit(0.0)))
+
+    def radii(df: DataFrame, value: str) -> list[float]:
+        names = {f"q{i}": a for i, a in enumerate(alphas)}
+        row = _quantiles(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n")), value, names).first()
+        return [row[n] for n in names]
+
+    one = {c: (0.0, 1.0) for c in cols}
+    sp = Space(num=cols, metric="euclidean")
+    balls = radii(r.select(off(means[0]).alias("d")), "d")
+    own = knn(r, r_key, r, r_key, sp, 1, exclude_self=True, q_stats=one, b_stats=one).select("q_key", F.col("dist").alias("d_real"))
+    syn = knn(r, r_key, s, s_key, sp, 1, q_stats=one, b_stats=one).select("q_key", "b_key", F.col("dist").alias("d_syn"))
+    there = s.select(F.col(s_key).cast("long").alias("b_key"), off(means[1]).alias("d_centre"))
+    near = syn.join(own, "q_key").join(there, "b_key").select(
+        "d_centre", (F.col("d_syn") <= F.col("d_real")).alias("covered")).persist()
+    shells = radii(near, "d_centre")
+    precise = s.select(off(means[0]).alias("d")).agg(*[F.avg((F.col("d") <= F.lit(x)).cast("double")).alias(f"p{i}")
+                                                       for i, x in enumerate(balls)]).first()
+    covered = near.agg(*[F.avg((F.col("covered") & (F.col("d_centre") <= F.lit(x))).cast("double")).alias(f"p{i}")
+                         for i, x in enumerate(shells)]).first()
+    near.unpersist()
+    deltas = [1 - sum(abs(a - curve[f"p{i}"]) for i, a in enumerate(alphas)) / sum(alphas) if curve["p0"] is not None else None
+              for curve in (precise, covered)]
+    return r.sparkSession.createDataFrame([tuple(deltas)], "delta_precision_alpha double, delta_coverage_beta double")

@@ -203,10 +203,15 @@ def normalize_space(c: str) -> Column:
     return F.concat(F.lit(" "), F.trim(F.col(c).cast("string")))
 
 
-def row_to_text(df: DataFrame, cols: Sequence[str], out: str = "text") -> DataFrame:
-    """P26: "col is value, col is value" (column order fixed)."""
-    return df.select("*", F.concat_ws(", ", *[F.concat(F.lit(f"{c} is "), F.col(c).cast("string")) for c in cols])
-                     .alias(out))
+def row_to_text(df: DataFrame, cols: Sequence[str], out: str = "text", shuffle_seed: int | None = None,
+                key: str | None = None) -> DataFrame:
+    """P26: "col is value, col is value", in the order given, or by hash per row with ``shuffle_seed`` and ``key``."""
+    pieces = [F.concat(F.lit(f"{c} is "), F.col(c).cast("string")) for c in cols]
+    if shuffle_seed is None:
+        return df.select("*", F.concat_ws(", ", *pieces).alias(out))
+    drawn = F.array_sort(F.array(*[F.struct(portable_hash(key, shuffle_seed + i).alias("h"), F.lit(i).alias("i"), p.alias("piece"))
+                                   for i, p in enumerate(pieces)]))
+    return df.select("*", F.concat_ws(", ", F.transform(drawn, lambda d: d["piece"])).alias(out))
 
 
 def text_to_row(df: DataFrame, text: str, cols: Sequence[str]) -> DataFrame:
@@ -232,10 +237,21 @@ def valid_rows(df: DataFrame, num: Sequence[str], n: int | None = None, order: s
     return out
 
 
-def reject_out_of_range(s: DataFrame, stats: dict[str, tuple[float, float]]) -> DataFrame:
-    """Keep rows whose listed columns lie in [min, max]; ``observe`` reports dropped rows."""
-    cond = reduce(lambda a, b: a & b, [F.col(c).between(lo, hi) for c, (lo, hi) in stats.items()])
-    return s.where(cond)
+def in_range(stats: dict[str, tuple[float, float]]) -> Column:
+    """Whether all listed columns lie in [min, max]; a null lies in none."""
+    return F.coalesce(reduce(lambda a, b: a & b, [F.col(c).between(lo, hi) for c, (lo, hi) in stats.items()]), F.lit(False))
+
+
+def reject_out_of_range(s: DataFrame, stats: dict[str, tuple[float, float]], n: int | None = None, order: str | None = None) -> DataFrame:
+    """Keep rows whose listed columns lie in [min, max]; with ``n``, the first n of them by ``order``."""
+    kept = s.where(in_range(stats))
+    return kept if n is None else kept.orderBy(order).limit(n)  # the limit is the feature
+
+
+def range_counts(s: DataFrame, stats: dict[str, tuple[float, float]]) -> DataFrame:
+    """One row (n_kept, n_rejected)."""
+    kept = F.count_if(in_range(stats))
+    return s.agg(kept.alias("n_kept"), (F.count("*") - kept).alias("n_rejected"))
 
 
 def handle_nan_rows(df: DataFrame, cols: Sequence[str], keep: bool = True) -> DataFrame:
@@ -366,6 +382,19 @@ def stratified_split(df: DataFrame, label: str, test_share: float, key: str, see
     return _rank_in_class(df, label, key, seed).withColumn("split", F.when(test, F.lit("test")).otherwise(F.lit("train"))).drop("_rank", "_size")
 
 
+def resplit(df: DataFrame, share: float, key: str, label: str | None = None, seed: int = 42, split: str = "split",
+            parts: Sequence[str] = ("train", "val")) -> DataFrame:
+    """Rows of ``parts`` are divided anew, ``share`` of them (of each class, with ``label``) to the second; the rest stay."""
+    inside = F.col(split).isin(*parts)
+    old, rest = df.where(inside).drop(split), df.where(~inside | F.col(split).isNull())
+    if label is None:
+        new = random_split(old, [1 - share, share], key, seed, parts)
+    else:
+        second = F.col("split") == "test"
+        new = stratified_split(old, label, share, key, seed).withColumn("split", F.when(second, parts[1]).otherwise(parts[0]))
+    return new.withColumnRenamed("split", split).select(df.columns).unionByName(rest)
+
+
 def covering_split_check(df: DataFrame, cats: Sequence[str], split_col: str = "split") -> DataFrame:
     """X2 check: per categorical column, categories missing from train (0 rows = covering)."""
     train = df.where(F.col(split_col) == "train")

@@ -1,15 +1,14 @@
 """Table-level synthesis and imputation.
 
 Draws are hash-uniforms of (draw id, seed), so they are reproducible and
-independent of partitioning.  Category tables (one row per category) are the
-only broadcast sides.
+independent of partitioning.  A draw meets the cumulative shares it falls
+between by an equality join on a cell of [0, 1); nothing is broadcast by force.
 """
 
 from __future__ import annotations
 
 from typing import Sequence
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,28 +32,54 @@ def condition_probabilities(df: DataFrame, cats: Sequence[str], log: bool = True
         F.sum("prob").over(wc)).alias("cum_hi"))  # the last bound is 1, not a sum of rounded shares
 
 
+CELLS = 4096  # equal cells of [0, 1) by which draws meet shares
+
+
+def _draw(draws: DataFrame, u: str, shares: DataFrame, on: Sequence[str] = ()) -> DataFrame:
+    """Join each draw with the row of ``shares`` whose [cum_lo, cum_hi) holds its ``u`` (within equal ``on``)."""
+    last = F.least(F.floor(F.col("cum_hi") * CELLS), F.lit(CELLS - 1))
+    spread = shares.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("cum_lo") * CELLS), F.greatest(
+        last, F.floor(F.col("cum_lo") * CELLS)))))  # at most one row per share and one per cell
+    met = draws.withColumn("_cell", F.floor(F.col(u) * CELLS)).join(spread, [*on, "_cell"])
+    return met.where((F.col(u) >= F.col("cum_lo")) & (F.col(u) < F.col("cum_hi"))).drop("_cell", "cum_lo", "cum_hi")
+
+
 def sample_conditions(draws: DataFrame, key: str, probs: DataFrame, n_cols: int, seed: int = 0) -> DataFrame:
     """Per draw a column chosen uniformly, then a value by the column's cumulative probabilities."""
     d = draws.select(key, (F.floor(hash_uniform(key, seed) * n_cols)).cast("int").alias("column_idx"),
                      hash_uniform(key, seed + 1).alias("u"))
-    p = F.broadcast(probs.select("column_idx", "feature", "value", "cum_lo", "cum_hi"))  # #categories rows
-    j = d.join(p, (d.column_idx == p.column_idx) & (F.col("u") >= F.col("cum_lo")) & (F.col("u") < F.col("cum_hi")))
-    return j.select(key, p.column_idx, "feature", "value")
+    shares = probs.select("column_idx", "feature", "value", "cum_lo", "cum_hi")
+    return _draw(d, "u", shares, ["column_idx"]).select(key, "column_idx", "feature", "value")
 
 
 def sample_matching(conditions: DataFrame, key: str, real: DataFrame, real_key: str, cats: Sequence[str],
                     seed: int = 0) -> DataFrame:
-    """For each (feature, value) condition, a real row holding that value, uniformly with replacement."""
+    """For each (feature, value) condition, a real row holding that value, uniformly with replacement. Null is a value."""
+    from fidspark.operators import prep
+
     long = real.select(real_key, *[F.col(c).cast("string").alias(c) for c in cats]).unpivot(
         [real_key], list(cats), "feature", "value")
-    w = Window.partitionBy("feature", "value").orderBy(real_key)
-    ranked = long.select("*", F.row_number().over(w).alias("rn"), F.count(F.lit(1)).over(
-        Window.partitionBy("feature", "value")).alias("n_cv"))
-    sizes = ranked.select("feature", "value", "n_cv").distinct()
-    c = conditions.join(sizes, ["feature", "value"]).withColumn(
-        "rn", (F.floor(hash_uniform(key, seed + 2) * F.col("n_cv")) + 1).cast("int"))
-    return c.join(ranked.select("feature", "value", "rn", real_key), ["feature", "value", "rn"]).select(
-        key, "feature", "value", real_key)
+    sizes = long.groupBy("feature", F.col("value").alias("_value")).agg(F.count("*").alias("_n"))
+    c = conditions.join(
+        sizes.withColumnRenamed("feature", "_feature"), (F.col("feature") == F.col("_feature")) & F.col("value").eqNullSafe(F.col("_value")))
+    c = c.select(key, "feature", "value", (F.floor(hash_uniform(key, seed + 2) * F.col("_n")) + 1).alias("_rn"))
+    rows = prep.number_rows(long, ["feature", "value"], real_key).select(
+        F.col("feature").alias("_feature"), F.col("value").alias("_value"), "rn", real_key)
+    same = (F.col("feature") == F.col("_feature")) & F.col("value").eqNullSafe(F.col("_value")) & (F.col("_rn") == F.col("rn"))
+    return c.join(rows, same).select(key, "feature", "value", real_key)
+
+
+def sample_start(train: DataFrame, col: str, draws: DataFrame, key: str, kind: str = "cat", seed: int = 0) -> DataFrame:
+    """(key, start): the text "<col> is <value>" each draw begins with.
+
+    ``cat``: values weighted by their counts; ``num``: a value drawn from the
+    rows with replacement, five decimals. Nulls in ``col`` are never drawn.
+    """
+    held = train.where(F.col(col).isNotNull())
+    value = F.format_string("%.5f", F.col(col).cast("double")) if kind == "num" else F.col(col).cast("string")
+    shares = condition_probabilities(held.select(value.alias(col)), [col], log=False).select("value", "cum_lo", "cum_hi")
+    d = draws.select(key, hash_uniform(key, seed).alias("_u"))
+    return _draw(d, "_u", shares).select(key, F.concat(F.lit(f"{col} is "), "value").alias("start"))
 
 
 def tail_band_penalty(r: DataFrame, s: DataFrame, cols: Sequence[str], q: float = 0.05) -> DataFrame:
@@ -66,29 +91,23 @@ def tail_band_penalty(r: DataFrame, s: DataFrame, cols: Sequence[str], q: float
     band = nc.real_quantiles([q, 1 - q])
     lo_c, hi_c = band.columns[1], band.columns[2]
     pen = F.greatest(F.col(lo_c) - F.col("value"), F.lit(0.0)) + F.greatest(F.col("value") - F.col(hi_c), F.lit(0.0))
-    c = nc.counts.where(F.col("value").isNotNull()).join(F.broadcast(band), "feature")
+    c = nc.counts.where(F.col("value").isNotNull()).join(band, "feature")
     return c.groupBy("feature").agg(F.try_divide(F.sum(pen * F.col("n_s")), F.sum("n_s")).alias("tail_penalty"))
 
 
 def smote(df: DataFrame, key: str, label: str, cols: Sequence[str], k: int = 5, seed: int = 0) -> DataFrame:
     """Per class, one synthetic row per real row: x + u (x_nn - x), nn a uniform pick among the
-    k nearest rows of the same class (exact k-NN, self excluded)."""
-    classes = [r[0] for r in df.select(label).distinct().collect()]  # one row per class
-    out = None
-    for c in classes:
-        part = df.where(F.col(label) == c)
-        nbr = nn.knn(part, key, part, key, nn.Space(num=cols), k, exclude_self=True,
-                     q_stats={x: (0.0, 1.0) for x in cols}, b_stats={x: (0.0, 1.0) for x in cols})
-        kk = nbr.groupBy("q_key").agg(F.max("rank").alias("kk"))
-        pick = kk.select("q_key", (F.floor(hash_uniform("q_key", seed) * F.col("kk")) + 1).cast("int").alias("rank"))
-        chosen = nbr.join(pick, ["q_key", "rank"]).select(F.col("q_key").alias(key), F.col("b_key").alias("_nn"))
-        x = part.select(key, label, *cols)
-        y = part.select(F.col(key).alias("_nn"), *[F.col(c2).alias(f"_n_{c2}") for c2 in cols])
-        u = hash_uniform(key, seed + 1)
-        res = x.join(chosen, key).join(y, "_nn").select(
-            key, label, *[(F.col(c2) + u * (F.col(f"_n_{c2}") - F.col(c2))).alias(c2) for c2 in cols])
-        out = res if out is None else out.unionByName(res)
-    return out
+    k nearest rows of the same class (exact, self excluded). All classes are one join; a null label is a class.
+    A class of one row has no neighbour and gives none."""
+    nbr = nn.knn_within(df, key, label, nn.Space(num=cols), k)
+    pick = F.floor(hash_uniform(F.col("q_key"), seed) * F.size("near")).cast("int")
+    chosen = (nbr.groupBy("q_key").agg(F.sort_array(F.collect_list(F.struct("rank", "b_key"))).alias("near"))  # k a row
+              .select(F.col("q_key").alias(key), F.get("near", pick)["b_key"].alias("_nn")))
+    x = df.select(key, label, *cols)
+    y = df.select(F.col(key).alias("_nn"), *[F.col(c).alias(f"_n_{c}") for c in cols])
+    u = hash_uniform(key, seed + 1)
+    return x.join(chosen, key).join(y, "_nn").select(
+        key, label, *[(F.col(c) + u * (F.col(f"_n_{c}") - F.col(c))).alias(c) for c in cols])
 
 
 def impute_baseline(train: DataFrame, test: DataFrame, col: str, kind: str, key: str, trials: int = 1,
@@ -100,9 +119,7 @@ def impute_baseline(train: DataFrame, test: DataFrame, col: str, kind: str, key:
     probs = condition_probabilities(train, [col], log=False)
     rows = test.select(key, F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
     rows = rows.withColumn("_u", hash_uniform(F.col(key) * trials + F.col("trial"), seed))
-    p = F.broadcast(probs.select("value", "cum_lo", "cum_hi"))
-    return rows.join(p, (F.col("_u") >= F.col("cum_lo")) & (F.col("_u") < F.col("cum_hi"))).select(
-        key, "trial", F.col("value").alias(col))
+    return _draw(rows, "_u", probs.select("value", "cum_lo", "cum_hi")).select(key, "trial", F.col("value").alias(col))
 
 
 def mask_column(df: DataFrame, col: str, n_categories: int) -> DataFrame:
@@ -127,3 +144,13 @@ def pool_imputations(trials: DataFrame, truth: DataFrame, key: str, value: str,
         (F.col(value) == F.col("truth")).cast("int").alias("y"), F.coalesce("share", F.lit(0.0)).alias("s"))
     auc = scores.auroc(pairs, "y", "s").withColumnRenamed("auroc", "auroc_micro").withColumn("_k", F.lit(1))
     return acc.join(auc, "_k").drop("_k")
+
+
+def pool_numeric(trials: DataFrame, truth: DataFrame, key: str, value: str, lo: float = 1.0, hi: float = 20000.0) -> DataFrame:
+    """I3 for a number: the mean of the trials' log-clipped values per row against the truth's; one row, rmse.
+    Rows without a trial or a truth are left out."""
+    from fidspark.operators import encode
+
+    pooled = trials.select(key, encode.log_clip(value, lo, hi).alias("_x")).groupBy(key).agg(F.avg("_x").alias("_p"))
+    both = pooled.join(truth.select(key, encode.log_clip(value, lo, hi).alias("_t")), key)
+    return both.agg(F.sqrt(F.avg(F.pow(F.col("_p") - F.col("_t"), 2))).alias("rmse"))

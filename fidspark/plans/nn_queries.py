@@ -146,3 +146,30 @@ SELECT (SELECT avg(CASE WHEN c > 0 THEN 1.0 ELSE 0.0 END) FROM ins) AS precision
 def q_prdc(spark, d):
     r, s = _vec_pair(spark, d)
     return nn.prdc(r, s, ECOLS, "vec_id", "vec_id", k=5)
+
+
+def _alpha_sql() -> str:
+    def off(t: str, m: str) -> str:
+        return f"sqrt(({t}.p_size - {m}.a) ** 2 + ({t}.p_retailprice - {m}.b) ** 2)"
+
+    gap = "sqrt((x.p_size - y.p_size) ** 2 + (x.p_retailprice - y.p_retailprice) ** 2)"
+    return fx.cte("near") + f""", r AS (SELECT * FROM near WHERE side = 'real'), s AS (SELECT * FROM near WHERE side = 'synthetic'),
+mr AS (SELECT avg(p_size) AS a, avg(p_retailprice) AS b FROM r), ms AS (SELECT avg(p_size) AS a, avg(p_retailprice) AS b FROM s),
+lv AS (SELECT i, i / 29.0 AS alpha FROM range(0, 30) g(i)),
+dr AS (SELECT {off('r', 'mr')} AS d FROM r, mr), ds AS (SELECT {off('s', 'mr')} AS d FROM s, mr),
+balls AS (SELECT i, alpha, (SELECT quantile_cont(d, [x / 29.0 for x in range(0, 30)]) FROM dr)[i + 1] AS q FROM lv),
+prec AS (SELECT i, alpha, avg(CASE WHEN d <= q THEN 1.0 ELSE 0.0 END) AS p FROM balls, ds GROUP BY ALL),
+own AS (SELECT x.p_partkey AS k, min({gap}) AS d FROM r x JOIN r y ON x.p_partkey <> y.p_partkey GROUP BY 1),
+syn AS (SELECT x.p_partkey AS k, arg_min(struct_pack(sk := y.p_partkey, d := {gap}, size := y.p_size, price := y.p_retailprice),
+        ({gap}, y.p_partkey)) AS n FROM r x, s y GROUP BY 1),
+near2 AS (SELECT syn.n.d <= own.d AS covered, sqrt((syn.n.size - ms.a) ** 2 + (syn.n.price - ms.b) ** 2) AS dc FROM syn JOIN own USING (k), ms),
+shells AS (SELECT i, alpha, (SELECT quantile_cont(dc, [x / 29.0 for x in range(0, 30)]) FROM near2)[i + 1] AS q FROM lv),
+cov AS (SELECT i, alpha, avg(CASE WHEN covered AND dc <= q THEN 1.0 ELSE 0.0 END) AS p FROM shells, near2 GROUP BY ALL)
+SELECT 1 - (SELECT sum(abs(alpha - p)) / sum(alpha) FROM prec) AS delta_precision_alpha,
+       1 - (SELECT sum(abs(alpha - p)) / sum(alpha) FROM cov) AS delta_coverage_beta"""
+
+
+@register("alpha_beta", _alpha_sql(), ["delta_precision_alpha", "delta_coverage_beta"], ops=("A32",))
+def q_alpha_beta(spark, d):
+    r, s = fx.pair(spark, d, "near")
+    return nn.alpha_beta(r, s, ["p_size", "p_retailprice"], "p_partkey", "p_partkey")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fidspark.functions import portable_hash_sql
-from fidspark.operators import synth
+from fidspark.operators import nn, synth
 from fidspark.plans import fixtures as fx
 from fidspark.plans.catalog import register
 from fidspark.plans.sqltext import long_sql
@@ -137,3 +137,41 @@ SELECT f1_micro, auroc_micro FROM acc, auc""", ["f1_micro", "auroc_micro"], ops=
 def q_pool(spark, d):
     truth = fx.table(spark, d, "events").select("event_id", "event_type")
     return synth.pool_imputations(_trials(spark, d), truth, "event_id", "event_type", CATS)
+
+
+U = f"{H('event_id', 9)} / 1099511627776e0"
+
+
+@register("sample_start_cat", f"""WITH c AS (SELECT CAST(p_brand AS VARCHAR) AS value, count(*) AS n FROM part WHERE p_brand IS NOT NULL GROUP BY 1),
+p AS (SELECT value, sum(prob) OVER w - prob AS cum_lo, CASE WHEN lead(prob) OVER (ORDER BY value) IS NULL THEN 1.0 ELSE sum(prob) OVER w END AS cum_hi
+  FROM (SELECT value, n / sum(n) OVER () AS prob FROM c) WINDOW w AS (ORDER BY value ROWS UNBOUNDED PRECEDING))
+SELECT event_id, 'p_brand is ' || p.value AS start FROM events JOIN p ON {U} >= cum_lo AND {U} < cum_hi""", ops=("X7",))
+def q_sample_start_cat(spark, d):
+    return synth.sample_start(fx.table(spark, d, "part"), "p_brand", fx.table(spark, d, "events"), "event_id", seed=9)
+
+
+@register("sample_start_num", f"""WITH c AS (SELECT printf('%.5f', p_retailprice) AS value, count(*) AS n FROM part GROUP BY 1),
+p AS (SELECT value, sum(prob) OVER w - prob AS cum_lo, CASE WHEN lead(prob) OVER (ORDER BY value) IS NULL THEN 1.0 ELSE sum(prob) OVER w END AS cum_hi
+  FROM (SELECT value, n / sum(n) OVER () AS prob FROM c) WINDOW w AS (ORDER BY value ROWS UNBOUNDED PRECEDING))
+SELECT event_id, 'p_retailprice is ' || p.value AS start FROM events JOIN p ON {U} >= cum_lo AND {U} < cum_hi""", ops=("X7",))
+def q_sample_start_num(spark, d):
+    return synth.sample_start(fx.table(spark, d, "part"), "p_retailprice", fx.table(spark, d, "events"), "event_id", "num", seed=9)
+
+
+@register("pool_numeric", """WITH t AS (SELECT event_id, avg(ln(greatest(least(value * (1 + m * 0.1), 20000.0), 1.0))) AS p
+  FROM events, range(0, 5) r(m) GROUP BY event_id)
+SELECT sqrt(avg((p - ln(greatest(least(value, 20000.0), 1.0))) ** 2)) AS rmse FROM t JOIN events USING (event_id)""", ["rmse"], ops=("I3",))
+def q_pool_numeric(spark, d):
+    ev = fx.table(spark, d, "events").select("event_id", "value")
+    trials = ev.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    return synth.pool_numeric(trials.select("event_id", (F.col("value") * (1 + F.col("trial") * 0.1)).alias("value")), ev, "event_id", "value")
+
+
+@register("smote_neighbours", """WITH n AS (SELECT a.p_partkey AS q_key, b.p_partkey AS b_key,
+    sqrt((a.p_size - b.p_size) ** 2 + (a.p_retailprice - b.p_retailprice) ** 2) AS dist
+  FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_partkey <> b.p_partkey)
+SELECT q_key, CAST(rank AS INTEGER) AS rank, dist, b_key FROM (
+  SELECT *, row_number() OVER (PARTITION BY q_key ORDER BY dist, b_key) AS rank FROM n) WHERE rank <= 5""", ["dist"], ops=("X8", "J5"))
+def q_smote_neighbours(spark, d):
+    p = fx.view(spark, d, "near").select("p_partkey", "p_type", "p_size", "p_retailprice")
+    return nn.knn_within(p, "p_partkey", "p_type", nn.Space(num=["p_size", "p_retailprice"]), 5)
