@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["stats_queries", "similarity_queries", "prep_queries", "nn_queries", "score_queries", "encode_queries", "model_queries", "synth_queries", "misc_queries"]
+_MODULES = ["stats_queries", "similarity_queries", "prep_queries", "nn_queries", "score_queries", "encode_queries", "model_queries", "synth_queries", "misc_queries", "mixture_queries"]
 
 
 def load_all() -> None:

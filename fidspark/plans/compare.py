@@ -2,9 +2,8 @@
 
 scan -> align (P2) -> split label (P4) -> numeric coercion (P5) -> median
 imputation (A8) -> one shared value-count/CDF table for every per-feature
-metric -> one-row roll-up.  Model-based and nearest-neighbour metrics are
-separate operators (``fidspark.operators.models`` / ``nn``) so a caller can
-add them to the report when wanted.
+metric -> one-row roll-up.  :func:`compare_full` adds the model-based and
+nearest-neighbour families, :func:`compare_runs` several synthetic tables.
 """
 
 from __future__ import annotations
@@ -14,7 +13,8 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fidspark.operators import assoc, prep, stats
+from fidspark.operators import assoc, iforest, models, nn, prep, stats
+from fidspark.sources import io
 
 
 def combine_rows(parts: Sequence[DataFrame]) -> DataFrame:
@@ -36,7 +36,7 @@ def compare_summary(
     r: DataFrame, s: DataFrame, label: str | int | None = None, num: Sequence[str] | None = None,
     expected: Sequence[int] | None = None, spearman: bool = True,
 ) -> DataFrame:
-    """One row of summary metrics (a subset of the reference's ~35; model/NN metrics separate)."""
+    """One row of the metrics that SQL can express (13 with Spearman)."""
     r, s = prep.align(r, s)
     lab = prep.resolve_label(r, label)
     feats = list(num) if num is not None else [c for c in r.columns if c != lab]
@@ -61,3 +61,59 @@ def compare_summary(
     if spearman:
         parts.insert(3, assoc.spearman_diff(rx, sx, feats))
     return combine_rows(parts)
+
+
+def _tables(r, s, num, label, key, expected, seed):
+    return compare_summary(r.select(*num, label), s.select(*num, label), label, num, expected)
+
+
+def _forest(r, s, num, label, key, expected, seed):
+    return iforest.outlier_gap(r, s, num, seed=seed, key=key)
+
+
+def _neighbours(r, s, num, label, key, expected, seed):
+    return nn.nn_distance(r, s, num, key, key)[1]
+
+
+def _propensity(r, s, num, label, key, expected, seed):
+    return models.propensity(r, s, num, seed=seed)[1]
+
+
+def _tstr(r, s, num, label, key, expected, seed):
+    return models.tstr(r, s, num, label)
+
+
+def _outliers(r, s, num, label, key, expected, seed):
+    return iforest.outlier_utility(r, s, num, key, seed=seed)
+
+
+# families of metrics by name; all see the sides after the imputation of numbers
+FAMILIES = {"tables": _tables, "iforest": _forest, "neighbours": _neighbours, "propensity": _propensity, "tstr": _tstr,
+            "outliers": _outliers}
+
+
+def compare_full(r: DataFrame, s: DataFrame, label: str, num: Sequence[str], key: str, expected: Sequence[int] | None = None,
+                 metrics: Sequence[str] | None = None, seed: int = 42) -> DataFrame:
+    """One row of the named families' metrics (default: all of ``FAMILIES``, 34 metrics).
+
+    ``key``: a whole-number row key, distinct within each side. Numbers are
+    coerced and imputed with the real medians first.
+    """
+    wanted = list(FAMILIES) if metrics is None else list(metrics)
+    unknown = set(wanted) - set(FAMILIES)
+    if unknown:
+        raise ValueError(f"no metrics named {sorted(unknown)}; there are {sorted(FAMILIES)}")
+    sides = stats.impute_median(*[prep.to_numeric(d.select(key, label, *num), num) for d in (r, s)], num)
+    return combine_rows([FAMILIES[name](*sides, num, label, key, expected, seed) for name in wanted])
+
+
+def compare_runs(r: DataFrame, runs: Sequence[DataFrame], label: str, num: Sequence[str], key: str, **kw) -> DataFrame:
+    """(run_id, metric, value) of every synthetic run; :func:`fidspark.operators.stats.average_runs` averages them."""
+    reports = [compare_full(r, s, label, num, key, **kw) for s in runs]
+    return prep.stack_runs([p.unpivot([], p.columns, "metric", "value") for p in reports])
+
+
+def write_reports(reports: DataFrame, folder: str) -> None:
+    """The metrics per run and their averages as CSV with header under ``folder``."""
+    io.write_report({"per_run_summary_metrics": reports.orderBy("run_id", "metric"),
+                     "summary_metrics": stats.average_runs(reports).orderBy("metric")}, folder)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fidspark.operators import iforest, models, prep, stats
-from fidspark.plans import fixtures as fx
+from fidspark.plans import compare, fixtures as fx
 from fidspark.plans.catalog import register
 from fidspark.plans.sqltext import clean_label_sql
 from fidspark.plans.stats_queries import NUM
@@ -134,3 +134,40 @@ def q_outlier_utility(spark, d):
     return iforest.outlier_utility(r.select("p_partkey", "p_size", "p_retailprice"),
                                    s.select("p_partkey", "p_size", "p_retailprice"),
                                    ["p_size", "p_retailprice"], "p_partkey", n_trees=300, seed=42)
+
+
+FULL = ["p_size", "p_retailprice"]
+
+
+@register("compare_full", ops=("A11", "F5"))
+def q_compare_full(spark, d):
+    r, s = fx.pair(spark, d, "near")
+    return compare.compare_full(r, s, "p_type", FULL, "p_partkey")
+
+
+NEAR_SIDES = """WITH near AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS p_size, p_retailprice, CAST(p_type AS VARCHAR) AS t FROM part),
+r AS (SELECT * FROM near WHERE p_partkey % 2 = 0), s AS (SELECT *, CAST(p_partkey // 2 % 2 AS INTEGER) AS run_id FROM near WHERE p_partkey % 2 = 1)
+"""
+
+
+@register("compare_runs_neighbours", NEAR_SIDES + """, z AS (SELECT avg(p_size) AS ma, stddev_pop(p_size) AS sa, avg(p_retailprice) AS mb,
+  stddev_pop(p_retailprice) AS sb FROM r),
+d AS (SELECT s.run_id, s.p_partkey, min(sqrt(((s.p_size - r.p_size) / sa) ** 2 + ((s.p_retailprice - r.p_retailprice) / sb) ** 2)) AS x
+  FROM s, r, z GROUP BY ALL)
+SELECT run_id, u.metric, u.value FROM (SELECT run_id, avg(x) AS nn_distance_mean, median(x) AS nn_distance_median,
+  quantile_cont(x, 0.95) AS nn_distance_p95, avg(CASE WHEN x < 1e-6 THEN 1.0 ELSE 0.0 END) AS nn_near_duplicate_rate FROM d GROUP BY run_id) q,
+  LATERAL (SELECT unnest(['nn_distance_mean', 'nn_distance_median', 'nn_distance_p95', 'nn_near_duplicate_rate']) AS metric,
+           unnest([nn_distance_mean, nn_distance_median, nn_distance_p95, nn_near_duplicate_rate]) AS value) u""", ["value"], ops=("A11", "U7", "A25", "A26"))
+def q_compare_runs(spark, d):
+    r, s = fx.pair(spark, d, "near")
+    runs = [s.where(F.floor(F.col("p_partkey") / 2) % 2 == i) for i in range(2)]
+    return compare.compare_runs(r, runs, "p_type", FULL, "p_partkey", metrics=["neighbours"])
+
+
+@register("class_distribution_sorted", NEAR_SIDES + """, a AS (SELECT t, count(*) / (SELECT count(*) FROM r) AS p FROM r GROUP BY t),
+b AS (SELECT t, count(*) / (SELECT count(*) FROM s) AS p FROM s GROUP BY t)
+SELECT t AS class, coalesce(a.p, 0) AS real_prop, coalesce(b.p, 0) AS synthetic_prop FROM a FULL JOIN b USING (t) ORDER BY class""",
+          ["real_prop", "synthetic_prop"], ops=("T1", "A1"))
+def q_sorted(spark, d):
+    r, s = fx.pair(spark, d, "near")
+    return stats.class_distribution(r, s, "p_type").orderBy("class").select(F.col("class").cast("string").alias("class"), "real_prop", "synthetic_prop")
