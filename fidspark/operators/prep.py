@@ -328,8 +328,9 @@ def _rank_in_class(df: DataFrame, label: str, key: str, seed: int, copies: str |
     one = Window.partitionBy("_label")
     counts = counts.select("_label", "_of", F.sum("_n").over(one).alias("_size"), F.coalesce(F.sum("_n").over(
         one.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    here = Window.partitionBy(label, "_part").orderBy("_h", F.col(key)).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_at", F.sum(n).over(here))
+    here = Window.partitionBy(label, "_part").orderBy("_h", F.col(key))
+    at = F.row_number().over(here) if copies is None else F.sum(n).over(here.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_at", at)
     return (rows.join(counts, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_part") == F.col("_of")))
             .withColumn("_rank", F.col("_at") + F.col("_before")).drop("_h", "_part", "_label", "_of", "_before", "_at"))
 
