@@ -5,8 +5,10 @@ fields, then a line goes to the leaf of its number of words and its first
 DEPTH words. Within a leaf, a word at a place that fewer than LEAST_DOCS
 lines share is generalised to a variable field too. What remains is the
 line's template. Templates that recur in LEAST_DOCS documents or more, and
-whose words are mostly fixed, are dropped from all of them. Documents with
-equal texts count as one, so copies do not make their own lines recur.
+whose words are mostly fixed, are dropped from all of them. A line of fewer
+than LEAST_WORDS words says less about itself and must recur in SHORT_DOCS.
+Documents with equal texts count as one, so copies do not make their own lines
+recur.
 
 Leaves and templates are chosen on 64-bit keys; texts move only for lines in
 leaves that recur, after equal ones have fallen together.
@@ -19,21 +21,21 @@ from pyspark.sql import functions as F
 
 from fidspark.llm.common import let, stage, text_of, words_of
 
-DEPTH, LEAST_DOCS, LEAST_WORDS, FIXED = 3, 3, 5, 0.6
+DEPTH, LEAST_DOCS, LEAST_WORDS, SHORT_DOCS, FIXED = 3, 3, 5, 6, 0.6
 FIELD = "<*>"
 _MASK = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
 def _parsed(docs: DataFrame, depth: int, least_words: int, with_words: bool = False) -> DataFrame:
-    """(_rid, n, doc_key, leaf, line_key[, words]) of each line with enough words.
+    """(_rid, n, doc_key, leaf, short, line_key[, words]) of each line that has a word.
 
     A line's words are taken apart once, within the array of lines: as columns
-    the filter on their number would do it a second time.
+    the filter on empty ones would do it a second time.
     """
     def parse(line: Column, n: Column) -> Column:
         masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, _MASK, FIELD)).otherwise(line)
-        return let(words_of(masked), lambda w: F.when(F.size(w) >= least_words, F.struct(
-            n.alias("n"), F.xxhash64(F.size(w), F.slice(w, 1, depth)).alias("leaf"), F.xxhash64(w).alias("line_key"), *([w.alias("words")] * with_words))))
+        return let(words_of(masked), lambda w: F.when(F.size(w) > 0, F.struct(
+            n.alias("n"), F.xxhash64(F.size(w), F.slice(w, 1, depth)).alias("leaf"), (F.size(w) < least_words).alias("short"), F.xxhash64(w).alias("line_key"), *([w.alias("words")] * with_words))))
 
     # numbered before the lines are taken apart: a generator in the same select would come first
     rows = docs.select(F.monotonically_increasing_id().alias("_rid"), text_of().alias("_t")).withColumn("doc_key", F.xxhash64("_t"))
@@ -41,15 +43,17 @@ def _parsed(docs: DataFrame, depth: int, least_words: int, with_words: bool = Fa
     return lines.filter("line is not null").select("_rid", "doc_key", "line.*")
 
 
-def _recurring(df: DataFrame, key: str, least_docs: int) -> DataFrame:
-    """The keys that stand in enough different documents, with their number."""
-    return df.select(key, "doc_key").distinct().groupBy(key).agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") >= least_docs)
+def _recurring(df: DataFrame, key: str, least_docs: int, short_docs: int) -> DataFrame:
+    """The keys that stand in enough different documents, with their number; lines of one key are all short or none is."""
+    counted = df.select(key, "short", "doc_key").distinct().groupBy(key, "short").agg(F.count("*").alias("n_docs"))
+    return counted.filter(F.col("n_docs") >= F.when(F.col("short"), short_docs).otherwise(least_docs)).drop("short")
 
 
-def line_templates(docs: DataFrame, depth: int = DEPTH, least_docs: int = LEAST_DOCS, least_words: int = LEAST_WORDS, fixed: float = FIXED) -> DataFrame:
+def line_templates(docs: DataFrame, depth: int = DEPTH, least_docs: int = LEAST_DOCS, least_words: int = LEAST_WORDS, short_docs: int = SHORT_DOCS,
+                   fixed: float = FIXED) -> DataFrame:
     """(_rid, n, template, n_docs): the lines to drop, with their recurring template."""
     heads = stage(_parsed(docs, depth, least_words), "lines")
-    leaves = stage(_recurring(heads, "leaf", least_docs).select("leaf"), "leaves")
+    leaves = stage(_recurring(heads, "leaf", least_docs, short_docs).select("leaf"), "leaves")
     there = stage(heads.join(leaves, "leaf", "left_semi"), "candidates")
     weights = there.select("leaf", "line_key", "doc_key").distinct().groupBy("leaf", "line_key").agg(F.count("*").alias("weight"))
     texts = (_parsed(docs, depth, least_words, with_words=True).select("leaf", "line_key", "words").join(leaves, "leaf", "left_semi").groupBy("leaf", "line_key").agg(F.min("words").alias("words"))
@@ -63,7 +67,7 @@ def line_templates(docs: DataFrame, depth: int = DEPTH, least_docs: int = LEAST_
                .select("line_key", "leaf", F.xxhash64("leaf", "words").alias("key"), F.array_join("words", " ").alias("template")))
     general = stage(general, "templates")
     lines = there.join(general.select("leaf", "line_key", "key"), ["leaf", "line_key"])
-    often = _recurring(lines, "key", least_docs)
+    often = _recurring(lines, "key", least_docs, short_docs)
     often = stage(often, "recurring")
     named = often.join(general.groupBy("key").agg(F.min("template").alias("template")), "key")
     return lines.select("_rid", "n", "key").join(named, "key").select("_rid", "n", "template", "n_docs")
@@ -73,8 +77,7 @@ def drop_lines(docs: DataFrame, **options) -> DataFrame:
     """One row per input row: doc_id, text without the lines of recurring templates, n_lines, n_dropped, dropped (line numbers).
 
     A null text stays null, with no lines; an empty text has one line, which
-    has no words and stays. Lines of fewer than LEAST_WORDS words stay. Rows
-    with equal texts lose the same lines. An empty table gives an empty table;
+    has no words and stays. Rows with equal texts lose the same lines. An empty table gives an empty table;
     columns other than doc_id and text are not looked at. The input is read
     several times and must give the same rows in the same order (files, or a
     staged table).

@@ -315,6 +315,15 @@ def test_line_dedup(spark, docs, no_docs):
     assert line_dedup.drop_lines(docs).count() == docs.count() and line_dedup.drop_lines(no_docs).collect() == []
 
 
+def test_line_dedup_drops_short_lines_on_more_evidence(spark):
+    rows = [(i, f"Own text {chr(97 + i) * 5} of this one page\nAll rights reserved.\nOK\nPage 1{i} of 90" + "\nSee also" * (i < 5)) for i in range(6)]
+    rows += [(10 + k, rows[5][1] + "\nSee also") for k in range(3)] + [(20, "OK then"), (21, " \n")]
+    got = {r.doc_id: r for r in line_dedup.drop_lines(spark.createDataFrame(rows[:6] + rows[9:], "doc_id long, text string")).collect()}
+    assert all(got[i].dropped == "1,2" for i in range(6)) and got[20].n_dropped == got[21].n_dropped == 0
+    got = {r.doc_id: r for r in line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].dropped == got[10].dropped == "1,2,4" and got[5].dropped == "1,2"
+
+
 # ---------------------------------------------------------------- license scans
 def brute_scan(text, counts=None):
     tokens = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
