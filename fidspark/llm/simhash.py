@@ -236,11 +236,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, parts: int = PARTS, **tree) -> DataFrame:
-    """One row per input row: _rid, doc_id, fp, component_id.
+    """One row per input row: _rid, doc_id, fp, root, component_id.
 
     component_id is the smallest doc_id reachable over links of at most
     ``max_bits`` differing bits, the row's own included (null if all are
-    null). Null and empty texts have fingerprint 0 and are linked like any
+    null). It does not tell components apart when doc_ids are null or repeated;
+    root, a fingerprint of the component, does. Null and empty texts have fingerprint 0 and are linked like any
     other. Repeated rows have equal fingerprints. An empty table gives an
     empty table. Columns other than doc_id and text are not looked at.
     """
@@ -249,8 +250,8 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, p
     roots = components(links(groups, max_bits, parts, **tree))
     joined = groups.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = joined.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("_rid", "doc_id", "fp", "component_id")
+    named = joined.join(least, "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp").select("_rid", "doc_id", "fp", "root", "component_id")
 
 
 def hex_fingerprint(fp: str = "fp"):
@@ -264,6 +265,6 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS)
     (files, or a staged table).
     """
     named = stage(classes(docs, shingle, max_bits), "classes")
-    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_rid"))["_rid"].alias("_rid"))
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_rid"))["_rid"].alias("_rid"))
     packed = docs.select(F.monotonically_increasing_id().alias("_rid"), F.struct("*").alias("_row"))
     return packed.join(first.select("_rid"), "_rid", "left_semi").select("_row.*")

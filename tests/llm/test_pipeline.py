@@ -41,6 +41,12 @@ def test_every_stage_takes_odd_tables(spark, request, table):
         f(spark, stage(docs, "test"), SF).collect()
 
 
+def test_near_dedup_keeps_unrelated_texts_with_null_or_repeated_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    rows = spark.createDataFrame([(None, a), (None, b), (None, b), (7, c), (7, d), (8, d), (None, d)], "doc_id long, text string")
+    assert Counter(tuple(r) for r in simhash.keep_one(stage(rows, "test")).collect()) == Counter([(None, a), (None, b), (7, c), (7, d)])
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_oracle(spark, name):
     con = duckdb.connect()
