@@ -1,12 +1,16 @@
 """License scans: exact set-similarity join of text blocks with license templates.
 
-A block is a line of the text, a template a known notice. A block meets a
-template if it holds at least THRESHOLD of the template's distinct words. The
-join is exact: the template words are ordered by how many blocks of the corpus
-hold them, rarest first (one counting pass over all texts). A block that meets
-a template must share a word of the template's prefix (prefix filter), be long
-enough (length filter), and at their first common word, enough words must be
-left on both sides (positional filter). What remains is counted out.
+A template is a known notice, a block a line of the text or a window of words
+wherever the lines break, as long as the template divided by THRESHOLD. A block
+meets a template if it holds at least THRESHOLD of the template's distinct
+words. The join is exact: the template words are ordered by how many lines of
+the corpus hold them, rarest first (one counting pass over all texts; the order
+decides what is pruned, not what is found). A block that meets a template must
+share a word of the template's prefix (prefix filter), be long enough (length
+filter), and at their first common word, enough words must be left on both
+sides (positional filter). What remains is counted out. A text holds all its
+blocks, so it goes through the filters first, and its windows are looked at
+only for the templates that the text as a whole meets.
 
 The templates are a bounded set that tasks hold whole; each text is read by
 one pass of a small kernel per Arrow batch, with no shuffle of texts.
@@ -15,8 +19,10 @@ one pass of a small kernel per Arrow batch, with no shuffle of texts.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -70,28 +76,53 @@ class Index:
         self.rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
         self.templates, self.prefix = [], {}
         for k, (label, keys, text) in enumerate(templates):
-            words = sorted({self.rank[w] for w in plain(text).split()})
+            parts = plain(text).split()
+            words = sorted({self.rank[w] for w in parts})
             need = max(1, math.ceil(threshold * len(words) - 1e-9))
-            self.templates.append((label, {self.rank[w] for w in keys.encode().split()}, words, set(words), need))
+            self.templates.append((label, {self.rank[w] for w in keys.encode().split()}, words, set(words), need, math.ceil(len(parts) / threshold - 1e-9)))
             for i, w in enumerate(words[:len(words) - need + 1]):
                 self.prefix.setdefault(w, []).append((k, i))
         self.starts = frozenset(w for w, r in self.rank.items() if r in self.prefix)
 
-    def meet(self, block: list[bytes]) -> Iterator[tuple[str, float]]:
-        """(label, containment) of each template that the block meets."""
+    def meet(self, block: list[bytes]) -> Iterator[tuple[int, float, bool]]:
+        """(template, containment, whether its key words are there) of each template that the block meets."""
         if self.starts.isdisjoint(block):
             return
         own = sorted({self.rank[w] for w in block if w in self.rank})
         have, seen = set(own), set()
         for j, r in enumerate(own):
             for k, i in self.prefix.get(r, ()):
-                label, keys, words, members, need = self.templates[k]
+                _, keys, words, members, need, _ = self.templates[k]
                 if k in seen or len(own) < need or 1 + min(len(words) - i - 1, len(own) - j - 1) < need:
                     continue
                 seen.add(k)
                 common = len(members & have)
-                if common >= need and keys <= have:
-                    yield label, common / len(words)
+                if common >= need:
+                    yield k, common / len(words), keys <= have
+
+    def passages(self, text: list[bytes], k: int) -> Iterator[tuple[int, int, float, bool]]:
+        """(first word, last word, largest containment, key words) of each run of overlapping windows that meet template k."""
+        _, keys, words, members, need, width = self.templates[k]
+        at = [(p, r) for p, r in enumerate(map(self.rank.get, text)) if r in members]
+        held, lo, run = Counter(), 0, None
+        for p, r in at:
+            held[r] += 1
+            # what comes again is not needed: the later place stays longer
+            while at[lo][0] <= p - width or held[at[lo][1]] > 1:
+                held[at[lo][1]] -= 1
+                if not held[at[lo][1]]:
+                    del held[at[lo][1]]
+                lo += 1
+            if len(held) >= need:
+                c, keyed = len(held) / len(words), keys <= held.keys()
+                if run and at[lo][0] <= run[1]:
+                    run = run[0], p, max(run[2], c), run[3] or keyed
+                else:
+                    if run:
+                        yield run
+                    run = at[lo][0], p, c, keyed
+        if run:
+            yield run
 
 
 def block_counts(docs: DataFrame, templates: Sequence[tuple[str, str, str]]) -> dict[bytes, int]:
@@ -125,33 +156,44 @@ def base_places(words: list[bytes], phrases: Sequence[tuple[str, str]] = PHRASES
 
 def scan(docs: DataFrame, templates: Sequence[tuple[str, str, str]] = TEMPLATES, phrases: Sequence[tuple[str, str]] = PHRASES,
          threshold: float = THRESHOLD) -> DataFrame:
-    """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks.
-
-    ``labels`` are the base labels and those of all templates that a line
-    meets; ``score`` is 1 with a base place, else the largest containment of a
-    met template, else 0; ``blocks`` lists (line, label, containment). A null
+    """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, met_labels, met_score, blocks.
+
+    ``met_labels`` are the base labels and those of all templates that a block
+    meets; ``met_score`` is 1 with a base place, else the largest containment of
+    a met template, else 0. ``labels`` and ``score`` are the same for blocks of
+    one line. Only templates whose key words are there count. ``blocks`` lists
+    (line, last_line, label, containment): lines, then runs of overlapping
+    windows that span lines. A null
     or empty text has no words and empty labels. Repeated rows get equal
     results, an empty table gives an empty one, other columns are not looked at.
     """
     index = Index(templates, block_counts(docs, templates), threshold)
     doc_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = (f"doc_id {doc_type}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
-              "blocks array<struct<line:int,label:string,containment:double>>")
-    block_type = pa.list_(pa.struct([("line", pa.int32()), ("label", pa.string()), ("containment", pa.float64())]))
-    types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), block_type]
-    names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks"]
+    schema = (f"doc_id {doc_type}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, met_labels string, met_score double, "
+              "blocks array<struct<line:int,last_line:int,label:string,containment:double>>")
+    block_type = pa.list_(pa.struct([("line", pa.int32()), ("last_line", pa.int32()), ("label", pa.string()), ("containment", pa.float64())]))
+    types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.string(), pa.float64(), block_type]
+    names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "met_labels", "met_score", "blocks"]
+
+    def block(line: int, last: int, k: int, c: float) -> dict:
+        return {"line": line, "last_line": last, "label": index.templates[k][0], "containment": c}
 
     def of(text: str) -> tuple:
-        words, blocks = [], []
-        for n, line in enumerate(plain(text).split(b"\n")):
-            block = line.split()
-            words += block
-            blocks += [{"line": n, "label": label, "containment": c} for label, c in index.meet(block)]
+        lines = [line.split() for line in plain(text).split(b"\n")]
+        words, one, more = [w for line in lines for w in line], [], []
+        if met := [k for k, _, _ in index.meet(words)]:
+            one = [block(n, n, k, c) for n, line in enumerate(lines) for k, c, keyed in index.meet(line) if keyed]
+            ends = list(accumulate(map(len, lines)))
+            for k in met:
+                for first, last, c, keyed in index.passages(words, k):
+                    a, b = bisect_right(ends, first), bisect_right(ends, last)
+                    if keyed and a < b:
+                        more.append(block(a, b, k, c))
         places = base_places(words, phrases)
         base = {label for _, label in places}
-        best = 1.0 if places else max((b["containment"] for b in blocks), default=0.0)
+        found = lambda blocks: (",".join(sorted(base | {b["label"] for b in blocks})), 1.0 if places else max((b["containment"] for b in blocks), default=0.0))
         return (len(words), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted(base)),
-                ",".join(sorted(base | {b["label"] for b in blocks})), best, blocks)
+                *found(one), *found(one + more), one + more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -351,3 +351,34 @@ def test_license_scan(spark, docs, no_docs):
     got = Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, round(r.score, 9)) for r in license_scan.scan(df).collect())
     assert got == Counter((i, *(round(x, 9) if isinstance(x, float) else x for x in brute_scan(t))) for i, t in rows_of(df))
     assert license_scan.scan(no_docs).collect() == []
+
+
+def brute_met(text, threshold=license_scan.THRESHOLD):
+    """Labels of the templates that a line or a window of words meets, whatever the key words, with the largest containment."""
+    tokens = lambda t: license_scan.plain(t).split()
+    w, met = tokens(text), {}
+    for label, keys, t in license_scan.TEMPLATES:
+        words, width = set(tokens(t)), -(-len(tokens(t)) * 5 // 4)
+        assert threshold == 0.8
+        for part in [tokens(x) for x in text.split("\n")] + [w[k:k + width] for k in range(max(1, len(w) - width + 1))]:
+            c = len(words & set(part)) / len(words)
+            if c >= threshold - 1e-12 and set(keys.encode().split()) <= set(part):
+                met[label] = max(met.get(label, 0), c)
+    return met
+
+
+def test_license_scan_finds_wrapped_notices(spark):
+    rng, texts = np.random.default_rng(6), ["fee for this", "the mit " * 50]
+    for _, _, t in license_scan.TEMPLATES:
+        w = t.split()
+        for share in (1.0, 0.9, 0.8):
+            picked = [x for x in w if rng.uniform() < share]
+            texts.append("Some words before\n * " + "".join(x + (" " if rng.uniform() < 0.7 else "\n * ") for x in picked) + "and after")
+        texts.append("the of and this to\n\n".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in license_scan.scan(df).collect():
+        met, base = brute_met(texts[r.doc_id]), set(filter(None, r.base_labels.split(",")))
+        assert r.met_labels == ",".join(sorted(base | set(met))) and r.met_score == pytest.approx(1.0 if base else max(met.values(), default=0.0))
+    notice = license_scan.TEMPLATES[3][2].replace(", ", ",\n")
+    r, = license_scan.scan(spark.createDataFrame([(1, "x\n" + notice)], "doc_id long, text string")).collect()
+    assert r.met_labels == "mit" and r.met_score == 1.0 and [(b.line, b.last_line, b.label) for b in r.blocks] == [(1, 1 + notice.count("\n"), "mit")]
