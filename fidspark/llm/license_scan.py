@@ -161,39 +161,40 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str, str]] = TEMPLATES,
     ``met_labels`` are the base labels and those of all templates that a block
     meets; ``met_score`` is 1 with a base place, else the largest containment of
     a met template, else 0. ``labels`` and ``score`` are the same for blocks of
-    one line. Only templates whose key words are there count. ``blocks`` lists
-    (line, last_line, label, containment): lines, then runs of overlapping
-    windows that span lines. A null
+    one line that also hold the template's key words. ``blocks`` lists all
+    (line, last_line, label, containment, keyed): lines, then runs of
+    overlapping windows that span lines; keyed tells whether the key words are
+    there. A null
     or empty text has no words and empty labels. Repeated rows get equal
     results, an empty table gives an empty one, other columns are not looked at.
     """
     index = Index(templates, block_counts(docs, templates), threshold)
     doc_type = docs.schema["doc_id"].dataType.simpleString()
     schema = (f"doc_id {doc_type}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, met_labels string, met_score double, "
-              "blocks array<struct<line:int,last_line:int,label:string,containment:double>>")
-    block_type = pa.list_(pa.struct([("line", pa.int32()), ("last_line", pa.int32()), ("label", pa.string()), ("containment", pa.float64())]))
+              "blocks array<struct<line:int,last_line:int,label:string,containment:double,keyed:boolean>>")
+    block_type = pa.list_(pa.struct([("line", pa.int32()), ("last_line", pa.int32()), ("label", pa.string()), ("containment", pa.float64()), ("keyed", pa.bool_())]))
     types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.string(), pa.float64(), block_type]
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "met_labels", "met_score", "blocks"]
 
-    def block(line: int, last: int, k: int, c: float) -> dict:
-        return {"line": line, "last_line": last, "label": index.templates[k][0], "containment": c}
+    def block(line: int, last: int, k: int, c: float, keyed: bool) -> dict:
+        return {"line": line, "last_line": last, "label": index.templates[k][0], "containment": c, "keyed": keyed}
 
     def of(text: str) -> tuple:
         lines = [line.split() for line in plain(text).split(b"\n")]
         words, one, more = [w for line in lines for w in line], [], []
         if met := [k for k, _, _ in index.meet(words)]:
-            one = [block(n, n, k, c) for n, line in enumerate(lines) for k, c, keyed in index.meet(line) if keyed]
+            one = [block(n, n, *m) for n, line in enumerate(lines) for m in index.meet(line)]
             ends = list(accumulate(map(len, lines)))
             for k in met:
                 for first, last, c, keyed in index.passages(words, k):
                     a, b = bisect_right(ends, first), bisect_right(ends, last)
-                    if keyed and a < b:
-                        more.append(block(a, b, k, c))
+                    if a < b:
+                        more.append(block(a, b, k, c, keyed))
         places = base_places(words, phrases)
         base = {label for _, label in places}
         found = lambda blocks: (",".join(sorted(base | {b["label"] for b in blocks})), 1.0 if places else max((b["containment"] for b in blocks), default=0.0))
         return (len(words), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted(base)),
-                *found(one), *found(one + more), one + more)
+                *found([b for b in one if b["keyed"]]), *found(one + more), one + more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
