@@ -1,12 +1,14 @@
 """Information-theoretic sanitisation of personal data.
 
 Patterns find the protected entities (e-mail, IP, card, phone). Beyond them,
-words can give an entity away: over the distinct lines of the corpus, a word t
-near an entity c discloses PMI(c; t) of the entity's information IC(c) =
--log2 p(c), with PMI = log2(p(c, t) / (p(c) p(t))). A word that discloses at
-least GENERALISE of IC(c) is generalised, one that discloses REMOVE of it is
+words can give an entity away: over the distinct contexts of the corpus, a word
+t discloses PMI(c; t) of an entity's information IC(c) = -log2 p(c), with PMI =
+log2(p(c, t) / (p(c) p(t))). A context is a line with the NEAR lines before and
+after it that are not blank; all counts are of contexts. A word that discloses
+at least GENERALISE of IC(c) is generalised, one that discloses REMOVE of it is
 removed, wherever it stands in a document that holds c. Words need SUPPORT
-distinct lines with the entity: a copied line is no evidence.
+distinct contexts around lines with the entity, or distinct contexts with it in
+SUPPORT documents: a copied context is no evidence.
 
 All of it is columns, joins and aggregates. Spans count code points, end
 exclusive.
@@ -14,12 +16,14 @@ exclusive.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fidspark.llm.common import let, stage, text_of, total, words_of
+from fidspark.llm.common import let, stage, text_of, words_of
 
-GENERALISE, REMOVE, SUPPORT, NEAR = 0.75, 0.9, 2, 5
+GENERALISE, REMOVE, SUPPORT, NEAR = 0.75, 0.9, 2, 1
 KINDS = ("email", "ip", "card", "phone", "generalised", "removed")
 MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "generalised": "[TERM]", "removed": ""}
 _SPAN = "array<struct<start:int,rank:int,stop:int,kind:string,value:string>>"
@@ -33,6 +37,7 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+_MAY_HOLD = r"@|[0-9][ ().-]*[0-9]"
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 
@@ -102,30 +107,69 @@ def _term(word: Column) -> Column:
     return F.when(core.rlike(r"^\p{L}[\p{L}\p{M}'’-]{2,}$"), core).otherwise("")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """The distinct lines of all texts; equal ones fall together before the shuffle, too."""
-    return docs.select(F.explode(F.split(text_of(), "\n")).alias("line")).filter(F.col("line").rlike(r"[^\x20\x09-\x0D]")).distinct()
+def _lines(text: Column) -> Column:
+    return F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+
+
+def _terms(line: Column) -> Column:
+    return F.array_remove(F.array_distinct(F.transform(words_of(line), _term)), "")
+
+
+def _around(lines: Column, i: Column, near: int) -> Column:
+    lo = F.greatest(i - near, F.lit(0))
+    return F.slice(lines, lo + 1, i + near + 1 - lo)
+
+
+def _contexts(docs: DataFrame, near: int, *what: tuple[str, Callable[[Column], Column]], joined: DataFrame | None = None) -> DataFrame:
+    """(_rid, i, unit, a column for each of ``what``, those of ``joined`` by _rid): the contexts of all texts; each line is taken apart once."""
+    rows = docs.select(F.monotonically_increasing_id().alias("_rid"), text_of().alias("_t"))
+    rows = rows if joined is None else rows.join(joined, "_rid")
+    extra = [] if joined is None else [c for c in joined.columns if c != "_rid"]
+
+    def units(x: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(x["lines"]) - 1)
+        found = F.transform(at, lambda i: F.struct(
+            i.alias("i"), F.xxhash64(_around(x["lines"], i, near), F.least(i, F.lit(near))).alias("unit"),
+            *(F.array_distinct(F.flatten(_around(x[name], i, near))).alias(name) for name, _ in what),
+            *(F.get(x[name], i).alias(f"own_{name}") for name, _ in what if name == "entities")))
+        return F.when(F.size(x["lines"]) > 0, found)
+
+    of_lines = lambda lines: F.struct(lines.alias("lines"), *(F.transform(lines, f).alias(name) for name, f in what))
+    found = let(_lines(F.col("_t")), lambda lines: let(of_lines(lines), units))
+    return rows.select("_rid", *extra, F.explode(found).alias("c")).select("_rid", *extra, "c.*")
+
+
+def _entities(line: Column) -> Column:
+    return F.when(line.rlike(_MAY_HOLD), F.array_distinct(F.transform(base_spans(line), _entity))).otherwise(F.array().cast("array<string>"))
 
 
 def disclosing_terms(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT,
                      near: int = NEAR) -> DataFrame:
     """(entity, term, kind): words that disclose an entity, with "generalised" or "removed"."""
-    holding = docs.select(F.explode(F.split(text_of(), "\n")).alias("line")).filter(F.col("line").rlike(r"@|[0-9][ ().-]*[0-9]")).distinct()
-    spans = holding.select("line", F.explode(base_spans(F.col("line"))).alias("s"))
-    left = F.slice(F.reverse(words_of(F.substring("line", F.lit(1), F.col("s.start")))), 1, near)
-    right = F.slice(words_of(F.substring("line", F.col("s.stop") + 1, F.length("line"))), 1, near)
-    near_words = F.array_remove(F.array_distinct(F.transform(F.concat(left, right), _term)), "")
-    contexts = stage(spans.select(F.xxhash64("line").alias("_line"), _entity(F.col("s")).alias("entity"), near_words.alias("terms")), "contexts")
-    pairs = (contexts.select("_line", "entity", F.explode("terms").alias("term")).distinct()
-             .groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= support))
+    holding = docs.select("text").filter(text_of().rlike(_MAY_HOLD))
+    held = _contexts(holding, near, ("entities", _entities), ("terms", _terms)).filter(F.size("entities") > 0)
+    # equal contexts, of copies, fall together
+    held = held.groupBy("unit").agg(F.min("_rid").alias("_rid"), F.first(F.struct("entities", "own_entities", "terms")).alias("c")).select("_rid", "c.*")
+    held = stage(held.select("_rid", "terms", "own_entities", F.explode("entities").alias("entity"))
+                 .withColumn("centre", F.array_contains("own_entities", F.col("entity")).cast("long")).drop("own_entities"), "contexts")
+    def counted_by(df: DataFrame, *keys: str) -> DataFrame:
+        """Contexts of each key, if enough of them are around the entity's own lines or in different documents."""
+        by_doc = df.groupBy(*keys, "_rid").agg(F.count("*").alias("n"), F.sum("centre").alias("centre"))
+        found = by_doc.groupBy(*keys).agg(F.sum("n").alias("n"), F.greatest(F.sum("centre"), F.count("*")).alias("support"))
+        return found.filter(F.col("support") >= support).drop("support")
+
+    n_entity = stage(counted_by(held, "entity").withColumnRenamed("n", "n_entity"), "entities")
+    pairs = held.join(n_entity, "entity", "left_semi").select("_rid", "entity", "centre", F.explode("terms").alias("term"))
+    pairs = counted_by(pairs, "entity", "term").withColumnRenamed("n", "n_both")
     pairs = stage(pairs, "pairs")
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit("").alias("kind"))
-    # an empty term in each distinct line counts the lines
-    terms = F.array_prepend(F.array_remove(F.array_distinct(F.transform(words_of(F.col("line")), _term)), ""), "")
-    lines = stage(_lines(docs).select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")), "terms")
-    n = max(1, total(lines.filter("term = ''"), F.sum("n_term")))
-    n_entity = contexts.select("_line", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    # of equal contexts the first is counted; only their keys are shuffled
+    first = stage(_contexts(docs, near).groupBy("unit").agg(F.min(F.struct("_rid", "i")).alias("f")).select("f.*"), "units")
+    n = max(1, first.count())
+    at = first.groupBy("_rid").agg(F.collect_list("i").alias("at"))
+    counted = _contexts(docs, near, ("terms", _terms), joined=at).filter(F.array_contains("at", F.col("i")))
+    lines = stage(counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term")), "terms")
     ic = F.log2(F.lit(float(n)) / F.col("n_entity"))
     pmi = F.log2(F.col("n_both") * float(n) / (F.col("n_entity") * F.greatest("n_term", "n_both")))
     weighed = pairs.join(n_entity, "entity").join(lines, "term").withColumn("share", F.when(ic > 0, pmi / ic).otherwise(0.0))

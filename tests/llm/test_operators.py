@@ -277,6 +277,14 @@ def test_pii_terms_that_give_an_entity_away(spark, no_docs):
     assert pii.find(no_docs).collect() == [] and pii.sanitise(no_docs).columns == no_docs.columns
 
 
+def test_pii_terms_on_neighbouring_lines_and_far_along_a_line(spark):
+    rows = [(i, f"kept {chr(97 + i) * 5}\nfirst {chr(97 + i) * 4}\nZebulon\n \nz@q.example.org") for i in range(4)]
+    rows += [(10 + i, f"Quorra said on that day of the week to {chr(97 + i) * 6}: y@q.example.org") for i in range(4)]
+    rows += [(100 + i, f"kept said first on that day of the week to {chr(97 + i % 26) * 3} {chr(97 + i // 26) * 7}") for i in range(300)]
+    found = {(r.entity, r.term) for r in pii.disclosing_terms(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {("email:z@q.example.org", "zebulon"), ("email:y@q.example.org", "quorra")}
+
+
 # ---------------------------------------------------------------- quality classifier
 def test_classifier(spark, docs, no_docs):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
