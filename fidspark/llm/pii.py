@@ -102,17 +102,28 @@ def _entity(span: Column) -> Column:
 
 
 def _term(word: Column) -> Column:
-    """A word in lower case without punctuation around it; empty if it holds more than letters."""
-    core = F.regexp_replace(F.lower(word), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    return F.when(core.rlike(r"^\p{L}[\p{L}\p{M}'’-]{2,}$"), core).otherwise("")
+    """A word in lower case without punctuation around it; empty if it has neither letters nor digits."""
+    return F.regexp_replace(F.lower(word), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
 
 
 def _lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
 
 
+def _outside(line: Column) -> Column:
+    """The words of a line that no base span touches: spans become a mark first."""
+    def step(acc: Column, s: Column) -> Column:
+        piece = F.when(s["start"] >= acc["at"], F.concat(F.substring(line, acc["at"] + 1, s["start"] - acc["at"]), F.lit("\0"))).otherwise("")
+        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
+
+    marked = F.aggregate(base_spans(line), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
+                         lambda acc: F.concat(acc["out"], F.substring(line, acc["at"] + 1, F.length(line))))
+    return F.filter(words_of(marked), lambda w: ~w.contains("\0"))
+
+
 def _terms(line: Column) -> Column:
-    return F.array_remove(F.array_distinct(F.transform(words_of(line), _term)), "")
+    words = F.when(line.rlike(_MAY_HOLD), _outside(line)).otherwise(words_of(line))
+    return F.array_remove(F.array_distinct(F.transform(words, _term)), "")
 
 
 def _around(lines: Column, i: Column, near: int) -> Column:
@@ -203,7 +214,10 @@ def find(docs: DataFrame, **thresholds) -> DataFrame:
     lo = (F.col("stop") - F.length("w") + lead).cast("int")
     span = F.struct(lo.alias("start"), F.when(F.col("kind") == "removed", 5).otherwise(4).alias("rank"), (lo + F.length("term")).alias("stop"),
                     F.col("kind"), F.col("term").alias("value"))
-    more = words.join(risky, ["_rid", "term"]).groupBy("_rid").agg(F.collect_list(span).alias("more"))
+    # what a base span touches is masked with it or beside it
+    free = ~F.exists("base", lambda s: (s["start"] < F.col("stop")) & (s["stop"] > F.col("stop") - F.length("w")))
+    words = words.join(risky, ["_rid", "term"]).join(heads.select("_rid", "base"), "_rid").filter(free)
+    more = words.groupBy("_rid").agg(F.collect_list(span).alias("more"))
     return heads.join(more, "_rid", "left").select("_rid", "doc_id", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(
         F.array_sort(F.concat("base", F.col("more").cast(_SPAN)))).alias("spans"))
 

@@ -285,6 +285,15 @@ def test_pii_terms_on_neighbouring_lines_and_far_along_a_line(spark):
     assert found == {("email:z@q.example.org", "zebulon"), ("email:y@q.example.org", "quorra")}
 
 
+def test_pii_terms_may_hold_digits_and_be_short(spark):
+    rows = [(i, f"said {chr(97 + i) * 4}: EMP-1234 (jdoe42) Li 王伟 at z@q.example.org +44 20 7946 0958 for {chr(97 + i) * 6}") for i in range(4)]
+    rows += [(100 + i, f"said {chr(97 + i % 26) * 3} at {chr(97 + i // 26) * 7} for 20") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert all(clean[i].split() == f"said {chr(97 + i) * 4}: () at [EMAIL] [PHONE] for {chr(97 + i) * 6}".split() for i in range(4))
+    assert all(clean[i] == t for i, t in rows[4:])
+
+
 # ---------------------------------------------------------------- quality classifier
 def test_classifier(spark, docs, no_docs):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
