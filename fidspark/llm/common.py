@@ -13,12 +13,22 @@ from pyspark.sql import functions as F
 SPACES = r"[\x20\x09-\x0D]+"
 
 
+#: Scratch folders of sessions on one machine that name none, by application.
+_OWN: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); one of our own only if none is set, as in tests."""
+    """The folder all executors share (spark.checkpoint.dir).
+
+    Where it is unset, a local session gets a temporary folder, as in tests; on
+    a cluster, whose machines would not see it, that is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
-        path = tempfile.mkdtemp(prefix="fidspark-llm-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        app = spark.sparkContext.applicationId
+        path = _OWN[app] = _OWN.get(app) or tempfile.mkdtemp(prefix="fidspark-llm-")
     return path.rstrip("/")
 
 
