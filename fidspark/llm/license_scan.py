@@ -156,25 +156,26 @@ def base_places(words: list[bytes], phrases: Sequence[tuple[str, str]] = PHRASES
 
 def scan(docs: DataFrame, templates: Sequence[tuple[str, str, str]] = TEMPLATES, phrases: Sequence[tuple[str, str]] = PHRASES,
          threshold: float = THRESHOLD) -> DataFrame:
-    """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, met_labels, met_score, blocks.
+    """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, keyed_labels, keyed_score, blocks.
 
-    ``met_labels`` are the base labels and those of all templates that a block
-    meets; ``met_score`` is 1 with a base place, else the largest containment of
-    a met template, else 0. ``labels`` and ``score`` are the same for blocks of
-    one line that also hold the template's key words. ``blocks`` lists all
+    ``labels`` are the base labels and those of all templates that a block
+    meets; ``score`` is 1 with a base place, else the largest containment of a
+    met template, else 0. ``keyed_labels`` and ``keyed_score`` are the same for
+    blocks of one line that also hold the template's key words. ``blocks`` lists all
     (line, last_line, label, containment, keyed): lines, then runs of
     overlapping windows that span lines; keyed tells whether the key words are
-    there. A null
-    or empty text has no words and empty labels. Repeated rows get equal
-    results, an empty table gives an empty one, other columns are not looked at.
+    there. A null or empty text has no words and empty labels. A text of any
+    length is read whole, windows cost a step per template word in it. Repeated
+    rows get equal results, an empty table gives an empty one, other columns
+    are not looked at.
     """
     index = Index(templates, block_counts(docs, templates), threshold)
     doc_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = (f"doc_id {doc_type}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, met_labels string, met_score double, "
+    schema = (f"doc_id {doc_type}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, keyed_labels string, keyed_score double, "
               "blocks array<struct<line:int,last_line:int,label:string,containment:double,keyed:boolean>>")
     block_type = pa.list_(pa.struct([("line", pa.int32()), ("last_line", pa.int32()), ("label", pa.string()), ("containment", pa.float64()), ("keyed", pa.bool_())]))
     types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.string(), pa.float64(), block_type]
-    names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "met_labels", "met_score", "blocks"]
+    names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "keyed_labels", "keyed_score", "blocks"]
 
     def block(line: int, last: int, k: int, c: float, keyed: bool) -> dict:
         return {"line": line, "last_line": last, "label": index.templates[k][0], "containment": c, "keyed": keyed}
@@ -194,7 +195,7 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str, str]] = TEMPLATES,
         base = {label for _, label in places}
         found = lambda blocks: (",".join(sorted(base | {b["label"] for b in blocks})), 1.0 if places else max((b["containment"] for b in blocks), default=0.0))
         return (len(words), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted(base)),
-                *found([b for b in one if b["keyed"]]), *found(one + more), one + more)
+                *found(one + more), *found([b for b in one if b["keyed"]]), one + more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
