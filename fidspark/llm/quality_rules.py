@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from fidspark.llm.common import let, stage, text_of, words_of
 
 WINDOW = 5
-#: Prior belief, worth PRIOR_SHARE of all votes: share of bad documents, rate of bad votes on bad documents, of good votes on good ones.
-PRIOR_BAD, PRIOR_SENSITIVITY, PRIOR_SPECIFICITY, PRIOR_SHARE = 0.1, 0.3, 0.99, 1.0
-ITERATIONS = 60
+#: Prior belief, worth PRIOR_ROWS rows at any size of the corpus: share of bad documents, rate of bad votes on bad documents, of good votes on good ones.
+PRIOR_BAD, PRIOR_SENSITIVITY, PRIOR_SPECIFICITY, PRIOR_ROWS = 0.1, 0.3, 0.99, 20.0
+ITERATIONS, TOLERANCE = 500, 1e-7
 
 
 def _repeat_words(words: Column) -> Column:
@@ -106,9 +106,11 @@ def votes(stats: str = "stats") -> dict[str, Column]:
 def fit_votes(patterns: Sequence[tuple[Sequence[int], int]]) -> dict:
     """EM for two classes over (votes, count) patterns: prior of bad, and per rule the log-odds (bad over good) of each vote.
 
-    Votes are independent given the class; abstaining says nothing. The prior
-    counts scale with the votes, so small and large inputs behave alike, and
-    keep every rule better than chance (which fixes which class is bad).
+    Votes are independent given the class; abstaining says nothing. EM starts
+    from the prior belief, which fixes which class is bad, and runs until no
+    estimate moves by TOLERANCE; the prior counts as a fixed number of rows, so
+    the votes decide as soon as there are more. A rule that is worse than
+    chance in the data gets odds that say so.
     """
     rules = len(patterns[0][0]) if patterns else 0
     n = sum(c for _, c in patterns)
@@ -123,16 +125,17 @@ def fit_votes(patterns: Sequence[tuple[Sequence[int], int]]) -> dict:
         table = [[odds(j, v) for v in (0, 1, -1)] for j in range(rules)]
         start = math.log(bad / (1 - bad))
         post = [1 / (1 + math.exp(-max(-700.0, min(700.0, start + sum(table[j][v] for j, v in enumerate(p)))))) for p, _ in patterns]
-        k = PRIOR_SHARE * n
-        bad = (sum(q * c for q, (_, c) in zip(post, patterns)) + PRIOR_BAD * k) / (n + k)
+        before = [bad, *sens, *spec]
+        bad = (sum(q * c for q, (_, c) in zip(post, patterns)) + PRIOR_BAD * PRIOR_ROWS) / (n + PRIOR_ROWS)
         for j in range(rules):
             b_bad = sum(q * c for q, (p, c) in zip(post, patterns) if p[j] < 0)
             b_all = sum(q * c for q, (p, c) in zip(post, patterns) if p[j])
             g_good = sum((1 - q) * c for q, (p, c) in zip(post, patterns) if p[j] > 0)
             g_all = sum((1 - q) * c for q, (p, c) in zip(post, patterns) if p[j])
-            kb, kg = PRIOR_SHARE * max(b_all, 1e-9), PRIOR_SHARE * max(g_all, 1e-9)
-            sens[j] = min(0.99, max(0.2, (b_bad + PRIOR_SENSITIVITY * kb) / (max(b_all, 1e-9) + kb)))
-            spec[j] = min(0.999, max(0.9, (g_good + PRIOR_SPECIFICITY * kg) / (max(g_all, 1e-9) + kg)))
+            sens[j] = (b_bad + PRIOR_SENSITIVITY * PRIOR_ROWS) / (b_all + PRIOR_ROWS)
+            spec[j] = (g_good + PRIOR_SPECIFICITY * PRIOR_ROWS) / (g_all + PRIOR_ROWS)
+        if max(abs(x - y) for x, y in zip(before, [bad, *sens, *spec])) < TOLERANCE:
+            break
     return {"bad": bad, "sensitivity": sens, "specificity": spec, "odds": [{v: odds(j, v) for v in (-1, 1)} for j in range(rules)]}
 
 
