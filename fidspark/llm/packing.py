@@ -4,15 +4,17 @@ Documents above a third of the capacity can share a sequence with at most one
 other such document: they are matched greedily, the largest with the largest
 that fits. Smaller documents then best-fit, longest first, into the gaps.
 
-Tokenising runs per Arrow batch in the tasks. Words are looked up in a bounded
-per-process cache, as the tokenizer treats text between white space
-separately; ids are the tokenizer's own. Pieces are dealt by a hash into
+Tokenising runs per Arrow batch in the tasks; ids are the tokenizer's own. A
+tokenizer whose chain is known to treat words between white space separately
+(WORD_CHAIN) is asked once per word, with a bounded per-process cache; any
+other gets whole texts. Pieces are dealt by a hash into
 groups of about GROUP_PIECES, each packed in one task from lengths alone; only
 the last sequences of a group stay partly empty.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,6 +32,15 @@ GROUP_PIECES, CACHE_WORDS, BATCH = 1 << 16, 500_000, 256
 _LOADED: dict[str, _Words] = {}
 
 
+# A chain that lower-cases, and cuts text into letters, single digits and other signs, none with white space,
+# as "normalizer" and "pre_tokenizer" of a tokenizer file have it.
+WORD_CHAIN = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+)
+
 # A word of plain letters between plain punctuation (no apostrophe): the tokenizer cuts it into these three, so its model
 # can be asked for each of them without the rest of its chain.
 _PLAIN = re.compile(r"([!-&(-/:-@\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
@@ -45,6 +56,10 @@ class _Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        chain = json.loads(self.tokenizer.to_str())
+        self.by_word = ((chain["normalizer"], chain["pre_tokenizer"]) == WORD_CHAIN and chain["post_processor"] is None
+                        and all(t["content"].startswith("<|") and not re.search(r"\s", t["content"]) and not (t["lstrip"] or t["rstrip"])
+                                for t in chain["added_tokens"]))
         self.now: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
         self.cores: dict[str, bytes] = {}
@@ -83,6 +98,10 @@ def encode(texts: list[str], path: str) -> Iterator[bytes]:
     if path not in _LOADED:
         _LOADED[path] = _Words(path)
     known = _LOADED[path]
+    if not known.by_word:
+        for e in known.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            yield np.array(e.ids, "<u4").tobytes()
+        return
     for text in texts:
         words = text.encode("utf-8", "surrogatepass").split()
         new = set(words).difference(known.now)
@@ -172,8 +191,10 @@ def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndar
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, with_ids: bool = False) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset and, if asked for, ids (binary).
 
-    Every input row is packed, repeated rows and null doc_ids too. An empty
-    table gives an empty table; other columns are not looked at.
+    Every input row is packed, repeated rows and null doc_ids too; a text of
+    any length is cut into full pieces and a last one. Of equal lengths the
+    piece that comes first goes first. An empty table gives an empty table;
+    other columns are not looked at.
     """
     cut = stage(pieces(docs.select("doc_id", "text"), tokenizer, capacity, with_ids), "pieces")
     groups = max(1, -(-cut.count() // group_pieces))
