@@ -82,15 +82,18 @@ def draws(df: DataFrame, text: str = "text", weights: Sequence[float] = WEIGHTS,
 
     ``size`` counts the text's words (null: 0). A row appears in ``drawn``
     once per time the mix takes it; ``words`` is its size but for the one
-    document of a source at which the target is reached, which is cut there
-    (rows equal in doc_id, source and text that tie at the cut share it).
+    document of a source at which the target is reached, which is cut there;
+    of rows equal in doc_id, source and text the first ones are taken whole,
+    so a source's draws meet its target to the word. A text of any length is
+    one document, cut at a word.
     Null sources form one source, which comes last. An empty table gives an
     empty table; so do sources without words give empty draws. ``df`` is
     staged once with size and hash; added names replace equal ones.
     """
     spark = df.sparkSession
     key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"), text_of(text))
-    rows = stage(df.withColumns({"size": F.size(words_of(text_of(text))).cast("long"), "_h": key}).drop(text), "sized")
+    rows = stage(df.withColumns({"size": F.size(words_of(text_of(text))).cast("long"), "_h": key, "_row_id": F.monotonically_increasing_id()})
+                 .drop(text), "sized")
     words = total(rows, F.sum("size"))
     n_blocks = max(1, min(max_blocks, -(-words // block_words)))
     rows = rows.withColumn("_block", F.pmod(F.xxhash64("_h"), F.lit(n_blocks)))
@@ -144,16 +147,39 @@ def draws(df: DataFrame, text: str = "text", weights: Sequence[float] = WEIGHTS,
             .groupBy("source", "_block", "_left", "_h").agg(F.sum("size").alias("w"), F.count("*").alias("m")))
     along = Window.partitionBy("source", "_block").orderBy("_h").rowsBetween(Window.unboundedPreceding, 0)
     edge = (keys.withColumn("e", F.sum("w").over(along)).filter("e > _left and e - w <= _left")
-            .select("source", "_block", F.col("_h").alias("_edge"), F.floor((F.col("_left") - F.col("e") + F.col("w")) / F.col("m")).alias("_part")))
-    quota = stage(_meet(quota, edge, "left"), "edges")
+            .select("source", "_block", F.col("_h").alias("_edge"), (F.col("w") / F.col("m")).cast("long").alias("_each"),
+                    (F.col("_left") - F.col("e") + F.col("w")).alias("_need")))
+    quota = stage(_meet(quota, _turns(rows, stage(edge, "edges")), "left"), "cuts")
 
+    first = F.col("_row_id") < F.col("_turn")
     last = F.when(F.col("_cut").isNull() | (F.col("_h") < F.col("_edge")), F.col("size")).when(
-        F.col("_h") == F.col("_edge"), F.col("_part")).otherwise(0).cast("long")
+        F.col("_h") == F.col("_edge"), F.when(first, F.col("size")).when(F.col("_row_id") == F.col("_turn"), F.col("_part"))).otherwise(0)
+    last = F.coalesce(last, F.lit(0)).cast("long")
     every = F.transform(F.coalesce("_shards", F.array().cast("array<struct<_pass:int,shard:int>>")),
                         lambda d: F.struct(d["shard"].alias("shard"), F.when(d["_pass"] < F.col("_passes"), F.col("size")).otherwise(
                             last).alias("words")))
     out = _meet(rows, quota, "left").withColumn("drawn", F.filter(every, lambda d: d["words"] > 0))
-    return out.drop("_block", "_s", "_passes", "_cut", "_shards", "_edge", "_part")
+    return out.drop("_block", "_s", "_passes", "_cut", "_shards", "_edge", "_part", "_turn", "_row_id")
+
+
+def _turns(rows: DataFrame, edge: DataFrame) -> DataFrame:
+    """(source, _block, _edge, _turn, _part): of the equal rows at a source's cut, the row that is cut, and the words it gives.
+
+    The row's rank among its equals is known; which row that is follows from
+    counts per task's part of the rows, then from ranks within one part, so
+    that any number of equal rows is never sorted in one task.
+    """
+    part = F.shiftright("_row_id", 33)
+    equal = (_meet(rows.select("source", "_block", "_h", "_row_id"), edge).filter("_h = _edge")
+             .select("source", "_block", "_edge", "_need", "_each", "_row_id", part.alias("_task")))
+    before = Window.partitionBy("source").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    counts = (equal.groupBy("source", "_block", "_edge", "_need", "_each", "_task").agg(F.count("*").alias("n"))
+              .withColumn("_rank", F.floor(F.col("_need") / F.col("_each")) - F.coalesce(F.sum("n").over(before), F.lit(0))))
+    # an edge holds its cut, so one task of each source has the rank
+    here = counts.filter("_rank >= 0 and _rank < n").select(F.col("source").alias("_s2"), F.col("_task").alias("_t2"), "_rank")
+    ranked = (equal.join(here, F.col("source").eqNullSafe(F.col("_s2")) & (F.col("_task") == F.col("_t2")))
+              .withColumn("_k", F.row_number().over(Window.partitionBy("source", "_task").orderBy("_row_id")) - 1))
+    return ranked.filter("_k = _rank").select("source", "_block", "_edge", F.col("_row_id").alias("_turn"), (F.col("_need") % F.col("_each")).alias("_part"))
 
 
 def _meet(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:

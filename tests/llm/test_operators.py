@@ -74,8 +74,33 @@ def test_vote_model_finds_the_bad_class():
     odds = np.log(m["bad"] / (1 - m["bad"])) + sum(np.vectorize(lambda v, j=j: m["odds"][j].get(v, 0.0))(votes[:, j]) for j in range(6))
     truth = np.log(0.15 / 0.85) + ((votes < 0) * np.log(0.6 / 0.02) + (votes > 0) * np.log(0.4 / 0.98)).sum(1)
     assert ((odds > 0) == bad).mean() > ((truth > 0) == bad).mean() - 0.02
-    # the prior counts as much as the votes, so the estimate lies half way between both
-    assert all(abs(x - (0.6 + quality_rules.PRIOR_SENSITIVITY) / 2) < 0.1 for x in m["sensitivity"])
+
+
+@pytest.mark.parametrize("n,share", [(4000, 0.3), (4000, 0.6), (200_000, 0.05), (200_000, 0.3), (200_000, 0.6)])
+def test_vote_model_recovers_planted_rates(n, share):
+    rng = np.random.default_rng(int(100 * share))
+    bad = rng.uniform(size=n) < share
+    sens, spec = np.array([0.7, 0.6, 0.8, 0.7, 0.65, 0.75]), np.array([0.85, 0.9, 0.95, 0.85, 0.8, 0.9])
+    votes = np.where(rng.uniform(size=(n, 6)) < np.where(bad[:, None], sens, 1 - spec), -1, 1)
+    votes[rng.uniform(size=votes.shape) < 0.1] = 0
+    m = quality_rules.fit_votes(sorted(Counter(map(tuple, votes.tolist())).items()))
+    assert abs(m["bad"] - share) < 0.05
+    assert np.abs(np.array(m["sensitivity"]) - sens).max() < 0.05 and np.abs(np.array(m["specificity"]) - spec).max() < 0.05
+
+
+def test_posterior_follows_bayes(spark):
+    """The column expressions give what the fitted rates and Bayes' rule give for each document, and kept follows."""
+    texts = ["word " * 30, "The quick brown fox jumps over lazy dogs near the old river bank today. " * 2 + "End.", "### $$$ !!! " * 20, "12 345 6789 " * 15,
+             "\n".join(f"Line number {i} says another thing that nobody said before now" for i in range(12)), "A B C D E F G H I J K L"] * 7
+    judged = quality_rules.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    m = quality_rules.fit_votes(sorted(Counter(tuple(r.votes) for r in judged).items()))
+    for r in judged:
+        good, bad = 1 - m["bad"], m["bad"]
+        for v, sens, spec in zip(r.votes, m["sensitivity"], m["specificity"]):
+            good *= {1: spec, 0: 1, -1: 1 - spec}[v]
+            bad *= {1: 1 - sens, 0: 1, -1: sens}[v]
+        assert r.posterior == pytest.approx(good / (good + bad), abs=1e-9)
+        assert r.kept == (not r.base_failed and r.posterior >= 0.5)
 
 
 def test_quality_rules_empty(no_docs):
@@ -154,12 +179,27 @@ def test_mixing(docs):
     assert abs(sum(target.values()) - 1.5 * sum(sizes.values())) < 1e-6
     assert target == pytest.approx(mixing.targets(list(sizes.items())))
     for s in sizes:
-        assert target[s] <= 2 * sizes[s] + 1e-9 and abs(taken[s] - target[s]) <= 4
+        assert target[s] <= 2 * sizes[s] + 1e-9 and abs(taken[s] - target[s]) <= 0.5
     mixed = mixing.mix(docs, block_words=50, shard_words=4000)
     assert mixed.columns == docs.columns
     assert sum(len(WORD.findall(t)) for _, t in rows_of(mixed)) == sum(taken.values())
 
 
+def test_equal_rows_meet_the_target_to_the_word(spark):
+    rows = [(1, "a", "one two three four five")] * 1000 + [(i, "b", "w " * (i % 9)) for i in range(2, 300)] + [(7, None, "x y")] * 40 + [(8, "c", "")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(6)
+    for block_words in (50, 1 << 16):
+        got = mixing.draws(df, block_words=block_words).collect()
+        assert len(got) == len(rows)
+        for s in ("a", "b", None):
+            own = [r for r in got if r.source == s]
+            taken = [sum(d.words for d in r.drawn) for r in own]
+            assert abs(sum(taken) - own[0].target) <= 0.5
+            assert all(t <= 2 * r["size"] for t, r in zip(taken, own))
+            # one row of the source is cut
+            assert sum(t % r["size"] != 0 for t, r in zip(taken, own) if r["size"]) <= 1
+
+
 def test_splitting_tree_keeps_quotas():
     got = mixing.split_quotas([100, 7, 0, 1], 5)
     assert got == mixing.split_quotas([100, 7, 0, 1], 5)
@@ -198,6 +238,17 @@ def test_packing(docs):
         assert p[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(p, p[1:])) and p[-1][0] + p[-1][1] <= 2048
 
 
+def test_ids_are_those_of_any_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = ["Hello  World, it's 12 o'clock", "", " \n\ttabs\u00a0and e\u0301 ÀÉ", "<|endoftext|> x<|startoftext|>", "naïve—dash… 中文 \u2003wide", "I'LL go\x0bnow\x0c!"] * 3
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = public_tokenizers.path(name)
+        own = Tokenizer.from_file(path)
+        assert [np.frombuffer(x, "<u4").tolist() for x in packing.encode(texts, path)] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_packing_is_tight():
     rng = np.random.default_rng(3)
     lengths = np.concatenate((rng.integers(1, 2049, 3000), rng.integers(1, 200, 6000)))
@@ -342,20 +393,14 @@ def test_line_dedup_drops_short_lines_on_more_evidence(spark):
 
 
 # ---------------------------------------------------------------- license scans
-def brute_scan(text, counts=None):
+def brute_scan(text):
     tokens = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
     w = tokens(text)
     places = sorted((k, label) for label, p in license_scan.PHRASES for k in range(len(w)) if w[k:k + len(p.split())] == p.split())
-    labels, best = {x for _, x in places}, 1.0 if places else 0.0
-    for line in text.split("\n"):
-        have = set(tokens(line))
-        for label, keys, t in license_scan.TEMPLATES:
-            words = set(tokens(t))
-            c = len(words & have) / len(words)
-            if c >= license_scan.THRESHOLD - 1e-12 and set(keys.split()) <= have:
-                labels.add(label)
-                best = max(best, c)
-    return len(w), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted({x for _, x in places})), ",".join(sorted(labels)), best
+    met, base = brute_met(text), {x for _, x in places}
+    best = 1.0 if places else max(met.values(), default=0.0)
+    return (len(w), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted(base)),
+            ",".join(sorted(base | set(met))), best)
 
 
 def test_license_scan(spark, docs, no_docs):
@@ -395,11 +440,11 @@ def test_license_scan_finds_wrapped_notices(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in license_scan.scan(df).collect():
         met, base = brute_met(texts[r.doc_id]), set(filter(None, r.base_labels.split(",")))
-        assert r.met_labels == ",".join(sorted(base | set(met))) and r.met_score == pytest.approx(1.0 if base else max(met.values(), default=0.0))
+        assert r.labels == ",".join(sorted(base | set(met))) and r.score == pytest.approx(1.0 if base else max(met.values(), default=0.0))
     near = [(1, "This is free software released into the public domain"), (2, "Licensed under the License, Version 2.0")]
     got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(near, "doc_id long, text string")).collect()}
-    assert [(got[i].met_labels, got[i].labels, got[i].blocks[0].keyed) for i in (1, 2)] == [("unlicense", "", False), ("apache-2.0", "", False)]
-    assert got[1].met_score == pytest.approx(9 / 11) and got[2].met_score == 7 / 8
+    assert [(got[i].labels, got[i].keyed_labels, got[i].blocks[0].keyed) for i in (1, 2)] == [("unlicense", "", False), ("apache-2.0", "", False)]
+    assert got[1].score == pytest.approx(9 / 11) and got[2].score == 7 / 8
     notice = license_scan.TEMPLATES[3][2].replace(", ", ",\n")
     r, = license_scan.scan(spark.createDataFrame([(1, "x\n" + notice)], "doc_id long, text string")).collect()
-    assert r.met_labels == "mit" and r.met_score == 1.0 and [(b.line, b.last_line, b.label) for b in r.blocks] == [(1, 1 + notice.count("\n"), "mit")]
+    assert r.labels == "mit" and r.score == 1.0 and [(b.line, b.last_line, b.label) for b in r.blocks] == [(1, 1 + notice.count("\n"), "mit")]
