@@ -1,22 +1,29 @@
 """Nearest-neighbour core (J3, J5, T3, F2) and the privacy metrics built on it.
 
-Exact k-NN as a block join; no row passes through the driver:
-
-* both sides are dealt to blocks of at most ``block_bytes`` by a hash of
-  their keys, each query row goes to every base block and each base row to
-  every query block, and ``cogroup`` brings each pair of blocks into one task;
-* a task sees two blocks of bounded size, computes distances in slices of at
-  most ``SLICE_CELLS`` and emits only its top-k per query row;
-* a window over k x (base blocks) rows per query row merges the lists.
-
-Work is O(|query| x |base|) as exact nearest neighbours require; memory is
-bounded everywhere.  Ball counts for precision/recall (A31) use the same
-kernel with a per-base-row radius.  Keys must be distinct within a side.
+Exact k-NN as a pruned block join; no row passes through the driver but a
+bounded sample of pivots:
+
+* base rows go to the cell of their nearest pivot; a cell that is larger than a
+  block is several blocks. By the triangle inequality a block's distances to
+  its pivot bound from below how near it can come to a query row;
+* each query row visits a block of its own cell first, which bounds its k-th
+  distance, then only blocks whose lower bound does not exceed that;
+* ``cogroup`` brings a block and its visitors into one task, in parts where
+  they are many. The task prunes once more in the same way, by cells of its own
+  rows, nearest cells first, and emits only its top-k per query row;
+* a window over k x (visited blocks) rows per query row merges the lists.
+
+A base of one block needs no pivots and one visit. Where nothing can be pruned
+(many dimensions) all blocks are visited, as exact neighbours then require.
+Ball counts for precision/recall (A31) use the same kernel with a per-base-row
+radius. Keys must be distinct within a side.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from typing import Sequence
 
 import numpy as np
@@ -30,6 +37,9 @@ from fidspark.session import default_buckets
 BLOCK_BYTES = 32 << 20
 MIN_QUERY_ROWS = 256  # query rows of a block, at least, where blocks are cut finer to use all cores
 SLICE_CELLS = 1_000_000  # query rows x base rows of one numpy slice
+MAX_PIVOTS = 4096  # rows that the driver holds as pivots, at most
+CELLS_PER_BLOCK = 8  # pivots per block's worth of base rows
+SLACK = 1e-9  # relative; lower bounds give way by it, for rounding
 NO_VALUE = np.finfo(np.float64).max  # distance of a pair with a null coordinate: after all others
 
 
@@ -106,44 +116,243 @@ def _distances(qn: np.ndarray, bn: np.ndarray, cats: list, metric: str) -> np.nd
 KNN_SCHEMA = "q_key long, rank int, dist double, b_key long"
 
 
+def _lower_bound(to_pivot: np.ndarray, nearest_: np.ndarray, farthest: np.ndarray) -> np.ndarray:
+    """How near rows of a cell (columns) can be to a query row, given the query's and the cell's distances to the pivot."""
+    return np.maximum(0.0, np.maximum(to_pivot - farthest, nearest_ - to_pivot) - SLACK * (to_pivot + farthest))
+
+
+class _Cells:
+    """The base rows of a block by the nearest of a few of them, for best-first search; rows ordered by key within a cell."""
+
+    def __init__(self, numbers: np.ndarray, cats: list, metric: str):
+        n = len(numbers) if len(numbers) or not cats else len(cats[0][1])
+        self.metric, self.numbers, self.cats = metric, numbers, [c for _, c in cats]
+        count = int(min(256, max(1, np.sqrt(n))))
+        self.pivots = np.unique(np.linspace(0, n - 1, count).astype(np.int64))
+        cell, off = np.zeros(n, np.int64), np.zeros(n)
+        step = max(1, SLICE_CELLS // len(self.pivots))
+        for lo in range(0, n, step):
+            d = self.distances(numbers[lo:lo + step], [c[lo:lo + step] for c in self.cats], self.pivots)
+            cell[lo:lo + step] = d.argmin(axis=1)
+            off[lo:lo + step] = d.min(axis=1)
+        self.order = np.argsort(cell, kind="stable")
+        cuts = np.searchsorted(cell[self.order], np.arange(len(self.pivots) + 1))
+        full = np.diff(cuts) > 0
+        self.rows = [self.order[a:b] for a, b in zip(cuts[:-1][full], cuts[1:][full])]
+        self.pivots = self.pivots[full]
+        self.nearest = np.array([off[r].min() for r in self.rows])
+        self.farthest = np.array([off[r].max() for r in self.rows])
+
+    def distances(self, numbers: np.ndarray, cats: list, rows: np.ndarray) -> np.ndarray:
+        return _distances(numbers, self.numbers[rows], [(q, c[rows]) for q, c in zip(cats, self.cats)], self.metric)
+
+    def bounds(self, numbers: np.ndarray, cats: list) -> tuple[np.ndarray, np.ndarray]:
+        to_pivot = self.distances(numbers, cats, self.pivots)
+        return to_pivot, _lower_bound(to_pivot, self.nearest[None, :], self.farthest[None, :])
+
+
+def _merged(dist: np.ndarray, key: np.ndarray, d: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k least (distance, key) of lists (rows of ``dist``, ``key``) and of all distances ``d`` to rows ``keys``, which rise."""
+    row, found_d, found_k = np.arange(len(d)), [dist], [key]
+    for _ in range(min(k, d.shape[1])):
+        at = d.argmin(axis=1)
+        found_d.append(d[row, at][:, None])
+        found_k.append(keys[at][:, None])
+        d[row, at] = np.inf
+    all_d, all_k = np.concatenate(found_d, axis=1), np.concatenate(found_k, axis=1)
+    by = np.lexsort((all_k, all_d), axis=1)[:, :k]
+    return np.take_along_axis(all_d, by, 1), np.take_along_axis(all_k, by, 1)
+
+
+def _top(cells: _Cells, bk: np.ndarray, qk: np.ndarray, qn: np.ndarray, qc: list, k: int, exclude_self: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(distances, keys), k per query row without nulls: the two nearest cells first, then every cell that may hold a nearer row."""
+    dist, key = np.full((len(qk), k), np.inf), np.full((len(qk), k), np.iinfo(np.int64).max)
+    to_pivot, bound = cells.bounds(qn, qc)
+    left = np.ones(bound.shape, bool)
+
+    def visit(c: int, who: np.ndarray) -> None:
+        rows = cells.rows[c]
+        left[who, c] = False
+        step = max(1, SLICE_CELLS // len(rows))
+        for lo in range(0, len(who), step):
+            w = who[lo:lo + step]
+            d = cells.distances(qn[w], [x[w] for x in qc], rows)
+            if exclude_self:
+                d[qk[w][:, None] == bk[rows][None, :]] = np.inf
+            dist[w], key[w] = _merged(dist[w], key[w], d, bk[rows], k)
+
+    for _ in range(min(2, len(cells.rows))):
+        first = np.where(left, to_pivot, np.inf).argmin(axis=1)
+        for c in np.unique(first):
+            visit(c, np.flatnonzero((first == c) & (bound[:, c] <= dist[:, -1])))
+    for c in np.argsort(bound.min(axis=0), kind="stable"):
+        visit(c, np.flatnonzero(left[:, c] & (bound[:, c] <= dist[:, -1])))
+    return dist, key
+
+
+def _inside(cells: _Cells, radius: np.ndarray, qn: np.ndarray, qc: list) -> np.ndarray:
+    """In how many of the base rows' balls each query row lies."""
+    out, (_, bound) = np.zeros(len(qn)), cells.bounds(qn, qc)
+    for c, rows in enumerate(cells.rows):
+        who = np.flatnonzero(bound[:, c] <= np.nanmax(np.append(radius[rows], -1.0)))
+        step = max(1, SLICE_CELLS // len(rows))
+        for lo in range(0, len(who), step):
+            w = who[lo:lo + step]
+            out[w] += (cells.distances(qn[w], [x[w] for x in qc], rows) < radius[rows][None, :]).sum(axis=1)
+    return out
+
+
 def _block_kernel(space: Space, k: int, exclude_self: bool, mode: str):
-    """One pair of blocks: the k nearest base rows per query row, ties by key, or the number of balls it lies in."""
+    """One pair of blocks: the k nearest base rows per query row, ties by key, or the number of balls it lies in.
+
+    Pairs with a null coordinate come after all others, by key, at NO_VALUE.
+    """
     def run(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         parts = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0)], [np.zeros(0, np.int64)]
         if len(q) and (len(b) or mode == "ball"):
             b = b.sort_values("_key", kind="stable")  # the first of equal distances has the smallest key
             qk, bk = q["_key"].to_numpy(dtype=np.int64), b["_key"].to_numpy(dtype=np.int64)
             qn, bn, cats = _numbers(q, space), _numbers(b, space), _categories(q, b, space)
-            step = max(1, SLICE_CELLS // max(1, len(bk)))
-            for s in range(0, len(qk), step):
-                keys = qk[s:s + step]
-                d = _distances(qn[s:s + step], bn, [(x[s:s + step], y) for x, y in cats], space.metric)
-                if exclude_self:
-                    d[keys[:, None] == bk[None, :]] = np.inf
+            q_null, b_null = np.isnan(qn).any(axis=1), np.isnan(bn).any(axis=1)
+            full = np.flatnonzero(~b_null)
+            cells = _Cells(bn[full], [(x, y[full]) for x, y in cats], space.metric) if len(full) else None
+            radius = b["_rad"].to_numpy(dtype=np.float64) if mode == "ball" else None
+            for s in range(0, len(qk), 4096):
+                part = np.arange(s, min(s + 4096, len(qk)))
+                some = part[~q_null[part]]
                 if mode == "ball":
-                    inside = (d < b["_rad"].to_numpy(dtype=np.float64)[None, :]).sum(axis=1).astype(np.float64)
-                    found = [(keys, 0, inside, np.full(len(keys), -1))]
+                    inside = np.zeros(len(part))
+                    if cells is not None:
+                        inside[~q_null[part]] = _inside(cells, radius[full], qn[some], [x[some] for x, _ in cats])
+                    found = [(qk[part], 0, inside, np.full(len(part), -1))]
                 else:
-                    found, row = [], np.arange(len(keys))
-                    for rank in range(1, min(k, len(bk)) + 1):
-                        at = d.argmin(axis=1)
-                        dist = d[row, at]
-                        d[row, at] = np.inf
-                        real = dist < np.inf
-                        found.append((keys[real], rank, dist[real], bk[at[real]]))
-                for key, rank, dist, other in found:
-                    for part, values in zip(parts, (key, np.full(len(key), rank, np.int32), dist, other)):
-                        part.append(values)
+                    dist = np.full((len(part), k), np.inf)
+                    key = np.full((len(part), k), np.iinfo(np.int64).max)
+                    if cells is not None and len(some):
+                        rows = np.flatnonzero(~q_null[part])
+                        dist[rows], key[rows] = _top(cells, bk[full], qk[some], qn[some], [x[some] for x, _ in cats], k, exclude_self)
+                    # rows that have no distance fill the lists that are not full, by key
+                    for rows, tail in ((np.flatnonzero(~q_null[part]), bk[b_null][:k + 1]), (np.flatnonzero(q_null[part]), bk[:k + 1])):
+                        if len(rows) and len(tail):
+                            d = np.full((len(rows), len(tail)), NO_VALUE)
+                            if exclude_self:
+                                d[qk[part][rows][:, None] == tail[None, :]] = np.inf
+                            dist[rows], key[rows] = _merged(dist[rows], key[rows], d, tail, k)
+                    found = [(qk[part][dist[:, i] < np.inf], i + 1, dist[dist[:, i] < np.inf, i], key[dist[:, i] < np.inf, i]) for i in range(k)]
+                for keys, rank, d, other in found:
+                    for to, values in zip(parts, (keys, np.full(len(keys), rank, np.int32), d, other)):
+                        to.append(values)
         return pd.DataFrame(dict(zip(("q_key", "rank", "dist", "b_key"), map(np.concatenate, parts))))
 
     return run
 
 
+def _per_block(space: Space, block_bytes: int) -> int:
+    return max(1, block_bytes // (8 * (2 + len(space.num)) + 32 * len(space.cat)))
+
+
+def _valid(space: Space) -> Column:
+    """Whether a projected row has all coordinates."""
+    return reduce(lambda a, b: a & b, [F.col(f"_n_{c}").isNotNull() & ~F.isnan(f"_n_{c}") for c in space.num], F.lit(True))
+
+
+class _Pivots:
+    """A bounded sample of base rows, the cells around them and the blocks of these cells."""
+
+    def __init__(self, base: DataFrame, space: Space, n_blocks: int, per_block: int, k: int):
+        self.space, self.per_block, self.least = space, per_block, k + 1
+        some = base.orderBy(F.xxhash64("_key"), "_key").limit(min(MAX_PIVOTS, CELLS_PER_BLOCK * n_blocks))
+        self.rows = some.toPandas()  # MAX_PIVOTS rows at most
+        self.base = self._near(base, None)
+        found = self.base.groupBy("_cell").agg(F.count("*").alias("n"), F.min("_off").alias("lo"), F.max("_off").alias("hi")).collect()
+        n = len(self.rows)  # one number each per pivot
+        self.n, self.lo, self.hi = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+        for r in found:
+            self.n[r["_cell"]], self.lo[r["_cell"]], self.hi[r["_cell"]] = r["n"], r["lo"], r["hi"]
+        self.parts = -(-self.n // per_block)
+
+    def _near(self, rows: DataFrame, least: int | None) -> DataFrame:
+        """``rows`` with _cell, the nearest pivot's, and _off, the distance to it; ``least``: only cells of so many rows."""
+        space, pivots = self.space, self.rows
+        open_ = np.arange(len(pivots)) if least is None else np.flatnonzero(self.n >= min(least, self.n.max()))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                d = _to_pivots(pdf, pivots.iloc[open_], space)
+                yield pdf.assign(_cell=open_[d.argmin(axis=1)].astype(np.int32) if len(d) else np.zeros(0, np.int32), _off=d.min(axis=1) if len(d) else np.zeros(0))
+
+        return rows.mapInPandas(run, _schema(rows, "_cell int, _off double"))
+
+    def home(self, query: DataFrame) -> DataFrame:
+        """``query`` with the block (_cell, _part) that each row visits first."""
+        return self._with_part(self._near(query, self.least).drop("_off"))
+
+    def _with_part(self, rows: DataFrame) -> DataFrame:
+        parts = F.get(F.array(*[F.lit(int(x)) for x in self.parts]), F.col("_cell"))
+        return rows.withColumn("_part", F.pmod(F.xxhash64("_key"), parts).cast("int"))
+
+    def further(self, query: DataFrame) -> DataFrame:
+        """``query`` (with _cell, _part, its first block, and _kth, its k-th distance there) once for each other block it has to visit."""
+        space, pivots, lo, hi, parts, live = self.space, self.rows, self.lo, self.hi, self.parts, self.n > 0
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for s in range(0, len(pdf), 4096):
+                    some = pdf.iloc[s:s + 4096]
+                    kth = some["_kth"].to_numpy(dtype=np.float64)
+                    kth[np.isnan(kth)] = np.inf
+                    bound = _lower_bound(_to_pivots(some, pivots, space), lo[None, :], hi[None, :])
+                    row, cell = np.nonzero(live[None, :] & (bound <= kth[:, None]))
+                    row, cell = np.repeat(row, parts[cell]), np.repeat(cell, parts[cell])
+                    same = np.append(False, (row[1:] == row[:-1]) & (cell[1:] == cell[:-1])) if len(row) else np.zeros(0, bool)
+                    at = np.arange(len(row))
+                    part = at - np.maximum.accumulate(np.where(same, 0, at)) if len(row) else at
+                    new = ~((cell == some["_cell"].to_numpy()[row]) & (part == some["_part"].to_numpy()[row]))
+                    yield some.iloc[row[new]].assign(_cell=cell[new].astype(np.int32), _part=part[new].astype(np.int32))
+
+        return query.mapInPandas(run, query.schema)
+
+    def meet(self, query: DataFrame, kernel) -> DataFrame:
+        """The kernel over each block and its visitors, which are split where they are more than a block's rows."""
+        visits = {r["_cell"]: r["n"] for r in query.groupBy("_cell", "_part").agg(F.count("*").alias("n")).groupBy("_cell").agg(F.max("n").alias("n")).collect()}
+        split = F.get(F.array(*[F.lit(int(-(-visits.get(i, 0) // self.per_block))) for i in range(len(self.rows))]), F.col("_cell"))
+        keys = ["_cell", "_part", "_turn"]
+        asked = query.withColumn("_turn", F.pmod(F.xxhash64("_key", F.lit(1)), split).cast("int"))
+        held = self._with_part(self.base.drop("_off")).where(split > 0).withColumn("_turn", F.explode(F.sequence(F.lit(0), split - 1)))
+        return asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(kernel, KNN_SCHEMA)
+
+
+def _to_pivots(rows: pd.DataFrame, pivots: pd.DataFrame, space: Space) -> np.ndarray:
+    return _distances(_numbers(rows, space), _numbers(pivots, space), _categories(rows, pivots, space), space.metric)
+
+
+def _schema(df: DataFrame, more: str) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", " + more
+
+
+def size_of(df: DataFrame, space: Space) -> tuple[int, int]:
+    """How many rows ``df`` has, and how many with all coordinates."""
+    full = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in space.num], F.lit(True))
+    return tuple(df.agg(F.count("*"), F.count_if(full)).first())
+
+
+def _prepared(query: DataFrame, q_key: str, base: DataFrame, b_key: str, space: Space, q_stats, b_stats, known) -> tuple[DataFrame, DataFrame]:
+    qp, bp = _project(query, q_key, space, q_stats), _project(base, b_key, space, b_stats)
+    if space.cat:
+        qp = _mask_unknown(qp, space, base if known is None else known)
+    return qp, bp
+
+
+def _merge(out: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("q_key").orderBy("dist", "b_key")  # k rows per block visited
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def knn(
     query: DataFrame, q_key: str, base: DataFrame, b_key: str, space: Space, k: int = 1,
     exclude_self: bool = False, q_stats: dict | None = None, b_stats: dict | None = None,
     known: DataFrame | None = None, block_bytes: int = BLOCK_BYTES, mode: str = "knn",
-    radius: DataFrame | None = None,
+    radius: DataFrame | None = None, q_size: tuple[int, int] | None = None, b_size: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Exact k nearest base rows per query row: (q_key, rank, dist, b_key); ties go to the smaller key.
 
@@ -151,22 +360,25 @@ def knn(
     ``known``: rows whose categories count as known (default: ``base``).
     ``mode='ball'``: instead of neighbours, count base rows with dist < their
     radius (``radius``: (b_key, radius)); returned in ``dist`` with rank 0.
+    ``q_size`` / ``b_size``: what ``size_of`` gives for a side, if known.
     A pair with a null coordinate comes after all others, with a null
     distance. An empty base gives no rows.
     """
     spark = query.sparkSession
-    qp, bp = _project(query, q_key, space, q_stats), _project(base, b_key, space, b_stats)
-    if space.cat:
-        qp = _mask_unknown(qp, space, base if known is None else known)
-    n_query, n_base = query.count(), base.count()
-    row_bytes = 8 * (2 + len(space.num)) + 32 * len(space.cat)
-    per_block = max(1, block_bytes // row_bytes)
+    qp, bp = _prepared(query, q_key, base, b_key, space, q_stats, b_stats, known)
+    n_query, _ = q_size or size_of(query, space)
+    n_base, n_full = b_size or size_of(base, space)
+    per_block = _per_block(space, block_bytes)
     b_blocks = max(1, -(-n_base // per_block))
-    fine = min(-(-2 * default_buckets(spark) // b_blocks), -(-n_query // MIN_QUERY_ROWS))
-    q_blocks = max(1, -(-n_query // per_block), fine)
     if radius is not None:
         bp = bp.join(radius.select(F.col(radius.columns[0]).cast("long").alias("_key"),
                                    F.col(radius.columns[1]).alias("_rad")), "_key", "left")
+    kernel = _block_kernel(space, k, exclude_self, mode)
+    if mode == "knn" and space.num and n_full > max(per_block, k + 1):  # so no list needs a row without a distance
+        out = _pruned(qp, bp, space, k, exclude_self, kernel, b_blocks, max(per_block, k + 1))
+        return out.withColumn("dist", F.when(F.col("dist") < float(NO_VALUE), F.col("dist")))
+    fine = min(-(-2 * default_buckets(spark) // b_blocks), -(-n_query // MIN_QUERY_ROWS))
+    q_blocks = max(1, -(-n_query // per_block), fine)
 
     def dealt(df: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
         return df.withColumn(own, F.pmod(F.xxhash64("_key"), F.lit(blocks)).cast("int")).withColumn(
@@ -175,35 +387,156 @@ def knn(
     pair = ["_qb", "_bb"]
     out = (dealt(qp, "_qb", q_blocks, "_bb", b_blocks).groupBy(*pair)
            .cogroup(dealt(bp, "_bb", b_blocks, "_qb", q_blocks).groupBy(*pair))
-           .applyInPandas(_block_kernel(space, k, exclude_self, mode), KNN_SCHEMA))
+           .applyInPandas(kernel, KNN_SCHEMA))
     if mode == "ball":
         return out.groupBy("q_key").agg(F.lit(0).alias("rank"), F.sum("dist").alias("dist"), F.lit(-1).cast("long").alias("b_key"))
-    if b_blocks > 1:  # k x b_blocks rows per query row
-        w = Window.partitionBy("q_key").orderBy("dist", "b_key")
-        out = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    if b_blocks > 1:
+        out = _merge(out, k)
     return out.withColumn("dist", F.when(F.col("dist") < float(NO_VALUE), F.col("dist")))
 
 
+def _visited(qp: DataFrame, bp: DataFrame, space: Space, k: int, kernel, b_blocks: int, per_block: int) -> tuple[_Pivots, DataFrame, DataFrame, DataFrame]:
+    """Pivots, the query rows at their first blocks, what they find there, and the rows at the further blocks they visit."""
+    pivots = _Pivots(bp.where(_valid(space)), space, b_blocks, per_block, k)
+    home = pivots.home(qp.where(_valid(space)))
+    first = pivots.meet(home, kernel)
+    kth = first.where(F.col("rank") == k).select(F.col("q_key").alias("_key"), F.col("dist").alias("_kth"))
+    return pivots, home, first, pivots.further(home.join(kth, "_key", "left"))
+
+
+def _pruned(qp: DataFrame, bp: DataFrame, space: Space, k: int, exclude_self: bool, kernel, b_blocks: int, per_block: int) -> DataFrame:
+    """The block join over visited blocks only; there are more base rows with all coordinates than a block holds."""
+    pivots, _, first, more = _visited(qp, bp, space, k, kernel, b_blocks, per_block)
+    out = _merge(first.unionByName(pivots.meet(more.drop("_kth"), kernel)), k)
+    # a query row without all coordinates is as far from any base row: the first keys are its neighbours
+    keys = [r["_key"] for r in bp.select("_key").orderBy("_key").limit(k + 1).collect()]
+    tail = qp.where(~_valid(space)).select(F.col("_key").alias("q_key"), F.posexplode(
+        F.slice(F.filter(F.array(*[F.lit(x) for x in keys]), lambda x: x != F.col("_key")) if exclude_self else F.array(*[F.lit(x) for x in keys]), 1, k)).alias("rank", "b_key"))
+    return out.unionByName(tail.select("q_key", F.col("rank") + 1, F.lit(float(NO_VALUE)).alias("dist"), "b_key").toDF("q_key", "rank", "dist", "b_key"))
+
+
+def visit_counts(query: DataFrame, q_key: str, base: DataFrame, b_key: str, space: Space, k: int = 1, block_bytes: int = BLOCK_BYTES,
+                 exclude_self: bool = False) -> tuple[int, int]:
+    """(visits, rows x blocks): in how many blocks the pruned join looks for how many it could; to judge pruning on a table."""
+    qp, bp = _prepared(query, q_key, base, b_key, space, None, None, None)
+    per_block = max(_per_block(space, block_bytes), k + 1)
+    kernel = _block_kernel(space, k, exclude_self, "knn")
+    pivots, home, _, more = _visited(qp, bp, space, k, kernel, max(1, -(-bp.count() // per_block)), per_block)
+    n = home.count()
+    return n + more.count(), n * int(pivots.parts.sum())
+
+
 def knn_within(df: DataFrame, key: str, group: str, space: Space, k: int = 1, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Exact k nearest other rows of the same group: (q_key, rank, dist, b_key); one join for all groups.
 
     A group is dealt to as many blocks as its size asks for, so a group that
     holds most rows is many tasks. Null is a group. Coordinates are taken as they are.
     """
-    row_bytes = 8 * (2 + len(space.num)) + 32 * len(space.cat)
-    per_block = max(1, block_bytes // row_bytes)
-    sizes = df.groupBy(F.col(group).alias("_of")).agg(F.ceil(F.count("*") / per_block).cast("int").alias("_blocks"))
-    rows = _project(df.select("*", F.col(group).alias("_group")), key, space, None, ["_group"])
-    rows = rows.join(sizes, F.col("_group").eqNullSafe(F.col("_of"))).drop("_of")
-    own = F.pmod(F.xxhash64("_key"), F.col("_blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    query = rows.withColumn("_qb", own).withColumn("_bb", other).drop("_blocks")
-    base = rows.select(*[F.col(c).alias(c) for c in rows.columns]).withColumn("_bb", own).withColumn("_qb", other).drop("_blocks")
-    pair = ["_group", "_qb", "_bb"]
-    out = query.groupBy(*pair).cogroup(base.groupBy(*pair)).applyInPandas(_block_kernel(space, k, True, "knn"), KNN_SCHEMA)
-    w = Window.partitionBy("q_key").orderBy("dist", "b_key")  # k x blocks rows per query row
-    out = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return out.withColumn("dist", F.when(F.col("dist") < float(NO_VALUE), F.col("dist")))
+    return _within(_project(df.select("*", F.col(group).alias("_group")), key, space, None, ["_group"]), None, space, k, True, block_bytes)
+
+
+def _within(rows: DataFrame, query: DataFrame | None, space: Space, k: int, exclude_self: bool, block_bytes: int) -> DataFrame:
+    """k nearest rows of the same _group, of ``rows`` for ``query`` (default: for themselves).
+
+    Both sides of a group are split into blocks by their sizes; groups of one
+    block share tasks, so that many small ones cost little.
+    """
+    per_block = _per_block(space, block_bytes)
+
+    def blocks(of: DataFrame, name: str) -> DataFrame:
+        return of.groupBy(F.col("_group").alias(f"_of{name}")).agg(F.ceil(F.count("*") / per_block).cast("int").alias(name))
+
+    def sized(of: DataFrame, own: str, other: str) -> DataFrame:
+        for x in sizes:
+            of = of.join(x, F.col("_group").eqNullSafe(F.col(x.columns[0]))).drop(x.columns[0])
+        small = (F.col("_qn") == 1) & (F.col("_bn") == 1)
+        of = of.withColumn("_pack", F.when(small, F.pmod(F.xxhash64("_group"), F.lit(packs))).otherwise(F.xxhash64("_group", F.lit(1))))
+        of = of.withColumn("_code", F.xxhash64("_group"))
+        of = of.withColumn(f"{own[:2]}b", F.pmod(F.xxhash64("_key"), F.col(own)).cast("int"))
+        return of.withColumn(f"{other[:2]}b", F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("_qn", "_bn")
+
+    packs = 4 * default_buckets(rows.sparkSession)
+    sizes = [blocks(rows if query is None else query, "_qn"), blocks(rows, "_bn")]
+    base = sized(rows.select(*[F.col(c).alias(c) for c in rows.columns]), "_bn", "_qn")
+    asked = sized(rows if query is None else query, "_qn", "_bn")
+    keys = ["_pack", "_qb", "_bb"]
+    out = asked.drop("_group").groupBy(*keys).cogroup(base.drop("_group").groupBy(*keys)).applyInPandas(
+        _per_group(_block_kernel(space, k, exclude_self, "knn")), KNN_SCHEMA)
+    if query is not None:  # a pair may meet in several groups
+        out = out.groupBy("q_key", "b_key").agg(F.min("dist").alias("dist"))
+    return _merge(out, k).select("q_key", "rank", F.when(F.col("dist") < float(NO_VALUE), F.col("dist")).alias("dist"), "b_key")
+
+
+def _per_group(kernel):
+    """``kernel`` for each _code that both sides hold."""
+    def run(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        ours, theirs = q.groupby("_code").indices, b.groupby("_code").indices
+        return pd.concat([kernel(q.head(0), b.head(0)), *(kernel(q.iloc[rows], b.iloc[theirs[code]]) for code, rows in ours.items() if code in theirs)])
+
+    return run
+
+
+TABLES, PROJECTIONS, SAMPLE_ROWS = 10, 4, 4096
+
+
+def bucket_width(query: DataFrame, q_key: str, base: DataFrame, b_key: str, space: Space, k: int = 1, q_stats: dict | None = None,
+                 b_stats: dict | None = None, rows: int = SAMPLE_ROWS) -> float:
+    """The median k-th distance between samples of at most ``rows`` base and 256 query rows, four times (l1: eight times).
+
+    Sampled neighbours are farther than true ones, so buckets err to the wide side.
+    """
+    qp, bp = _prepared(query, q_key, base, b_key, space, q_stats, b_stats, None)
+    some = [d.where(_valid(space)).orderBy(F.xxhash64("_key"), "_key").limit(n).toPandas() for d, n in ((qp, 256), (bp, rows))]
+    if not len(some[0]) or len(some[1]) < 2:
+        return 1.0
+    d = _to_pivots(some[0], some[1], space)
+    d[some[0]["_key"].to_numpy()[:, None] == some[1]["_key"].to_numpy()[None, :]] = np.inf
+    kth = np.sort(d, axis=1)[:, min(k, d.shape[1]) - 1]
+    return float({"euclidean": 4, "l1": 8}[space.metric] * np.median(kth[kth < np.inf])) if (kth < np.inf).any() and np.median(kth[kth < np.inf]) > 0 else 1.0
+
+
+def knn_approximate(
+    query: DataFrame, q_key: str, base: DataFrame, b_key: str, space: Space, k: int = 1, exclude_self: bool = False,
+    q_stats: dict | None = None, b_stats: dict | None = None, width: float | None = None, tables: int = TABLES,
+    projections: int = PROJECTIONS, seed: int = 0, block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """K near base rows per query row, (q_key, rank, dist, b_key), by buckets of random projections.
+
+    In each of ``tables`` tables, ``projections`` p-stable projections (normal
+    for euclidean, Cauchy for l1), cut into steps of ``width``, name a bucket;
+    rows that share a bucket in any table are candidates, and their true
+    distances rank them. A bucket is split into blocks by its size, none is
+    capped. A query row that finds fewer than k candidates, or lacks a
+    coordinate, is answered by the exact join, so every list is full. Only
+    numbers make buckets (``space.cat`` must be empty). Distances are exact;
+    what may be missing is a neighbour that shares no bucket.
+    """
+    if space.cat:
+        raise ValueError("buckets need numeric coordinates")
+    if width is None:
+        width = bucket_width(query, q_key, base, b_key, space, k, q_stats, b_stats)
+    rng = np.random.default_rng(seed)
+    shape = (len(space.num), tables * projections)
+    axes = rng.normal(size=shape) if space.metric == "euclidean" else rng.standard_cauchy(size=shape)
+    shift = rng.uniform(size=tables * projections)
+    qp, bp = _prepared(query, q_key, base, b_key, space, q_stats, b_stats, None)
+
+    def bucketed(rows: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                steps = np.floor(_numbers(pdf, space) @ axes / width + shift).astype(np.int64).reshape(len(pdf), tables, projections)
+                for t in range(tables):
+                    yield pdf.assign(_table=np.int32(t), **{f"_p{i}": steps[:, t, i] for i in range(projections)})
+
+        names = ["_table", *(f"_p{i}" for i in range(projections))]
+        named = rows.where(_valid(space)).mapInPandas(run, _schema(rows, "_table int, " + ", ".join(f"{c} long" for c in names[1:])))
+        return named.withColumn("_group", F.xxhash64(*names)).drop(*names)  # buckets of equal hash only add candidates
+
+    found = _within(bucketed(bp), bucketed(qp), space, k, exclude_self, block_bytes)
+    full = found.where(F.col("rank") == k).select(F.col("q_key").alias("_done"))
+    rest = query.join(full, F.col(q_key).cast("long") == F.col("_done"), "left_anti")
+    exact = knn(rest, q_key, base, b_key, space, k, exclude_self, q_stats, b_stats, block_bytes=block_bytes, q_size=size_of(query, space))
+    return found.join(full, F.col("q_key") == F.col("_done"), "left_semi").unionByName(exact)
 
 
 def nearest(query: DataFrame, q_key: str, base: DataFrame, b_key: str, space: Space, k: int = 2,
@@ -258,8 +591,9 @@ def dcr(s: DataFrame, s_key: str, r: DataFrame, r_key: str, h: DataFrame, h_key:
     rng = {c: (row[c] or 1.0) for c in num}
     sp = Space(num=num, cat=cat, metric="l1", scale=rng)
     known = r.select(*cat).unionByName(h.select(*cat))
-    dr = knn(s, s_key, r, r_key, sp, 1, known=known).select(F.col("q_key").alias(s_key), F.col("dist").alias("dcr_real"))
-    dh = knn(s, s_key, h, h_key, sp, 1, known=known).select(F.col("q_key").alias(s_key), F.col("dist").alias("dcr_test"))
+    size = size_of(s, sp)
+    dr = knn(s, s_key, r, r_key, sp, 1, known=known, q_size=size).select(F.col("q_key").alias(s_key), F.col("dist").alias("dcr_real"))
+    dh = knn(s, s_key, h, h_key, sp, 1, known=known, q_size=size).select(F.col("q_key").alias(s_key), F.col("dist").alias("dcr_test"))
     rows = dr.join(dh, s_key)
     score = rows.agg(F.avg((F.col("dcr_real") < F.col("dcr_test")).cast("double")).alias("dcr_score"))
     return rows, score
@@ -283,6 +617,7 @@ def dcr_percentiles(r: DataFrame, s: DataFrame, cols: Sequence[str], r_key: str,
     rr_, ss_ = prep(r, r_key), prep(s, s_key)
     zr, zf = zscore_stats(rr_, cols), zscore_stats(ss_, cols)
     sp = Space(num=cols, metric="euclidean")
+    nr, nf = size_of(rr_, sp), size_of(ss_, sp)
 
     def summarise(long: DataFrame, tag: str) -> DataFrame:
         w = long.groupBy("q_key").agg(F.max(F.when(F.col("rank") == 1, F.col("dist"))).alias("d1"),
@@ -291,9 +626,9 @@ def dcr_percentiles(r: DataFrame, s: DataFrame, cols: Sequence[str], r_key: str,
         return _one_row(*(_quantiles(w.groupBy(c).agg(F.count("*").alias("n")), c, {f"{name}_{tag}": q})
                           for c, name in (("d1", "dcr"), ("ratio", "nndr"))))
 
-    rf = summarise(knn(rr_, r_key, ss_, s_key, sp, 2, q_stats=zr, b_stats=zf), "real_fake")
-    rr = summarise(knn(rr_, r_key, rr_, r_key, sp, 2, exclude_self=True, q_stats=zr, b_stats=zr), "real_real")
-    ff = summarise(knn(ss_, s_key, ss_, s_key, sp, 2, exclude_self=True, q_stats=zf, b_stats=zf), "fake_fake")
+    rf = summarise(knn(rr_, r_key, ss_, s_key, sp, 2, q_stats=zr, b_stats=zf, q_size=nr, b_size=nf), "real_fake")
+    rr = summarise(knn(rr_, r_key, rr_, r_key, sp, 2, exclude_self=True, q_stats=zr, b_stats=zr, q_size=nr, b_size=nr), "real_real")
+    ff = summarise(knn(ss_, s_key, ss_, s_key, sp, 2, exclude_self=True, q_stats=zf, b_stats=zf, q_size=nf, b_size=nf), "fake_fake")
     return _one_row(rf, rr, ff).select(
         "dcr_real_fake", "dcr_real_real", "dcr_fake_fake", "nndr_real_fake", "nndr_real_real", "nndr_fake_fake")
 
@@ -302,19 +637,20 @@ def prdc(r: DataFrame, s: DataFrame, cols: Sequence[str], r_key: str, s_key: str
     """K-NN precision / recall / density / coverage (strict '<' as in the published code)."""
     sp = Space(num=cols, metric="euclidean")
     one = {c: (0.0, 1.0) for c in cols}
-    rad_r = knn(r, r_key, r, r_key, sp, k, exclude_self=True, q_stats=one, b_stats=one).where(
+    nr, ns = size_of(r, sp), size_of(s, sp)
+    rad_r = knn(r, r_key, r, r_key, sp, k, exclude_self=True, q_stats=one, b_stats=one, q_size=nr, b_size=nr).where(
         F.col("rank") == k).select(F.col("q_key").alias("key"), F.col("dist").alias("radius"))
-    rad_s = knn(s, s_key, s, s_key, sp, k, exclude_self=True, q_stats=one, b_stats=one).where(
+    rad_s = knn(s, s_key, s, s_key, sp, k, exclude_self=True, q_stats=one, b_stats=one, q_size=ns, b_size=ns).where(
         F.col("rank") == k).select(F.col("q_key").alias("key"), F.col("dist").alias("radius"))
     # precision / density: for each synthetic row, real balls containing it
-    in_real = knn(s, s_key, r, r_key, sp, mode="ball", radius=rad_r, q_stats=one, b_stats=one)
+    in_real = knn(s, s_key, r, r_key, sp, mode="ball", radius=rad_r, q_stats=one, b_stats=one, q_size=ns, b_size=nr)
     prec = in_real.agg(F.avg((F.col("dist") > 0).cast("double")).alias("precision"),
                        (F.avg("dist") / k).alias("density")).withColumn("_k", F.lit(1))
     # recall: for each real row, synthetic balls containing it
-    in_syn = knn(r, r_key, s, s_key, sp, mode="ball", radius=rad_s, q_stats=one, b_stats=one)
+    in_syn = knn(r, r_key, s, s_key, sp, mode="ball", radius=rad_s, q_stats=one, b_stats=one, q_size=nr, b_size=ns)
     rec = in_syn.agg(F.avg((F.col("dist") > 0).cast("double")).alias("recall")).withColumn("_k", F.lit(1))
     # coverage: real rows whose nearest synthetic row is inside the real ball
-    nn_rs = knn(r, r_key, s, s_key, sp, 1, q_stats=one, b_stats=one).select(F.col("q_key").alias("key"), "dist")
+    nn_rs = knn(r, r_key, s, s_key, sp, 1, q_stats=one, b_stats=one, q_size=nr, b_size=ns).select(F.col("q_key").alias("key"), "dist")
     cov = nn_rs.join(rad_r, "key").agg(
         F.avg((F.col("dist") < F.col("radius")).cast("double")).alias("coverage")).withColumn("_k", F.lit(1))
     return prec.join(rec, "_k").join(cov, "_k").select("precision", "recall", "density", "coverage")

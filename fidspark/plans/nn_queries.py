@@ -173,3 +173,11 @@ SELECT 1 - (SELECT sum(abs(alpha - p)) / sum(alpha) FROM prec) AS delta_precisio
 def q_alpha_beta(spark, d):
     r, s = fx.pair(spark, d, "near")
     return nn.alpha_beta(r, s, ["p_size", "p_retailprice"], "p_partkey", "p_partkey")
+
+
+@register("nn_approximate", ops=("J4",))
+def q_nn_approximate(spark, d):
+    """Three near real parts of each synthetic one by bucketed projections, with their true distances."""
+    r, s = _near_pair(spark, d)
+    zs = nn.zscore_stats(r, NCOLS)
+    return nn.knn_approximate(s, "p_partkey", r, "p_partkey", nn.Space(num=NCOLS), 3, q_stats=zs, b_stats=zs)

@@ -68,3 +68,74 @@ def test_empty_sides(spark):
     some = spark.createDataFrame([(1, 1.0)], "k long, a double")
     assert nn.knn(some.limit(0), "k", some, "k", nn.Space(num=["a"])).count() == 0
     assert nn.knn(some, "k", some.limit(0), "k", nn.Space(num=["a"])).count() == 0
+
+
+def _points(spark, x, first=0):
+    return spark.createDataFrame(pd.DataFrame(x, columns=[f"c{i}" for i in range(x.shape[1])]).assign(k=np.arange(first, first + len(x))))
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "l1"])
+@pytest.mark.parametrize("dim,k", [(1, 1), (3, 3)])
+def test_pruned_join_equals_brute_force(spark, metric, dim, k):
+    """Clusters, equal points (ties, zero radii) and far points, blocks of a few rows."""
+    rng = np.random.default_rng(dim)
+    centres = rng.normal(size=(12, dim)) * 20
+    b = np.round(8 * (centres[rng.integers(0, 12, 700)] + rng.normal(size=(700, dim)))) / 8  # sums are exact
+    b[:200] = b[0]  # one point that many rows share
+    q = np.concatenate([b[::5], np.round(8 * (centres[rng.integers(0, 12, 150)] + rng.normal(size=(150, dim)))) / 8, np.full((3, dim), 500.0)])
+    cols = [f"c{i}" for i in range(dim)]
+    got = nn.knn(_points(spark, q), "k", _points(spark, b), "k", nn.Space(num=cols, metric=metric), k=k, block_bytes=8 * (2 + dim) * 120)
+    diff = q[:, None, :] - b[None, :, :]
+    d = np.sqrt((diff**2).sum(-1)) if metric == "euclidean" else np.abs(diff).sum(-1)
+    want = {}
+    for i, row in enumerate(d):
+        for rank, j in enumerate(np.lexsort((np.arange(len(b)), row))[:k]):
+            want[i, rank + 1] = (j, row[j])
+    found = {(r["q_key"], r["rank"]): (r["b_key"], r["dist"]) for r in got.collect()}
+    assert found.keys() == want.keys()
+    assert found == want
+
+
+def test_pruned_join_with_categories_nulls_and_self(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, float(rng.integers(0, 40)) if i % 17 else None, float(rng.integers(0, 9)), "abcd"[rng.integers(0, 4)] if i % 11 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "k long, a double, b double, c string")
+    space = nn.Space(num=["a", "b"], cat=["c"], metric="l1", scale={"a": 10.0})
+    big = nn.knn(df, "k", df, "k", space, k=3, exclude_self=True).collect()
+    small = nn.knn(df, "k", df, "k", space, k=3, exclude_self=True, block_bytes=64 * 70).collect()
+    assert len(big) == 1200 and sorted(big, key=str) == sorted(small, key=str)
+
+
+def test_pruning_visits_few_blocks(spark):
+    rng = np.random.default_rng(2)
+    base, query = _points(spark, rng.uniform(size=(3000, 2))), _points(spark, rng.uniform(size=(300, 2)))
+    visits, possible = nn.visit_counts(query, "k", base, "k", nn.Space(num=["c0", "c1"]), k=2, block_bytes=32 * 100)
+    assert visits < possible / 10
+
+
+def test_in_task_search_prunes(monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.uniform(size=(5000, 2))
+    cells, looked = nn._Cells(x, [], "euclidean"), []
+    plain = nn._Cells.distances
+    monkeypatch.setattr(nn._Cells, "distances", lambda self, n, c, r: looked.append(len(n) * len(r)) or plain(self, n, c, r))
+    dist, _ = nn._top(cells, np.arange(5000), np.arange(5000, 5300), rng.uniform(size=(300, 2)), [], 1, False)
+    assert sum(looked) < 300 * 5000 / 5 and (dist < 0.1).all()
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "l1"])
+def test_approximate_join_finds_most_neighbours(spark, metric):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 8)) * 5
+    b, q = (centres[rng.integers(0, 40, n)] + rng.normal(size=(n, 8)) for n in (1500, 150))
+    b[:500] = b[0]  # a hot bucket in every table
+    q[0] = 1e6  # shares no bucket: answered by the exact join
+    base, query = _points(spark, b), _points(spark, q, 10_000)
+    space = nn.Space(num=[f"c{i}" for i in range(8)], metric=metric)
+    exact = {(r["q_key"], r["b_key"]) for r in nn.knn(query, "k", base, "k", space, k=3).collect()}
+    got = nn.knn_approximate(query, "k", base, "k", space, k=3).collect()
+    assert len(got) == 450 and len({(r["q_key"], r["rank"]) for r in got}) == 450
+    assert len(exact & {(r["q_key"], r["b_key"]) for r in got}) >= 0.9 * len(exact)
+    if metric == "l1":  # the hot bucket in several blocks
+        split = nn.knn_approximate(query, "k", base, "k", space, k=3, block_bytes=80 * 200).collect()
+        assert sorted(split) == sorted(got)
