@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fidspark.functions.numeric import beta_ppf, normal_cdf
 from fidspark.functions import hash_uniform
 
 
@@ -98,17 +99,18 @@ def dequantize_inverse(c: str, dist: str = "uniform") -> Column:
 
 def dequantize(df: DataFrame, cols: Sequence[str], key: str, factor: float = 1.0, seed: int = 0,
                dist: str = "uniform") -> DataFrame:
-    """Add u * factor with u a hash-uniform draw per (row, column) (beta noise via quantile
-    of a symmetric Beta is approximated by the mean of two uniforms minus 0.5)."""
+    """Add noise drawn per (row, column) by a hash: u * ``factor`` (uniform) or a Beta(factor, factor) value less 0.5
+    (beta), by its quantile at u. Other ``dist`` add nothing. Nulls stay."""
+
+    @F.pandas_udf("double")
+    def beta(u: pd.Series) -> pd.Series:
+        return pd.Series(beta_ppf(u.to_numpy(np.float64), factor, factor))
+
     out = []
     for i, c in enumerate(df.columns):
         if c in cols:
             u = hash_uniform(key, seed * 131 + i)
-            if dist == "uniform":
-                noise = u * factor
-            else:
-                v = hash_uniform(key, seed * 131 + i + 7919)
-                noise = ((u + v) / 2 - 0.5) * factor
+            noise = u * factor if dist == "uniform" else beta(u) - 0.5 if dist == "beta" else F.lit(0.0)
             out.append((F.col(c).cast("double") + noise).alias(c))
         else:
             out.append(F.col(c))
@@ -277,9 +279,6 @@ def normal_ppf(p: np.ndarray) -> np.ndarray:
 
 def quantile_normal(df: DataFrame, grid: dict[str, list[float]], inverse: bool = False) -> DataFrame:
     """E3 transform: interpolate on the broadcast grid, then the normal quantile (Arrow batches)."""
-    from statistics import NormalDist
-
-    nd = NormalDist()
     clip = 1e-7
     bc = df.sparkSession.sparkContext.broadcast(grid)
 
@@ -292,8 +291,7 @@ def quantile_normal(df: DataFrame, grid: dict[str, list[float]], inverse: bool =
                 # average of forward and backward interpolation handles repeated grid values
                 u = 0.5 * (np.interp(x, g, ref) - np.interp(-x, -g[::-1], -ref[::-1]))
                 return pd.Series(normal_ppf(np.clip(u, clip, 1 - clip)))
-            u = np.clip(np.array([nd.cdf(float(v)) for v in x]), 0, 1)
-            return pd.Series(np.interp(u, ref, g))
+            return pd.Series(np.interp(normal_cdf(x.to_numpy(np.float64)), ref, g))
 
         return fwd
 

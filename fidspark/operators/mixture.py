@@ -1,7 +1,7 @@
 """Mode-specific normalisation and mixed columns (E17-E19), the encoder chain (E24, E25) and its blocks.
 
-A column's modes (mean, deviation, weight; at most ten) are fitted by Spark
-ML; encoding and decoding are column expressions over these few numbers.
+A column's modes (mean, deviation, weight; at most ten) are fitted by sums over
+the column; encoding and decoding are column expressions over these few numbers.
 """
 
 from __future__ import annotations
@@ -10,12 +10,11 @@ from dataclasses import dataclass, field
 from typing import Sequence
 
 import numpy as np
-from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fidspark.functions import hash_uniform
+from fidspark.functions.numeric import digamma
 from fidspark.operators import encode
 from fidspark.spec import TableSpec
 
@@ -43,33 +42,84 @@ def _log_shares(x: Column, modes: Modes) -> list[Column]:
             for m, s, w in zip(modes.mean, modes.std, modes.weight)]
 
 
-def fit_modes(df: DataFrame, col: str, components: int = 10, min_weight: float = 0.005, special: Sequence[float] = (),
-              seed: int = 0) -> Modes:
-    """E17/E19 fit: a Gaussian mixture of the column without nulls and ``special`` values.
+CONCENTRATION, ITERATIONS, TOLERANCE = 0.001, 100, 1e-3
+
 
-    Modes of a weight up to ``min_weight`` and modes that are no row's likeliest
-    are dropped; a column of one value, or of none, has one mode.
+def fit_modes(df: DataFrame, col: str, components: int = 10, min_weight: float = 0.005, special: Sequence[float] = (),
+              concentration: float = CONCENTRATION, iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> Modes:
+    """E17/E19 fit: a Gaussian mixture of the column without nulls and ``special`` values, its weights by stick-breaking.
+
+    Variational EM under a Dirichlet-process prior of ``concentration``, which
+    empties components that the data do not need: each round is one aggregate
+    of three sums per component over the distinct values, and the driver holds
+    a few numbers per component. It starts from equal shares of the values in
+    order and ends when no responsibility total moves by ``tolerance`` of the
+    rows, or after ``iterations`` rounds. Modes of a weight up to
+    ``min_weight`` and modes that are no row's likeliest are dropped; a column
+    of one value, or of none, has one mode.
     """
     x = F.col(col).cast("double")
     rows = df.select(x.alias("_x")).where("_x IS NOT NULL")
     if special:
         rows = rows.where(~F.col("_x").isin(*[float(v) for v in special]))
-    st = rows.agg(F.avg("_x").alias("m"), F.stddev_pop("_x").alias("s")).first()
+    cuts = [F.percentile_approx("_x", [i / components for i in range(1, components)], 10_000).alias("cuts")] if components > 1 else []
+    st = rows.agg(F.avg("_x").alias("m"), F.stddev_pop("_x").alias("s"), F.count("*").alias("n"), *cuts).first()
     if not st["s"]:
         return Modes((float(st["m"] or 0.0),), (1.0,), (1.0,), tuple(special))
-    # fitted on the standardised column: covariances of tiny or huge units are then as well conditioned
-    unit = rows.select(((F.col("_x") - F.lit(st["m"])) / F.lit(st["s"])).alias("_u"))
-    points = VectorAssembler(inputCols=["_u"], outputCol="features").transform(unit).persist()
-    model = GaussianMixture(k=components, seed=seed, maxIter=100).fit(points)
-    points.unpersist()
-    found = [(g.mean[0] * st["s"] + st["m"], max(float(np.sqrt(g.cov.toArray()[0, 0])), 1e-6) * st["s"], float(w))
-             for g, w in zip(model.gaussians, model.weights) if w > min_weight]
+    # fitted on the standardised column: variances of tiny or huge units are then as well conditioned
+    unit = (rows.groupBy("_x").agg(F.count("*").alias("n"))
+            .select(((F.col("_x") - F.lit(st["m"])) / F.lit(st["s"])).alias("u"), F.col("n").cast("double").alias("n"))).persist()
+    edges = [(v - st["m"]) / st["s"] for v in (st["cuts"] if components > 1 else [])]
+    shares = F.array(*[((F.col("u") > lo) & (F.col("u") <= hi)).cast("double") for lo, hi in zip([-np.inf, *edges], [*edges, np.inf])])
+    sums = _mode_sums(unit, shares, components)
+    for _ in range(iterations):
+        post = _posterior(*sums, concentration)
+        before = sums[0]
+        sums = _mode_sums(unit, _responsibilities(post), components)
+        if np.abs(sums[0] - before).max() < tolerance * st["n"]:
+            break
+    unit.unpersist()
+    post = _posterior(*sums, concentration)
+    found = [(float(m * st["s"] + st["m"]), float(max(np.sqrt(v), 1e-6) * st["s"]), float(w))
+             for m, v, w in zip(post["mean"], post["variance"], post["weight"]) if w > min_weight]
     modes = Modes(*map(tuple, zip(*found)), tuple(special))
     likeliest = rows.groupBy(_first_max(_log_shares(F.col("_x"), modes)).alias("i")).agg(F.count("*").alias("n")).collect()
     kept = [found[r["i"]] for r in sorted(likeliest, key=lambda r: (-r["n"], r["i"]))]
     return Modes(*map(tuple, zip(*kept)), tuple(special))
 
 
+def _mode_sums(unit: DataFrame, shares: Column, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per component the sums of responsibility, of it times u and times u squared."""
+    r = unit.select("u", "n", shares.alias("r"))
+    row = r.agg(*[F.sum(F.get("r", F.lit(i)) * F.col("n") * F.pow("u", F.lit(p))).alias(f"s{p}_{i}") for p in range(3) for i in range(k)]).first()
+    return tuple(np.array([row[f"s{p}_{i}"] for i in range(k)]) for p in range(3))
+
+
+def _posterior(n: np.ndarray, s: np.ndarray, q: np.ndarray, concentration: float) -> dict[str, np.ndarray]:
+    """Means, variances, weights and what the expected log shares are made of; the prior is one row of a standard normal."""
+    held = n + 1e-12
+    mean, spread = s / held, np.maximum(q / held - (s / held) ** 2, 0.0) + 1e-6
+    beta, dof = 1 + n, 1 + n
+    centre = n * mean / beta
+    variance = (1 + n * spread + n / beta * mean**2) / dof
+    a, b = 1 + n, concentration + np.append(np.cumsum(n[::-1])[::-1][1:], 0.0)
+    log_stick, log_rest = digamma(a) - digamma(a + b), digamma(b) - digamma(a + b)
+    weight = a / (a + b) * np.append(1.0, np.cumprod(b / (a + b))[:-1])
+    log_weight = log_stick + np.append(0.0, np.cumsum(log_rest)[:-1])
+    constant = log_weight - 0.5 * np.log(variance) + 0.5 * (digamma(dof / 2) - np.log(dof / 2)) - 0.5 / beta
+    return {"mean": centre, "variance": variance, "weight": weight / weight.sum(), "constant": constant}
+
+
+def _responsibilities(post: dict[str, np.ndarray]) -> Column:
+    """Shares of a row's components, as an array."""
+    # constant arrays, so that the generated code is the same in every round
+    part = F.arrays_zip(*[F.array(*[F.lit(float(v)) for v in post[name]]).alias(name) for name in ("constant", "mean", "variance")])
+    logs = F.transform(part, lambda x: x["constant"] - (F.col("u") - x["mean"]) * (F.col("u") - x["mean"]) / (2 * x["variance"]))
+    once = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+    return once(logs, lambda x: once(F.transform(x, lambda v: F.exp(v - F.array_max(x))), lambda e: once(
+        F.aggregate(e, F.lit(0.0), lambda acc, v: acc + v), lambda total: F.transform(e, lambda v: v / total))))
+
+
 def _first_max(values: Sequence[Column]) -> Column:
     """0-based place of the largest value, the first of equals."""
     arr = F.array(*values)

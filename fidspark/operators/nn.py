@@ -47,7 +47,8 @@ NO_VALUE = np.finfo(np.float64).max  # distance of a pair with a null coordinate
 class Space:
     """How rows become coordinates.
 
-    euclidean: sqrt(sum ((x - mu) / sd)^2) over ``num`` (mu/sd given per side).
+    euclidean: sqrt(sum ((x - mu) / sd)^2) over ``num`` (mu/sd given per side),
+    the one-hot blocks of ``cat`` counted as coordinates.
     l1: sum |x - y| / range over ``num`` + one-hot L1 over ``cat`` (2 when two
     known categories differ, 1 when one side is unknown).
     """
@@ -105,11 +106,11 @@ def _distances(qn: np.ndarray, bn: np.ndarray, cats: list, metric: str) -> np.nd
     for j in range(qn.shape[1]):
         diff = qn[:, j, None] - bn[None, :, j]
         d += diff * diff if metric == "euclidean" else np.abs(diff)
-    if metric == "euclidean":
-        np.sqrt(d, out=d)
     for qc, bc in cats:
         a, b = qc[:, None], bc[None, :]
         d += np.where(a != b, np.where((a < 0) | (b < 0), 1.0, 2.0), 0.0)
+    if metric == "euclidean":
+        np.sqrt(d, out=d)
     return np.where(np.isnan(d), NO_VALUE, d)
 
 

@@ -7,10 +7,12 @@ identical when a lost task is recomputed.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from functools import reduce
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from fidspark.functions import HASH_RANGE, hash_uniform, null_markers, portable_hash
@@ -254,6 +256,41 @@ def range_counts(s: DataFrame, stats: dict[str, tuple[float, float]]) -> DataFra
     return s.agg(kept.alias("n_kept"), (F.count("*") - kept).alias("n_rejected"))
 
 
+def reject_and_count(s: DataFrame, stats: dict[str, tuple[float, float]]) -> tuple[DataFrame, Observation]:
+    """The rows in range, and what the job that reads them observes: n_kept, n_rejected.
+
+    The counts come with the first action on the rows, from the same pass.
+    """
+    seen = Observation()
+    kept = F.count_if(in_range(stats))
+    return s.observe(seen, kept.alias("n_kept"), (F.count(F.lit(1)) - kept).alias("n_rejected")).where(in_range(stats)), seen
+
+
+def draw_until(draw: Callable[[int, int], DataFrame], stats: dict[str, tuple[float, float]], n: int, path: str,
+               rounds: int = 20) -> tuple[DataFrame, int, int]:
+    """Draw, reject and draw again until ``n`` rows lie in range: (rows, how many drawn were kept, how many rejected).
+
+    ``draw(round, missing)`` gives a frame, of about as many rows as are
+    missing. Each round is one job, which appends to ``path`` and counts; a
+    round draws more by the share rejected so far. The rows are the first n of
+    the rounds in order; fewer if ``rounds`` rounds do not reach n.
+    """
+    kept = rejected = 0
+    out = None
+    for i in range(rounds):
+        if kept >= n:
+            break
+        share = kept / (kept + rejected) if kept else 1.0
+        rows, seen = reject_and_count(draw(i, math.ceil((n - kept) / share)), stats)
+        rows.withColumn("_round", F.lit(i)).write.mode("append").parquet(path)
+        out = out or rows.sparkSession
+        kept, rejected = kept + seen.get["n_kept"], rejected + seen.get["n_rejected"]
+    if out is None:
+        raise ValueError("n and rounds are at least 1")
+    # the limit is the feature
+    return out.read.parquet(path).orderBy("_round").limit(n).drop("_round"), kept, rejected
+
+
 def handle_nan_rows(df: DataFrame, cols: Sequence[str], keep: bool = True) -> DataFrame:
     """Rows with a NaN/null in ``cols``: zero the row (keep=True) or drop it."""
     bad = reduce(lambda a, b: a | b, [F.col(c).isNull() | F.isnan(F.col(c)) for c in cols])
@@ -403,21 +440,19 @@ def covering_split_check(df: DataFrame, cats: Sequence[str], split_col: str = "s
 
 
 def covering_split(df: DataFrame, cats: Sequence[str], shares: Sequence[float], key: str, seed: int = 1234,
-                   tries: int = 5) -> DataFrame:
-    """Retry seed+1 until train holds every category; then move one row per missing category."""
-    for i in range(tries):
-        cand = random_split(df, shares, key, seed + i)
-        if covering_split_check(cand, cats).limit(1).count() == 0:
-            return cand
-    cand = random_split(df, shares, key, seed + tries - 1)
-    miss = covering_split_check(cand, cats)
-    fixes = []
-    for c in cats:
-        m = miss.where(F.col("feature") == c).select(F.col("value").alias("_v"))
-        pick = cand.join(m, cand[c].cast("string") == F.col("_v")).groupBy("_v").agg(
-            F.min(key).alias("_key"))
-        fixes.append(pick.select("_key"))
-    move = reduce(lambda a, b: a.unionByName(b), fixes).distinct()
-    return cand.join(move.withColumn("_mv", F.lit(True)), cand[key] == move["_key"], "left").select(
-        *[F.when(F.col("_mv"), F.lit("train")).otherwise(F.col("split")).alias("split") if c == "split" else F.col(c)
-          for c in cand.columns])
+                   names: Sequence[str] = ("train", "test")) -> DataFrame:
+    """A split by hash whose first part holds every category of ``cats``, for any seed.
+
+    One aggregate finds, for each value of each column (null is none), whether
+    the first part holds it and, if not, its representative, the row of
+    the least (hash, key). Only the
+    representatives move, one per missing value, and one row may stand for
+    several columns. Rows of equal keys move together.
+    """
+    cand = random_split(df, shares, key, seed, names)
+    long = cand.select(F.col(key).alias("_key"), (F.col("split") == names[0]).alias("_in"), portable_hash(key, seed + 1).alias("_h"),
+                       *[F.col(c).cast("string").alias(c) for c in cats]).unpivot(["_key", "_in", "_h"], list(cats), "feature", "value")
+    values = long.where("value IS NOT NULL").groupBy("feature", "value").agg(F.bool_or("_in").alias("held"), F.min(F.struct("_h", "_key")).alias("first"))
+    move = values.where(~F.col("held")).select(F.col("first._key").alias("_key")).distinct()
+    moved = cand.join(move.withColumn("_moved", F.lit(True)), cand[key] == move["_key"], "left")
+    return moved.select(*[F.when(F.col("_moved"), F.lit(names[0])).otherwise(F.col("split")).alias("split") if c == "split" else cand[c] for c in cand.columns])

@@ -8,13 +8,17 @@ from __future__ import annotations
 
 from typing import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fidspark.functions import clean_label
+from fidspark.functions.numeric import ks_exact
 from fidspark.operators import cdf
 
+# The tail levels, and the sample size up to which the p-value of the KS test is exact.
 TAIL_PROBS = (0.01, 0.05, 0.95, 0.99)
+KS_EXACT_ROWS = 10_000
 
 
 def _pct_name(p: float) -> str:
@@ -151,15 +155,24 @@ class NumericComparison:
         return out.withColumn("abs_rate_diff", F.abs(F.col("real_outlier_rate") - F.col("synthetic_outlier_rate")))
 
     # A5
-    def ks(self) -> DataFrame:
+    def ks(self, exact_rows: int = KS_EXACT_ROWS) -> DataFrame:
+        """Per feature the KS statistic and its p-value: exact where both samples have at most ``exact_rows`` values
+        (ties counted as the lattice of all orders does), else asymptotic."""
         st = cdf.ks_statistic(self.pre)
-        full = F.broadcast(self.counts.select("feature").distinct())  # keep all-null features as null
+        full = self.counts.select("feature").distinct()  # keep all-null features as null
         st = full.join(st, "feature", "left")
-        return st.select(
-            "feature",
-            "ks_statistic",
-            cdf.ks_pvalue(F.col("ks_statistic"), F.col("n_r").cast("double"), F.col("n_s").cast("double")).alias("p_value"),
-        )
+        series = cdf.ks_pvalue(F.col("ks_statistic"), F.col("n_r").cast("double"), F.col("n_s").cast("double"))
+        if not exact_rows:
+            return st.select("feature", "ks_statistic", series.alias("p_value"))
+
+        @F.pandas_udf("double")
+        def exact(d: pd.Series, m: pd.Series, n: pd.Series) -> pd.Series:
+            return pd.Series([ks_exact(x, int(a), int(b)) if a <= exact_rows and b <= exact_rows else None for x, a, b in zip(d, m, n)], dtype="float64")
+
+        few = F.greatest("n_r", "n_s") <= exact_rows
+        asked = [F.when(few, F.col(c)).otherwise(F.lit(0)) for c in ("n_r", "n_s")]
+        return st.withColumn("_exact", exact(F.coalesce("ks_statistic", F.lit(0.0)), *[F.coalesce(c, F.lit(0)).cast("long") for c in asked])).select(
+            "feature", "ks_statistic", F.when(few, F.col("_exact")).otherwise(series).alias("p_value"))
 
     # A16
     def wasserstein(self) -> DataFrame:
@@ -206,8 +219,8 @@ def iqr_outlier_rate(r: DataFrame, s: DataFrame, cols: Sequence[str]) -> DataFra
     return NumericComparison(r, s, cols).iqr_outlier_rate()
 
 
-def ks_two_sample(r: DataFrame, s: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return NumericComparison(r, s, cols).ks()
+def ks_two_sample(r: DataFrame, s: DataFrame, cols: Sequence[str], exact_rows: int = KS_EXACT_ROWS) -> DataFrame:
+    return NumericComparison(r, s, cols).ks(exact_rows)
 
 
 def ks_significant_share(ks: DataFrame, alpha: float = 0.05) -> DataFrame:

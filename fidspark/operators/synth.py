@@ -110,6 +110,34 @@ def smote(df: DataFrame, key: str, label: str, cols: Sequence[str], k: int = 5,
         key, label, *[(F.col(c) + u * (F.col(f"_n_{c}") - F.col(c))).alias(c) for c in cols])
 
 
+def smote_encoded(df: DataFrame, key: str, label: str, num: Sequence[str], cat: Sequence[str], k: int = 5, seed: int = 0,
+                  n_quantiles: int | None = None) -> DataFrame:
+    """X8 in encoded space: per class, one synthetic row per real row, with its own types back.
+
+    Numbers are mapped to normal scores by their quantiles (E3) and categories
+    to one-hot blocks; the neighbours are the k nearest of the class there. The
+    new row lies u of the way to a neighbour; its numbers go back by the
+    inverse map, so they stay within the column's range, and its blocks by
+    their largest entry (E22), which is the neighbour's category beyond half
+    way. Rows with a null number take part as the farthest neighbours and give
+    nulls. A class of one row gives none.
+    """
+    from fidspark.operators import encode
+
+    grid = encode.quantile_grid(df, num, n_quantiles)
+    rows = encode.quantile_normal(df.select(key, label, *num, *cat), grid)
+    near = nn.knn_within(rows, key, label, nn.Space(num=num, cat=cat), k)
+    pick = F.floor(hash_uniform(F.col("q_key"), seed) * F.size("near")).cast("int")
+    chosen = (near.groupBy("q_key").agg(F.sort_array(F.collect_list(F.struct("rank", "b_key"))).alias("near"))  # k a row
+              .select(F.col("q_key").alias(key), F.get("near", pick)["b_key"].alias("_nn")))
+    other = rows.select(F.col(key).alias("_nn"), *[F.col(c).alias(f"_n_{c}") for c in (*num, *cat)])
+    u = hash_uniform(key, seed + 1)
+    mixed = rows.join(chosen, key).join(other, "_nn").select(
+        key, label, *[(F.col(c) + u * (F.col(f"_n_{c}") - F.col(c))).alias(c) for c in num],
+        *[F.when(u > 0.5, F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c) for c in cat])
+    return encode.quantile_normal(mixed, grid, inverse=True)
+
+
 def impute_baseline(train: DataFrame, test: DataFrame, col: str, kind: str, key: str, trials: int = 1,
                     seed: int = 0) -> DataFrame:
     """Numeric -> train mean; categorical -> a draw by train frequency per (row, trial)."""

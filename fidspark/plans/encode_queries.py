@@ -56,9 +56,9 @@ def q_log_clip(spark, d):
 def q_log_encode(spark, d):
     v = fx.view(spark, d, "feat").select("side", "l_quantity", "l_discount")
     enc, lower = encode.log_encode(v, ["l_quantity", "l_discount"])
-    back, _ = encode.log_encode(enc.select(F.col("l_discount")), ["l_discount"], inverse=True, lower=lower)
-    shift = 1.0 if lower["l_discount"] == 0 else (0.0 if lower["l_discount"] > 0 else 1.0 - lower["l_discount"])
-    return enc.withColumn("l_discount_back", F.exp(F.col("l_discount")) - shift)
+    both = enc.withColumn("l_discount_back", F.col("l_discount"))
+    back, _ = encode.log_encode(both, ["l_discount_back"], inverse=True, lower={"l_discount_back": lower["l_discount"]})
+    return back
 
 
 TRAIN_PART = f"({H('p_partkey', 3)} / 1099511627776e0 < 0.05)"
@@ -151,6 +151,16 @@ def q_dequant(spark, d):
     return dq.select("l_orderkey", "l_linenumber", encode.dequantize_inverse("x").alias("l_linenumber_back"))
 
 
+@register("dequantize_beta", "SELECT l_orderkey, l_linenumber, CAST(l_linenumber AS BIGINT) AS l_linenumber_back, true AS within FROM lineitem",
+          ops=("E13", "F4"))
+def q_dequant_beta(spark, d):
+    """Beta(2, 2) noise stays within half a unit, so rounding gives the integers back."""
+    li = fx.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_linenumber").alias("x"))
+    dq = encode.dequantize(li, ["x"], "l_orderkey", 2.0, seed=0, dist="beta")
+    return dq.select("l_orderkey", "l_linenumber", encode.dequantize_inverse("x", "beta").alias("l_linenumber_back"),
+                     (F.abs(F.col("x") - F.col("l_linenumber")) < 0.5).alias("within"))
+
+
 @register("ordinal_ratio", """WITH dic AS (SELECT value, row_number() OVER (ORDER BY n DESC, value) - 1 AS idx, count(*) OVER () AS k
   FROM (SELECT CAST(p_type AS VARCHAR) AS value, count(*) AS n FROM part GROUP BY 1))
 SELECT p_partkey, idx / CAST(k AS DOUBLE) AS p_type FROM part JOIN dic ON CAST(part.p_type AS VARCHAR) = dic.value""",

@@ -14,11 +14,13 @@ SPEC = TableSpec(num=("p_size", "p_retailprice"), cat=("p_type", "p_brand"), tar
 
 
 @register("label_last_reorder", "SELECT p_size, p_retailprice, CAST(p_type AS VARCHAR) AS p_type, "
-          "CAST(p_brand AS VARCHAR) AS p_brand, p_name FROM part", ops=("P1", "P12", "P16", "P18", "P19", "P31"))
+          "CAST(p_brand AS VARCHAR) AS p_brand, p_name, 'p_brand,p_type,p_size,p_retailprice,p_name' AS label_last, "
+          "'p_size,p_retailprice,p_type,p_brand,p_name' AS reordered FROM part", ops=("P1", "P12", "P16", "P18", "P19", "P31"))
 def q_reorder(spark, d):
     p = fx.table(spark, d, "part").drop("p_partkey")  # P16: drop the id column
-    p = prep.cast_roles(prep.label_last(p, "p_name"), list(SPEC.cat))
-    return prep.reorder(p, SPEC.num, SPEC.cat, SPEC.target).select(*SPEC.order())
+    last = prep.label_last(p.select("p_name", *[c for c in p.columns if c != "p_name"]), "p_name")
+    out = prep.reorder(prep.cast_roles(last, list(SPEC.cat)), SPEC.num, SPEC.cat, SPEC.target)
+    return out.withColumns({"label_last": F.lit(",".join(last.columns)), "reordered": F.lit(",".join(out.columns))})
 
 
 @register("restore_order", "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part", ops=("P20",))

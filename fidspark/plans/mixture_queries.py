@@ -61,7 +61,7 @@ def q_mixed_back(spark, d):
 def q_mode_fit(spark, d):
     """Modes fitted on all orders; per mode its rows and the largest error of encode and decode within the clip."""
     o = fx.table(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    modes = mixture.fit_modes(o, "o_totalprice", components=5)
+    modes = mixture.fit_modes(o, "o_totalprice")
     e = mixture.encode_modes(o.withColumn("x", F.col("o_totalprice")), "o_totalprice", modes, "o_orderkey")
     inside = F.abs("o_totalprice_u") < mixture.CLIP
     back = mixture.decode_modes(e.withColumn("mode", F.col("o_totalprice_mode")).withColumn("inside", inside), "o_totalprice", modes)

@@ -223,10 +223,10 @@ def q_missing_cats(spark, d):
     return prep.missing_categories(s, r, ["l_returnflag"])
 
 
-@register("drop_all_duplicates", """SELECT l_quantity, l_returnflag, l_linestatus, l_discount FROM lineitem
+@register("drop_all_duplicates", """SELECT l_suppkey, l_quantity, l_discount, l_returnflag FROM lineitem
   GROUP BY ALL HAVING count(*) = 1""", ["l_quantity", "l_discount"], ops=("A28", "U5"))
 def q_dedup(spark, d):
-    li = fx.table(spark, d, "lineitem").select("l_quantity", "l_returnflag", "l_linestatus", "l_discount")
+    li = fx.table(spark, d, "lineitem").select("l_suppkey", "l_quantity", "l_discount", "l_returnflag")
     return prep.drop_all_duplicates(li)
 
 
@@ -273,6 +273,16 @@ def q_covering(spark, d):
                                      ["p_brand", "p_type"])
 
 
+@register("covering_split", f"""WITH s AS (SELECT p_partkey, CAST(p_brand AS VARCHAR) AS b, CAST(p_type AS VARCHAR) AS t,
+  {H('p_partkey', 1234)} / 1099511627776e0 < 0.01 AS held, {H('p_partkey', 1235)} AS h FROM part),
+l AS (SELECT p_partkey, held, h, 'b' AS f, b AS v FROM s UNION ALL SELECT p_partkey, held, h, 't', t FROM s),
+m AS (SELECT arg_min(p_partkey, (h, p_partkey)) AS k FROM l WHERE v IS NOT NULL GROUP BY f, v HAVING NOT bool_or(held))
+SELECT p_partkey, CASE WHEN held OR p_partkey IN (SELECT k FROM m) THEN 'train' ELSE 'test' END AS split FROM s""", ops=("X2",))
+def q_covering_split(spark, d):
+    p = fx.table(spark, d, "part").select("p_partkey", "p_brand", "p_type")
+    return prep.covering_split(p, ["p_brand", "p_type"], [0.01, 0.99], "p_partkey").select("p_partkey", "split")
+
+
 # ----------------------------------------------------------------- over runs
 
 RUN_REPORT_SQL = fx.cte("runs") + """, rep AS (

@@ -161,7 +161,27 @@ def q_iqr(spark, d):
 @register("ks_two_sample", FEAT + "," + LONG + ks_sql(), ["ks_statistic", "p_value"], ops=("A5", "W1"))
 def q_ks(spark, d):
     r, s = fx.pair(spark, d)
-    return stats.ks_two_sample(r, s, NUM)
+    return stats.ks_two_sample(r, s, NUM, exact_rows=0)
+
+
+@register("ks_exact", """WITH t AS (SELECT s_suppkey % 2 AS side, s_acctbal AS v FROM supplier), k AS (
+  SELECT count(*) FILTER (side = 0) AS m, count(*) FILTER (side = 1) AS n FROM t),
+c AS (SELECT v, sum(count(*) FILTER (side = 0)) OVER (ORDER BY v) AS a, sum(count(*) FILTER (side = 1)) OVER (ORDER BY v) AS b FROM t GROUP BY v),
+ks AS (SELECT m, n, max(abs(CAST(a * n - b * m AS BIGINT))) AS d FROM c, k GROUP BY m, n),
+rows_ AS (SELECT m, n, d, i, list_transform(range(0, n + 1), lambda j: CASE WHEN abs(i * n - j * m) >= d THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS off
+  FROM ks, range(0, m + 1) AS g(i)),
+paths AS (WITH RECURSIVE p AS (
+  SELECT 0::BIGINT AS i, m, list_reduce(list_prepend([0.0::DOUBLE], list_transform(range(1, n + 1), lambda j: [off[j + 1]])),
+    lambda acc, x: list_append(acc, CASE WHEN x[1] > 0 THEN 1.0 ELSE acc[-1] END)) AS met FROM rows_ WHERE i = 0
+  UNION ALL
+  SELECT r.i, r.m, list_reduce(list_prepend([CASE WHEN r.off[1] > 0 THEN 1.0 ELSE p.met[1] END], list_transform(range(1, r.n + 1), lambda j: [CAST(j AS DOUBLE), r.off[j + 1], p.met[j + 1]])),
+    lambda acc, x: list_append(acc, CASE WHEN x[2] > 0 THEN 1.0 ELSE (x[3] * r.i + acc[-1] * x[1]) / (r.i + x[1]) END))
+  FROM p JOIN rows_ r ON r.i = p.i + 1) SELECT met[-1] AS p_value FROM p WHERE i = m)
+SELECT 's_acctbal' AS feature, d / CAST(m * n AS DOUBLE) AS ks_statistic, p_value FROM ks, paths""", ["ks_statistic", "p_value"], ops=("A5",))
+def q_ks_exact(spark, d):
+    s = fx.table(spark, d, "supplier").select("s_suppkey", "s_acctbal")
+    even = F.col("s_suppkey") % 2 == 0
+    return stats.ks_two_sample(s.where(even), s.where(~even), ["s_acctbal"])
 
 
 @register("wasserstein_1d", FEAT + "," + LONG + wd_sql(), ["wd"], ops=("A16", "W1", "W3", "E2"))

@@ -79,6 +79,12 @@ def q_smote(spark, d):
     return synth.smote(p, "p_partkey", "p_type", ["p_size", "p_retailprice"], k=5, seed=0)
 
 
+@register("smote_encoded", ops=("X8", "J5", "E3", "E22"))
+def q_smote_encoded(spark, d):
+    p = fx.view(spark, d, "near").select("p_partkey", "p_type", "p_brand", "p_size", "p_retailprice")
+    return synth.smote_encoded(p, "p_partkey", "p_type", ["p_size", "p_retailprice"], ["p_brand"], k=5, seed=0)
+
+
 TRAIN_EV = f"{H('event_id', 5)} / 1099511627776e0 < 0.8"
 
 

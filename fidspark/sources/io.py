@@ -119,11 +119,6 @@ def read_splits(spark: SparkSession, paths: dict[str, str], spec: TableSpec) ->
     return out.select(*sel)
 
 
-def read_split_table(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet dataset partitioned by ``split`` (partition pruning on split filters)."""
-    return spark.read.parquet(path)
-
-
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> None:
     """One directory per table, optionally partitioned (e.g. by split)."""
     w = df.write.mode("overwrite")
