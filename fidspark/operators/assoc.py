@@ -22,19 +22,20 @@ def _pairs(cols: Sequence[str]) -> list[tuple[str, str]]:
     return list(combinations(list(cols), 2))
 
 
-def pairwise_corr(df: DataFrame, cols: Sequence[str], group: str | None = None) -> DataFrame:
+def pairwise_corr(df: DataFrame, cols: Sequence[str], group: str | None = None, centre: Sequence[float] | None = None) -> DataFrame:
     """Long (group?, feature_a, feature_b, corr) over the upper triangle (Pearson).
 
     Each pair uses the rows where both values are present, at any width: a task
     sums n, x, y, xx, yy and xy of all pairs as matrix products over its Arrow
     batches and returns one row per pair, which a group-by adds up. Values are
-    centred on the column means first, for accuracy. Null without two
-    different values on both sides.
+    centred first, for accuracy, on ``centre`` or else on the column means,
+    which takes a pass of its own. Null without two different values on both
+    sides.
     """
     d, g = len(cols), [group] if group else []
     pairs = np.triu_indices(d, 1)
     base = df.select(*(F.col(c).cast("string").alias("g") for c in g), *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)))
-    means = base.agg(*(F.avg(f"x{i}") for i in range(d))).first()
+    means = base.agg(*(F.avg(f"x{i}") for i in range(d))).first() if centre is None else centre
     centre = np.array([m if m is not None and np.isfinite(m) else 0.0 for m in means])
     names = ["n", "sx", "sy", "sxx", "syy", "sxy"]
 
@@ -74,14 +75,15 @@ def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
 def rank_columns(df: DataFrame, cols: Sequence[str], group: str | None = None) -> DataFrame:
     """Replace each column by its average rank (ties averaged), per ``group``.
 
-    Long form -> exact ranks per distinct value -> join back -> pivot by row id.
+    Long form -> exact ranks per distinct value -> attached to the rows, those
+    of hot values without a shuffle -> pivot by row id.
     """
     g = [group] if group else []
     base = with_row_id(df.select(*g, *cols))
     long = cdf.long_form(base, cols, ids=[*g, "_rid"])
     counts = long.groupBy(*g, "feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    ranks = cdf.average_ranks(counts, [*g, "feature"], "value", "n").drop("n")
-    ranked = long.join(ranks, [*g, "feature", "value"], "left")
+    ranks = cdf.average_ranks(counts, [*g, "feature"], "value", "n")
+    ranked = cdf.attach_ranks(long, ranks, [*g, "feature"], "value", "n")
     return ranked.groupBy(*g, "_rid").pivot("feature", list(cols)).agg(F.first("avg_rank"))
 
 
@@ -89,7 +91,9 @@ def spearman_diff_pairs(r: DataFrame, s: DataFrame, cols: Sequence[str]) -> Data
     """A7 detail: feature_a, feature_b, real_corr, synthetic_corr, abs_diff (Spearman)."""
     both = r.select(F.lit("real").alias("side"), *cols).unionByName(s.select(F.lit("synthetic").alias("side"), *cols))
     ranked = rank_columns(both, cols, group="side")
-    c = pairwise_corr(ranked, cols, group="side")
+    # ranks lie around half the number of a side's values: that is known without ranking
+    counts = both.agg(*(F.count(c) / 4 for c in cols)).first()
+    c = pairwise_corr(ranked, cols, group="side", centre=list(counts))
     out = c.groupBy("feature_a", "feature_b").agg(
         F.max(F.when(F.col("side") == "real", F.col("corr"))).alias("real_corr"),
         F.max(F.when(F.col("side") == "synthetic", F.col("corr"))).alias("synthetic_corr"),

@@ -203,7 +203,45 @@ def wasserstein(pre: Prefix, scale: DataFrame | None = None) -> DataFrame:
 
 
 def average_ranks(counts: DataFrame, keys: Sequence[str], order: str, n: str, buckets: int | None = None) -> DataFrame:
-    """(keys..., order, avg_rank): 1-based rank with ties averaged."""
+    """(keys..., order, avg_rank, n, tot_n): 1-based rank with ties averaged (W2), the value's count and the group's."""
     pre = prefix_sums(counts, keys, order, [n], buckets)
     t = pre.table
-    return t.select(*keys, order, (F.col(f"cum_{n}") - (F.col(n) - 1) / 2.0).alias("avg_rank"), n)
+    return t.select(*keys, order, (F.col(f"cum_{n}") - (F.col(n) - 1) / 2.0).alias("avg_rank"), n, f"tot_{n}")
+
+
+#: A value held by more than one in HOT_VALUES rows of its group is hot, so a group has fewer than HOT_VALUES of them.
+HOT_VALUES = 200
+
+
+def attach_ranks(long: DataFrame, ranks: DataFrame, keys: Sequence[str], order: str, n: str) -> DataFrame:
+    """``long`` (keys, order, others) with avg_rank, from what ``average_ranks`` gives; null for a null value.
+
+    Hot values, fewer than HOT_VALUES per group, go to the rows by broadcast,
+    so rows that share one stay where they are; only rows of rarer values are
+    shuffled to meet their rank.
+    """
+    on = [*keys, order]
+    is_hot = F.col(n) * HOT_VALUES > F.col(f"tot_{n}")
+    hot = F.broadcast(ranks.where(is_hot).select(*on, "avg_rank"))
+    near = long.join(hot, on, "left")
+    far = near.where(F.col("avg_rank").isNull() & F.col(order).isNotNull()).drop("avg_rank")
+    cold = ranks.where(~is_hot).select(*on, "avg_rank")
+    done = near.where(F.col("avg_rank").isNotNull() | F.col(order).isNull())
+    return done.unionByName(far.join(cold, on))
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence, name: str = "rn") -> DataFrame:
+    """``df`` with ``name``, the row's number (from 1) by ``order`` within ``keys``; no task sees a whole group.
+
+    Rows are dealt to ranges of (keys, order), numbered within a range, and the
+    counts of the group's ranges before it (groups x ranges rows) are added.
+    ``order`` should decide all ties. The number of ranges is fixed, so that
+    both uses of the ranges agree.
+    """
+    parts = default_buckets(df.sparkSession)
+    dealt = df.repartitionByRange(parts, *keys, *order).withColumn("_range", F.spark_partition_id())
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy(*keys, "_range").agg(F.count("*").alias("_rows"))
+    starts = sizes.select(*keys, "_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    local = dealt.withColumn("_local", F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)))
+    return local.join(starts, [*keys, "_range"]).withColumn(name, F.col("_before") + F.col("_local")).select(*df.columns, name)

@@ -12,11 +12,12 @@ from typing import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fidspark.functions.numeric import beta_ppf, normal_cdf
 from fidspark.functions import hash_uniform
+from fidspark.functions.numeric import beta_ppf, normal_cdf
+from fidspark.operators import cdf
 
 
 # --------------------------------------------------------------------------- numeric scalers
@@ -124,9 +125,8 @@ def fit_dictionary(df: DataFrame, cols: Sequence[str], order: str = "alpha") ->
     long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
         [], list(cols), "feature", "value").where(F.col("value").isNotNull())
     cnt = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("feature").orderBy("value") if order == "alpha" else \
-        Window.partitionBy("feature").orderBy(F.desc("n"), "value")
-    return cnt.withColumn("idx", (F.row_number().over(w) - 1).cast("int"))
+    by = ["value"] if order == "alpha" else [F.desc("n"), F.asc("value")]
+    return cdf.numbered(cnt, ["feature"], by).withColumn("idx", (F.col("rn") - 1).cast("int")).drop("rn")
 
 
 def ordinal(df: DataFrame, cols: Sequence[str], dictionary: DataFrame, unknown: str = "max+1") -> DataFrame:
@@ -237,8 +237,6 @@ def quantile_grid(df: DataFrame, cols: Sequence[str], n_quantiles: int | None =
     n = df.count()
     nq = n_quantiles or max(min(n // 30, 1000), 10)
     probs = [float(x) for x in np.linspace(0.0, 1.0, nq)]
-    from fidspark.operators import cdf
-
     counts = cdf.long_form(df, cols).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n_r"))
     pre = cdf.prefix_sums(counts, ["feature"], "value", ["n_r"])
     q = cdf.quantiles(pre, probs, sides=["n_r"]).collect()  # nq values per column

@@ -308,10 +308,8 @@ def profile(df: DataFrame, num: Sequence[str], cat: Sequence[str]) -> tuple[Data
     cats = (df.select(*[F.col(c).cast("string").alias(c) for c in cat])
             .unpivot([], list(cat), "feature", "value")
             .groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")))
-    cats = cats.withColumn(
-        "freq_rank", F.row_number().over(Window.partitionBy("feature").orderBy(F.desc("n"), F.asc_nulls_last("value")))
-    )
-    return nump, cats
+    cats = cdf.numbered(cats, ["feature"], [F.desc("n"), F.asc_nulls_last("value")], "freq_rank")
+    return nump, cats.withColumn("freq_rank", F.col("freq_rank").cast("int"))
 
 
 # --------------------------------------------------------------------------- over runs

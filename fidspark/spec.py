@@ -50,6 +50,12 @@ class TableSpec:
             out[self.target] = {"role": "target", "sdtype": kind}
         return out
 
+    def annotate(self, df: DataFrame) -> DataFrame:
+        """``df`` with the roles in its schema's metadata (P32); columns without a role stay as they are."""
+        for c, roles in self.metadata().items():
+            df = df.withMetadata(c, roles)
+        return df
+
     @classmethod
     def from_json(cls, path_or_text: str) -> "TableSpec":
         """Info-JSON source (S6): num/cat/target column indices plus names."""

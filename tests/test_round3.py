@@ -130,3 +130,57 @@ def test_split_arrays_equal_the_files(spark, tmp_path):
     np.save(tmp_path / "y_val.npy", np.array(["a", None], dtype=object))
     with pytest.raises(Exception, match="Python objects"):
         arrays.read_split_arrays(spark, str(tmp_path)).collect()
+
+
+def test_numbers_by_ranges_are_contiguous(spark):
+    from fidspark.operators import cdf
+
+    rows = [("a" if i % 3 else None, f"v{i * 7919 % 1000:04d}", i % 4) for i in range(1000)]
+    df = spark.createDataFrame(rows, "g string, v string, n int").where("g IS NOT NULL").repartition(5)
+    got = cdf.numbered(df, ["g"], [F.desc("n"), F.asc("v")]).collect()
+    want = sorted((r for r in rows if r[0]), key=lambda r: (-r[2], r[1]))
+    assert [(r["g"], r["v"], r["n"]) for r in sorted(got, key=lambda r: r["rn"])] == want
+    assert sorted(r["rn"] for r in got) == list(range(1, len(want) + 1))
+
+
+def test_a_binary_column_gets_its_ranks_without_a_shuffle(spark):
+    from fidspark.operators import assoc, cdf
+
+    pdf = pd.DataFrame({"a": np.arange(3000) % 2 * 1.0, "b": np.random.default_rng(0).normal(size=3000).round(2)})
+    pdf.loc[5:9, "b"] = np.nan
+    df = spark.createDataFrame(pdf).select("a", F.nanvl("b", F.lit(None).cast("double")).alias("b"))
+    ranked = assoc.rank_columns(df, ["a", "b"]).orderBy("_rid").toPandas()
+    assert np.allclose(ranked["a"], pdf["a"].rank()) and np.allclose(ranked["b"], pdf["b"].rank(), equal_nan=True)
+    long = cdf.long_form(df, ["a"])
+    counts = long.groupBy("feature", "value").agg(F.count("*").alias("n"))
+    plan = cdf.attach_ranks(long, cdf.average_ranks(counts, ["feature"], "value", "n"), ["feature"], "value", "n")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+
+
+def test_sinks_and_readers_round_trip(spark, tmp_path):
+    """Files written by the sinks are read back by the scans."""
+    import json
+
+    from fidspark.sources import io
+    from fidspark.spec import TableSpec
+
+    info = {"task_type": "regression", "column_names": ["a", "c", "y"], "num_col_idx": [0], "cat_col_idx": [1], "target_col_idx": [2], "header": "infer"}
+    (tmp_path / "info.json").write_text(json.dumps(info))
+    spec = TableSpec.from_json(str(tmp_path / "info.json"))
+    assert (list(spec.num), list(spec.cat), spec.target, spec.task) == (["a"], ["c"], "y", "regression")
+    df = spark.createDataFrame([(1.5, "x", 10.0, "train"), (None, "y", 11.0, "test"), (2.5, None, 12.0, "train")], "a double, c string, y double, split string")
+    io.write_table(df, str(tmp_path / "t"), partition_by=["split"])
+    assert sorted(spark.read.parquet(str(tmp_path / "t")).where("split = 'train'").select("a", "c", "y").collect(), key=str) == sorted(
+        df.where("split = 'train'").drop("split").collect(), key=str)
+    for split in ("train", "test"):
+        io.write_table(df.where(F.col("split") == split).drop("split"), str(tmp_path / split), "csv")
+    back = io.read_splits(spark, {s: str(tmp_path / s) for s in ("train", "test")}, spec)
+    assert dict(back.dtypes)["a"] == "double" and dict(back.dtypes)["y"] == "double" and dict(back.dtypes)["c"] == "string"
+    assert back.count() == 3 and back.where("split = 'test'").first()["y"] == 11.0
+    io.write_report({"r": df.agg(F.count("*").alias("n"))}, str(tmp_path / "rep"), "json")
+    assert spark.read.json(str(tmp_path / "rep" / "r")).first()["n"] == 3
+    marked = prep.null_marker_columns(spark.createDataFrame([("?", "x"), ("q", " ")], "c string, d string"), cat_fill="nan", cats=["c"])
+    assert sorted(map(tuple, marked.collect()), key=str) == [("nan", "x"), ("q", None)]
+    roles = {f.name: f.metadata for f in spec.annotate(df).schema.fields}
+    assert roles == {"a": {"role": "num", "sdtype": "numerical"}, "c": {"role": "cat", "sdtype": "categorical"},
+                     "y": {"role": "target", "sdtype": "numerical"}, "split": {}}
