@@ -50,7 +50,7 @@ def test_near_dedup_keeps_unrelated_texts_with_null_or_repeated_ids(spark):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     want = con.execute(ORACLE[name]).fetchdf()
     got = QUERIES[name](spark, SF).toPandas()
