@@ -131,6 +131,13 @@ def column_pair_trends(r: DataFrame, s: DataFrame, num: Sequence[str], cat: Sequ
     return out
 
 
+def quality_score(shapes: DataFrame, trends: DataFrame) -> DataFrame:
+    """One row of the mean column score, the mean pair score and their mean; scores that are null do not count."""
+    trend = trends.agg(F.avg("score").alias("trend")).withColumn("_k", F.lit(1))
+    return shape_score(shapes).withColumn("_k", F.lit(1)).join(trend, "_k").select(
+        "shape", "trend", ((F.col("shape") + F.col("trend")) / 2.0).alias("overall"))
+
+
 def coverage(r: DataFrame, s: DataFrame, num: Sequence[str], cat: Sequence[str]) -> DataFrame:
     """(feature, metric, score).
 

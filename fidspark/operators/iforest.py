@@ -24,7 +24,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fidspark.session import ensure_parallel, one_row
+
 EULER = 0.5772156649015329
+DEALT = 10_000  # copies of a row that one task deals out at a time
 
 
 def c_factor(n):
@@ -83,13 +86,26 @@ def _grow(cols: Sequence[str], psi: int, seed: int):
     return grow
 
 
+def _copies_apart(x: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``x`` with a ``_key``: the hash of the row's values and its number among equal rows.
+
+    Equal rows must not all draw the same trees, and a row's draws must not
+    depend on how files are split, so equal rows are counted and their copies
+    dealt out again, DEALT at a time, which spreads a row that is a third of
+    the table over tasks.
+    """
+    counted = x.groupBy(*cols).agg(F.count("*").alias("_copies"))
+    lots = counted.withColumn("_lot", F.explode(F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / DEALT)))).repartition(*cols, "_lot")
+    first, last = F.col("_lot") * DEALT, F.least((F.col("_lot") + 1) * DEALT, F.col("_copies")) - 1
+    return lots.select(*cols, F.explode(F.sequence(first, last)).alias("_copy")).select(*cols, F.xxhash64(*cols, "_copy").alias("_key"))
+
+
 def fit(df: DataFrame, cols: Sequence[str], n_trees: int = 300, max_samples: int = 256, seed: int = 42,
         key: str | None = None, contamination: float | None = 0.05) -> Forest:
     cols = list(cols)
-    # without a key, rows draw by their position: equal rows must not all draw the same trees
-    own = F.monotonically_increasing_id() if key is None else F.col(key)
-    x = df.select(own.alias("_key"), *[F.col(c).cast("double").alias(c) for c in cols])
+    x = df.select(*([] if key is None else [F.col(key).alias("_key")]), *[F.col(c).cast("double").alias(c) for c in cols])
     n = x.count()
+    x = _copies_apart(x, cols) if key is None else x
     psi = int(min(max_samples, n))
     p = min(1.0, 1.25 * psi / max(n, 1))
     per_hash = max(1, int(1.0 // p))
@@ -170,8 +186,6 @@ def score_samples(forest: Forest, df: DataFrame, keep: Sequence[str] = ()) -> Da
             out["decision"] = s - (off if off is not None else 0.0)
             yield out
 
-    from fidspark.session import ensure_parallel
-
     x = ensure_parallel(df.select(*keep, *[F.col(c).cast("double").alias(c) for c in cols if c not in keep]))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields]
                        + ["score double", "decision double"])
@@ -229,7 +243,7 @@ def outlier_utility(r: DataFrame, s: DataFrame, cols: Sequence[str], key: str, n
     rate = ref_s.agg(F.avg("y_true")).first()[0] or 0.0
     syn = fit(s, cols, n_trees, seed=seed, contamination=None, key=key if key in s.columns else None)
     syn_s = score_samples(syn, r, keep=[key]).select(key, (-F.col("decision")).alias("syn_score"))
-    j = ref_s.join(syn_s, key).persist()
+    j = ref_s.join(syn_s, key).persist()  # released below
     n = j.count()
     k = int(max(1, round(rate * n)))
     flagged = scores.top_k_flag(j, "syn_score", k, out="y_pred")
@@ -239,6 +253,8 @@ def outlier_utility(r: DataFrame, s: DataFrame, cols: Sequence[str], key: str, n
     ap = scores.average_precision(j, "y_true", "syn_score").withColumnRenamed("average_precision", "outlier_auc_pr")
     ap_ref = scores.average_precision(j, "y_true", "ref_score").withColumnRenamed("average_precision", "ref_auc_pr")
     a = ap.withColumn("_k", F.lit(1)).join(ap_ref.withColumn("_k", F.lit(1)), "_k")
-    return rep.join(a, "_k").select(
+    out = one_row(rep.join(a, "_k").select(
         "outlier_recall", "outlier_precision", "outlier_affiliation_f1_proxy", "outlier_auc_pr",
-        (F.col("outlier_auc_pr") - F.col("ref_auc_pr")).alias("outlier_auc_pr_improvement_vs_real_reference"))
+        (F.col("outlier_auc_pr") - F.col("ref_auc_pr")).alias("outlier_auc_pr_improvement_vs_real_reference")))
+    j.unpersist()
+    return out

@@ -20,28 +20,31 @@ from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
     LinearSVC,
+    GBTClassificationModel,
     LogisticRegression,
     MultilayerPerceptronClassifier,
+    OneVsRest,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fidspark.functions import clean_label
 from fidspark.operators import encode, prep, scores
-from fidspark.session import ensure_parallel
+from fidspark.session import ensure_parallel, one_row
 
 
 def encode_labels(r: DataFrame, s: DataFrame, label: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """M4: one label dictionary fitted on both sides (sorted strings -> 0..K-1), nulls kept null."""
+    """M4: one label dictionary fitted on both sides (sorted strings -> 0..K-1), nulls kept null; ``y`` is the number, also
+    where the sides have a column of that name."""
     both = r.select(clean_label(label).alias("v")).unionByName(s.select(clean_label(label).alias("v")))
     dic = both.where("v IS NOT NULL").distinct().withColumn(
         "y", (F.dense_rank().over(Window.orderBy("v")) - 1).cast("double"))  # one row per class
     def apply(df):
-        return df.withColumn("_v", clean_label(label)).join(dic, F.col("_v") == F.col("v"), "left").drop("_v", "v")
+        return df.withColumn("_v", clean_label(label)).drop("y").join(dic, F.col("_v") == F.col("v"), "left").drop("_v", "v")
 
     return apply(r), apply(s), dic
 
@@ -129,12 +132,13 @@ def tstr(r: DataFrame, s: DataFrame, cols: Sequence[str], label: str) -> DataFra
     tr = ensure_parallel(_balanced_weights(se.where("y IS NOT NULL").select(*cols, "y"))).persist(
         StorageLevel.MEMORY_AND_DISK)
     te = re.where("y IS NOT NULL").select(*cols, "y")
-    classes = sorted(row[0] for row in tr.select("y").distinct().collect())  # one row per class
+    counts = {row["y"]: row["n"] for row in tr.groupBy("y").agg(F.count("*").alias("n")).collect()}  # one row per class
+    classes, n = sorted(counts), sum(counts.values())
     if len(classes) < 2:
+        tr.unpersist()
         spark = r.sparkSession
         return spark.createDataFrame([(None,) * 5], "tstr_accuracy double, tstr_f1_macro double, "
                                      "tstr_f1_weighted double, tstr_auroc double, tstr_auroc_eval_coverage double")
-    n = tr.count()
     model = Pipeline(stages=[_assembler(cols), _lr(n, weight="w")]).fit(tr)
     tr.unpersist()
     pred = model.transform(te).select("y", "prediction", vector_to_array("prob").alias("pr")).persist()
@@ -151,8 +155,10 @@ def tstr(r: DataFrame, s: DataFrame, cols: Sequence[str], label: str) -> DataFra
         auc = scores.auroc_ovr(probs.withColumn("y", F.col("y").cast("int")), "y",
                                {str(int(c)): f"p{int(c)}" for c in classes})
     auc = auc.select(F.col(auc.columns[0]).alias("tstr_auroc")).withColumn("_k", F.lit(1))
-    return rep.join(auc, "_k").join(cov, "_k").select(
-        "tstr_accuracy", "tstr_f1_macro", "tstr_f1_weighted", "tstr_auroc", "tstr_auroc_eval_coverage")
+    out = one_row(rep.join(auc, "_k").join(cov, "_k").select(
+        "tstr_accuracy", "tstr_f1_macro", "tstr_f1_weighted", "tstr_auroc", "tstr_auroc_eval_coverage"))
+    pred.unpersist()
+    return out
 
 
 def _classifier(name: str, n: int, n_features: int, n_classes: int, seed: int):
@@ -164,9 +170,10 @@ def _classifier(name: str, n: int, n_features: int, n_classes: int, seed: int):
         return RandomForestClassifier(featuresCol="features", labelCol="y", probabilityCol="prob", seed=seed)
     if name == "mlp":
         return MultilayerPerceptronClassifier(featuresCol="features", labelCol="y", probabilityCol="prob",
-                                              layers=[n_features, 100, n_classes], seed=seed, maxIter=50)
+                                              layers=[n_features, 100, n_classes], seed=seed, maxIter=100)
     if name == "svm":
-        return LinearSVC(featuresCol="features", labelCol="y", regParam=1.0 / max(1, n))
+        svm = LinearSVC(featuresCol="features", labelCol="y", regParam=1.0 / max(1, n))
+        return svm if n_classes == 2 else OneVsRest(classifier=svm, featuresCol="features", labelCol="y")
     raise ValueError(name)
 
 
@@ -187,8 +194,8 @@ def utility_gap(r: DataFrame, runs: Sequence[DataFrame], cols: Sequence[str], la
 
     Classification: (model, accuracy_gap in points, auc_gap, f1_gap), the
     split stratified, the AUC (two classes) from probabilities or, for the
-    support vector machine, raw scores; its kernel is linear and it is left
-    out beyond two classes. Regression: (model, mape_gap, explained_variance_gap, r2_gap).
+    support vector machine, raw scores; its kernel is linear, and beyond two
+    classes it is one machine per class against the rest. Regression: (model, mape_gap, explained_variance_gap, r2_gap).
     ``key`` (default: a hash of the row) decides who is tested. Rows without a label are left out.
     """
     regression = task == "regression"
@@ -200,11 +207,9 @@ def utility_gap(r: DataFrame, runs: Sequence[DataFrame], cols: Sequence[str], la
     else:
         union = reduce(DataFrame.unionByName, [s.select(label) for s in runs])
         _, _, dic = encode_labels(r.select(label), union, label)
-        tables = [d.withColumn("_v", clean_label(label)).join(dic, F.col("_v") == F.col("v"), "left").drop("_v", "v")
+        tables = [d.withColumn("_v", clean_label(label)).drop("y").join(dic, F.col("_v") == F.col("v"), "left").drop("_v", "v")
                   for d in (r, *runs)]
         n_classes = dic.count()
-        if n_classes > 2:
-            models = [m for m in models if m != "svm"]
     own = F.xxhash64(*r.columns) if key is None else F.col(key)
     real = tables[0].where("y IS NOT NULL").select(*cols, "y", own.alias("_key"))
     held = (prep.random_split(real, [1 - test_share, test_share], "_key", seed) if regression
@@ -272,13 +277,14 @@ CRITERIA = {"classification": ("f1", "inverse_weighted_f1", "auroc", "accuracy",
 
 
 def ml_efficiency(s: DataFrame, test: DataFrame, cols: Sequence[str], label: str, cats: Sequence[str] = (),
-                  task: str = "classification", grid: dict | None = None, seed: int = 42, parallel: int = 2) -> DataFrame:
+                  task: str = "classification", grid: dict | None = None, seed: int = 42, parallel: int = 4) -> DataFrame:
     """M7: machine-learning efficiency -> one row per criterion: (criterion, params, validation metric, test metrics).
 
     A ninth of the training table ``s`` is validation; each point of the grid
-    is fitted on the rest, the best point per criterion is fitted again and
-    reported on ``test``. Gradient-boosted trees, or forests beyond two
-    classes. ``average`` is the mean of the other criteria. Features are
+    is fitted on the rest, and the best point per criterion is reported on
+    ``test``. Gradient-boosted trees, or forests beyond two classes. Boosting
+    adds trees one by one, so points that differ in ``maxIter`` alone are one
+    fit of the longest and its first trees. ``average`` is the mean of the other criteria. Features are
     :func:`ml_features` of ``s``; rows without a label are left out.
     """
     from itertools import product
@@ -303,6 +309,34 @@ def ml_efficiency(s: DataFrame, test: DataFrame, cols: Sequence[str], label: str
     whole = prep.random_split(featured(tr), [8 / 9, 1 / 9], "_key", seed, ("train", "val")).persist(StorageLevel.MEMORY_AND_DISK)
     te = featured(te).persist(StorageLevel.MEMORY_AND_DISK)
 
+    def fits() -> list[dict]:
+        """What has to be fitted: of boosted trees the longest of each kind."""
+        if not regression and n_classes != 2:
+            return points
+        longest = max(grid["maxIter"])
+        return [p for p in points if p["maxIter"] == longest]
+
+    def first_trees(model, n: int):
+        """The boosted model of the first ``n`` trees."""
+        gateway = s.sparkSession.sparkContext._gateway
+        ml, all_trees, all_weights = gateway.jvm.org.apache.spark.ml, model._java_obj.trees(), model.treeWeights
+        trees = gateway.new_array(ml.regression.DecisionTreeRegressionModel, n)
+        weights = gateway.new_array(gateway.jvm.double, n)
+        for i in range(n):
+            trees[i], weights[i] = all_trees[i], all_weights[i]
+        make, wrap = ((ml.regression.GBTRegressionModel, GBTRegressionModel) if regression
+                      else (ml.classification.GBTClassificationModel, GBTClassificationModel))
+        return wrap(make(model.uid, trees, weights))
+
+    def fitted_models(point: dict) -> dict:
+        """The models of all points that this fit serves, by the point's number."""
+        model = learner(point).fit(whole.where("split = 'train'"))
+        if not regression and n_classes != 2:
+            return {points.index(point): model}
+        rest = {k: v for k, v in point.items() if k != "maxIter"}
+        return {i: first_trees(model, p["maxIter"]) for i, p in enumerate(points)
+                if {k: v for k, v in p.items() if k != "maxIter"} == rest}
+
     def learner(point: dict):
         own = dict(point, seed=seed, featuresCol="features", labelCol="y")
         if regression:
@@ -312,8 +346,8 @@ def ml_efficiency(s: DataFrame, test: DataFrame, cols: Sequence[str], label: str
         own["numTrees"] = own.pop("maxIter")
         return RandomForestClassifier(**own)
 
-    def measured(point: dict, fitted: DataFrame, on: DataFrame) -> dict:
-        out = learner(point).fit(fitted).transform(on)
+    def measured(model, on: DataFrame) -> dict:
+        out = model.transform(on)
         if regression:
             return scores.regression_report(out, "y", "prediction").select("r2", "rmse").first().asDict()
         out = out.select("y", "prediction", F.col("y").cast("int").alias("yl"), vector_to_array("probability").alias("pr")).persist()
@@ -331,7 +365,8 @@ def ml_efficiency(s: DataFrame, test: DataFrame, cols: Sequence[str], label: str
 
     names = CRITERIA["regression" if regression else "classification"]
     with ThreadPool(parallel) as pool:  # fits of a grid run side by side on the cached rows
-        val = pool.map(lambda point: measured(point, whole.where("split = 'train'"), whole.where("split = 'val'")), points)
+        served = {i: m for found in pool.map(fitted_models, fits()) for i, m in found.items()}
+        val = pool.map(lambda i: measured(served[i], whole.where("split = 'val'")), range(len(points)))
 
         def best(name: str) -> int:
             sign = -1.0 if name == "rmse" else 1.0
@@ -339,7 +374,7 @@ def ml_efficiency(s: DataFrame, test: DataFrame, cols: Sequence[str], label: str
 
         chosen = {name: best(name) for name in names}
         needed = sorted(set(chosen.values()))
-        tested = dict(zip(needed, pool.map(lambda i: measured(points[i], whole, te), needed)))
+        tested = dict(zip(needed, pool.map(lambda i: measured(served[i], te), needed)))
     whole.unpersist(), te.unpersist()
     rows = [(name, str(points[i]), val[i][name], *[tested[i][c] for c in names]) for name, i in chosen.items()]
     return s.sparkSession.createDataFrame(rows, "criterion string, params string, validation double, "

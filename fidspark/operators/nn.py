@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fidspark.operators import cdf
-from fidspark.session import default_buckets
+from fidspark.session import default_buckets, one_row
 
 BLOCK_BYTES = 32 << 20
 MIN_QUERY_ROWS = 256  # query rows of a block, at least, where blocks are cut finer to use all cores
@@ -619,19 +619,24 @@ def dcr_percentiles(r: DataFrame, s: DataFrame, cols: Sequence[str], r_key: str,
     zr, zf = zscore_stats(rr_, cols), zscore_stats(ss_, cols)
     sp = Space(num=cols, metric="euclidean")
     nr, nf = size_of(rr_, sp), size_of(ss_, sp)
+    held: list[DataFrame] = []
 
     def summarise(long: DataFrame, tag: str) -> DataFrame:
         w = long.groupBy("q_key").agg(F.max(F.when(F.col("rank") == 1, F.col("dist"))).alias("d1"),
                                       F.max(F.when(F.col("rank") == 2, F.col("dist"))).alias("d2"))
         w = w.select("d1", F.try_divide("d1", "d2").alias("ratio")).persist()
+        held.append(w)
         return _one_row(*(_quantiles(w.groupBy(c).agg(F.count("*").alias("n")), c, {f"{name}_{tag}": q})
                           for c, name in (("d1", "dcr"), ("ratio", "nndr"))))
 
     rf = summarise(knn(rr_, r_key, ss_, s_key, sp, 2, q_stats=zr, b_stats=zf, q_size=nr, b_size=nf), "real_fake")
     rr = summarise(knn(rr_, r_key, rr_, r_key, sp, 2, exclude_self=True, q_stats=zr, b_stats=zr, q_size=nr, b_size=nr), "real_real")
     ff = summarise(knn(ss_, s_key, ss_, s_key, sp, 2, exclude_self=True, q_stats=zf, b_stats=zf, q_size=nf, b_size=nf), "fake_fake")
-    return _one_row(rf, rr, ff).select(
-        "dcr_real_fake", "dcr_real_real", "dcr_fake_fake", "nndr_real_fake", "nndr_real_real", "nndr_fake_fake")
+    out = one_row(_one_row(rf, rr, ff).select(
+        "dcr_real_fake", "dcr_real_real", "dcr_fake_fake", "nndr_real_fake", "nndr_real_real", "nndr_fake_fake"))
+    for w in held:
+        w.unpersist()
+    return out
 
 
 def prdc(r: DataFrame, s: DataFrame, cols: Sequence[str], r_key: str, s_key: str, k: int = 5) -> DataFrame:

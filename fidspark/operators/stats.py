@@ -103,6 +103,11 @@ class NumericComparison:
         self.counts = cdf.two_sided_counts(r, s, self.cols)
         self.pre = cdf.prefix_sums(self.counts, ["feature"], "value", ["n_r", "n_s"], buckets)
 
+    def unpersist(self) -> None:
+        """Release what :meth:`persist` holds, once its consumers have run."""
+        for held in (self.counts, self.pre.table, self.pre.totals):
+            held.unpersist()
+
     def persist(self) -> "NumericComparison":
         """Materialise the distinct-value table and its CDF once for several consumers.
 

@@ -82,6 +82,13 @@ def sample_start(train: DataFrame, col: str, draws: DataFrame, key: str, kind: s
     return _draw(d, "_u", shares).select(key, F.concat(F.lit(f"{col} is "), "value").alias("start"))
 
 
+def sample_start_name(draws: DataFrame, key: str, columns: Sequence[str], seed: int = 0) -> DataFrame:
+    """(key, start): each draw begins with "<col> is " of a column chosen uniformly, where no distribution is known."""
+    names = F.array(*[F.lit(f"{c} is ") for c in columns])
+    pick = F.floor(hash_uniform(key, seed) * len(columns)).cast("int")
+    return draws.select(key, F.get(names, pick).alias("start"))
+
+
 def tail_band_penalty(r: DataFrame, s: DataFrame, cols: Sequence[str], q: float = 0.05) -> DataFrame:
     """Per feature real q/(1-q) quantiles; mean over synthetic rows of max(0, lo-x) + max(0, x-hi);
     also the mean over features."""

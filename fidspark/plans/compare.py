@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fidspark.operators import assoc, iforest, models, nn, prep, stats
+from fidspark.session import one_row
 from fidspark.sources import io
 
 
@@ -60,7 +61,9 @@ def compare_summary(
     parts = [cls, tail, iqr, ks, rng, binv]
     if spearman:
         parts.insert(3, assoc.spearman_diff(rx, sx, feats))
-    return combine_rows(parts)
+    out = one_row(combine_rows(parts))
+    nc.unpersist()
+    return out
 
 
 def _tables(r, s, num, label, key, expected, seed):
@@ -76,7 +79,10 @@ def _neighbours(r, s, num, label, key, expected, seed):
 
 
 def _propensity(r, s, num, label, key, expected, seed):
-    return models.propensity(r, s, num, seed=seed)[1]
+    scored, metrics = models.propensity(r, s, num, seed=seed)
+    metrics = one_row(metrics)
+    scored.unpersist()
+    return metrics
 
 
 def _tstr(r, s, num, label, key, expected, seed):

@@ -77,16 +77,12 @@ def q_regression_utility(spark, d):
     return models.utility_gap(r, [s], ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", task="regression")
 
 
-# A part of the 36-point default grid, to bound the time of this query; the rows are all used.
-GRID = {"maxIter": (10, 50), "minInstancesPerNode": (1, 10), "maxDepth": (5,), "minInfoGain": (0.0,)}
-
-
 @register("ml_efficiency", ops=("M7", "M8", "M9"))
 def q_ml_efficiency(spark, d):
     v = fx.view(spark, d, "near").select("p_partkey", "side", "p_size", "p_retailprice", "p_type", "p_brand")
     v = v.withColumn("label", (F.col("p_size") > 25).cast("int"))
     r, s = v.where("side = 'real'"), v.where("side = 'synthetic'")
-    return models.ml_efficiency(s, r, ["p_size", "p_retailprice"], "label", ["p_type"], grid=GRID)
+    return models.ml_efficiency(s, r, ["p_size", "p_retailprice"], "label", ["p_type"])
 
 
 @register("propensity_metrics", fx.cte("scored") + """, c AS (SELECT avg(label) AS c FROM scored),
@@ -164,6 +160,13 @@ def q_compare_runs(spark, d):
     return compare.compare_runs(r, runs, "p_type", FULL, "p_partkey", metrics=["neighbours"])
 
 
+@register("compare_runs", ops=("A11", "U7", "F5"))
+def q_compare_all_runs(spark, d):
+    r, s = fx.pair(spark, d, "near")
+    runs = [s.where(F.floor(F.col("p_partkey") / 2) % 2 == i) for i in range(2)]
+    return compare.compare_runs(r, runs, "p_type", FULL, "p_partkey")
+
+
 @register("class_distribution_sorted", NEAR_SIDES + """, a AS (SELECT t, count(*) / (SELECT count(*) FROM r) AS p FROM r GROUP BY t),
 b AS (SELECT t, count(*) / (SELECT count(*) FROM s) AS p FROM s GROUP BY t)
 SELECT t AS class, coalesce(a.p, 0) AS real_prop, coalesce(b.p, 0) AS synthetic_prop FROM a FULL JOIN b USING (t) ORDER BY class""",

@@ -187,6 +187,14 @@ def q_trends(spark, d):
     return freq.column_pair_trends(r, s, T_NUM, T_CAT)
 
 
+@register("quality_score", FEAT + "," + LONG + f"""SELECT shape, trend, (shape + trend) / 2.0 AS overall FROM
+  (SELECT avg(score) AS shape FROM ({SHAPES_SQL})), (SELECT avg(score) AS trend FROM ({trends_sql('feat', T_NUM, T_CAT)}))""",
+          ["shape", "trend", "overall"], ops=("A20", "A21"))
+def q_quality(spark, d):
+    r, s = fx.pair(spark, d)
+    return freq.quality_score(freq.column_shapes(r, s, NUM, A_CAT), freq.column_pair_trends(r, s, T_NUM, T_CAT))
+
+
 def coverage_sql(view: str, num, cat) -> str:
     parts = [f"""SELECT '{c}' AS feature, 'RangeCoverage' AS metric,
   greatest(0.0, 1.0 - (greatest(0.0, (smn - rmn) / (rmx - rmn)) + greatest(0.0, (rmx - smx) / (rmx - rmn)))) AS score

@@ -164,6 +164,12 @@ def q_sample_start_num(spark, d):
     return synth.sample_start(fx.table(spark, d, "part"), "p_retailprice", fx.table(spark, d, "events"), "event_id", "num", seed=9)
 
 
+@register("sample_start_name", f"""SELECT event_id, ['p_brand', 'p_type', 'p_size'][CAST(floor(({U}) * 3) AS BIGINT) + 1] || ' is ' AS start
+FROM events""", ops=("X7",))
+def q_sample_start_name(spark, d):
+    return synth.sample_start_name(fx.table(spark, d, "events"), "event_id", ["p_brand", "p_type", "p_size"], seed=9)
+
+
 @register("pool_numeric", """WITH t AS (SELECT event_id, avg(ln(greatest(least(value * (1 + m * 0.1), 20000.0), 1.0))) AS p
   FROM events, range(0, 5) r(m) GROUP BY event_id)
 SELECT sqrt(avg((p - ln(greatest(least(value, 20000.0), 1.0))) ** 2)) AS rmse FROM t JOIN events USING (event_id)""", ["rmse"], ops=("I3",))

@@ -6,7 +6,7 @@ tests, the bench and the smoke entry point.
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(cpus: str | int = "*", app: str = "fidspark") -> SparkSession:
@@ -31,6 +31,11 @@ def get_spark(cpus: str | int = "*", app: str = "fidspark") -> SparkSession:
     return spark
 
 
+def one_row(df: DataFrame) -> DataFrame:
+    """The result of ``df``, a one-row report, computed now, so that what it was computed from can be released."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def default_buckets(spark: SparkSession) -> int:
     """Number of value buckets for prefix sums: one per shuffle partition."""
     try:

@@ -10,21 +10,56 @@ from __future__ import annotations
 
 import csv
 import io
-from typing import Sequence
+from typing import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fidspark.spec import TableSpec
 
 NULL_TOKEN = "?"
+FIRST_ROWS = 1000  # rows that settle for most columns whether they hold a value
 
 
 def _first_line(spark: SparkSession, path: str, skip: int = 0) -> str | None:
-    rows = spark.read.text(path).where(F.trim("value") != "").limit(skip + 1).collect()
+    """Line ``skip`` (from 0, blank ones not counted) of the first file that has any; None if that file is shorter."""
+    lines = spark.read.text(path).where(F.trim("value") != "").select("value", F.col("_metadata.file_path").alias("file"))
+    file = lines.select("file").first()
+    if file is None:
+        return None
+    rows = lines.where(F.col("file") == file[0]).limit(skip + 1).collect()
     return rows[skip][0] if len(rows) > skip else None
 
 
+def _without_leading(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """The lines of all files of ``path`` that are not blank, without the first ``n`` of each file.
+
+    A file's first lines stand in its block that starts at 0, which one task
+    reads from the top, so each task counts them as they pass; no line is
+    compared, sorted or shuffled. The ``n`` lines must lie within that block.
+    """
+    text = spark.read.text(path).where(F.trim("value") != "")
+    if not n:
+        return text
+    first = F.when(F.col("_metadata.file_block_start") == 0, F.xxhash64("_metadata.file_path"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int] = {}
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            files = batch.column("file")
+            for file in files.unique().drop_null().to_pylist():
+                if (left := n - seen.get(file, 0)) > 0:
+                    at = np.flatnonzero(np.asarray(files.is_valid()) & (files.fill_null(0).to_numpy() == file))[:left]
+                    keep[at] = False
+                    seen[file] = seen.get(file, 0) + len(at)
+            yield batch.select(["value"]).filter(pa.array(keep))
+
+    return text.select("value", first.alias("file")).mapInArrow(run, "value string")
+
+
 def sniff_delimiter(line: str) -> str | None:
     try:
         return csv.Sniffer().sniff(line, delimiters=",;\t|").delimiter
@@ -41,12 +76,17 @@ def _is_number(s: str) -> bool:
 
 
 def _drop_all_null(df: DataFrame) -> DataFrame:
-    """Drop columns with no non-null value (one aggregate over all columns)."""
+    """Drop columns with no non-null value. The whole input is read only for columns that are null in its first rows."""
+    def held(rows: DataFrame, cols: Sequence[str]) -> set[str]:
+        row = rows.agg(*[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(cols)]).first()
+        return {c for i, c in enumerate(cols) if row[i] > 0}
+
     if not df.columns:
         return df
-    row = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(df.columns)]).first()
-    keep = [c for i, c in enumerate(df.columns) if row[f"c{i}"] > 0]
-    return df.select(*[F.col(f"`{c}`") for c in keep])
+    keep = held(df.limit(FIRST_ROWS), df.columns)
+    if left := [c for c in df.columns if c not in keep]:
+        keep |= held(df, left)
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c in keep])
 
 
 def read_table(spark: SparkSession, path: str, header: bool | None = None, names: Sequence[str] | None = None,
@@ -58,8 +98,10 @@ def read_table(spark: SparkSession, path: str, header: bool | None = None, names
       data, not names (``numeric_header='repair'`` keeps that row, unlike the
       reference, which loses it).
     * whitespace-separated files (no delimiter found) split on ``\\s*,\\s*|\\s+``.
-    * ``skip_lines`` drops leading lines, ``strip_suffix`` removes a trailing
-      marker such as '.' from each record.
+    * ``skip_lines`` drops the leading lines of every file, ``strip_suffix``
+      removes a trailing marker such as '.' from each record. Of several files
+      each has these lines and, if any has, a header; a later row that reads
+      like the header is data.
     * columns with no value at all are dropped.
     """
     first = _first_line(spark, path, skip_lines)
@@ -75,11 +117,7 @@ def read_table(spark: SparkSession, path: str, header: bool | None = None, names
               .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
               .option("mode", "PERMISSIVE").csv(path))
     else:
-        txt = spark.read.text(path).where(F.trim("value") != "")
-        if skip_lines:
-            txt = txt.withColumn("_i", F.monotonically_increasing_id())
-            first_ids = txt.orderBy("_i").limit(skip_lines).select("_i")  # the leading lines only
-            txt = txt.join(F.broadcast(first_ids), "_i", "left_anti").drop("_i")
+        txt = _without_leading(spark, path, skip_lines + int(header))
         val = F.trim(F.col("value"))
         if strip_suffix:
             val = F.regexp_replace(val, "\\" + strip_suffix + "+$", "")
@@ -90,8 +128,6 @@ def read_table(spark: SparkSession, path: str, header: bool | None = None, names
         cols = [F.when(F.trim(F.get(parts, F.lit(i))) == null_value, None).otherwise(F.trim(F.get(parts, F.lit(i)))).alias(
             hdr[i] if header else f"_c{i}") for i in range(width)]
         df = txt.select(*cols)
-        if header:
-            df = df.where(~F.trim(F.col(f"`{hdr[0]}`")).eqNullSafe(F.lit(hdr[0])))
     if names:
         cols = list(names) if len(names) == len(df.columns) else [f"feature_{i}" for i in range(len(df.columns))]
         df = df.toDF(*cols)
