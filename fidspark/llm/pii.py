@@ -154,24 +154,33 @@ def _entities(line: Column) -> Column:
     return F.when(line.rlike(_MAY_HOLD), F.array_distinct(F.transform(base_spans(line), _entity))).otherwise(F.array().cast("array<string>"))
 
 
+def _marked(entities: Column, own: Column) -> Column:
+    """The entities of a context with ``centre`` 1 if its own line holds them, else 0."""
+    mark = lambda which, centre: F.transform(which, lambda e: F.struct(e.alias("entity"), F.lit(centre).cast("long").alias("centre")))
+    return F.concat(mark(own, 1), mark(F.array_except(entities, own), 0))
+
+
 def disclosing_terms(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, support: int = SUPPORT,
                      near: int = NEAR) -> DataFrame:
     """(entity, term, kind): words that disclose an entity, with "generalised" or "removed"."""
     holding = docs.select("text").filter(text_of().rlike(_MAY_HOLD))
     held = _contexts(holding, near, ("entities", _entities), ("terms", _terms)).filter(F.size("entities") > 0)
     # equal contexts, of copies, fall together
-    held = held.groupBy("unit").agg(F.min("_rid").alias("_rid"), F.first(F.struct("entities", "own_entities", "terms")).alias("c")).select("_rid", "c.*")
-    held = stage(held.select("_rid", "terms", "own_entities", F.explode("entities").alias("entity"))
-                 .withColumn("centre", F.array_contains("own_entities", F.col("entity")).cast("long")).drop("own_entities"), "contexts")
+    held = held.groupBy("unit").agg(F.min("_rid").alias("_rid"), F.first(F.struct("entities", "own_entities", "terms")).alias("c"))
+    held = stage(held.select("unit", "_rid", "c.terms", _marked(F.col("c.entities"), F.col("c.own_entities")).alias("marked")), "contexts")
+
     def counted_by(df: DataFrame, *keys: str) -> DataFrame:
         """Contexts of each key, if enough of them are around the entity's own lines or in different documents."""
         by_doc = df.groupBy(*keys, "_rid").agg(F.count("*").alias("n"), F.sum("centre").alias("centre"))
         found = by_doc.groupBy(*keys).agg(F.sum("n").alias("n"), F.greatest(F.sum("centre"), F.count("*")).alias("support"))
         return found.filter(F.col("support") >= support).drop("support")
 
-    n_entity = stage(counted_by(held, "entity").withColumnRenamed("n", "n_entity"), "entities")
-    pairs = held.join(n_entity, "entity", "left_semi").select("_rid", "entity", "centre", F.explode("terms").alias("term"))
-    pairs = counted_by(pairs, "entity", "term").withColumnRenamed("n", "n_both")
+    # only entities with support meet the words of their contexts, which are stored once per context
+    each = held.select("unit", "_rid", F.explode("marked").alias("m")).select("unit", "_rid", "m.*")
+    n_entity = stage(counted_by(each, "entity").withColumnRenamed("n", "n_entity"), "entities")
+    kept = each.join(n_entity, "entity", "left_semi").groupBy("unit").agg(F.collect_list(F.struct("entity", "centre")).alias("kept"))
+    met = held.select("unit", "_rid", "terms").join(kept, "unit").select("_rid", "terms", F.explode("kept").alias("m"))
+    pairs = counted_by(met.select("_rid", "m.*", F.explode("terms").alias("term")), "entity", "term").withColumnRenamed("n", "n_both")
     pairs = stage(pairs, "pairs")
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit("").alias("kind"))
