@@ -134,7 +134,8 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, ro
     payloads are always responses. A null html is an empty payload, a null url
     "urn:unknown". Rows that repeat the largest page_id of their payload are
     responses too, and so are all rows of a payload whose page_ids are all
-    null; null page_ids sort first. An empty table writes no file. Other
+    null; null page_ids sort first. A payload of any length is one record of
+    one file. One shard is one task. An empty table writes no file. Other
     columns are not looked at. The input is read twice.
     """
     spark = pages.sparkSession
@@ -159,7 +160,7 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, ro
 
     both = (rows.withColumn("key", F.sha2("payload", 256)).withColumn("refers_to", F.lit(None).cast("long"))
             .unionByName(again.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "key", "refers_to")))
-    ranged = (both.withColumn("shard", shard_of(F.coalesce("page_id", F.lit(-(2**63) + 1)))).repartition(max(len(bounds) + 1, spark.sparkContext.defaultParallelism), "shard")
+    ranged = (both.withColumn("shard", shard_of(F.coalesce("page_id", F.lit(-(2**63) + 1)))).repartitionById(len(bounds) + 1, "shard")
               .sortWithinPartitions("shard", "page_id", F.col("payload").isNotNull(), "key", "url"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
