@@ -271,6 +271,8 @@ def ml_features(df: DataFrame, train: DataFrame, cols: Sequence[str], cats: Sequ
     return df.select(*out)
 
 
+FIT_ROWS = 10_000  # rows that a partition of the fitted tables has at least
+
 # The grid of M7 (36 points) and the criteria its best points are chosen by.
 EFFICIENCY_GRID = {"maxIter": (10, 50, 100), "minInstancesPerNode": (1, 10), "maxDepth": (5, 10, 20), "minInfoGain": (0.0, 1.0)}
 CRITERIA = {"classification": ("f1", "inverse_weighted_f1", "auroc", "accuracy", "average"), "regression": ("r2", "rmse")}
@@ -300,11 +302,14 @@ def ml_efficiency(s: DataFrame, test: DataFrame, cols: Sequence[str], label: str
     feats = [F.array(F.coalesce(F.col(c).cast("double"), F.lit(0.0))) for c in cols] + [F.col(f"{c}_oh") for c in cats]
 
     def featured(d: DataFrame) -> DataFrame:
+        """Features of ``d`` in partitions of at least FIT_ROWS rows: boosting runs thousands of small jobs, one task per partition."""
         from pyspark.ml.functions import array_to_vector
 
+        parts = d.count() // FIT_ROWS
         own = F.xxhash64(*cols, *cats, "y").alias("_key")
         x = ml_features(d.where("y IS NOT NULL").select(*cols, *cats, "y", own), s, cols, cats)
-        return ensure_parallel(x.select("y", "_key", array_to_vector(F.concat(*feats)).alias("features")))
+        x = ensure_parallel(x.select("y", "_key", array_to_vector(F.concat(*feats)).alias("features")))
+        return x if parts >= x.sparkSession.sparkContext.defaultParallelism else x.coalesce(max(1, parts))
 
     whole = prep.random_split(featured(tr), [8 / 9, 1 / 9], "_key", seed, ("train", "val")).persist(StorageLevel.MEMORY_AND_DISK)
     te = featured(te).persist(StorageLevel.MEMORY_AND_DISK)
