@@ -56,3 +56,27 @@ def words_of(text: Column) -> Column:
 def total(df: DataFrame, what: Column) -> int:
     """One whole number of an aggregate (0 for no rows)."""
     return int(df.agg(what.alias("n")).first()["n"] or 0)
+
+
+#: A key that holds more than one in SHARES rows is hot; at any size there are fewer than SHARES such keys.
+SHARES = 100
+
+
+def hot_keys(counted: DataFrame, on: list[str], size: str) -> list[int]:
+    """64-bit hashes of the hot keys of ``counted``, a table with one row per key and its number of rows ``size``."""
+    n = total(counted, F.sum(size))
+    return [r["h"] for r in counted.filter(F.col(size) * SHARES > n).select(F.xxhash64(*on).alias("h")).collect()]
+
+
+def join_split(rows: DataFrame, keyed: DataFrame, on: list[str], hot: list[int], spread: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``keyed``, which has one row per key: the rows of a hot key meet copies of it in many tasks, by the columns ``spread``.
+
+    A key that shares its hash with a hot one is copied like it, on both sides, so the result stays that of the plain join.
+    """
+    if not hot:
+        return rows.join(keyed, on, how)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    is_hot = F.xxhash64(*on).isin(hot)
+    left = rows.withColumn("_part", F.when(is_hot, F.pmod(F.xxhash64(*spread), F.lit(parts)).cast("int")).otherwise(0))
+    right = keyed.withColumn("_part", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [*on, "_part"], how).drop("_part")

@@ -11,7 +11,8 @@ Documents with equal texts count as one, so copies do not make their own lines
 recur.
 
 Leaves and templates are chosen on 64-bit keys; texts move only for lines in
-leaves that recur, after equal ones have fallen together.
+leaves that recur, after equal ones have fallen together. The rows of a line,
+a leading word or a template that many share are joined in many tasks.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fidspark.llm.common import let, stage, text_of, words_of
+from fidspark.llm.common import hot_keys, join_split, let, stage, text_of, words_of
 
 DEPTH, LEAST_DOCS, LEAST_WORDS, SHORT_DOCS, FIXED = 3, 3, 5, 6, 0.6
 FIELD = "<*>"
@@ -55,30 +56,36 @@ def line_templates(docs: DataFrame, depth: int = DEPTH, least_docs: int = LEAST_
     heads = stage(_parsed(docs, depth, least_words), "lines")
     leaves = stage(_recurring(heads, "leaf", least_docs, short_docs).select("leaf"), "leaves")
     there = stage(heads.join(leaves, "leaf", "left_semi"), "candidates")
-    weights = there.select("leaf", "line_key", "doc_key").distinct().groupBy("leaf", "line_key").agg(F.count("*").alias("weight"))
-    texts = (_parsed(docs, depth, least_words, with_words=True).select("leaf", "line_key", "words").join(leaves, "leaf", "left_semi").groupBy("leaf", "line_key").agg(F.min("words").alias("words"))
-             .join(weights, ["leaf", "line_key"]))
-    tokens = stage(texts.select("leaf", "line_key", "weight", F.posexplode("words").alias("i", "word")), "tokens")
-    shared = tokens.groupBy("leaf", "i", "word").agg(F.sum("weight").alias("w")).filter(F.col("w") >= least_docs).select("leaf", "i", "word", F.lit(True).alias("kept"))
-    general = (tokens.join(shared, ["leaf", "i", "word"], "left")
-               .groupBy("leaf", "line_key").agg(F.sort_array(F.collect_list(F.struct("i", F.when(F.col("kept"), F.col("word")).otherwise(FIELD).alias("w")))).alias("t"))
+    line, place = ["leaf", "line_key"], ["leaf", "i", "word"]
+    weights = stage(there.groupBy(*line, "doc_key").agg(F.count("*").alias("n")).groupBy(*line).agg(
+        F.count("*").alias("weight"), F.sum("n").alias("n_lines")), "weights")
+    hot_lines = hot_keys(weights, line, "n_lines")
+    texts = (_parsed(docs, depth, least_words, with_words=True).select(*line, "words").join(leaves, "leaf", "left_semi").groupBy(*line).agg(F.min("words").alias("words"))
+             .join(weights, line))
+    tokens = stage(texts.select(*line, "weight", F.posexplode("words").alias("i", "word")), "tokens")
+    # the leading words stand in all lines of a leaf
+    shared = stage(tokens.groupBy(*place).agg(F.sum("weight").alias("w"), F.count("*").alias("n")).filter(F.col("w") >= least_docs), "shared")
+    known = join_split(tokens, shared.select(*place, F.lit(True).alias("kept")), place, hot_keys(shared, place, "n"), ["line_key"], "left")
+    general = (known.groupBy(*line).agg(F.sort_array(F.collect_list(F.struct("i", F.when(F.col("kept"), F.col("word")).otherwise(FIELD).alias("w")))).alias("t"))
                .withColumn("words", F.col("t.w"))
                .filter(F.size(F.array_remove("words", FIELD)) >= fixed * F.size("words"))
-               .select("line_key", "leaf", F.xxhash64("leaf", "words").alias("key"), F.array_join("words", " ").alias("template")))
+               .select(*line, F.xxhash64("leaf", "words").alias("key"), F.array_join("words", " ").alias("template")))
     general = stage(general, "templates")
-    lines = there.join(general.select("leaf", "line_key", "key"), ["leaf", "line_key"])
+    lines = join_split(there, general.select(*line, "key"), line, hot_lines, ["_rid", "n"])
     often = _recurring(lines, "key", least_docs, short_docs)
-    often = stage(often, "recurring")
-    named = often.join(general.groupBy("key").agg(F.min("template").alias("template")), "key")
-    return lines.select("_rid", "n", "key").join(named, "key").select("_rid", "n", "template", "n_docs")
+    # one row per recurring template, then per line that has it, then per place of that line
+    named = stage(often.join(general.groupBy("key").agg(F.min("template").alias("template"), F.count("*").alias("n")), "key"), "recurring")
+    dropped = join_split(general.select(*line, "key"), named.drop("n"), ["key"], hot_keys(named, ["key"], "n"), ["line_key"])
+    return join_split(there.select("_rid", "n", *line), dropped.drop("key"), line, hot_lines, ["_rid", "n"]).select("_rid", "n", "template", "n_docs")
 
 
 def drop_lines(docs: DataFrame, **options) -> DataFrame:
     """One row per input row: doc_id, text without the lines of recurring templates, n_lines, n_dropped, dropped (line numbers).
 
     A null text stays null, with no lines; an empty text has one line, which
-    has no words and stays. Rows with equal texts lose the same lines. An empty table gives an empty table;
-    columns other than doc_id and text are not looked at. The input is read
+    has no words and stays. A long text is taken apart into its lines like any
+    other. Rows with equal texts lose the same lines. An empty table gives an
+    empty table; columns other than doc_id and text are not looked at. The input is read
     several times and must give the same rows in the same order (files, or a
     staged table).
     """
