@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fidspark.llm.common import SPACES, stage, text_of
+from fidspark.llm.common import SPACES, hot_keys, join_split, stage, text_of
 
 BLOCK_CHARS = 16384
 _NONE = -(2**63)  # partner of an odd last block
@@ -115,10 +115,11 @@ def exact_dedup(docs: DataFrame, block_chars: int = BLOCK_CHARS,
     rows = stage(document_names(docs, block_chars, sort_key), "named")
     order = F.struct((-F.col("n_chars")).alias("c"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("keep_id"),
                      F.col("_rid").alias("keep_rid"))
-    groups = (rows.filter("name is not null").groupBy("n_blocks", "name")
-              .agg(F.count("*").alias("group_size"), F.min(order).alias("k"))
-              .select("n_blocks", "name", "group_size", "k.keep_id", "k.keep_rid"))
-    copies = (rows.filter("name is not null").join(groups, ["n_blocks", "name"])
+    text = ["n_blocks", "name"]
+    groups = stage(rows.filter("name is not null").groupBy(*text)
+                   .agg(F.count("*").alias("group_size"), F.min(order).alias("k"))
+                   .select(*text, "group_size", "k.keep_id", "k.keep_rid"), "groups")
+    copies = (join_split(rows.filter("name is not null"), groups, text, hot_keys(groups, text, "group_size"), ["_rid"])
               .select("_rid", "doc_id", "keep_id", "group_size", (F.col("_rid") == F.col("keep_rid")).alias("kept"),
                       "text_sha256"))
     alone = rows.filter("name is null").select(
