@@ -200,8 +200,8 @@ def disclosing_terms(docs: DataFrame, generalise: float = GENERALISE, remove: fl
 def find(docs: DataFrame, **thresholds) -> DataFrame:
     """One row per input row: _rid, doc_id, base (array of spans) and spans (base and those of the method), both in order.
 
-    A null text is empty; an empty text has no spans; repeated rows get equal
-    spans; overlapping spans of different kinds all stay. An empty table gives
+    A null text is empty; an empty text has no spans; a text of any length is
+    read whole, line by line; repeated rows get equal spans; overlapping spans of different kinds all stay. An empty table gives
     an empty table; columns other than doc_id and text are not looked at. The
     input is read several times and must give the same rows in the same order
     (files, or a staged table).

@@ -241,8 +241,9 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, p
     component_id is the smallest doc_id reachable over links of at most
     ``max_bits`` differing bits, the row's own included (null if all are
     null). It does not tell components apart when doc_ids are null or repeated;
-    root, a fingerprint of the component, does. Null and empty texts have fingerprint 0 and are linked like any
-    other. Repeated rows have equal fingerprints. An empty table gives an
+    root, a fingerprint of the component, does. Null and empty texts have
+    fingerprint 0 and are linked like any other; a text of any length has one
+    fingerprint of all its shingles. Repeated rows have equal fingerprints. An empty table gives an
     empty table. Columns other than doc_id and text are not looked at.
     """
     rows = stage(fingerprints(docs.select(F.monotonically_increasing_id().alias("_rid"), "doc_id", text_of().alias("_text")), shingle), "fps")
