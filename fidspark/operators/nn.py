@@ -13,8 +13,10 @@ bounded sample of pivots:
   rows, nearest cells first, and emits only its top-k per query row;
 * a window over k x (visited blocks) rows per query row merges the lists.
 
-A base of one block needs no pivots and one visit. Where nothing can be pruned
-(many dimensions) all blocks are visited, as exact neighbours then require.
+A base of one block needs no pivots and one visit. From ``DENSE`` numbers on,
+where little can be pruned, all blocks are visited, as exact neighbours then
+require: matrix products find the candidates of a block, and their distances
+are then taken as everywhere else.
 Ball counts for precision/recall (A31) use the same kernel with a per-base-row
 radius. Keys must be distinct within a side.
 """
@@ -32,9 +34,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fidspark.operators import cdf
-from fidspark.session import default_buckets, one_row
+from fidspark.session import default_buckets, kept, one_row
 
 BLOCK_BYTES = 32 << 20
+BLOCK_ROWS = 1 << 16  # rows of a block, at most, below DENSE numbers: the work of a query row grows with its block
+DENSE = 16  # from so many numbers on, blocks meet by matrix products
 MIN_QUERY_ROWS = 256  # query rows of a block, at least, where blocks are cut finer to use all cores
 SLICE_CELLS = 1_000_000  # query rows x base rows of one numpy slice
 MAX_PIVOTS = 4096  # rows that the driver holds as pivots, at most
@@ -203,6 +207,58 @@ def _inside(cells: _Cells, radius: np.ndarray, qn: np.ndarray, qc: list) -> np.n
     return out
 
 
+class _Dense:
+    """The base rows of a block of many numbers; matrix products tell squared distances but for ``slack``."""
+
+    def __init__(self, numbers: np.ndarray):
+        self.numbers, self.turned = numbers, np.ascontiguousarray(numbers.T)
+        self.square = np.einsum("ij,ij->i", numbers, numbers)
+
+    def slices(self, qn: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """(query rows, their rough squared distances, the slack of each row)."""
+        step = max(1, SLICE_CELLS // len(self.numbers))
+        for lo in range(0, len(qn), step):
+            own = np.einsum("ij,ij->i", qn[lo:lo + step], qn[lo:lo + step])
+            rough = qn[lo:lo + step] @ self.turned
+            rough *= -2.0
+            rough += own[:, None]
+            rough += self.square[None, :]
+            yield slice(lo, lo + len(own)), rough, 16 * (qn.shape[1] + 8) * np.finfo(np.float64).eps * (own + self.square.max())
+
+    def exact(self, qn: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+        """Distances of pairs, added up in the order of ``_distances``."""
+        d = np.zeros(len(row))
+        for j in range(qn.shape[1]):
+            diff = qn[row, j] - self.turned[j, col]
+            d += diff * diff
+        return np.sqrt(d)
+
+    def top(self, bk: np.ndarray, qk: np.ndarray, qn: np.ndarray, k: int, exclude_self: bool) -> tuple[np.ndarray, np.ndarray]:
+        dist, key = np.full((len(qk), k), np.inf), np.full((len(qk), k), np.iinfo(np.int64).max)
+        least = min(k, len(bk))
+        for part, rough, slack in self.slices(qn):
+            if exclude_self:
+                rough[qk[part][:, None] == bk[None, :]] = np.inf
+            kth = rough.min(axis=1) if least == 1 else np.partition(rough, least - 1, axis=1)[:, least - 1]
+            row, col = np.nonzero((rough <= (kth + 2 * slack)[:, None]) & (rough < np.inf))
+            d = self.exact(qn[part], row, col)
+            by = np.lexsort((bk[col], d, row))
+            row, col, d = row[by], col[by], d[by]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            row, col, d, place = (x[place < k] for x in (row, col, d, place))
+            dist[part.start + row, place], key[part.start + row, place] = d, bk[col]
+        return dist, key
+
+    def inside(self, radius: np.ndarray, qn: np.ndarray) -> np.ndarray:
+        out, square = np.zeros(len(qn)), radius * radius
+        for part, rough, slack in self.slices(qn):
+            rough -= square[None, :]
+            unsure = 2 * slack[:, None] + 8 * np.finfo(np.float64).eps * square[None, :]
+            row, col = np.nonzero(np.abs(rough) <= unsure)
+            out[part] = (rough < -unsure).sum(axis=1) + np.bincount(row[self.exact(qn[part], row, col) < radius[col]], minlength=len(rough))
+        return out
+
+
 def _block_kernel(space: Space, k: int, exclude_self: bool, mode: str):
     """One pair of blocks: the k nearest base rows per query row, ties by key, or the number of balls it lies in.
 
@@ -216,19 +272,26 @@ def _block_kernel(space: Space, k: int, exclude_self: bool, mode: str):
             qn, bn, cats = _numbers(q, space), _numbers(b, space), _categories(q, b, space)
             q_null, b_null = np.isnan(qn).any(axis=1), np.isnan(bn).any(axis=1)
             full = np.flatnonzero(~b_null)
-            cells = _Cells(bn[full], [(x, y[full]) for x, y in cats], space.metric) if len(full) else None
+            dense = _is_dense(space) and len(full) > 0 and bool(np.isfinite(bn[full]).all() and np.isfinite(qn[~q_null]).all())
+            held = _Dense(bn[full]) if dense else None
+            cells = _Cells(bn[full], [(x, y[full]) for x, y in cats], space.metric) if len(full) and not dense else None
             radius = b["_rad"].to_numpy(dtype=np.float64) if mode == "ball" else None
             for s in range(0, len(qk), 4096):
                 part = np.arange(s, min(s + 4096, len(qk)))
                 some = part[~q_null[part]]
                 if mode == "ball":
                     inside = np.zeros(len(part))
+                    if dense:
+                        inside[~q_null[part]] = held.inside(radius[full], qn[some])
                     if cells is not None:
                         inside[~q_null[part]] = _inside(cells, radius[full], qn[some], [x[some] for x, _ in cats])
                     found = [(qk[part], 0, inside, np.full(len(part), -1))]
                 else:
                     dist = np.full((len(part), k), np.inf)
                     key = np.full((len(part), k), np.iinfo(np.int64).max)
+                    if dense and len(some):
+                        rows = np.flatnonzero(~q_null[part])
+                        dist[rows], key[rows] = held.top(bk[full], qk[some], qn[some], k, exclude_self)
                     if cells is not None and len(some):
                         rows = np.flatnonzero(~q_null[part])
                         dist[rows], key[rows] = _top(cells, bk[full], qk[some], qn[some], [x[some] for x, _ in cats], k, exclude_self)
@@ -248,8 +311,13 @@ def _block_kernel(space: Space, k: int, exclude_self: bool, mode: str):
     return run
 
 
+def _is_dense(space: Space) -> bool:
+    return len(space.num) >= DENSE and not space.cat and space.metric == "euclidean"
+
+
 def _per_block(space: Space, block_bytes: int) -> int:
-    return max(1, block_bytes // (8 * (2 + len(space.num)) + 32 * len(space.cat)))
+    rows = max(1, block_bytes // (8 * (2 + len(space.num)) + 32 * len(space.cat)))
+    return rows if _is_dense(space) else min(rows, BLOCK_ROWS)
 
 
 def _valid(space: Space) -> Column:
@@ -375,10 +443,11 @@ def knn(
         bp = bp.join(radius.select(F.col(radius.columns[0]).cast("long").alias("_key"),
                                    F.col(radius.columns[1]).alias("_rad")), "_key", "left")
     kernel = _block_kernel(space, k, exclude_self, mode)
-    if mode == "knn" and space.num and n_full > max(per_block, k + 1):  # so no list needs a row without a distance
+    if mode == "knn" and space.num and not _is_dense(space) and n_full > max(per_block, k + 1):  # so no list needs a row without a distance
         out = _pruned(qp, bp, space, k, exclude_self, kernel, b_blocks, max(per_block, k + 1))
         return out.withColumn("dist", F.when(F.col("dist") < float(NO_VALUE), F.col("dist")))
-    fine = min(-(-2 * default_buckets(spark) // b_blocks), -(-n_query // MIN_QUERY_ROWS))
+    # every block of query rows gets the whole base, so there are no more of them than keep the cores busy
+    fine = min(-(-2 * spark.sparkContext.defaultParallelism // b_blocks), -(-n_query // MIN_QUERY_ROWS))
     q_blocks = max(1, -(-n_query // per_block), fine)
 
     def dealt(df: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
@@ -400,7 +469,7 @@ def _visited(qp: DataFrame, bp: DataFrame, space: Space, k: int, kernel, b_block
     """Pivots, the query rows at their first blocks, what they find there, and the rows at the further blocks they visit."""
     pivots = _Pivots(bp.where(_valid(space)), space, b_blocks, per_block, k)
     home = pivots.home(qp.where(_valid(space)))
-    first = pivots.meet(home, kernel)
+    first = kept(pivots.meet(home, kernel), "neighbours")  # needed to find the further visits, to count them and in the result
     kth = first.where(F.col("rank") == k).select(F.col("q_key").alias("_key"), F.col("dist").alias("_kth"))
     return pivots, home, first, pivots.further(home.join(kth, "_key", "left"))
 
@@ -408,7 +477,7 @@ def _visited(qp: DataFrame, bp: DataFrame, space: Space, k: int, kernel, b_block
 def _pruned(qp: DataFrame, bp: DataFrame, space: Space, k: int, exclude_self: bool, kernel, b_blocks: int, per_block: int) -> DataFrame:
     """The block join over visited blocks only; there are more base rows with all coordinates than a block holds."""
     pivots, _, first, more = _visited(qp, bp, space, k, kernel, b_blocks, per_block)
-    out = _merge(first.unionByName(pivots.meet(more.drop("_kth"), kernel)), k)
+    out = _merge(first.unionByName(pivots.meet(kept(more.drop("_kth"), "visits"), kernel)), k)
     # a query row without all coordinates is as far from any base row: the first keys are its neighbours
     keys = [r["_key"] for r in bp.select("_key").orderBy("_key").limit(k + 1).collect()]
     tail = qp.where(~_valid(space)).select(F.col("_key").alias("q_key"), F.posexplode(

@@ -6,6 +6,8 @@ tests, the bench and the smoke entry point.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -36,6 +38,16 @@ def one_row(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
+def kept(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` computed once, in files under ``spark.checkpoint.dir``, for steps that use it again; without that folder ``df`` itself."""
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df
+    path = f"{folder.rstrip('/')}/fidspark/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def default_buckets(spark: SparkSession) -> int:
     """Number of value buckets for prefix sums: one per shuffle partition."""
     try:

@@ -139,3 +139,31 @@ def test_approximate_join_finds_most_neighbours(spark, metric):
     if metric == "l1":  # the hot bucket in several blocks
         split = nn.knn_approximate(query, "k", base, "k", space, k=3, block_bytes=80 * 200).collect()
         assert sorted(split) == sorted(got)
+
+
+def test_large_low_dimensional_bases_are_cut_and_pruned(spark):
+    """Blocks of BLOCK_ROWS rows at most: a query row looks into few of them, not into the whole base."""
+    rng = np.random.default_rng(6)
+    base, query = _points(spark, rng.uniform(size=(150_000, 2))), _points(spark, rng.uniform(size=(400, 2)))
+    visits, possible = nn.visit_counts(query, "k", base, "k", nn.Space(num=["c0", "c1"]))
+    assert possible >= 400 * 3 and visits < possible / 3
+
+
+@pytest.mark.parametrize("k", [1, 5, 70])
+def test_matrix_products_find_the_same_rows(k, monkeypatch):
+    """Many numbers: rough distances only choose candidates; distances, keys and ball counts equal those of the plain search."""
+    rng = np.random.default_rng(7)
+    b = rng.normal(size=(900, 64))
+    b[100:160] = b[5]  # ties
+    q, bk = np.concatenate([b[:60], rng.normal(size=(40, 64))]), np.arange(900)
+    qk, cells, dense = np.concatenate([bk[:60], np.arange(40) + 9000]), nn._Cells(b, [], "euclidean"), nn._Dense(b)
+    for exclude in (False, True):
+        for x, y in zip(nn._top(cells, bk, qk, q, [], k, exclude), dense.top(bk, qk, q, k, exclude)):
+            assert np.array_equal(x, y)
+    radius = nn._top(cells, bk, bk, b, [], 5, True)[0][:, -1]
+    radius[3] = np.nan
+    assert np.array_equal(nn._inside(cells, radius, q, []), dense.inside(radius, q))
+    monkeypatch.setattr(nn, "_Cells", None)  # the kernel takes matrix products
+    cols = [f"c{i}" for i in range(64)]
+    q_rows, b_rows = (pd.DataFrame(x, columns=[f"_n_{c}" for c in cols]).assign(_key=i) for x, i in ((q, qk), (b, bk)))
+    assert len(nn._block_kernel(nn.Space(num=cols), k, True, "knn")(q_rows, b_rows)) == 100 * k
