@@ -3,6 +3,7 @@
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +62,27 @@ def test_forest_without_a_key_does_not_depend_on_partitions(spark):
     assert all(np.array_equal(one.trees[k], other.trees[k]) for k in one.trees)
 
 
+def test_paths_equal_a_walk_node_by_node():
+    """Rows go down a tree laid out by level, all together; values that are missing or infinite take the same turns."""
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(300, 3)), 1)
+    nodes = pd.concat([iforest._grow(["a", "b", "c"], 64, 1)(pd.DataFrame(x[rng.integers(0, 300, n)], columns=["a", "b", "c"]).assign(tree=t))
+                       for t, n in enumerate((64, 64, 1, 64, 2))])
+    tr = iforest._pack(nodes[nodes.tree != 1], 6)
+    x[0, 0], x[1, 1], x[2, 2] = np.nan, np.inf, -np.inf
+
+    def walk(row, t):
+        node = depth = 0
+        while tr["feature"][t, node] >= 0:
+            side = "left" if row[tr["feature"][t, node]] < tr["threshold"][t, node] else "right"
+            node, depth = tr[side][t, node], depth + 1
+        return depth + float(iforest.c_factor(tr["size"][t, node]))
+
+    want = [np.mean([walk(row, t) for t in (0, 2, 3, 4)]) for row in x]
+    trees = iforest._laid_out(tr)
+    assert len(trees) == 4 and np.allclose(iforest._path_lengths(x, trees), want, rtol=1e-14)
+
+
 def test_copies_are_dealt_out_in_lots(spark, monkeypatch):
     monkeypatch.setattr(iforest, "DEALT", 100)
     df = spark.createDataFrame([(1.0,)] * 1050 + [(2.0,)], "a double")
@@ -104,3 +126,17 @@ def test_summary_releases_what_it_held(spark):
     row = compare.compare_full(df, df, "y", ["a", "b"], "k", metrics=["tables", "tstr"]).first()
     assert row.ks_stat_mean == 0.0 and row.class_abs_prop_diff_max == 0.0
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_labels_and_weights_are_attached_without_a_shuffle(spark):
+    """Rows of a class must not all go to one task: its number and weight are brought to the rows."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(1000).select((F.col("id") % 2).cast("string").alias("c"), F.sin("id").alias("a"))
+        r, _, _ = models.encode_labels(df, df, "c")
+        for d in (r, models._balanced_weights(df.select("a", F.col("c").cast("double").alias("y")))):
+            plan = d._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
