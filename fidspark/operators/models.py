@@ -44,7 +44,8 @@ def encode_labels(r: DataFrame, s: DataFrame, label: str) -> tuple[DataFrame, Da
     dic = both.where("v IS NOT NULL").distinct().withColumn(
         "y", (F.dense_rank().over(Window.orderBy("v")) - 1).cast("double"))  # one row per class
     def apply(df):
-        return df.withColumn("_v", clean_label(label)).drop("y").join(dic, F.col("_v") == F.col("v"), "left").drop("_v", "v")
+        # a shuffle by the label would give each class to one task
+        return df.withColumn("_v", clean_label(label)).drop("y").join(F.broadcast(dic), F.col("_v") == F.col("v"), "left").drop("_v", "v")
 
     return apply(r), apply(s), dic
 
@@ -122,7 +123,7 @@ def _balanced_weights(df: DataFrame) -> DataFrame:
     cnt = df.groupBy("y").agg(F.count(F.lit(1)).alias("_nc"))
     tot = cnt.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_kc")).withColumn("_k", F.lit(1))
     w = cnt.withColumn("_k", F.lit(1)).join(tot, "_k").select("y", (F.col("_n") / (F.col("_kc") * F.col("_nc"))).alias("w"))
-    return df.join(w, "y")
+    return df.join(F.broadcast(w), "y")
 
 
 def tstr(r: DataFrame, s: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
@@ -207,7 +208,7 @@ def utility_gap(r: DataFrame, runs: Sequence[DataFrame], cols: Sequence[str], la
     else:
         union = reduce(DataFrame.unionByName, [s.select(label) for s in runs])
         _, _, dic = encode_labels(r.select(label), union, label)
-        tables = [d.withColumn("_v", clean_label(label)).drop("y").join(dic, F.col("_v") == F.col("v"), "left").drop("_v", "v")
+        tables = [d.withColumn("_v", clean_label(label)).drop("y").join(F.broadcast(dic), F.col("_v") == F.col("v"), "left").drop("_v", "v")
                   for d in (r, *runs)]
         n_classes = dic.count()
     own = F.xxhash64(*r.columns) if key is None else F.col(key)
