@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fidspark.operators import cdf
+from fidspark.session import kept
+
 
 def _pairs(cols: Sequence[str]) -> list[tuple[str, str]]:
     return list(combinations(list(cols), 2))
@@ -49,10 +51,12 @@ def pairwise_corr(df: DataFrame, cols: Sequence[str], group: str | None = None,
             columns = [batch.column(f"x{i}") for i in range(d)]
             there = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in columns]).astype(float)
             x = np.where(there > 0, np.column_stack([c.to_numpy(zero_copy_only=False) for c in columns]) - centre, 0.0)
-            keys = np.array(batch.column("g").to_pylist(), dtype=object) if group else np.full(batch.num_rows, None)
-            for k in set(keys):
-                own = keys == k
-                total[k] = total.get(k, 0) + sums(x[own], there[own])
+            coded = batch.column("g").dictionary_encode() if group else pa.nulls(batch.num_rows, pa.string()).dictionary_encode()
+            names_ = [*coded.dictionary.to_pylist(), None]
+            code = coded.indices.fill_null(len(names_) - 1).to_numpy(zero_copy_only=False)
+            for i in np.unique(code):
+                own = code == i
+                total[names_[i]] = total.get(names_[i], 0) + sums(x[own], there[own])
         for k, t in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(pairs[0]), pa.string()), pa.array(pairs[0].astype(np.int32)), pa.array(pairs[1].astype(np.int32)),
                                               *(pa.array(v) for v in t)], names=["g", "i", "j", *names])
@@ -75,16 +79,18 @@ def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
 def rank_columns(df: DataFrame, cols: Sequence[str], group: str | None = None) -> DataFrame:
     """Replace each column by its average rank (ties averaged), per ``group``.
 
-    Long form -> exact ranks per distinct value -> attached to the rows, those
-    of hot values without a shuffle -> pivot by row id.
+    Each column is counted by value on its own; the ranks of all are one table,
+    computed once. Rows stay whole: a column's ranks are broadcast where they
+    are few, else rows are shuffled by that column, hot values left in place.
     """
     g = [group] if group else []
-    base = with_row_id(df.select(*g, *cols))
-    long = cdf.long_form(base, cols, ids=[*g, "_rid"])
-    counts = long.groupBy(*g, "feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    ranks = cdf.average_ranks(counts, [*g, "feature"], "value", "n")
-    ranked = cdf.attach_ranks(long, ranks, [*g, "feature"], "value", "n")
-    return ranked.groupBy(*g, "_rid").pivot("feature", list(cols)).agg(F.first("avg_rank"))
+    base = df.select(*g, *[F.col(c).cast("double").alias(c) for c in cols])
+    ranks = kept(cdf.average_ranks(kept(cdf.value_counts(base, cols, g), "values"), [*g, "feature"], "value", "n"), "ranks")
+    distinct = {r["feature"]: r["n"] for r in ranks.groupBy("feature").agg(F.count("*").alias("n")).collect()}  # one row per column
+    rows = with_row_id(base)
+    for c in cols:
+        rows = cdf.rank_column(rows, c, ranks.where(F.col("feature") == c), g, "n", distinct.get(c, 0), "_rid")
+    return rows.select(*g, "_rid", *cols)
 
 
 def spearman_diff_pairs(r: DataFrame, s: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -14,6 +14,7 @@ approximate.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -38,6 +39,12 @@ def two_sided_counts(r: DataFrame, s: DataFrame, cols: Sequence[str]) -> DataFra
     )
 
 
+def value_counts(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), n: str = "n") -> DataFrame:
+    """(keys..., value double, n, feature): counts per distinct value, null being one; each column is counted on its own."""
+    return reduce(DataFrame.unionByName, [
+        df.groupBy(*keys, F.col(c).cast("double").alias("value")).agg(F.count(F.lit(1)).alias(n)).withColumn("feature", F.lit(c)) for c in cols])
+
+
 @dataclass
 class Prefix:
     """Result of :func:`prefix_sums`.
@@ -67,23 +74,18 @@ def prefix_sums(
         df = df.withColumn("_g", F.lit(0))
         keys = ["_g"]
     nb = buckets or default_buckets(df.sparkSession)
-    base = df.where(F.col(order).isNotNull())
-    if nb > 1:
-        fracs = [i / nb for i in range(1, nb)]
-        bounds = base.groupBy(*keys).agg(
-            F.percentile_approx(F.col(order).cast("double"), fracs, 10000).alias("_bounds")
-        )
-        # bounds: one row per key group, nb-1 doubles each -> safe to broadcast
-        base = base.join(F.broadcast(bounds), keys).withColumn(
-            "_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(order)))
-        ).drop("_bounds")
-    else:
-        base = base.withColumn("_bucket", F.lit(0))
+    # every branch below reads the same columns of df, so that its shuffle is run once
+    fracs = [i / nb for i in range(1, nb)]
+    bounds = df.where(F.col(order).isNotNull()).groupBy(*keys).agg(
+        F.percentile_approx(F.col(order).cast("double"), fracs, 10000).alias("_bounds") if fracs else F.array().cast("array<double>").alias("_bounds"),
+        *[F.sum(s).alias(f"tot_{s}") for s in sums])
+    # bounds: one row per key group, nb-1 doubles each -> safe to broadcast
+    base = _with_bucket(df.where(F.col(order).isNotNull()).join(F.broadcast(bounds), keys), order, nb - 1)
 
     w = Window.partitionBy(*keys, "_bucket").orderBy(order)
     wcum = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = base.select(
-        "*",
+        *df.columns, "_bucket", *[f"tot_{s}" for s in sums],
         *[F.sum(s).over(wcum).alias(f"_l_{s}") for s in sums],
         F.lead(order).over(w).alias("_lnext"),
     )
@@ -96,7 +98,6 @@ def prefix_sums(
         *keys,
         "_bucket",
         *[F.coalesce(F.sum(f"_b_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums],
-        *[F.sum(f"_b_{s}").over(Window.partitionBy(*keys)).alias(f"tot_{s}") for s in sums],
         F.first("_bfirst").over(wb.rowsBetween(1, Window.unboundedFollowing)).alias("_nfirst"),
     )
     # offs: #key groups x #buckets rows -> safe to broadcast
@@ -106,8 +107,19 @@ def prefix_sums(
         *[F.col(f"tot_{s}") for s in sums],
         F.coalesce(F.col("_lnext"), F.col("_nfirst")).alias("next_value"),
     )
-    totals = offs.groupBy(*keys).agg(*[F.first(f"tot_{s}").alias(f"tot_{s}") for s in sums])
-    return Prefix(out, totals)
+    return Prefix(out, bounds.drop("_bounds"))
+
+
+def _with_bucket(df: DataFrame, order: str, n_bounds: int) -> DataFrame:
+    """``df`` with _bucket, the number of its ``n_bounds`` rising ``_bounds`` below ``order``, by binary search; without _bounds."""
+    df = df.withColumn("_bucket", F.lit(0))
+    step = 1 << max(0, n_bounds.bit_length() - 1)
+    while n_bounds and step:
+        ahead = F.col("_bucket") + F.lit(step)
+        below = (ahead <= n_bounds) & (F.get("_bounds", ahead - 1) < F.col(order))
+        df = df.withColumn("_bucket", F.when(below, ahead).otherwise(F.col("_bucket")))
+        step >>= 1
+    return df.drop("_bounds")
 
 
 def two_sided_cdf(r: DataFrame, s: DataFrame, cols: Sequence[str], buckets: int | None = None) -> Prefix:
@@ -230,6 +242,41 @@ def attach_ranks(long: DataFrame, ranks: DataFrame, keys: Sequence[str], order:
     return done.unionByName(far.join(cold, on))
 
 
+#: Ranks of so many distinct values, at most, are brought to the rows whole.
+SMALL_RANKS = 100_000
+
+
+def rank_column(rows: DataFrame, column: str, ranks: DataFrame, keys: Sequence[str], n: str, distinct: int, row_id: str) -> DataFrame:
+    """``rows`` with ``column`` replaced by its average rank; null stays null.
+
+    ``ranks``: what ``average_ranks`` gives for this column (keys, value,
+    avg_rank, n, tot_n), ``distinct`` rows. Ranks of few values, and those of
+    hot values (fewer than HOT_VALUES per group), are broadcast; else each row
+    is shuffled once, whole, to meet the rank of its value. Rows that need
+    none are spread by ``row_id``.
+    """
+    def met(rows: DataFrame, ranks: DataFrame, name: str, *more: str) -> DataFrame:
+        side = ranks.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("value").alias("_value"), F.col("avg_rank").alias(name), *more)
+        on = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys] + [F.col(column) == F.col("_value")]
+        if more:
+            on += [F.col("_salt") == F.col("_cold")]
+        else:
+            side = F.broadcast(side)
+        return rows.join(side, reduce(lambda a, b: a & b, on), "left").drop("_value", *[f"_of_{k}" for k in keys])
+
+    names = rows.columns
+    if distinct <= SMALL_RANKS:
+        out, rank = met(rows, ranks, "_rank"), F.col("_rank")
+    else:
+        is_hot = F.col(n) * HOT_VALUES > F.col(f"tot_{n}")
+        near = met(rows, ranks.where(is_hot), "_near")
+        settled = F.col("_near").isNotNull() | F.col(column).isNull()
+        near = near.withColumn("_salt", F.when(settled, F.pmod(F.xxhash64(row_id), F.lit(1024)) + 1).otherwise(F.lit(0).cast("long")))
+        out = met(near, ranks.where(~is_hot).withColumn("_cold", F.lit(0).cast("long")), "_far", "_cold")
+        rank = F.coalesce("_near", "_far")
+    return out.select(*[rank.alias(c) if c == column else F.col(c) for c in names])
+
+
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence, name: str = "rn") -> DataFrame:
     """``df`` with ``name``, the row's number (from 1) by ``order`` within ``keys``; no task sees a whole group.
 

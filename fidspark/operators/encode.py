@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from fidspark.functions import hash_uniform
 from fidspark.functions.numeric import beta_ppf, normal_cdf
 from fidspark.operators import cdf
+from fidspark.session import kept
 
 
 # --------------------------------------------------------------------------- numeric scalers
@@ -237,7 +238,7 @@ def quantile_grid(df: DataFrame, cols: Sequence[str], n_quantiles: int | None =
     n = df.count()
     nq = n_quantiles or max(min(n // 30, 1000), 10)
     probs = [float(x) for x in np.linspace(0.0, 1.0, nq)]
-    counts = cdf.long_form(df, cols).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n_r"))
+    counts = kept(cdf.value_counts(df, cols, n="n_r"), "values")
     pre = cdf.prefix_sums(counts, ["feature"], "value", ["n_r"])
     q = cdf.quantiles(pre, probs, sides=["n_r"]).collect()  # nq values per column
     grid: dict[str, list[float]] = {c: [0.0] * nq for c in cols}

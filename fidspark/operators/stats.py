@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from fidspark.functions import clean_label
 from fidspark.functions.numeric import ks_exact
 from fidspark.operators import cdf
+from fidspark.session import kept
 
 # The tail levels, and the sample size up to which the p-value of the KS test is exact.
 TAIL_PROBS = (0.01, 0.05, 0.95, 0.99)
@@ -260,7 +261,7 @@ def validity_summary(r: DataFrame, s: DataFrame, cols: Sequence[str]) -> DataFra
 
 def real_medians(r: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
     """Exact medians of the real side (CDF core), returned as a small dict (one value per column)."""
-    counts = cdf.long_form(r, cols).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n_r"))
+    counts = kept(cdf.value_counts(r, cols, n="n_r"), "values")
     pre = cdf.prefix_sums(counts, ["feature"], "value", ["n_r"])
     q = cdf.quantiles(pre, [0.5], sides=["n_r"])
     got = {row["feature"]: row["q"] for row in q.collect()}  # one row per column

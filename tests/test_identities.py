@@ -102,3 +102,39 @@ def test_align_arity_error(spark):
     b = spark.createDataFrame([(1,)], "a int")
     with pytest.raises(ValueError):
         prep.align(a, b)
+
+
+def test_buckets_are_found_by_binary_search(spark):
+    """As many bounds as lie below a value, whatever their number; no lambda runs over all bounds for each row."""
+    for n in (1, 2, 3, 7, 8, 199):
+        bounds = [float(i // 2) for i in range(n)]
+        df = spark.createDataFrame([(x / 2,) for x in range(-2, n + 4)], "v double").withColumn("_bounds", F.array(*[F.lit(b) for b in bounds]))
+        assert [(r["v"], r["_bucket"]) for r in cdf._with_bucket(df, "v", n).collect()] == [
+            (x / 2, sum(b < x / 2 for b in bounds)) for x in range(-2, n + 4)]
+    counts = spark.range(50).select(F.col("id").cast("double").alias("v"), F.lit(1).alias("n"))
+    assert "lambdafunction" not in cdf.prefix_sums(counts, [], "v", ["n"], buckets=9).table._jdf.queryExecution().executedPlan().toString()
+
+
+def test_auroc_of_all_groups_in_one_pass(spark):
+    rows = [(f, int((i * 7 + f) % 3 == 0), float(i * (f + 3) % 11)) for f in range(3) for i in range(40)] + [(3, 1, 0.5)]
+    df = spark.createDataFrame(rows, "f int, y int, s double")
+    got = {r["f"]: r["auroc"] for r in scores.auroc(df, "y", "s", by=["f"]).collect()}
+    for f in range(4):
+        one = scores.auroc(df.where(F.col("f") == f), "y", "s").first()[0]
+        assert got[f] == (None if f == 3 else pytest.approx(one))
+
+
+def test_rows_stay_whole_while_they_get_their_ranks(spark, monkeypatch):
+    """Ranks come to the rows column by column, by broadcast or shuffle; no row is taken apart and put together again."""
+    from fidspark.operators import assoc
+
+    df = spark.range(400).select((F.col("id") % 2).cast("string").alias("g"), F.when(F.col("id") % 9 > 0, F.floor(F.col("id") / 3 % 50)).cast("double").alias("a"),
+                                 F.when(F.col("id") < 250, 1.0).otherwise(F.col("id").cast("double")).alias("b"))
+    pdf = df.toPandas()
+    for small in (cdf.SMALL_RANKS, 0):
+        monkeypatch.setattr(cdf, "SMALL_RANKS", small)
+        ranked = assoc.rank_columns(df, ["a", "b"], group="g")
+        assert "pivot" not in ranked._jdf.queryExecution().optimizedPlan().toString().lower()
+        got = ranked.orderBy("_rid").toPandas()
+        want = pdf.groupby("g")[["a", "b"]].rank()
+        assert got[["a", "b"]].equals(want)
