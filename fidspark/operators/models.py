@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from fidspark.functions import clean_label
 from fidspark.operators import encode, prep, scores
-from fidspark.session import ensure_parallel, one_row
+from fidspark.session import default_buckets, ensure_parallel, one_row
 
 
 def encode_labels(r: DataFrame, s: DataFrame, label: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -73,11 +73,16 @@ def propensity(r: DataFrame, s: DataFrame, cols: Sequence[str], folds: int = 5,
     rows are (y, fold, p, w), ``w`` being the number of equal rows. An empty
     side gives null metrics.
     """
+    scored = _propensity_scores(r, s, cols, folds, seed)
+    return scored, propensity_metrics(scored, "w")
+
+
+def _propensity_scores(r: DataFrame, s: DataFrame, cols: Sequence[str], folds: int, seed: int) -> DataFrame:
+    """The scored rows of :func:`propensity`, persisted."""
     st = r.select(*cols, F.lit(1.0).alias("y")).unionByName(s.select(*cols, F.lit(0.0).alias("y")))
     counts = {row["y"]: row["n"] for row in st.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
-        scored = r.sparkSession.createDataFrame([], "y double, fold int, p double, w double")
-        return scored, propensity_metrics(scored)
+        return r.sparkSession.createDataFrame([], "y double, fold int, p double, w double")
     k = min(folds, *counts.values())
     dealt = ensure_parallel(prep.fold_copies(st, cols, "y", max(1, k), seed)).persist(StorageLevel.MEMORY_AND_DISK)
     sizes = {row["fold"]: row["n"] for row in dealt.groupBy("fold").agg(F.sum("w").alias("n")).collect()}
@@ -90,10 +95,11 @@ def propensity(r: DataFrame, s: DataFrame, cols: Sequence[str], folds: int = 5,
         model = Pipeline(stages=[VectorAssembler(inputCols=list(cols), outputCol="features", handleInvalid="keep"),
                                  _lr(n, weight="w")]).fit(tr)
         parts.append(model.transform(te).select("y", "fold", vector_to_array("prob")[1].alias("p"), "w"))
-    scored = reduce(DataFrame.unionByName, parts).persist(StorageLevel.MEMORY_AND_DISK)
+    # each part has all partitions of the dealt rows, nearly empty
+    scored = reduce(DataFrame.unionByName, parts).coalesce(default_buckets(r.sparkSession)).persist(StorageLevel.MEMORY_AND_DISK)
     scored.count()  # fill before the training rows are released
     dealt.unpersist()
-    return scored, propensity_metrics(scored, "w")
+    return scored
 
 
 def propensity_metrics(scored: DataFrame, copies: str | None = None, eps: float = 1e-12) -> DataFrame:
@@ -111,11 +117,10 @@ def propensity_metrics(scored: DataFrame, copies: str | None = None, eps: float
 
 def detection_score(r: DataFrame, s: DataFrame, cols: Sequence[str], folds: int = 3, seed: int = 42) -> DataFrame:
     """M2: C2ST score = mean over folds of 1 - (2 max(0.5, AUROC_fold) - 1); a fold of one class has none and is skipped."""
-    scored, _ = propensity(r, s, cols, folds, seed)
-    per = [scores.auroc(scored.where(F.col("fold") == f).withColumn("yl", F.col("y").cast("int")), "yl", "p", copies="w")
-           for f in range(folds)]
+    scored = _propensity_scores(r, s, cols, folds, seed)
+    per = scores.auroc(scored.withColumn("yl", F.col("y").cast("int")), "yl", "p", copies="w", by=["fold"])
     best = F.when(F.col("auroc").isNotNull(), F.greatest(F.col("auroc"), F.lit(0.5)))
-    return reduce(DataFrame.unionByName, per).agg(F.avg(1.0 - (2.0 * best - 1.0)).alias("detection_score"))
+    return per.agg(F.avg(1.0 - (2.0 * best - 1.0)).alias("detection_score"))
 
 
 def _balanced_weights(df: DataFrame) -> DataFrame:

@@ -7,10 +7,13 @@ distinct scores, so they are exact and no task sees all rows of one score.
 
 from __future__ import annotations
 
+from typing import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fidspark.operators import cdf
+from fidspark.session import kept
 
 
 def confusion(df: DataFrame, label: str, pred: str) -> DataFrame:
@@ -52,18 +55,18 @@ def inverse_weighted_f1(df: DataFrame, label: str, pred: str) -> DataFrame:
     return t.agg(F.try_divide(F.sum(F.col("f1") * (1 - F.col("share"))), F.first("k") - 1).alias("inverse_weighted_f1"))
 
 
-def auroc(df: DataFrame, label: str, score: str, positive=1, copies: str | None = None) -> DataFrame:
-    """Exact AUROC with ties averaged (rank-sum over distinct scores); ``copies``: rows one row stands for."""
+def auroc(df: DataFrame, label: str, score: str, positive=1, copies: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Exact AUROC with ties averaged (rank-sum over distinct scores); ``copies``: rows one row stands for; one row
+    per group of ``by``, all in one pass."""
     y = (F.col(label).cast("string") == str(positive))
     n = F.lit(1).cast("long") if copies is None else F.col(copies).cast("long")
-    counts = df.groupBy(F.col(score).cast("double").alias("s")).agg(
-        F.sum(n).alias("n"), F.sum(F.when(y, n).otherwise(0)).alias("npos"))
-    ranks = cdf.average_ranks(counts.withColumnRenamed("n", "n_all"), [], "s", "n_all")
-    j = ranks.join(counts.select("s", "npos"), "s")
-    t = j.agg(F.sum(F.col("avg_rank") * F.col("npos")).alias("rs"), F.sum("npos").alias("p"),
-              F.sum("n_all").alias("n"))
+    counts = kept(df.groupBy(*by, F.col(score).cast("double").alias("s")).agg(
+        F.sum(n).alias("n_all"), F.sum(F.when(y, n).otherwise(0)).alias("npos")), "scores")
+    rank = F.col("cum_n_all") - (F.col("n_all") - 1) / 2.0
+    t = cdf.prefix_sums(counts, by, "s", ["n_all", "npos"]).table.groupBy(*by).agg(
+        F.sum(rank * F.col("npos")).alias("rs"), F.sum("npos").alias("p"), F.sum("n_all").alias("n"))
     p, n = F.col("p").cast("double"), (F.col("n") - F.col("p")).cast("double")
-    return t.select(F.try_divide(F.col("rs") - p * (p + 1) / 2, p * n).alias("auroc"))
+    return t.select(*by, F.try_divide(F.col("rs") - p * (p + 1) / 2, p * n).alias("auroc"))
 
 
 def auroc_ovr(df: DataFrame, label: str, prob_cols: dict[str, str]) -> DataFrame:
