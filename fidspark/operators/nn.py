@@ -169,8 +169,13 @@ def _merged(dist: np.ndarray, key: np.ndarray, d: np.ndarray, keys: np.ndarray,
     return np.take_along_axis(all_d, by, 1), np.take_along_axis(all_k, by, 1)
 
 
-def _top(cells: _Cells, bk: np.ndarray, qk: np.ndarray, qn: np.ndarray, qc: list, k: int, exclude_self: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(distances, keys), k per query row without nulls: the two nearest cells first, then every cell that may hold a nearer row."""
+def _top(cells: _Cells, bk: np.ndarray, qk: np.ndarray, qn: np.ndarray, qc: list, k: int, exclude_self: bool,
+         limit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(distances, keys), k per query row without nulls: the two nearest cells first, then every cell that may hold a nearer row.
+
+    ``limit``: the k-th distance of each query row elsewhere, beyond which no row is looked for.
+    """
+    limit = np.full(len(qk), np.inf) if limit is None else limit
     dist, key = np.full((len(qk), k), np.inf), np.full((len(qk), k), np.iinfo(np.int64).max)
     to_pivot, bound = cells.bounds(qn, qc)
     left = np.ones(bound.shape, bool)
@@ -189,9 +194,9 @@ def _top(cells: _Cells, bk: np.ndarray, qk: np.ndarray, qn: np.ndarray, qc: list
     for _ in range(min(2, len(cells.rows))):
         first = np.where(left, to_pivot, np.inf).argmin(axis=1)
         for c in np.unique(first):
-            visit(c, np.flatnonzero((first == c) & (bound[:, c] <= dist[:, -1])))
+            visit(c, np.flatnonzero((first == c) & (bound[:, c] <= np.minimum(dist[:, -1], limit))))
     for c in np.argsort(bound.min(axis=0), kind="stable"):
-        visit(c, np.flatnonzero(left[:, c] & (bound[:, c] <= dist[:, -1])))
+        visit(c, np.flatnonzero(left[:, c] & (bound[:, c] <= np.minimum(dist[:, -1], limit))))
     return dist, key
 
 
@@ -275,6 +280,7 @@ def _block_kernel(space: Space, k: int, exclude_self: bool, mode: str):
             dense = _is_dense(space) and len(full) > 0 and bool(np.isfinite(bn[full]).all() and np.isfinite(qn[~q_null]).all())
             held = _Dense(bn[full]) if dense else None
             cells = _Cells(bn[full], [(x, y[full]) for x, y in cats], space.metric) if len(full) and not dense else None
+            limit = np.nan_to_num(q["_kth"].to_numpy(dtype=np.float64), nan=np.inf) if "_kth" in q else np.full(len(q), np.inf)
             radius = b["_rad"].to_numpy(dtype=np.float64) if mode == "ball" else None
             for s in range(0, len(qk), 4096):
                 part = np.arange(s, min(s + 4096, len(qk)))
@@ -294,7 +300,7 @@ def _block_kernel(space: Space, k: int, exclude_self: bool, mode: str):
                         dist[rows], key[rows] = held.top(bk[full], qk[some], qn[some], k, exclude_self)
                     if cells is not None and len(some):
                         rows = np.flatnonzero(~q_null[part])
-                        dist[rows], key[rows] = _top(cells, bk[full], qk[some], qn[some], [x[some] for x, _ in cats], k, exclude_self)
+                        dist[rows], key[rows] = _top(cells, bk[full], qk[some], qn[some], [x[some] for x, _ in cats], k, exclude_self, limit[some])
                     # rows that have no distance fill the lists that are not full, by key
                     for rows, tail in ((np.flatnonzero(~q_null[part]), bk[b_null][:k + 1]), (np.flatnonzero(q_null[part]), bk[:k + 1])):
                         if len(rows) and len(tail):
@@ -328,10 +334,21 @@ def _valid(space: Space) -> Column:
 class _Pivots:
     """A bounded sample of base rows, the cells around them and the blocks of these cells."""
 
-    def __init__(self, base: DataFrame, space: Space, n_blocks: int, per_block: int, k: int):
+    def __init__(self, base: DataFrame, space: Space, n_blocks: int, per_block: int, k: int, groups: dict[int, int] | None = None):
+        """``groups``: the sizes of groups (by _code), each of which has pivots and cells of its own."""
         self.space, self.per_block, self.least = space, per_block, k + 1
-        some = base.orderBy(F.xxhash64("_key"), "_key").limit(min(MAX_PIVOTS, CELLS_PER_BLOCK * n_blocks))
-        self.rows = some.toPandas()  # MAX_PIVOTS rows at most
+        wanted = min(MAX_PIVOTS, CELLS_PER_BLOCK * n_blocks)
+        by_hash = [F.xxhash64("_key"), F.col("_key")]
+        if groups is None:
+            some = base.orderBy(*by_hash).limit(wanted)
+        else:  # each group's first rows by hash, as many as its share asks for
+            most = max(1, wanted // len(groups) * 4)
+            first = base.withColumn("_rn", F.row_number().over(Window.partitionBy("_code").orderBy(*by_hash))).where(F.col("_rn") <= most)
+            share = {c: max(1, wanted * n // sum(groups.values())) for c, n in groups.items()}
+            some = reduce(lambda a, b: a | b, [(F.col("_code") == c) & (F.col("_rn") <= n) for c, n in share.items()])
+            some = first.where(some).drop("_rn")
+        self.rows = some.toPandas()  # MAX_PIVOTS rows at most, or one per group
+        self.code = None if groups is None else self.rows["_code"].to_numpy(dtype=np.int64)
         self.base = self._near(base, None)
         found = self.base.groupBy("_cell").agg(F.count("*").alias("n"), F.min("_off").alias("lo"), F.max("_off").alias("hi")).collect()
         n = len(self.rows)  # one number each per pivot
@@ -343,11 +360,20 @@ class _Pivots:
     def _near(self, rows: DataFrame, least: int | None) -> DataFrame:
         """``rows`` with _cell, the nearest pivot's, and _off, the distance to it; ``least``: only cells of so many rows."""
         space, pivots = self.space, self.rows
-        open_ = np.arange(len(pivots)) if least is None else np.flatnonzero(self.n >= min(least, self.n.max()))
+        code = self.code
+        if least is None:
+            open_ = np.arange(len(pivots))
+        elif code is None:
+            open_ = np.flatnonzero(self.n >= min(least, self.n.max()))
+        else:
+            fullest = pd.Series(self.n).groupby(code).transform("max").to_numpy()
+            open_ = np.flatnonzero(self.n >= np.minimum(least, fullest))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 d = _to_pivots(pdf, pivots.iloc[open_], space)
+                if code is not None:
+                    d[pdf["_code"].to_numpy(dtype=np.int64)[:, None] != code[open_][None, :]] = np.inf
                 yield pdf.assign(_cell=open_[d.argmin(axis=1)].astype(np.int32) if len(d) else np.zeros(0, np.int32), _off=d.min(axis=1) if len(d) else np.zeros(0))
 
         return rows.mapInPandas(run, _schema(rows, "_cell int, _off double"))
@@ -362,7 +388,7 @@ class _Pivots:
 
     def further(self, query: DataFrame) -> DataFrame:
         """``query`` (with _cell, _part, its first block, and _kth, its k-th distance there) once for each other block it has to visit."""
-        space, pivots, lo, hi, parts, live = self.space, self.rows, self.lo, self.hi, self.parts, self.n > 0
+        space, pivots, lo, hi, parts, live, code = self.space, self.rows, self.lo, self.hi, self.parts, self.n > 0, self.code
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -371,7 +397,10 @@ class _Pivots:
                     kth = some["_kth"].to_numpy(dtype=np.float64)
                     kth[np.isnan(kth)] = np.inf
                     bound = _lower_bound(_to_pivots(some, pivots, space), lo[None, :], hi[None, :])
-                    row, cell = np.nonzero(live[None, :] & (bound <= kth[:, None]))
+                    visit = live[None, :] & (bound <= kth[:, None])
+                    if code is not None:
+                        visit &= some["_code"].to_numpy(dtype=np.int64)[:, None] == code[None, :]
+                    row, cell = np.nonzero(visit)
                     row, cell = np.repeat(row, parts[cell]), np.repeat(cell, parts[cell])
                     same = np.append(False, (row[1:] == row[:-1]) & (cell[1:] == cell[:-1])) if len(row) else np.zeros(0, bool)
                     at = np.arange(len(row))
@@ -468,16 +497,22 @@ def knn(
 def _visited(qp: DataFrame, bp: DataFrame, space: Space, k: int, kernel, b_blocks: int, per_block: int) -> tuple[_Pivots, DataFrame, DataFrame, DataFrame]:
     """Pivots, the query rows at their first blocks, what they find there, and the rows at the further blocks they visit."""
     pivots = _Pivots(bp.where(_valid(space)), space, b_blocks, per_block, k)
-    home = pivots.home(qp.where(_valid(space)))
+    query = qp.where(_valid(space))
+    return pivots, pivots.home(query), *_first_and_further(pivots, query, k, kernel)
+
+
+def _first_and_further(pivots: _Pivots, query: DataFrame, k: int, kernel) -> tuple[DataFrame, DataFrame]:
+    """What query rows find at their first blocks, and the rows at the further blocks they visit."""
+    home = pivots.home(query)
     first = kept(pivots.meet(home, kernel), "neighbours")  # needed to find the further visits, to count them and in the result
     kth = first.where(F.col("rank") == k).select(F.col("q_key").alias("_key"), F.col("dist").alias("_kth"))
-    return pivots, home, first, pivots.further(home.join(kth, "_key", "left"))
+    return first, pivots.further(home.join(kth, "_key", "left"))
 
 
 def _pruned(qp: DataFrame, bp: DataFrame, space: Space, k: int, exclude_self: bool, kernel, b_blocks: int, per_block: int) -> DataFrame:
     """The block join over visited blocks only; there are more base rows with all coordinates than a block holds."""
     pivots, _, first, more = _visited(qp, bp, space, k, kernel, b_blocks, per_block)
-    out = _merge(first.unionByName(pivots.meet(kept(more.drop("_kth"), "visits"), kernel)), k)
+    out = _merge(first.unionByName(pivots.meet(kept(more, "visits"), kernel)), k)
     # a query row without all coordinates is as far from any base row: the first keys are its neighbours
     keys = [r["_key"] for r in bp.select("_key").orderBy("_key").limit(k + 1).collect()]
     tail = qp.where(~_valid(space)).select(F.col("_key").alias("q_key"), F.posexplode(
@@ -499,10 +534,40 @@ def visit_counts(query: DataFrame, q_key: str, base: DataFrame, b_key: str, spac
 def knn_within(df: DataFrame, key: str, group: str, space: Space, k: int = 1, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Exact k nearest other rows of the same group: (q_key, rank, dist, b_key); one join for all groups.
 
-    A group is dealt to as many blocks as its size asks for, so a group that
-    holds most rows is many tasks. Null is a group. Coordinates are taken as they are.
+    Groups of more than a block are one pruned join, in which each has pivots
+    and cells of its own, so a group that holds most rows is many tasks and a
+    row visits few blocks. Smaller groups share tasks. Rows without all
+    coordinates, and groups with more of them than leave k others, meet all
+    blocks of their group. Null is a group. Coordinates are taken as they are.
     """
-    return _within(_project(df.select("*", F.col(group).alias("_group")), key, space, None, ["_group"]), None, space, k, True, block_bytes)
+    rows = _project(df.select("*", F.col(group).alias("_group")), key, space, None, ["_group"])
+    per_block = max(_per_block(space, block_bytes), k + 1)
+    if not space.num or _is_dense(space):
+        return _within(rows, None, space, k, True, block_bytes)
+    coded = rows.withColumn("_code", F.xxhash64("_group"))
+    sizes = coded.groupBy("_code").agg(F.count("*").alias("n"), F.count_if(_valid(space)).alias("full"))
+    large = {r["_code"]: r["full"] for r in sizes.where(F.col("full") > per_block).collect()}  # fewer than there are blocks
+    if not large:
+        return _within(rows, None, space, k, True, block_bytes)
+    inside = F.col("_code").isin(list(large)) & _valid(space)  # these have k others with all coordinates
+    base = coded.where(inside).drop("_group")
+    pivots = _Pivots(base, space, -(-sum(large.values()) // per_block), per_block, k, large)
+    kernel = _block_kernel(space, k, True, "knn")
+    first, more = _first_and_further(pivots, base, k, kernel)
+    found = _merge(first.unionByName(pivots.meet(kept(more, "visits"), kernel)), k)
+    found = found.select("q_key", "rank", F.when(F.col("dist") < float(NO_VALUE), F.col("dist")).alias("dist"), "b_key")
+    rest = coded.where(~F.col("_code").isin(list(large))).drop("_code")
+    found = found.unionByName(_within(rest, None, space, k, True, block_bytes))
+    if sizes.where((F.col("full") > per_block) & (F.col("full") < F.col("n"))).isEmpty():
+        return found
+    # a row without all coordinates is as far from any other: the first keys of its group are its neighbours
+    by_key = Window.partitionBy("_code").orderBy("_key")
+    first_keys = coded.where(F.col("_code").isin(list(large))).withColumn("_rn", F.row_number().over(by_key)).where(F.col("_rn") <= k + 1)
+    keys = first_keys.groupBy("_code").agg(F.sort_array(F.collect_list("_key")).alias("_keys"))
+    tail = coded.where(F.col("_code").isin(list(large)) & ~_valid(space)).join(F.broadcast(keys), "_code")
+    near = F.slice(F.filter("_keys", lambda x: x != F.col("_key")), 1, k)
+    return found.unionByName(tail.select(F.col("_key").alias("q_key"), F.posexplode(near).alias("_at", "b_key")).select(
+        "q_key", (F.col("_at") + 1).alias("rank"), F.lit(None).cast("double").alias("dist"), "b_key"))
 
 
 def _within(rows: DataFrame, query: DataFrame | None, space: Space, k: int, exclude_self: bool, block_bytes: int) -> DataFrame:

@@ -167,3 +167,32 @@ def test_matrix_products_find_the_same_rows(k, monkeypatch):
     cols = [f"c{i}" for i in range(64)]
     q_rows, b_rows = (pd.DataFrame(x, columns=[f"_n_{c}" for c in cols]).assign(_key=i) for x, i in ((q, qk), (b, bk)))
     assert len(nn._block_kernel(nn.Space(num=cols), k, True, "knn")(q_rows, b_rows)) == 100 * k
+
+
+def test_large_groups_are_pruned(spark, monkeypatch):
+    """Neighbours within groups equal those of the plain join; the rows of a group larger than a block visit few blocks."""
+    rng = np.random.default_rng(9)
+    rows = [(i, "x" if i % 5 else "y" if i % 10 else None, float(rng.integers(0, 60)) if i % 19 else None, float(rng.normal()), "ab"[i % 2]) for i in range(900)]
+    df = spark.createDataFrame(rows, "k long, g string, a double, b double, c string")
+    space = nn.Space(num=["a", "b"], cat=["c"])
+    whole = nn.knn_within(df, "k", "g", space, k=3).collect()
+    pairs, plain = [], nn._Pivots.further
+    monkeypatch.setattr(nn._Pivots, "further", lambda self, q: pairs.append((self.parts.sum(), out := plain(self, q))) or out)
+    cut = nn.knn_within(df, "k", "g", space, k=3, block_bytes=64 * 100).collect()
+    assert len(whole) == 2700 and sorted(cut, key=str) == sorted(whole, key=str)
+    (blocks, further), = pairs
+    assert blocks > 8 and further.count() < 900 * blocks / 3
+
+
+def test_further_visits_look_no_farther_than_the_kth_distance(monkeypatch):
+    rng = np.random.default_rng(10)
+    x, q = rng.uniform(size=(5000, 2)), rng.uniform(size=(300, 2))
+    cells, looked = nn._Cells(x, [], "euclidean"), []
+    whole = nn._top(cells, np.arange(5000), np.arange(5000, 5300), q, [], 3, False)
+    plain = nn._Cells.distances
+    monkeypatch.setattr(nn._Cells, "distances", lambda self, n, c, r: looked.append(len(n) * len(r)) or plain(self, n, c, r))
+    same = nn._top(cells, np.arange(5000), np.arange(5000, 5300), q, [], 3, False, whole[0][:, -1])
+    assert np.array_equal(same[0], whole[0]) and np.array_equal(same[1], whole[1])
+    looked.clear()
+    nn._top(cells, np.arange(5000), np.arange(5000, 5300), q + 50, [], 3, False, np.full(300, 0.1))
+    assert sum(looked) == 300 * len(cells.pivots)  # the bounds alone
