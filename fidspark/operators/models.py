@@ -10,7 +10,7 @@ exact SQL metrics from :mod:`fidspark.operators.scores`.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 from multiprocessing.pool import ThreadPool
 from typing import Sequence
 
@@ -57,6 +57,24 @@ def _assembler(cols: Sequence[str], out: str = "features") -> Pipeline:
     ])
 
 
+FIT_ROWS = 10_000  # rows that a partition of a fitted table has at least
+MOST_ROWS = 250_000  # and about at most
+
+
+def _fit_parts(spark, n: int) -> int:
+    """Partitions of a fitted table of ``n`` rows: every step of a fit is a job with a task for each, so a whole number of
+    rounds over the cores, or fewer for small tables."""
+    cores = spark.sparkContext.defaultParallelism
+    return min(cores * max(1, -(-n // (cores * MOST_ROWS))), max(1, n // FIT_ROWS))
+
+
+def side_by_side(calls: Sequence, parallel: int) -> list:
+    """The results of ``calls`` (functions without arguments), ``parallel`` of them at a time, so that the many small jobs of
+    one fill the cores that another leaves idle."""
+    with ThreadPool(max(1, min(parallel, len(calls)))) as pool:
+        return pool.map(lambda call: call(), calls, chunksize=1)
+
+
 def _lr(n_train: int, weight: str | None = None, max_iter: int = 100) -> LogisticRegression:
     lr = LogisticRegression(featuresCol="features", labelCol="y", regParam=1.0 / max(1, n_train),
                             maxIter=max_iter, probabilityCol="prob")
@@ -84,17 +102,20 @@ def _propensity_scores(r: DataFrame, s: DataFrame, cols: Sequence[str], folds: i
     if len(counts) < 2:
         return r.sparkSession.createDataFrame([], "y double, fold int, p double, w double")
     k = min(folds, *counts.values())
-    dealt = ensure_parallel(prep.fold_copies(st, cols, "y", max(1, k), seed)).persist(StorageLevel.MEMORY_AND_DISK)
+    dealt = prep.fold_copies(st, cols, "y", max(1, k), seed).repartition(_fit_parts(r.sparkSession, sum(counts.values())))
+    dealt = dealt.persist(StorageLevel.MEMORY_AND_DISK)
     sizes = {row["fold"]: row["n"] for row in dealt.groupBy("fold").agg(F.sum("w").alias("n")).collect()}
-    parts = []
-    for f in range(max(1, k)):
+
+    def scored_fold(f: int) -> DataFrame:
         tr, te, n = (dealt.where(F.col("fold") != f), dealt.where(F.col("fold") == f), sum(counts.values()) - sizes[f])
         if k < 2:
             tr, te, n = dealt, dealt, sizes[0]
         # the learner scales features itself, by weighted deviations
         model = Pipeline(stages=[VectorAssembler(inputCols=list(cols), outputCol="features", handleInvalid="keep"),
                                  _lr(n, weight="w")]).fit(tr)
-        parts.append(model.transform(te).select("y", "fold", vector_to_array("prob")[1].alias("p"), "w"))
+        return model.transform(te).select("y", "fold", vector_to_array("prob")[1].alias("p"), "w")
+
+    parts = side_by_side([partial(scored_fold, f) for f in range(max(1, k))], 4)
     # each part has all partitions of the dealt rows, nearly empty
     scored = reduce(DataFrame.unionByName, parts).coalesce(default_buckets(r.sparkSession)).persist(StorageLevel.MEMORY_AND_DISK)
     scored.count()  # fill before the training rows are released
@@ -277,8 +298,6 @@ def ml_features(df: DataFrame, train: DataFrame, cols: Sequence[str], cats: Sequ
     return df.select(*out)
 
 
-FIT_ROWS = 10_000  # rows that a partition of the fitted tables has at least
-
 # The grid of M7 (36 points) and the criteria its best points are chosen by.
 EFFICIENCY_GRID = {"maxIter": (10, 50, 100), "minInstancesPerNode": (1, 10), "maxDepth": (5, 10, 20), "minInfoGain": (0.0, 1.0)}
 CRITERIA = {"classification": ("f1", "inverse_weighted_f1", "auroc", "accuracy", "average"), "regression": ("r2", "rmse")}

@@ -71,11 +71,10 @@ def auroc(df: DataFrame, label: str, score: str, positive=1, copies: str | None
 
 def auroc_ovr(df: DataFrame, label: str, prob_cols: dict[str, str]) -> DataFrame:
     """M11 one-vs-rest macro: mean over classes of AUROC(label == c, prob_c)."""
-    parts = [auroc(df, label, col, positive=c).withColumn("cls", F.lit(c)) for c, col in prob_cols.items()]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u.agg(F.avg("auroc").alias("auroc_ovr_macro"))
+    y = F.col(label).cast("string")
+    per = [F.struct(F.lit(c).alias("cls"), F.col(col).cast("double").alias("s"), (y == c).cast("int").alias("hit")) for c, col in prob_cols.items()]
+    long = df.select(F.explode(F.array(*per)).alias("_c")).select("_c.*")  # all classes in one pass
+    return auroc(long, "hit", "s", by=["cls"]).agg(F.avg("auroc").alias("auroc_ovr_macro"))
 
 
 def average_precision(df: DataFrame, label: str, score: str, positive=1) -> DataFrame:

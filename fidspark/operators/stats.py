@@ -271,15 +271,16 @@ def real_medians(r: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
 def impute_median(r: DataFrame, s: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Fill nulls with the real median on both sides, then 0 for all-null columns."""
     med = real_medians(r, cols)
+    return fill_numbers(r, med), fill_numbers(s, med)
 
-    def fill(df: DataFrame) -> DataFrame:
-        return df.select(*[
-            F.coalesce(F.col(c).cast("double"), F.lit(med[c] if med[c] is not None else 0.0)).alias(c)
-            if c in med else F.col(c)
-            for c in df.columns
-        ])
 
-    return fill(r), fill(s)
+def fill_numbers(df: DataFrame, values: dict[str, float | None]) -> DataFrame:
+    """Nulls of the named columns become their value, 0 where that is null."""
+    return df.select(*[
+        F.coalesce(F.col(c).cast("double"), F.lit(values[c] if values[c] is not None else 0.0)).alias(c)
+        if c in values else F.col(c)
+        for c in df.columns
+    ])
 
 
 # --------------------------------------------------------------------------- profile

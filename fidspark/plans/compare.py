@@ -8,13 +8,15 @@ nearest-neighbour families, :func:`compare_runs` several synthetic tables.
 
 from __future__ import annotations
 
+from functools import partial
 from typing import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fidspark.operators import assoc, iforest, models, nn, prep, stats
-from fidspark.session import one_row
+from fidspark.session import ensure_parallel, one_row
 from fidspark.sources import io
 
 
@@ -105,17 +107,34 @@ def compare_full(r: DataFrame, s: DataFrame, label: str, num: Sequence[str], key
     ``key``: a whole-number row key, distinct within each side. Numbers are
     coerced and imputed with the real medians first.
     """
+    return _reports(r, [s], label, num, key, expected, metrics, seed)[0]
+
+
+def _reports(r: DataFrame, runs: Sequence[DataFrame], label: str, num: Sequence[str], key: str, expected: Sequence[int] | None = None,
+             metrics: Sequence[str] | None = None, seed: int = 42, parallel: int = 6) -> list[DataFrame]:
+    """The report of each run; the imputed sides are held during the call, the families of all runs work side by side on them."""
     wanted = list(FAMILIES) if metrics is None else list(metrics)
     unknown = set(wanted) - set(FAMILIES)
     if unknown:
         raise ValueError(f"no metrics named {sorted(unknown)}; there are {sorted(FAMILIES)}")
-    sides = stats.impute_median(*[prep.to_numeric(d.select(key, label, *num), num) for d in (r, s)], num)
-    return combine_rows([FAMILIES[name](*sides, num, label, key, expected, seed) for name in wanted])
+    tables = [prep.to_numeric(d.select(key, label, *num), num) for d in (r, *runs)]
+    medians = stats.real_medians(tables[0], num)
+    real, *synthetic = [ensure_parallel(stats.fill_numbers(d, medians)).persist(StorageLevel.MEMORY_AND_DISK) for d in tables]
+
+    def row(name: str, s: DataFrame) -> DataFrame:
+        return one_row(FAMILIES[name](real, s, num, label, key, expected, seed))
+
+    try:
+        rows = models.side_by_side([partial(row, name, s) for s in synthetic for name in wanted], parallel)
+    finally:
+        for d in (real, *synthetic):
+            d.unpersist()
+    return [combine_rows(rows[i * len(wanted):(i + 1) * len(wanted)]) for i in range(len(runs))]
 
 
 def compare_runs(r: DataFrame, runs: Sequence[DataFrame], label: str, num: Sequence[str], key: str, **kw) -> DataFrame:
     """(run_id, metric, value) of every synthetic run; :func:`fidspark.operators.stats.average_runs` averages them."""
-    reports = [compare_full(r, s, label, num, key, **kw) for s in runs]
+    reports = _reports(r, runs, label, num, key, **kw)
     return prep.stack_runs([p.unpivot([], p.columns, "metric", "value") for p in reports])
 
 
