@@ -61,3 +61,26 @@ def test_partitions_of_a_fit_go_by_rows(spark):
     assert models._fit_parts(spark, 0) == models._fit_parts(spark, models.FIT_ROWS) == 1
     assert models._fit_parts(spark, cores * models.MOST_ROWS) == cores
     assert models._fit_parts(spark, 10 * cores * models.MOST_ROWS) == 10 * cores
+
+
+def test_utility_gap_fits_tables_in_few_partitions_side_by_side(spark, monkeypatch):
+    """The split of the real table has many shuffle partitions; each step of a fit would be a task for each of them."""
+    real, seen, met = models._classifier, [], threading.Barrier(4, timeout=60)
+
+    def watched(*args):
+        learner = real(*args)
+
+        class Watched(type(learner)):
+            def _fit(self, dataset):
+                seen.append(dataset.rdd.getNumPartitions())
+                met.wait()  # two models on both tables
+                return super()._fit(dataset)
+
+        learner.__class__ = Watched
+        return learner
+
+    monkeypatch.setattr(models, "_classifier", watched)
+    r, s = _pair(spark)
+    got = {x.model: x for x in models.utility_gap(r, [s], ["a", "b"], "y", ["lr", "dt"], key="k").collect()}
+    assert seen == [1] * 4 and set(got) == {"lr", "dt"}
+    assert all(abs(x.accuracy_gap) <= 20 and abs(x.auc_gap) <= 0.3 for x in got.values())
