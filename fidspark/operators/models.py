@@ -313,13 +313,28 @@ def ml_features(df: DataFrame, train: DataFrame, cols: Sequence[str], cats: Sequ
     return df.select(*out)
 
 
+BINS = 32  # parts that a tree learner cuts a number into (Spark's maxBins)
+
+
+def _bin_cuts(df: DataFrame, n: int) -> list[list[float]]:
+    """Rising cuts of each of the first ``n`` numbers of the array ``x``: between all values of a number that has at most
+    BINS, else at its quantiles over all rows (percentile_approx, a rank error of at most 1 in 10,000)."""
+    edges = [i / BINS for i in range(1, BINS)]
+    at = df.agg(*[F.percentile_approx(F.col("x")[i], edges, 10_000).alias(f"q{i}") for i in range(n)]).first() if n else []
+    cuts = []
+    for i in range(n):
+        few = sorted(row["v"] for row in df.select(F.col("x")[i].alias("v")).distinct().limit(BINS + 1).collect())
+        cuts.append(few[:-1] if len(few) <= BINS else sorted(set(at[i])))
+    return cuts
+
+
 # The grid of M7 (36 points) and the criteria its best points are chosen by.
 EFFICIENCY_GRID = {"maxIter": (10, 50, 100), "minInstancesPerNode": (1, 10), "maxDepth": (5, 10, 20), "minInfoGain": (0.0, 1.0)}
 CRITERIA = {"classification": ("f1", "inverse_weighted_f1", "auroc", "accuracy", "average"), "regression": ("r2", "rmse")}
 
 
 def ml_efficiency(s: DataFrame, test: DataFrame, cols: Sequence[str], label: str, cats: Sequence[str] = (),
-                  task: str = "classification", grid: dict | None = None, seed: int = 42, parallel: int = 4) -> DataFrame:
+                  task: str = "classification", grid: dict | None = None, seed: int = 42, parallel: int = 12) -> DataFrame:
     """M7: machine-learning efficiency -> one row per criterion: (criterion, params, validation metric, test metrics).
 
     A ninth of the training table ``s`` is validation; each point of the grid
@@ -328,9 +343,16 @@ def ml_efficiency(s: DataFrame, test: DataFrame, cols: Sequence[str], label: str
     adds trees one by one, so points that differ in ``maxIter`` alone are one
     fit of the longest and its first trees. ``average`` is the mean of the other criteria. Features are
     :func:`ml_features` of ``s``; rows without a label are left out.
+
+    A tree learner sees numbers by their bins alone, so rows of equal bins and
+    label stay together in every tree. Beyond FIT_ROWS rows, boosting therefore
+    works on bins, equal rows being one with their number as weight: the rows
+    are counted once, and the steps of the fits grow with the rows that differ.
     """
     from itertools import product
 
+    from pyspark.ml.functions import array_to_vector
+
     regression = task == "regression"
     grid = grid or EFFICIENCY_GRID
     points = [dict(zip(grid, values)) for values in product(*grid.values())]
@@ -342,17 +364,38 @@ def ml_efficiency(s: DataFrame, test: DataFrame, cols: Sequence[str], label: str
     feats = [F.array(F.coalesce(F.col(c).cast("double"), F.lit(0.0))) for c in cols] + [F.col(f"{c}_oh") for c in cats]
 
     def featured(d: DataFrame) -> DataFrame:
-        """Features of ``d`` in partitions of at least FIT_ROWS rows: boosting runs thousands of small jobs, one task per partition."""
-        from pyspark.ml.functions import array_to_vector
-
-        parts = d.count() // FIT_ROWS
+        """(y, _key, x), ``x`` the features: numbers, then the categories; in few partitions, as a fit runs thousands of small jobs."""
         own = F.xxhash64(*cols, *cats, "y").alias("_key")
         x = ml_features(d.where("y IS NOT NULL").select(*cols, *cats, "y", own), s, cols, cats)
-        x = ensure_parallel(x.select("y", "_key", array_to_vector(F.concat(*feats)).alias("features")))
-        return x if parts >= x.sparkSession.sparkContext.defaultParallelism else x.coalesce(max(1, parts))
+        return x.select("y", "_key", F.concat(*feats).alias("x")).repartition(_fit_parts(x.sparkSession, d.count()))
 
     whole = prep.random_split(featured(tr), [8 / 9, 1 / 9], "_key", seed, ("train", "val")).persist(StorageLevel.MEMORY_AND_DISK)
-    te = featured(te).persist(StorageLevel.MEMORY_AND_DISK)
+    train, val_rows = whole.where("split = 'train'"), whole.where("split = 'val'")
+    n_train = train.count()
+    merged = ((regression or n_classes == 2) and n_train > max(FIT_ROWS, 2.1 * max(grid.get("minInstancesPerNode", (1,))))
+              and "maxBins" not in grid)
+    cuts = _bin_cuts(train, len(cols)) if merged else []
+
+    def learned(d: DataFrame) -> DataFrame:
+        """(y, x) as the learners see it: ``x`` with its numbers replaced by their bins."""
+        if not merged:
+            return d.select("y", "x")
+        bins = [F.size(F.filter(F.array(*[F.lit(float(c)) for c in cut]), partial(lambda v, c: c < v, F.col("x")[i]))).cast("double")
+                if cut else F.lit(0.0) for i, cut in enumerate(cuts)]
+        return d.select("y", F.concat(F.array(*bins), F.slice("x", len(cols) + 1, F.greatest(F.size("x") - len(cols), F.lit(0)))).alias("x"))
+
+    fitted = learned(train)
+    if merged:
+        fitted = fitted.groupBy("y", "x").agg(F.count(F.lit(1)).cast("double").alias("w")).persist(StorageLevel.MEMORY_AND_DISK)
+        held, fitted = fitted, fitted.repartition(_fit_parts(s.sparkSession, fitted.count()))
+    fitted = fitted.withColumn("features", array_to_vector("x")).drop("x").persist(StorageLevel.MEMORY_AND_DISK)
+    fitted.count()
+    if merged:
+        held.unpersist()
+    val_rows, te = [learned(d).select("y", array_to_vector("x").alias("features")).persist(StorageLevel.MEMORY_AND_DISK)
+                    for d in (val_rows, featured(te))]
+    val_rows.count()
+    whole.unpersist()
 
     def fits() -> list[dict]:
         """What has to be fitted: of boosted trees the longest of each kind."""
@@ -375,7 +418,7 @@ def ml_efficiency(s: DataFrame, test: DataFrame, cols: Sequence[str], label: str
 
     def fitted_models(point: dict) -> dict:
         """The models of all points that this fit serves, by the point's number."""
-        model = learner(point).fit(whole.where("split = 'train'"))
+        model = learner(point).fit(fitted)
         if not regression and n_classes != 2:
             return {points.index(point): model}
         rest = {k: v for k, v in point.items() if k != "maxIter"}
@@ -384,6 +427,11 @@ def ml_efficiency(s: DataFrame, test: DataFrame, cols: Sequence[str], label: str
 
     def learner(point: dict):
         own = dict(point, seed=seed, featuresCol="features", labelCol="y")
+        if merged:
+            # a row stands for w rows, so the least rows of a node are a share of the weight; bins of 0 may be counted
+            # twice where the learner looks at a part of the rows, hence a few more
+            least = own.pop("minInstancesPerNode", 1)
+            own |= {"weightCol": "w", "maxBins": BINS + 8, "minWeightFractionPerNode": (least - 0.5) / n_train}
         if regression:
             return GBTRegressor(**own)
         if n_classes == 2:
@@ -411,7 +459,7 @@ def ml_efficiency(s: DataFrame, test: DataFrame, cols: Sequence[str], label: str
     names = CRITERIA["regression" if regression else "classification"]
     with ThreadPool(parallel) as pool:  # fits of a grid run side by side on the cached rows
         served = {i: m for found in pool.map(fitted_models, fits()) for i, m in found.items()}
-        val = pool.map(lambda i: measured(served[i], whole.where("split = 'val'")), range(len(points)))
+        val = pool.map(lambda i: measured(served[i], val_rows), range(len(points)))
 
         def best(name: str) -> int:
             sign = -1.0 if name == "rmse" else 1.0
@@ -420,7 +468,8 @@ def ml_efficiency(s: DataFrame, test: DataFrame, cols: Sequence[str], label: str
         chosen = {name: best(name) for name in names}
         needed = sorted(set(chosen.values()))
         tested = dict(zip(needed, pool.map(lambda i: measured(served[i], te), needed)))
-    whole.unpersist(), te.unpersist()
+    for d in (fitted, val_rows, te):
+        d.unpersist()
     rows = [(name, str(points[i]), val[i][name], *[tested[i][c] for c in names]) for name, i in chosen.items()]
     return s.sparkSession.createDataFrame(rows, "criterion string, params string, validation double, "
                                           + ", ".join(f"test_{c} double" for c in names))

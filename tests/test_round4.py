@@ -84,3 +84,36 @@ def test_utility_gap_fits_tables_in_few_partitions_side_by_side(spark, monkeypat
     got = {x.model: x for x in models.utility_gap(r, [s], ["a", "b"], "y", ["lr", "dt"], key="k").collect()}
     assert seen == [1] * 4 and set(got) == {"lr", "dt"}
     assert all(abs(x.accuracy_gap) <= 20 and abs(x.auc_gap) <= 0.3 for x in got.values())
+
+
+@pytest.mark.parametrize("task", ["classification", "regression"])
+def test_boosting_on_counted_bins_equals_boosting_on_rows(spark, monkeypatch, task):
+    """Numbers of at most 32 values: the bins are the values, so both ways must find the same trees and metrics."""
+    df = spark.range(3000).select((F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 11 - 5).cast("double").alias("b"),
+                                  F.when(F.col("id") % 5 < 2, "u").otherwise("v").alias("c"))
+    noise = F.pmod(F.xxhash64("a", "b", "c"), F.lit(5))
+    df = df.withColumn("y", (F.col("a") + F.col("b") + noise > 4).cast("int") if task == "classification" else F.col("a") * F.col("b") + noise)
+    grid = {"maxIter": (2, 4), "minInstancesPerNode": (1, 60), "maxDepth": (4,), "minInfoGain": (0.0, 0.01)}
+    fitted, learner = [], models.GBTClassifier if task == "classification" else models.GBTRegressor
+
+    class Watched(learner):
+        def _fit(self, dataset):
+            fitted.append(dataset.count())
+            return super()._fit(dataset)
+
+    monkeypatch.setattr(models, learner.__name__, Watched)
+    plain = {x.criterion: x for x in models.ml_efficiency(df, df, ["a", "b"], "y", ["c"], task, grid).collect()}
+    rows = fitted[0]
+    fitted.clear()
+    monkeypatch.setattr(models, "FIT_ROWS", 100)
+    for x in models.ml_efficiency(df, df, ["a", "b"], "y", ["c"], task, grid).collect():
+        assert x.params == plain[x.criterion].params
+        assert tuple(x)[2:] == pytest.approx(tuple(plain[x.criterion])[2:])
+    assert rows > 2000 and max(fitted) <= 154  # 7 * 11 * 2 cells, one label each
+
+
+def test_cuts_of_bins(spark):
+    df = spark.range(1000).select(F.array((F.col("id") % 4).cast("double"), F.col("id").cast("double"), F.lit(1.0)).alias("x"))
+    few, many, one = models._bin_cuts(df, 3)
+    assert few == [0.0, 1.0, 2.0] and one == [] and len(many) == models.BINS - 1
+    assert all(abs(c - 1000 * (i + 1) / models.BINS) <= 1.5 for i, c in enumerate(many))
