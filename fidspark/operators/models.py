@@ -22,7 +22,6 @@ from pyspark.ml.classification import (
     LinearSVC,
     GBTClassificationModel,
     LogisticRegression,
-    MultilayerPerceptronClassifier,
     OneVsRest,
     RandomForestClassifier,
 )
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fidspark.functions import clean_label
-from fidspark.operators import encode, prep, scores
+from fidspark.operators import encode, perceptron, prep, scores
 from fidspark.session import default_buckets, ensure_parallel, one_row
 
 
@@ -196,8 +195,8 @@ def _classifier(name: str, n: int, n_features: int, n_classes: int, seed: int):
     if name == "rf":
         return RandomForestClassifier(featuresCol="features", labelCol="y", probabilityCol="prob", seed=seed)
     if name == "mlp":
-        return MultilayerPerceptronClassifier(featuresCol="features", labelCol="y", probabilityCol="prob",
-                                              layers=[n_features, 100, n_classes], seed=seed, maxIter=100)
+        return perceptron.BlockPerceptron(featuresCol="features", labelCol="y", probabilityCol="prob",
+                                          layers=[n_features, 100, n_classes], seed=seed, maxIter=100)
     if name == "svm":
         svm = LinearSVC(featuresCol="features", labelCol="y", regParam=1.0 / max(1, n))
         return svm if n_classes == 2 else OneVsRest(classifier=svm, featuresCol="features", labelCol="y")
@@ -235,6 +234,7 @@ def utility_gap(r: DataFrame, runs: Sequence[DataFrame], cols: Sequence[str], la
     else:
         union = reduce(DataFrame.unionByName, [s.select(label) for s in runs])
         _, _, dic = encode_labels(r.select(label), union, label)
+        dic = one_row(dic)  # one row per class; every job below would find the classes again
         tables = [d.withColumn("_v", clean_label(label)).drop("y").join(F.broadcast(dic), F.col("_v") == F.col("v"), "left").drop("_v", "v")
                   for d in (r, *runs)]
         n_classes = dic.count()
