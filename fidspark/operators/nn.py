@@ -18,7 +18,8 @@ where little can be pruned, all blocks are visited, as exact neighbours then
 require: matrix products find the candidates of a block, and their distances
 are then taken as everywhere else.
 Ball counts for precision/recall (A31) use the same kernel with a per-base-row
-radius. Keys must be distinct within a side.
+radius; with many numbers, the balls of both sides and the nearest rows come
+from one look at each pair. Keys must be distinct within a side.
 """
 
 from __future__ import annotations
@@ -40,7 +41,10 @@ BLOCK_BYTES = 32 << 20
 BLOCK_ROWS = 1 << 16  # rows of a block, at most, below DENSE numbers: the work of a query row grows with its block
 DENSE = 16  # from so many numbers on, blocks meet by matrix products
 MIN_QUERY_ROWS = 256  # query rows of a block, at least, where blocks are cut finer to use all cores
+FULL_QUERY_ROWS = 1 << 14  # query rows of a block whose work, with DENSE numbers, is large beside what brings it there
 SLICE_CELLS = 1_000_000  # query rows x base rows of one numpy slice
+SLICE_ROWS = 512  # query rows of a matrix product
+EPS = np.finfo(np.float64).eps
 MAX_PIVOTS = 4096  # rows that the driver holds as pivots, at most
 CELLS_PER_BLOCK = 8  # pivots per block's worth of base rows
 SLACK = 1e-9  # relative; lower bounds give way by it, for rounding
@@ -213,22 +217,35 @@ def _inside(cells: _Cells, radius: np.ndarray, qn: np.ndarray, qc: list) -> np.n
 
 
 class _Dense:
-    """The base rows of a block of many numbers; matrix products tell squared distances but for ``slack``."""
+    """The base rows of a block of many numbers; matrix products tell squared distances but for a slack.
 
-    def __init__(self, numbers: np.ndarray):
-        self.numbers, self.turned = numbers, np.ascontiguousarray(numbers.T)
-        self.square = np.einsum("ij,ij->i", numbers, numbers)
+    A product gives y^2 - 2xy, a slice of query and base rows at a time, and the least of each query row tells whether its
+    slice holds anything of interest; only then are single pairs looked at.
+    """
 
-    def slices(self, qn: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-        """(query rows, their rough squared distances, the slack of each row)."""
-        step = max(1, SLICE_CELLS // len(self.numbers))
-        for lo in range(0, len(qn), step):
-            own = np.einsum("ij,ij->i", qn[lo:lo + step], qn[lo:lo + step])
-            rough = qn[lo:lo + step] @ self.turned
-            rough *= -2.0
-            rough += own[:, None]
-            rough += self.square[None, :]
-            yield slice(lo, lo + len(own)), rough, 16 * (qn.shape[1] + 8) * np.finfo(np.float64).eps * (own + self.square.max())
+    def __init__(self, numbers: np.ndarray, shift: np.ndarray | None = None):
+        """``shift``: taken from the squared distances to each base row."""
+        self.turned = np.ascontiguousarray(numbers.T)
+        self.square = np.einsum("ij,ij->i", numbers, numbers)
+        self.most = self.square.max(initial=0.0)
+        self.product = np.concatenate([-2.0 * self.turned, (self.square if shift is None else self.square - shift)[None, :]])
+
+    def queries(self, qn: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """(query rows, these with a 1, their squares, the slack of each)."""
+        for lo in range(0, len(qn), SLICE_ROWS):
+            x = np.concatenate([qn[lo:lo + SLICE_ROWS], np.ones((len(qn[lo:lo + SLICE_ROWS]), 1))], axis=1)
+            own = np.einsum("ij,ij->i", x[:, :-1], x[:, :-1])
+            yield slice(lo, lo + len(x)), x, own, 16 * (qn.shape[1] + 8) * EPS * (own + self.most)
+
+    def slices(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(the first base row, y^2 - 2xy, the least of each query row); the array is used again."""
+        n = self.product.shape[1]
+        step = max(1, SLICE_CELLS // 2 // max(len(x), 1))
+        room = np.empty((len(x), min(step, n)))
+        for lo in range(0, n, step):
+            cut = self.product[:, lo:lo + step]
+            rough = np.matmul(x, cut, out=room if cut.shape[1] == room.shape[1] else None)
+            yield lo, rough, rough.min(axis=1)
 
     def exact(self, qn: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
         """Distances of pairs, added up in the order of ``_distances``."""
@@ -238,31 +255,95 @@ class _Dense:
             d += diff * diff
         return np.sqrt(d)
 
+    def nearer(self, x: np.ndarray, own: np.ndarray, slack: np.ndarray, lo: int, rough: np.ndarray, low: np.ndarray,
+               bk: np.ndarray, dist: np.ndarray, key: np.ndarray) -> None:
+        """The lists (rows of ``dist``, ``key``) with the base rows of a slice that belong to them; ``bk``: the keys of all base rows."""
+        k = dist.shape[1]
+        kth = dist[:, -1]
+        most = kth * kth * (1 + 8 * EPS) + 2 * slack - own
+        open_ = np.flatnonzero(np.isinf(kth))  # lists that are not full take the first of the slice
+        if len(open_):
+            least = min(k, rough.shape[1])
+            some = rough[open_]
+            first = some.min(axis=1) if least == 1 else np.partition(some, least - 1, axis=1)[:, least - 1]
+            most[open_] = first + 2 * slack[open_]
+        np.minimum(most, NO_VALUE, out=most)  # the row itself, at inf, is no neighbour
+        rows = np.flatnonzero(low <= most)
+        if not len(rows):
+            return
+        at, col = np.nonzero((rough if len(rows) == len(rough) else rough[rows]) <= most[rows][:, None])
+        found = self.exact(x[:, :-1], rows[at], lo + col)
+        at = np.concatenate([np.repeat(np.arange(len(rows)), k), at])
+        d = np.concatenate([dist[rows].ravel(), found])
+        b = np.concatenate([key[rows].ravel(), bk[lo + col]])
+        by = np.lexsort((b, d, at))
+        at, d, b = at[by], d[by], b[by]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        at, d, b, place = (z[place < k] for z in (at, d, b, place))
+        dist[rows[at], place], key[rows[at], place] = d, b
+
     def top(self, bk: np.ndarray, qk: np.ndarray, qn: np.ndarray, k: int, exclude_self: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest of each query row; ``bk`` rises."""
         dist, key = np.full((len(qk), k), np.inf), np.full((len(qk), k), np.iinfo(np.int64).max)
-        least = min(k, len(bk))
-        for part, rough, slack in self.slices(qn):
-            if exclude_self:
-                rough[qk[part][:, None] == bk[None, :]] = np.inf
-            kth = rough.min(axis=1) if least == 1 else np.partition(rough, least - 1, axis=1)[:, least - 1]
-            row, col = np.nonzero((rough <= (kth + 2 * slack)[:, None]) & (rough < np.inf))
-            d = self.exact(qn[part], row, col)
-            by = np.lexsort((bk[col], d, row))
-            row, col, d = row[by], col[by], d[by]
-            place = np.arange(len(row)) - np.searchsorted(row, row)
-            row, col, d, place = (x[place < k] for x in (row, col, d, place))
-            dist[part.start + row, place], key[part.start + row, place] = d, bk[col]
+        same = np.minimum(np.searchsorted(bk, qk), len(bk) - 1)
+        same = np.where(exclude_self & (bk[same] == qk), same, -1)
+        for part, x, own, slack in self.queries(qn):
+            self_at = same[part]
+            for lo, rough, low in self.slices(x):
+                rows = np.flatnonzero((self_at >= lo) & (self_at < lo + rough.shape[1]))
+                if len(rows):
+                    rough[rows, self_at[rows] - lo] = np.inf
+                    low[rows] = rough[rows].min(axis=1)
+                self.nearer(x, own, slack, lo, rough, low, bk, dist[part], key[part])
         return dist, key
 
     def inside(self, radius: np.ndarray, qn: np.ndarray) -> np.ndarray:
-        out, square = np.zeros(len(qn)), radius * radius
-        for part, rough, slack in self.slices(qn):
-            rough -= square[None, :]
-            unsure = 2 * slack[:, None] + 8 * np.finfo(np.float64).eps * square[None, :]
-            row, col = np.nonzero(np.abs(rough) <= unsure)
-            out[part] = (rough < -unsure).sum(axis=1) + np.bincount(row[self.exact(qn[part], row, col) < radius[col]], minlength=len(rough))
+        """In how many of the base rows' balls each query row lies."""
+        out, ball = np.zeros(len(qn)), np.flatnonzero(radius > 0)
+        held = _Dense(self.turned[:, ball].T, radius[ball] * radius[ball])
+        for part, x, own, slack in held.queries(qn):
+            for lo, rough, low in held.slices(x):
+                held.in_balls(x, own, slack, lo, rough, low, radius[ball], out[part])
         return out
 
+    def in_balls(self, x: np.ndarray, own: np.ndarray, slack: np.ndarray, lo: int, rough: np.ndarray, low: np.ndarray,
+                 radius: np.ndarray, out: np.ndarray) -> None:
+        """Adds to ``out`` in how many balls of a slice each query row lies; ``rough`` and ``low`` are without the squared radii."""
+        rad = radius[lo:lo + rough.shape[1]]
+        unsure = 8 * EPS * rad * rad
+        rows = np.flatnonzero(low <= 2 * slack + unsure.max(initial=0.0) - own)
+        if len(rows):
+            off = rough[rows] + own[rows][:, None]
+            unsure = 2 * slack[rows][:, None] + unsure[None, :]
+            at, col = np.nonzero(np.abs(off) <= unsure)
+            true = self.exact(x[:, :-1], rows[at], lo + col) < rad[col]
+            out[rows] += (off < -unsure).sum(axis=1) + np.bincount(at[true], minlength=len(rows))
+
+    def mutual(self, bk: np.ndarray, radius: np.ndarray, q_radius: np.ndarray, qn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """From one product of each pair: the nearest base row's distance of each query row, in how many of the base rows'
+        balls it lies, and in how many of the query rows' balls each base row lies."""
+        dist, key, inside, held = np.full((len(qn), 1), np.inf), np.full((len(qn), 1), np.iinfo(np.int64).max), np.zeros(len(qn)), np.zeros(len(bk))
+        rad = np.where(radius > 0, radius, 0.0)  # of a point: nothing is nearer than 0
+        for part, x, own, slack in self.queries(qn):
+            mine = q_radius[part]
+            unsure = 2 * slack + 8 * EPS * mine * mine
+            for lo, rough, low in self.slices(x):
+                self.nearer(x, own, slack, lo, rough, low, bk, dist[part], key[part])
+                rows = np.flatnonzero(low <= mine * mine + unsure - own)  # a ball without a radius (NaN) holds none
+                if len(rows):
+                    off = rough[rows] + (own - mine * mine)[rows][:, None]
+                    at, col = np.nonzero(np.abs(off) <= unsure[rows][:, None])
+                    true = self.exact(x[:, :-1], rows[at], lo + col) < mine[rows[at]]
+                    held[lo:lo + rough.shape[1]] += (off < -unsure[rows][:, None]).sum(axis=0) + np.bincount(col[true], minlength=rough.shape[1])
+                rough -= (rad * rad)[None, lo:lo + rough.shape[1]]
+                self.in_balls(x, own, slack, lo, rough, rough.min(axis=1), rad, inside[part])
+        return dist[:, 0], inside, held
+
+
+def _tame(*sides: np.ndarray) -> bool:
+    """Whether the squares of all numbers are far from overflow."""
+    return all(bool((np.abs(n) < 1e150).all()) for n in sides)
+
 
 def _block_kernel(space: Space, k: int, exclude_self: bool, mode: str):
     """One pair of blocks: the k nearest base rows per query row, ties by key, or the number of balls it lies in.
@@ -277,7 +358,7 @@ def _block_kernel(space: Space, k: int, exclude_self: bool, mode: str):
             qn, bn, cats = _numbers(q, space), _numbers(b, space), _categories(q, b, space)
             q_null, b_null = np.isnan(qn).any(axis=1), np.isnan(bn).any(axis=1)
             full = np.flatnonzero(~b_null)
-            dense = _is_dense(space) and len(full) > 0 and bool(np.isfinite(bn[full]).all() and np.isfinite(qn[~q_null]).all())
+            dense = _is_dense(space) and len(full) > 0 and _tame(bn[full], qn[~q_null])
             held = _Dense(bn[full]) if dense else None
             cells = _Cells(bn[full], [(x, y[full]) for x, y in cats], space.metric) if len(full) and not dense else None
             limit = np.nan_to_num(q["_kth"].to_numpy(dtype=np.float64), nan=np.inf) if "_kth" in q else np.full(len(q), np.inf)
@@ -317,6 +398,36 @@ def _block_kernel(space: Space, k: int, exclude_self: bool, mode: str):
     return run
 
 
+MUTUAL_SCHEMA = "side int, key long, balls double, nearest double, radius double"
+
+
+def _mutual_kernel(space: Space):
+    """One pair of blocks, each row with the radius of its ball (_rad): per query row (side 0) the nearest base row's distance
+    and the number of base rows' balls it lies in, per base row (side 1) the number of query rows' balls."""
+    def run(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("_key", kind="stable")
+        (qn, q_rad), (bn, b_rad) = ((_numbers(x, space), x["_rad"].to_numpy(dtype=np.float64)) for x in (q, b))
+        qs, bs = (np.flatnonzero(~np.isnan(n).any(axis=1)) for n in (qn, bn))
+        bk, near, q_balls, b_balls = b["_key"].to_numpy(dtype=np.int64), np.full(len(q), np.nan), np.zeros(len(q)), np.zeros(len(b))
+        if len(qs) and len(bs):
+            if _tame(qn[qs], bn[bs]):
+                near[qs], q_balls[qs], b_balls[bs] = _Dense(bn[bs]).mutual(bk[bs], b_rad[bs], q_rad[qs], qn[qs])
+            else:
+                qk, cells, own = q["_key"].to_numpy(dtype=np.int64), _Cells(bn[bs], [], space.metric), _Cells(qn[qs], [], space.metric)
+                for s in range(0, len(qs), 4096):
+                    some = qs[s:s + 4096]
+                    near[some] = _top(cells, bk[bs], qk[some], qn[some], [], 1, False)[0][:, 0]
+                    q_balls[some] = _inside(cells, b_rad[bs], qn[some], [])
+                for s in range(0, len(bs), 4096):
+                    b_balls[bs[s:s + 4096]] = _inside(own, q_rad[qs], bn[bs[s:s + 4096]], [])
+                near[near >= NO_VALUE] = np.nan
+        side = np.repeat(np.array([0, 1], np.int32), [len(q), len(b)])
+        return pd.DataFrame({"side": side, "key": np.concatenate([q["_key"].to_numpy(dtype=np.int64), bk]), "balls": np.concatenate([q_balls, b_balls]),
+                             "nearest": np.concatenate([near, np.full(len(b), np.nan)]), "radius": np.concatenate([q_rad, b_rad])})
+
+    return run
+
+
 def _is_dense(space: Space) -> bool:
     return len(space.num) >= DENSE and not space.cat and space.metric == "euclidean"
 
@@ -462,7 +573,6 @@ def knn(
     A pair with a null coordinate comes after all others, with a null
     distance. An empty base gives no rows.
     """
-    spark = query.sparkSession
     qp, bp = _prepared(query, q_key, base, b_key, space, q_stats, b_stats, known)
     n_query, _ = q_size or size_of(query, space)
     n_base, n_full = b_size or size_of(base, space)
@@ -475,8 +585,24 @@ def knn(
     if mode == "knn" and space.num and not _is_dense(space) and n_full > max(per_block, k + 1):  # so no list needs a row without a distance
         out = _pruned(qp, bp, space, k, exclude_self, kernel, b_blocks, max(per_block, k + 1))
         return out.withColumn("dist", F.when(F.col("dist") < float(NO_VALUE), F.col("dist")))
-    # every block of query rows gets the whole base, so there are no more of them than keep the cores busy
-    fine = min(-(-2 * spark.sparkContext.defaultParallelism // b_blocks), -(-n_query // MIN_QUERY_ROWS))
+    out = _grid(qp, n_query, bp, n_base, per_block, _is_dense(space)).applyInPandas(kernel, KNN_SCHEMA)
+    if mode == "ball":
+        return out.groupBy("q_key").agg(F.lit(0).alias("rank"), F.sum("dist").alias("dist"), F.lit(-1).cast("long").alias("b_key"))
+    if b_blocks > 1:
+        out = _merge(out, k)
+    return out.withColumn("dist", F.when(F.col("dist") < float(NO_VALUE), F.col("dist")))
+
+
+def _grid(qp: DataFrame, n_query: int, bp: DataFrame, n_base: int, per_block: int, dense: bool):
+    """Each block of query rows with each block of base rows, cogrouped.
+
+    Every block of query rows gets the whole base, so there are no more of them than keep the cores busy: two tasks a core, and
+    up to eight where a block's work is large beside what brings it there.
+    """
+    cores, b_blocks = qp.sparkSession.sparkContext.defaultParallelism, max(1, -(-n_base // per_block))
+    fine = min(-(-2 * cores // b_blocks), -(-n_query // MIN_QUERY_ROWS))
+    if dense:
+        fine = max(fine, min(-(-8 * cores // b_blocks), -(-n_query // FULL_QUERY_ROWS)))
     q_blocks = max(1, -(-n_query // per_block), fine)
 
     def dealt(df: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
@@ -484,14 +610,7 @@ def knn(
             other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
 
     pair = ["_qb", "_bb"]
-    out = (dealt(qp, "_qb", q_blocks, "_bb", b_blocks).groupBy(*pair)
-           .cogroup(dealt(bp, "_bb", b_blocks, "_qb", q_blocks).groupBy(*pair))
-           .applyInPandas(kernel, KNN_SCHEMA))
-    if mode == "ball":
-        return out.groupBy("q_key").agg(F.lit(0).alias("rank"), F.sum("dist").alias("dist"), F.lit(-1).cast("long").alias("b_key"))
-    if b_blocks > 1:
-        out = _merge(out, k)
-    return out.withColumn("dist", F.when(F.col("dist") < float(NO_VALUE), F.col("dist")))
+    return dealt(qp, "_qb", q_blocks, "_bb", b_blocks).groupBy(*pair).cogroup(dealt(bp, "_bb", b_blocks, "_qb", q_blocks).groupBy(*pair))
 
 
 def _visited(qp: DataFrame, bp: DataFrame, space: Space, k: int, kernel, b_blocks: int, per_block: int) -> tuple[_Pivots, DataFrame, DataFrame, DataFrame]:
@@ -782,6 +901,8 @@ def prdc(r: DataFrame, s: DataFrame, cols: Sequence[str], r_key: str, s_key: str
         F.col("rank") == k).select(F.col("q_key").alias("key"), F.col("dist").alias("radius"))
     rad_s = knn(s, s_key, s, s_key, sp, k, exclude_self=True, q_stats=one, b_stats=one, q_size=ns, b_size=ns).where(
         F.col("rank") == k).select(F.col("q_key").alias("key"), F.col("dist").alias("radius"))
+    if _is_dense(sp):
+        return _mutual_balls(r, r_key, nr, rad_r, s, s_key, ns, rad_s, sp, k)
     # precision / density: for each synthetic row, real balls containing it
     in_real = knn(s, s_key, r, r_key, sp, mode="ball", radius=rad_r, q_stats=one, b_stats=one, q_size=ns, b_size=nr)
     prec = in_real.agg(F.avg((F.col("dist") > 0).cast("double")).alias("precision"),
@@ -796,6 +917,21 @@ def prdc(r: DataFrame, s: DataFrame, cols: Sequence[str], r_key: str, s_key: str
     return prec.join(rec, "_k").join(cov, "_k").select("precision", "recall", "density", "coverage")
 
 
+def _mutual_balls(r: DataFrame, r_key: str, nr: tuple[int, int], rad_r: DataFrame, s: DataFrame, s_key: str, ns: tuple[int, int], rad_s: DataFrame,
+                  space: Space, k: int) -> DataFrame:
+    """What :func:`prdc` counts, from one look at each pair of a real and a synthetic row instead of three."""
+    sides = [_project(df, key, space, None).join(rad.select(F.col("key").alias("_key"), F.col("radius").alias("_rad")), "_key", "left")
+             for df, key, rad in ((r, r_key, rad_r), (s, s_key, rad_s))]
+    found = _grid(sides[0], nr[0], sides[1], ns[0], _per_block(space, BLOCK_BYTES), True).applyInPandas(_mutual_kernel(space), MUTUAL_SCHEMA)
+    rows = found.groupBy("side", "key").agg(F.sum("balls").alias("balls"), F.min("nearest").alias("nearest"), F.max("radius").alias("radius"))
+    real, syn = F.col("side") == 0, F.col("side") == 1
+    full = real & F.col("nearest").isNotNull() & ~F.isnan("nearest") & F.col("radius").isNotNull() & ~F.isnan("radius")
+    return rows.agg(F.avg(F.when(syn, (F.col("balls") > 0).cast("double"))).alias("precision"),
+                    F.avg(F.when(real, (F.col("balls") > 0).cast("double"))).alias("recall"),
+                    (F.avg(F.when(syn, F.col("balls"))) / k).alias("density"),
+                    F.avg(F.when(full, (F.col("nearest") < F.col("radius")).cast("double"))).alias("coverage"))
+
+
 def alpha_beta(r: DataFrame, s: DataFrame, cols: Sequence[str], r_key: str, s_key: str, levels: int = 30) -> DataFrame:
     """One row (delta_precision_alpha, delta_coverage_beta), 1 being best.
 
